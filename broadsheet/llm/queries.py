@@ -39,6 +39,12 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_scores import lm_scores
+
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import path
 
@@ -53,5 +59,6 @@ QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_lm_scoring": op7_lm_scoring,
     "op9_token_counts": op9_token_counts,
 }
