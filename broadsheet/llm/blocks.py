@@ -6,6 +6,7 @@ fixed once written, and a lost executor's tasks read the same rows again.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,16 +15,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, byte_texts, written
+from .common import arrow_map, byte_texts, shared_dir, written
 
 SCHEMA = "block long, ids array<long>, ends array<long>, flags array<boolean>, body binary"
 
 
-def blocks(df: DataFrame, size: int = 8 << 20) -> DataFrame:
+def blocks(df: DataFrame, size: int = 8 << 20, buckets: int = 0) -> DataFrame:
     """From (doc_id long, text, flag boolean) a written table of (block, ids, ends, flags, body).
 
     body holds the texts' UTF-8 bytes one after the other, ends where each ends.  A block closes once it
-    holds `size` bytes, so a longer text is a block's last.  Null texts count as empty.
+    holds `size` bytes, so a longer text is a block's last.  Null texts count as empty.  With `buckets` the
+    table is bucketed by block as it is written, so joins on block move only the other side.
     """
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,7 +54,13 @@ def blocks(df: DataFrame, size: int = 8 << 20) -> DataFrame:
         if ids:
             yield block()
 
-    return written(arrow_map(df.select("doc_id", "text", "flag"), build, SCHEMA))
+    built = arrow_map(df.select("doc_id", "text", "flag"), build, SCHEMA)
+    if not buckets:
+        return written(built)
+    name = f"blocks_{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/{name}"
+    built.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(buckets, "block").saveAsTable(name)
+    return df.sparkSession.table(name)
 
 
 def block_rows(batch: pa.RecordBatch) -> Iterator[tuple[int, list, np.ndarray, list, bytes]]:
