@@ -56,33 +56,46 @@ def statistics(text: bytes) -> list[float]:
 
 @dataclass(frozen=True)
 class Discriminant:
-    """Means, Cholesky factors (inverted once) and log terms of both classes."""
+    """Means, Cholesky factors (inverted once) and log terms of the classes."""
 
     means: np.ndarray
     whiten: np.ndarray
     logs: np.ndarray
 
-    def scores(self, x: np.ndarray) -> np.ndarray:
-        logs = []
-        for k in (0, 1):
+    def densities(self, x: np.ndarray) -> np.ndarray:
+        """Log prior and Mahalanobis log density of each row under each class."""
+        out = np.empty((len(x), len(self.logs)))
+        for k, log in enumerate(self.logs):
             z = (x - self.means[k]) @ self.whiten[k].T
-            logs.append(self.logs[k] - 0.5 * np.einsum("ij,ij->i", z, z))
-        return 1 / (1 + np.exp(-np.clip(logs[1] - logs[0], -35, 35)))
+            out[:, k] = log - 0.5 * np.einsum("ij,ij->i", z, z)
+        return out
+
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        """Of two classes, how likely the second is."""
+        logs = self.densities(x)
+        return 1 / (1 + np.exp(-np.clip(logs[:, 1] - logs[:, 0], -35, 35)))
+
+    def posteriors(self, x: np.ndarray, temperature: float = 1.0) -> np.ndarray:
+        """Of each class; a temperature over 1 softens them."""
+        logs = self.densities(x) / temperature
+        shares = np.exp(logs - logs.max(1, keepdims=True))
+        return shares / shares.sum(1, keepdims=True)
 
 
 def fit(n: np.ndarray, sums: np.ndarray, squares: np.ndarray, towards_pooled: float = 0.10, towards_diagonal: float = 0.05, floor: float = 1e-3) -> Discriminant:
-    """From counts (2), sums (2, d) and sums of products (2, d, d).  A class without rows takes the other's moments."""
+    """From counts (k), sums (k, d) and sums of products (k, d, d).  A class without rows takes all classes' moments."""
     d = sums.shape[1]
+    all_mean = sums.sum(0) / max(1, n.sum())
+    all_spread = squares.sum(0) / max(1, n.sum()) - np.outer(all_mean, all_mean)
     count = np.maximum(n, 1)
     means = sums / count[:, None]
     spread = squares / count[:, None, None] - means[:, :, None] * means[:, None, :]
-    for k in (0, 1):
-        if n[k] == 0:
-            means[k], spread[k] = means[1 - k], spread[1 - k]
-    pooled = (spread * (np.maximum(n, 1) / np.maximum(n, 1).sum())[:, None, None]).sum(0) + floor * np.eye(d)
+    for k in np.flatnonzero(n == 0):
+        means[k], spread[k] = all_mean, all_spread
+    pooled = (spread * (count / count.sum())[:, None, None]).sum(0) + floor * np.eye(d)
     whiten, logs = [], []
     prior = (n + 1) / (n + 1).sum()
-    for k in (0, 1):
+    for k in range(len(n)):
         shrunk = (1 - towards_pooled - towards_diagonal) * spread[k] + towards_pooled * pooled + towards_diagonal * np.diag(np.diag(pooled)) + floor * np.eye(d)
         factor = np.linalg.cholesky(shrunk)
         whiten.append(np.linalg.inv(factor))
@@ -95,13 +108,8 @@ def held_out(doc_id: Column, folds: int = 5, fold: int = 0) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
-def quality_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3, folds: int = 5) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of df; higher scores mean that label 1 is likelier.
-
-    Learns from the labelled rows outside the held-out fold, all of them.  Only the text enters a score.
-    Null texts count as empty and are scored too.  Null labels teach nothing; without any labelled row all
-    scores are 0.5.  Repeated rows are each scored and each teach; an empty table gives an empty result.
-    """
+def measured_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """A written table of doc_id and x, the statistics of each text."""
     rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
 
@@ -110,29 +118,60 @@ def quality_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
             x = [statistics(t) for t in byte_texts(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "x"])
 
-    measured = written(arrow_map(rows, features, f"doc_id {kind}, x array<double>"))
+    return written(arrow_map(rows, features, f"doc_id {kind}, x array<double>"))
+
+
+def learn(measured: DataFrame, classes: DataFrame, k: int) -> Discriminant:
+    """From all rows of measured that have a class: classes holds doc_id and y, 0 to k - 1."""
     d = len(NAMES)
-    taught = (
-        measured.where(~held_out(F.col("doc_id"), folds))
-        .join(labels.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("y")).where("y in (0, 1)"), "doc_id")
-    )
     x = [F.col("x")[i] for i in range(d)]
     sums = [F.sum(x[i]).alias(f"s{i}") for i in range(d)]
     products = [F.sum(x[i] * x[j]).alias(f"p{i}_{j}") for i in range(d) for j in range(i, d)]
-    n, s, p = np.zeros(2), np.zeros((2, d)), np.zeros((2, d, d))
-    for row in taught.groupBy("y").agg(F.count("*").alias("n"), *sums, *products).collect():  # two rows
-        k = row["y"]
-        n[k] = row["n"]
-        s[k] = [row[f"s{i}"] for i in range(d)]
+    n, s, p = np.zeros(k), np.zeros((k, d)), np.zeros((k, d, d))
+    for row in measured.join(classes, "doc_id").groupBy("y").agg(F.count("*").alias("n"), *sums, *products).collect():  # k rows
+        y = row["y"]
+        n[y] = row["n"]
+        s[y] = [row[f"s{i}"] for i in range(d)]
         for i in range(d):
             for j in range(i, d):
-                p[k, i, j] = p[k, j, i] = row[f"p{i}_{j}"]
-    model = fit(n, s, p)
+                p[y, i, j] = p[y, j, i] = row[f"p{i}_{j}"]
+    return fit(n, s, p)
+
+
+def quality_classes(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    return labels.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("y")).where("y in (0, 1)")
+
+
+def statistics_of(batch: pa.RecordBatch, column: str = "x") -> np.ndarray:
+    return np.asarray(batch.column(column).flatten()).reshape(-1, len(NAMES))
+
+
+def quality_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3, folds: int = 5) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row of df; higher scores mean that label 1 is likelier.
+
+    Learns from the labelled rows outside the held-out fold, all of them.  Only the text enters a score.
+    Null texts count as empty and are scored too.  Null labels teach nothing; without any labelled row all
+    scores are 0.5.  Repeated rows are each scored and each teach; an empty table gives an empty result.
+    """
+    measured = measured_rows(df, id_col, text_col)
+    model = learn(measured.where(~held_out(F.col("doc_id"), folds)), quality_classes(labels, id_col, label_col), 2)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat = np.asarray(batch.column("x").flatten()).reshape(-1, d)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.scores(flat), pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.scores(statistics_of(batch)), pa.float64())], names=["doc_id", "score"])
 
-    scored = arrow_map(measured, score, f"doc_id {kind}, score double")
+    scored = arrow_map(measured, score, f"doc_id {dict(measured.dtypes)['doc_id']}, score double")
     return scored.select("doc_id", held_out(F.col("doc_id"), folds).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3, folds: int = 5) -> DataFrame:
+    """The rows of df, all columns as they are, that quality_scores would predict 1; rows never leave their partitions."""
+    measured = measured_rows(df, id_col, text_col)
+    model = learn(measured.where(~held_out(F.col("doc_id"), folds)), quality_classes(labels, id_col, label_col), 2)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array([statistics(t) for t in byte_texts(batch.column(text_col))]).reshape(-1, len(NAMES))
+            yield batch.filter(pa.array(model.scores(x) >= threshold))
+
+    return arrow_map(df, keep, df.schema)

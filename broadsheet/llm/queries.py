@@ -65,6 +65,16 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), path("word_bpe_49k.json"))
 
 
+#: Shares of the expected tokens in the mixture.
+MIXTURE = {"clean": 0.92, "toxic": 0.05, "low": 0.03}
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), MIXTURE)
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_quality_rules": op2_quality_rules,
@@ -75,4 +85,5 @@ QUERIES = {
     "op7_lm_scoring": op7_lm_scoring,
     "op8_html_extraction": op8_html_extraction,
     "op9_token_counts": op9_token_counts,
+    "op10_mixing": op10_mixing,
 }
