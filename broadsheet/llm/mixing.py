@@ -35,13 +35,15 @@ class Membership:
 
     quality: Discriminant
     prior: float
+    #: The log odds that a document without any of the telling words brings, and what each word's bin adds.
+    absent: float
     odds: np.ndarray
 
     def posteriors(self, x: np.ndarray, bins: list[bytes], temperature: float) -> np.ndarray:
         """Of DOMAINS; a temperature over 1 softens what a document's own text says."""
         logs = self.quality.densities(x)
         good = _logistic((logs[:, 1] - logs[:, 0]) / temperature)
-        toxic = _logistic(self.prior + np.array([self.odds[np.frombuffer(b, np.uint16)].sum() for b in bins]) / temperature)
+        toxic = _logistic(self.prior + (self.absent + np.array([self.odds[np.frombuffer(b, np.uint16)].sum() for b in bins])) / temperature)
         return np.stack((good * (1 - toxic), good * toxic, 1 - good), 1)
 
 
@@ -49,13 +51,15 @@ def _logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def word_odds(with_toxic: np.ndarray, with_other: np.ndarray, toxic: int, other: int, least: float = 5.0) -> tuple[float, np.ndarray]:
-    """The log prior odds, and each bin's log odds ratio where it is `least` standard errors from none, else 0."""
+def word_odds(with_toxic: np.ndarray, with_other: np.ndarray, toxic: int, other: int, least: float = 5.0) -> tuple[float, float, np.ndarray]:
+    """The log prior odds; what it says that no telling bin is there; each bin's log odds ratio where it is `least`
+    standard errors from none, else 0."""
     a, b = with_toxic + 0.5, toxic - with_toxic + 0.5
     c, d = with_other + 0.5, other - with_other + 0.5
     ratio = np.log(a / b) - np.log(c / d)
     sure = np.abs(ratio) > least * np.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
-    return float(np.log((toxic + 0.5) / (other + 0.5))), np.where(sure, ratio, 0.0)
+    absent = (np.log(b / (a + b)) - np.log(d / (c + d)))[sure].sum()
+    return float(np.log((toxic + 0.5) / (other + 0.5))), float(absent), np.where(sure, ratio, 0.0)
 
 
 def word_bins(words: list[bytes]) -> bytes:
@@ -70,8 +74,8 @@ def rates(posteriors: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
     return r
 
 
-def learn_words(measured: DataFrame, labels: DataFrame, id_col: str) -> tuple[float, np.ndarray]:
-    """From all labelled rows; at most BINS + 1 rows reach the driver."""
+def learn_words(measured: DataFrame, labels: DataFrame, id_col: str) -> tuple[float, float, np.ndarray]:
+    """From all labelled rows, those with equal words and label once; at most BINS + 1 rows reach the driver."""
     marked = labels.select(F.col(f"`{id_col}`").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,7 +87,7 @@ def learn_words(measured: DataFrame, labels: DataFrame, id_col: str) -> tuple[fl
         own = np.flatnonzero(n.any(0))
         yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(n[0, own]), pa.array(n[1, own])], names=["bin", "other", "toxic"])
 
-    counted = arrow_map(measured.select("doc_id", "bins").join(marked, "doc_id").select("bins", "toxic"), count, "bin long, other long, toxic long")
+    counted = arrow_map(measured.select("doc_id", "bins").join(marked, "doc_id").select("bins", "toxic").distinct(), count, "bin long, other long, toxic long")
     n = np.zeros((2, BINS + 1))
     for row in counted.groupBy("bin").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic")).collect():
         n[:, row["bin"]] = row["other"], row["toxic"]

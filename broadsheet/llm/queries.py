@@ -66,7 +66,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Shares of the expected tokens in the mixture.
-MIXTURE = {"clean": 0.92, "toxic": 0.05, "low": 0.03}
+MIXTURE = {"clean": 0.85, "toxic": 0.09, "low": 0.06}
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
