@@ -20,7 +20,7 @@ from broadsheet.llm.quality import keep_quality
 from broadsheet.llm.simhash import simhash_groups
 
 #: Shares of the expected tokens after the quality classifier has taken the low-quality documents out.
-MIXTURE = {"clean": 0.97, "toxic": 0.03, "low": 0.0}
+MIXTURE = {"clean": 0.95, "toxic": 0.05, "low": 0.0}
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
