@@ -26,7 +26,7 @@ from .quality import Discriminant, learn, quality_classes, statistics, statistic
 
 DOMAINS = ("clean", "toxic", "low")
 #: Words are told apart by so many bits of their CRC32.
-BINS = 1 << 16
+BINS = 1 << 14
 
 
 @dataclass(frozen=True)
@@ -43,7 +43,7 @@ class Membership:
         """Of DOMAINS; a temperature over 1 softens what a document's own text says."""
         logs = self.quality.densities(x)
         good = _logistic((logs[:, 1] - logs[:, 0]) / temperature)
-        toxic = _logistic(self.prior + (self.absent + np.array([self.odds[np.frombuffer(b, np.uint16)].sum() for b in bins])) / temperature)
+        toxic = _logistic(self.prior + (self.absent + np.array([self.odds[bins_of(b)].sum() for b in bins])) / temperature)
         return np.stack((good * (1 - toxic), good * toxic, 1 - good), 1)
 
 
@@ -63,7 +63,17 @@ def word_odds(with_toxic: np.ndarray, with_other: np.ndarray, toxic: int, other:
 
 
 def word_bins(words: list[bytes]) -> bytes:
-    return np.unique(np.fromiter(map(crc32, set(words)), np.uint32) & np.uint32(BINS - 1)).astype(np.uint16).tobytes()
+    """The sorted bins of the distinct words as byte-wide gaps: 255 says that the gap goes on."""
+    bins = np.unique(np.fromiter(map(crc32, set(words)), np.uint32) & np.uint32(BINS - 1)).astype(np.int64)
+    gaps = np.diff(bins, prepend=0)
+    out = np.full(len(gaps) + int((gaps // 255).sum()), 255, np.uint8)
+    out[np.cumsum(gaps // 255 + 1) - 1] = gaps % 255
+    return out.tobytes()
+
+
+def bins_of(packed: bytes) -> np.ndarray:
+    gaps = np.frombuffer(packed, np.uint8)
+    return np.cumsum(gaps, dtype=np.int64)[gaps != 255]
 
 
 def rates(posteriors: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
@@ -82,7 +92,7 @@ def learn_words(measured: DataFrame, labels: DataFrame, id_col: str) -> tuple[fl
         n = np.zeros((2, BINS + 1), np.int64)
         for batch in batches:
             for bins, toxic in zip(batch.column("bins").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                n[toxic, np.frombuffer(bins, np.uint16)] += 1
+                n[toxic, bins_of(bins)] += 1
                 n[toxic, BINS] += 1
         own = np.flatnonzero(n.any(0))
         yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(n[0, own]), pa.array(n[1, own])], names=["bin", "other", "toxic"])
