@@ -55,4 +55,4 @@ def read_answer(answer: Column, kind: str = "enrich") -> Column:
         fields += [read["summary"].alias("summary"), normal_tags(read["tags"]).alias("tags")]
     if kind != "summary":
         fields += [clamp(read["score"], 0, 100).alias("score"), read["reason"].alias("reason")]
-    return F.when(read.isNotNull(), F.struct(*fields))
+    return F.when(read["score" if kind == "score" else "summary"].isNotNull(), F.struct(*fields))

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 #: Fixed values of the published algorithm.
 OFFSET, PRIME = 0xCBF29CE484222325, 0x100000001B3
@@ -23,11 +20,11 @@ def fnv1a(data: bytes) -> int:
 def fnv1a_hex(text: Column) -> Column:
     """16 hex digits for each text; null stays null.  64-bit products overflow a long, so this one is an Arrow UDF."""
 
-    def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield texts.map(lambda t: None if t is None else f"{fnv1a(t.encode()):016x}")
+    @F.pandas_udf("string")
+    def hashed(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else f"{fnv1a(t.encode()):016x}")
 
-    return F.pandas_udf(hashed, StringType(), F.PandasUDFType.SCALAR_ITER)(text)
+    return hashed(text)
 
 
 def stable_guid(guid: Column, url: Column, title: Column, published: Column, text: Column) -> Column:
