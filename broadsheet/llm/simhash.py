@@ -7,11 +7,18 @@ query follows only edges within the radius of its own distance.  Trees go to the
 not as one broadcast, for together they grow with the input.  A shard returns a spanning forest of its
 links, never all its pairs, and a query skips subtrees that already belong to its own component, so a
 large group of near copies costs a few visits a member.
+
+`simhash_groups` links 64-bit fingerprints within a radius, all of them.  `near_groups` is for a stated
+similarity of texts: sums over 256 bits, a radius that stands for the similarity, and shards found by
+probing, for at such radii no two fingerprints need share a block.  Bits whose sums lie near zero are those
+that differ between near copies; a text stands in the shards of each 24-bit band that its likeliest flips
+of such bits lead to.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -139,17 +146,17 @@ def shard_keys(fp: Column, radius: int = 4) -> Column:
     return F.array(*(F.struct(F.lit(i).alias("pair"), F.shiftleft(pick(a), b[1]).bitwiseOR(pick(b)).alias("bits")) for i, (a, b) in enumerate(pairs)))
 
 
-def _links(radius: int):
+def _links(radius: int, shard_columns: tuple[str, ...], number: Callable):
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by shard; a shard may span batches."""
         at, tree, ids = None, None, []
         for batch in batches:
             a, b = [], []
-            pair, bits, fp, rep = (batch.column(c).to_pylist() for c in ("pair", "bits", "fp", "rep"))
-            for shard, value, own in zip(zip(pair, bits, strict=True), fp, rep, strict=True):
+            shards = zip(*(batch.column(c).to_pylist() for c in shard_columns), strict=True)
+            for shard, value, own in zip(shards, batch.column("fp").to_pylist(), batch.column("rep").to_pylist(), strict=True):
                 if shard != at:
                     at, tree, ids = shard, BKTree(radius), []
-                for t in tree.add(value & 0xFFFFFFFFFFFFFFFF):
+                for t in tree.add(number(value)):
                     a.append(ids[t])
                     b.append(own)
                 ids.append(own)
@@ -158,6 +165,13 @@ def _links(radius: int):
     return link
 
 
+def _grouped(marked: DataFrame, distinct: DataFrame, edges: DataFrame) -> DataFrame:
+    """marked's ids and fingerprints with their components, from links between the representatives in distinct."""
+    found = components(edges)
+    labels = distinct.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    return marked.join(labels, "fp").select("doc_id", "fp", "component_id")
+
+
 def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for every row of df.
 
@@ -177,7 +191,78 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     shards = distinct.where("rep is not null").select("fp", "rep", F.explode(shard_keys(F.col("fp"), radius)).alias("k")).select("k.pair", "k.bits", "fp", "rep")
     dealt = shards.repartition("pair", "bits").sortWithinPartitions("pair", "bits", "fp")
-    edges = arrow_map(dealt, _links(radius), "a long, b long")
-    found = components(edges)
-    labels = distinct.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return marked.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    edges = arrow_map(dealt, _links(radius, ("pair", "bits"), lambda fp: fp & 0xFFFFFFFFFFFFFFFF), "a long, b long")
+    return _grouped(marked, distinct, edges).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# --- a stated similarity ------------------------------------------------------------------------------
+
+#: 64-bit words of a wide fingerprint, bits of a band, bands and probes of each that are looked up, and how many of a
+#: band's least certain bits may be flipped, at most how many at once.
+WIDE, BAND, BANDS, PROBES, WEAK, FLIPS = 4, 24, 4, 16, 8, 4
+
+
+def wide_radius(similarity: float) -> int:
+    """Differing bits that texts of this Jaccard similarity have on average, and two more."""
+    return math.ceil(64 * WIDE * math.acos(2 * similarity / (1 + similarity)) / math.pi) + 2
+
+
+def wide_sums(texts: list[bytes], width: int) -> np.ndarray:
+    """For each text and bit: hashes with the bit less those without it."""
+    out = np.zeros((len(texts), 64 * WIDE), np.int64)
+    for k, text in enumerate(texts):
+        hashes = np.array(shingle_hashes(text, width), np.uint64)
+        for at in range(0, len(hashes), 1 << 12):
+            part = hashes[at : at + (1 << 12)]
+            bits = []
+            for word in range(WIDE):
+                x = part + np.uint64(0x9E3779B97F4A7C15 * word % 2**64)
+                for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                    x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+                x ^= x >> np.uint64(31)
+                bits.append(np.unpackbits(x.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+            out[k] += 2 * np.concatenate(bits, axis=1).sum(0, dtype=np.int64) - len(part)
+    return out
+
+
+def probes(sums: np.ndarray) -> np.ndarray:
+    """The shards each text stands in: for each band its own bits and the likeliest flips of them."""
+    flips = [c for n in range(FLIPS + 1) for c in combinations(range(WEAK), n)]
+    chosen = np.zeros((len(flips), WEAK))
+    for k, c in enumerate(flips):
+        chosen[k, list(c)] = 1
+    out = []
+    for band in range(BANDS):
+        own = sums[:, band * BAND : (band + 1) * BAND]
+        base = ((own > 0) << np.arange(BAND)).sum(1)
+        weak = np.argsort(np.abs(own), axis=1, kind="stable")[:, :WEAK]
+        cost = np.take_along_axis(np.abs(own), weak, 1) @ chosen.T
+        best = np.argsort(cost, axis=1, kind="stable")[:, :PROBES]
+        masks = ((1 << weak).astype(np.float64) @ chosen.T).astype(np.int64)
+        out.append((base[:, None] ^ np.take_along_axis(masks, best, 1)) | band << BAND)
+    return np.concatenate(out, axis=1).astype(np.int32)
+
+
+def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, fingerprint (64 hex digits), component_id for every row of df.
+
+    Links texts whose shingles of `width` lower-cased words have about the stated Jaccard similarity or more, as
+    their wide fingerprints tell it; component_id is the smallest id reachable.  Odd rows have the results that
+    simhash_groups gives them.
+    """
+    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                sums = wide_sums(byte_texts(part.column("text")), width)
+                fps = np.packbits(sums > 0, axis=1, bitorder="little")
+                columns = [part.column("doc_id"), pa.array([x.tobytes() for x in fps], pa.binary()), pa.array(list(probes(sums)), pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "shards"])
+
+    marked = written(arrow_map(rows, hashed, "doc_id long, fp binary, shards array<int>"))
+    distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min_by("shards", "doc_id").alias("shards")))
+    dealt = distinct.where("rep is not null").select("fp", "rep", F.explode("shards").alias("shard")).repartition("shard").sortWithinPartitions("shard", "fp")
+    edges = arrow_map(dealt, _links(wide_radius(similarity), ("shard",), lambda fp: int.from_bytes(fp, "little")), "a long, b long")
+    return _grouped(marked.select("doc_id", "fp"), distinct, edges).select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")

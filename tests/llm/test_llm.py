@@ -46,6 +46,7 @@ def labels(spark, rows=()):
 
 OPERATORS = {
     "simhash": lambda s, d: simhash.simhash_groups(d),
+    "near": lambda s, d: simhash.near_groups(d),
     "repetition": lambda s, d: repetition.repetition_rules(d),
     "packing": lambda s, d: packing.pack(d, JSON, RANKS),
     "repeats": lambda s, d: repeats.remove_repeats(d),
@@ -142,6 +143,26 @@ def test_shards_lose_no_link(spark):
                 assert keys[0] & keys[1]
 
 
+def test_near_groups_catch_near_copies(spark):
+    """Copies with a share of their words changed, against clean texts that share a passage."""
+    r = np.random.default_rng(8)
+    word = lambda: bytes(r.integers(97, 123, int(r.integers(2, 9)), dtype=np.uint8)).decode()
+    texts, near, passage = {}, [], [word() for _ in range(30)]
+    for k in range(120):
+        words = [word() for _ in range(int(r.integers(80, 600)))]
+        texts[10 * k] = " ".join(words + passage)
+        changed = list(words + passage)
+        for i in r.choice(len(changed), max(1, len(changed) // 100), replace=False):
+            changed[i] = word()
+        texts[10 * k + 1] = " ".join(changed)
+        sets = [{" ".join(w[i : i + 5]) for i in range(len(w) - 4)} for w in (texts[10 * k].split(), changed)]
+        near.append((10 * k, len(sets[0] & sets[1]) / len(sets[0] | sets[1])))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(docs(spark, sorted(texts.items()))).collect()}
+    sure = [i for i, j in near if j >= 0.85]
+    assert len(sure) > 80 and np.mean([got[i + 1] == i for i in sure]) >= 0.95
+    assert all(got[i] == i for i, _ in near)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 102), (102, 101), (7, 7), (200, 300)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}

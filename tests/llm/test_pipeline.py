@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from broadsheet.llm.exact_dedup import exact_dedup
 from broadsheet.llm.packing import pack
 from broadsheet.llm.quality import quality_scores
-from broadsheet.llm.simhash import simhash_groups
+from broadsheet.llm.simhash import near_groups
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -33,7 +33,7 @@ def test_stages(spark, stages):
     good = labels.where("quality = 1").join(docs.select("doc_id"), "doc_id", "left_semi")
     assert stages[1].join(good, "doc_id", "left_semi").count() >= 0.98 * good.count()
     assert ids(stages[2]) == ids(exact_dedup(stages[1]).where("kept"))
-    assert ids(stages[3]) == ids(simhash_groups(stages[2]).where("doc_id = component_id"))
+    assert ids(stages[3]) == ids(near_groups(stages[2]).where("doc_id = component_id"))
     assert set(ids(stages[4])) <= set(ids(stages[3])) and stages[4].count() > 0.8 * stages[3].count()
     assert stages[5].agg(F.sum("length")).first()[0] == pack(stages[4], *paths()).agg(F.sum("length")).first()[0]
 
