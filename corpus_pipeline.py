@@ -17,7 +17,7 @@ from broadsheet.llm.exact_dedup import exact_dedup
 from broadsheet.llm.mixing import mix
 from broadsheet.llm.packing import pack
 from broadsheet.llm.quality import keep_quality
-from broadsheet.llm.simhash import simhash_groups
+from broadsheet.llm.simhash import near_groups
 
 #: Shares of the expected tokens after the quality classifier has taken the low-quality documents out.
 MIXTURE = {"clean": 0.95, "toxic": 0.05, "low": 0.0}
@@ -39,8 +39,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
-    return _without(docs, simhash_groups(docs).where("doc_id <> component_id"))
+    """Of each group of near duplicates (shingles of five words, similarity 0.8 or more) the document with the smallest id stays."""
+    return _without(docs, near_groups(docs).where("doc_id <> component_id"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
