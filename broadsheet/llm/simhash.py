@@ -52,35 +52,12 @@ def shingle_hashes(text: bytes, width: int = 4) -> list[int]:
 def fingerprints(texts: list[bytes], width: int = 4) -> np.ndarray:
     """A bit is 1 if set in over half of a text's hashes; no words: zero."""
     out = np.zeros(len(texts), np.uint64)
-    held: list[int] = []
-    owners: list[int] = []
-    sizes: list[int] = []
-
-    def flush() -> None:
-        if not owners:
-            return
-        bits = np.unpackbits(np.array(held, np.uint64).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        at = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        ones = np.add.reduceat(bits, at, axis=0, dtype=np.int32)
-        most = 2 * ones > np.array(sizes)[:, None]
-        out[owners] = np.packbits(most, axis=1, bitorder="little").view("<u8").ravel()
-        held.clear(), owners.clear(), sizes.clear()
-
     for k, text in enumerate(texts):
-        hashes = shingle_hashes(text, width)
-        if len(hashes) > AT_ONCE:  # a very long text alone, in slices
-            ones = np.zeros(64, np.int64)
-            for i in range(0, len(hashes), AT_ONCE):
-                part = np.array(hashes[i : i + AT_ONCE], np.uint64).astype("<u8").view(np.uint8).reshape(-1, 8)
-                ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
-            out[k] = np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0]
-        elif hashes:
-            held += hashes
-            owners.append(k)
-            sizes.append(len(hashes))
-            if len(held) >= AT_ONCE:
-                flush()
-    flush()
+        hashes = np.array(shingle_hashes(text, width), np.uint64).astype("<u8").view(np.uint8).reshape(-1, 8)
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(hashes), AT_ONCE):
+            ones += np.unpackbits(hashes[at : at + AT_ONCE], axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out[k] = np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0]
     return out
 
 
