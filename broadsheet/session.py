@@ -55,10 +55,31 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def new_table(spark: SparkSession, name: str = "t") -> str:
+    """A fresh path in the shared folder, remembered for drop_written."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    sc = spark.sparkContext
+    if not hasattr(sc, "_broadsheet_tables"):
+        sc._broadsheet_tables = []
+    sc._broadsheet_tables.append(path)
+    return path
+
+
 def written(df: DataFrame) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: the lineage ends there, so a lost
     executor costs only tasks that read those files."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, new_table(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_written(spark: SparkSession) -> int:
+    """Deletes the tables this session has written in the shared folder; returns how many.  Results that were
+    not stored elsewhere can't be read after it."""
+    sc, jvm = spark.sparkContext, spark._jvm
+    gone = getattr(sc, "_broadsheet_tables", [])
+    for path in gone:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+    sc._broadsheet_tables = []
+    return len(gone)

@@ -90,7 +90,7 @@ def test_search_terms_and_cursor():
 
 def test_tags(spark):
     tags = lambda xs: one(spark, T.normal_tags(F.array(*map(F.lit, xs))))
-    assert tags(["Rust", " rust ", "SQLite"]) == ["rust", "sqlite"]
+    assert tags(["Rust", " rust ", "Parquet"]) == ["rust", "parquet"]
     assert len(tags([f"tag{i}" for i in range(20)])) == 4 and tags(["x" * 80]) is None
 
 
