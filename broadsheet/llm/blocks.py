@@ -6,7 +6,6 @@ fixed once written, and a lost executor's tasks read the same rows again.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, byte_texts, shared_dir, written
+from .common import arrow_map, byte_texts, new_table, written
 
 SCHEMA = "block long, ids array<long>, ends array<long>, flags array<boolean>, body binary"
 
@@ -57,8 +56,8 @@ def blocks(df: DataFrame, size: int = 8 << 20, buckets: int = 0) -> DataFrame:
     built = arrow_map(df.select("doc_id", "text", "flag"), build, SCHEMA)
     if not buckets:
         return written(built)
-    name = f"blocks_{uuid.uuid4().hex}"
-    path = f"{shared_dir(df.sparkSession)}/{name}"
+    path = new_table(df.sparkSession, "blocks")
+    name = path.rpartition("/")[2].replace("-", "_")
     built.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(buckets, "block").saveAsTable(name)
     return df.sparkSession.table(name)
 

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import ship
+from ..session import new_table, ship, written
+
+__all__ = ["BLANKS", "BLANK_BYTES", "arrow_map", "byte_texts", "new_table", "shuffle_width", "single_threaded", "table", "written"]
 
 #: Characters that separate words: space, \t, \n, \v, \f and \r.  bytes.split() cuts at the same six.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -20,30 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where the session names none."""
-    sc = spark.sparkContext
-    found = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="broadsheet-")
-        sc.setCheckpointDir(found)
-    return found
-
-
-def written(df: DataFrame, partition_by: str | None = None) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: the lineage ends there, so a lost
-    executor costs only tasks that read those files."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
-
-
 def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
     """df.mapInArrow with this package on the workers' path."""
     ship(df.sparkSession)

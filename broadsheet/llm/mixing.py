@@ -111,14 +111,13 @@ def membership(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, tem
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = byte_texts(batch.column("text"))
-            words = [t.lower().split() for t in texts]
-            columns = [
-                batch.column("doc_id"),
-                pa.array([len(w) for w in words], pa.int64()),
-                pa.array([statistics(t) for t in texts], pa.list_(pa.float64())),
-                pa.array([word_bins(w) for w in words], pa.binary()),
-            ]
+            tokens, stats, bins = [], [], []
+            for text in byte_texts(batch.column("text")):
+                words = text.lower().split()
+                tokens.append(len(words))
+                stats.append(statistics(text))
+                bins.append(word_bins(words))
+            columns = [batch.column("doc_id"), pa.array(tokens, pa.int64()), pa.array(stats, pa.list_(pa.float64())), pa.array(bins, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tokens", "x", "bins"])
 
     measured = written(arrow_map(rows, features, f"doc_id {kind}, tokens long, x array<double>, bins binary"))
@@ -132,8 +131,12 @@ def membership(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, tem
     return written(arrow_map(measured, judge, f"doc_id {kind}, tokens long, q array<double>"))
 
 
-def fit_rates(members: DataFrame, weights: np.ndarray, most_steps: int = 60, tolerance: float = 1e-4) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """(steps, expected domain tokens after them, targets).  The targets share out the members' own token total."""
+def fit_rates(members: DataFrame, weights: np.ndarray, most_steps: int = 60, tolerance: float = 1e-4, least_gain: float = 0.01) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """(steps, expected domain tokens after them, targets).  The targets share out the members' own token total.
+
+    Ends within `tolerance` of the total, or where a step takes less than `least_gain` of the miss away: the
+    targets are then out of reach, or as good as.
+    """
     k = len(weights)
     steps: list[np.ndarray] = []
     upper = [(i, j) for i in range(k) for j in range(i, k)]
@@ -163,7 +166,12 @@ def fit_rates(members: DataFrame, weights: np.ndarray, most_steps: int = 60, tol
     if not total:
         return steps, got, targets
     weighting = np.linalg.inv(moments + 1e-9 * np.trace(moments) * np.eye(k))
+    miss = np.inf
     while np.abs(got - targets).max() > tolerance * total and len(steps) < most_steps:
+        left = float((got - targets) @ weighting @ (got - targets))
+        if left > miss * (1 - least_gain):
+            break
+        miss = left
         steps.append(weighting @ (got - targets))
         got = sums_of(steps)[0]
     return steps, got, targets
