@@ -7,12 +7,10 @@ empty everywhere.  An empty table passes through as an empty one.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from broadsheet.llm.common import shared_dir, table
+from broadsheet.llm.common import table, written
 from broadsheet.llm.exact_dedup import exact_dedup
 from broadsheet.llm.mixing import mix
 from broadsheet.llm.packing import pack
@@ -20,7 +18,7 @@ from broadsheet.llm.quality import keep_quality
 from broadsheet.llm.simhash import near_groups
 
 #: Shares of the expected tokens after the quality classifier has taken the low-quality documents out.
-MIXTURE = {"clean": 0.95, "toxic": 0.05, "low": 0.0}
+MIXTURE = {"clean": 0.945, "toxic": 0.05, "low": 0.005}
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,9 +69,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(path)
-        docs = spark.read.schema(out.schema).parquet(path)
+    for _, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir))
     return docs
