@@ -274,8 +274,9 @@ def upsert_items(v: Views) -> DataFrame:
 @query(f"SELECT (SELECT count(*) FROM ({NEW_ITEMS})) AS added, (SELECT count(*) FROM documents) - (SELECT count(*) FROM ({NEW_ITEMS})) AS skipped")
 def upsert_counts(v: Views) -> DataFrame:
     batch = _batch(v)
-    added = S.insert_missing(v.plain_items, batch, ["feed_id", "guid"], "pos").agg(F.count("*").alias("added"))
-    return added.join(F.broadcast(batch.agg(F.count("*").alias("n")))).select("added", (F.col("n") - F.col("added")).alias("skipped"))
+    added = S.insert_missing(v.plain_items, batch, ["feed_id", "guid"], "pos").select(F.lit(1).alias("added"), F.lit(-1).alias("skipped"))
+    both = added.unionByName(batch.select(F.lit(0).alias("added"), F.lit(1).alias("skipped")))
+    return both.agg(F.sum("added").alias("added"), F.sum("skipped").alias("skipped"))
 
 
 BACKOFF = "least(21600, 1800 * CAST(pow(2, greatest(1, least(5, {f})) - 1) AS BIGINT))"
