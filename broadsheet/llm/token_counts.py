@@ -34,7 +34,10 @@ def _tokenizer(path: str):
 
 
 def safe_pieces(text: str, most: int = PIECE_BYTES) -> list[str]:
-    """The text cut at safe boundaries about every `most` characters; their concatenation is the text."""
+    """The text cut at the first safe boundary after every `most` characters; their concatenation is the text.
+
+    A text without such a boundary stays whole: an unsafe cut could change its tokens.
+    """
     if len(text) <= most:
         return [text]
     out, at = [], 0
@@ -64,7 +67,7 @@ def lengths(texts: list[str], path: str, call_bytes: int = CALL_BYTES, piece_byt
         for piece in safe_pieces(text, piece_bytes):
             pieces.append(piece)
             owners.append(k)
-            size += len(piece)
+            size += len(piece.encode())
             if size >= call_bytes:
                 flush()
     if pieces:
