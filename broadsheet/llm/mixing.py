@@ -18,7 +18,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, byte_texts, written
@@ -104,8 +104,8 @@ def learn_words(measured: DataFrame, labels: DataFrame, id_col: str) -> tuple[fl
     return word_odds(n[1, :BINS], n[0, :BINS], n[1, BINS], n[0, BINS])
 
 
-def membership(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, temperature: float) -> DataFrame:
-    """A written table of doc_id, tokens (words between white space) and q, the posterior over DOMAINS."""
+def membership(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, temperature: float) -> tuple[DataFrame, Membership]:
+    """A written table of doc_id, tokens (words between white space) and q, the posterior over DOMAINS; and what judged it."""
     rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
 
@@ -128,7 +128,7 @@ def membership(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, tem
             q = model.posteriors(statistics_of(batch), batch.column("bins").to_pylist(), temperature)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tokens"), pa.array(list(q), pa.list_(pa.float64()))], names=["doc_id", "tokens", "q"])
 
-    return written(arrow_map(measured, judge, f"doc_id {kind}, tokens long, q array<double>"))
+    return written(arrow_map(measured, judge, f"doc_id {kind}, tokens long, q array<double>")), model
 
 
 def fit_rates(members: DataFrame, weights: np.ndarray, most_steps: int = 60, tolerance: float = 1e-4, least_gain: float = 0.01) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -194,7 +194,7 @@ def mix(
     nearly as least squares can.  Repeated rows each count; an empty table gives an empty result; other
     columns are ignored.
     """
-    members = membership(df, labels, id_col, text_col, temperature)
+    members, _ = membership(df, labels, id_col, text_col, temperature)
     steps, _, _ = fit_rates(members, np.array([weights[d] for d in DOMAINS], float))
     kind = dict(members.dtypes)["doc_id"]
 
@@ -204,6 +204,39 @@ def mix(
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tokens"), batch.column("q"), pa.array(rates(q, steps))], names=["doc_id", "tokens", "q", "rate"])
 
     rated = arrow_map(members, rate, f"doc_id {kind}, tokens long, q array<double>, rate double")
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 24)) / F.lit(float(1 << 24))
+    draw = _draw(F.col("doc_id"), seed)
     copies = (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("int")).cast("int")
     return rated.select("doc_id", "tokens", *(F.col("q")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)), "rate", copies.alias("copies"))
+
+
+def _draw(doc_id: Column, seed: int) -> Column:
+    """A number from 0 to 1 that depends on the id and the seed alone."""
+    return F.pmod(F.xxhash64(doc_id, F.lit(seed)), F.lit(1 << 24)) / F.lit(float(1 << 24))
+
+
+def drawn(
+    df: DataFrame,
+    labels: DataFrame,
+    weights: dict[str, float],
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    temperature: float = 2.0,
+    seed: int = 17,
+) -> DataFrame:
+    """The rows of df, all columns as they are, each as often as mix() says in copies; rows never leave their partitions."""
+    members, model = membership(df, labels, id_col, text_col, temperature)
+    steps, _, _ = fit_rates(members, np.array([weights[d] for d in DOMAINS], float))
+
+    def repeat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                texts = byte_texts(part.column(text_col))
+                x = np.array([statistics(t) for t in texts])
+                r = rates(model.posteriors(x, [word_bins(t.lower().split()) for t in texts], temperature), steps)
+                whole = np.floor(r)
+                copies = (whole + (np.asarray(part.column(part.num_columns - 1)) < r - whole)).astype(np.int64)
+                rows = pa.RecordBatch.from_arrays(part.columns[:-1], names=part.schema.names[:-1])
+                yield rows.take(pa.array(np.repeat(np.arange(len(r)), copies)))
+
+    return arrow_map(df.select("*", _draw(F.col(f"`{id_col}`"), seed).alias(f"draw of {id_col}")), repeat, df.schema)

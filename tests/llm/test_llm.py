@@ -308,6 +308,9 @@ def test_mixing_meets_targets(spark):
     for k, share in want.items():
         assert abs((got.rate * got.tokens * got[f"p_{k}"]).sum() / total - share) < 1e-3
     assert (got.rate >= 0).all() and (abs(got.copies - got.rate) < 1).all()
+    rows = mixing.drawn(d, y, want)
+    assert rows.columns == d.columns
+    assert Counter(r["doc_id"] for r in rows.collect()) == Counter({i: c for i, c in zip(got.doc_id.tolist(), got.copies.tolist(), strict=True) if c})
 
 
 def test_word_bins_round_trip():
