@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from broadsheet.llm.common import table, written
 from broadsheet.llm.exact_dedup import exact_dedup
-from broadsheet.llm.mixing import mix
+from broadsheet.llm.mixing import drawn
 from broadsheet.llm.packing import pack
 from broadsheet.llm.quality import keep_quality
 from broadsheet.llm.simhash import near_groups
@@ -26,9 +26,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_quality(docs, table(spark, sf_dir, "labels"))
 
 
+#: Up to so many ids of dropped documents are broadcast (about 64 MB); beyond it the documents are shuffled by id
+#: instead, with the same result.
+BROADCAST_IDS = 2_000_000
+
+
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs without the given ids; rows with a null id stay."""
-    return docs.join(gone.select(F.col("doc_id")), "doc_id", "left_anti").select(docs.columns)
+    ids = written(gone.select("doc_id"))
+    few = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti").select(docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,9 +50,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its rate says, its fraction decided by a draw from its id."""
-    drawn = mix(docs, table(spark, sf_dir, "labels"), MIXTURE).select("doc_id", "copies").where("copies > 0")
-    times = F.explode(F.sequence(F.lit(1), F.col("copies")))
-    return docs.join(drawn, "doc_id").select(*docs.columns, times.alias("_copy")).select(docs.columns)
+    return drawn(docs, table(spark, sf_dir, "labels"), MIXTURE)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
