@@ -40,8 +40,8 @@ def retention_victims(items: DataFrame, digests: DataFrame, cutoff: str, most: i
 
 def prune(items: DataFrame, vectors: DataFrame, victims: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Items and vectors that stay; a cluster that lost its head gets its oldest member as the new one."""
-    left = items.join(victims.select("id"), "id", "left_anti")
+    left = items.drop("cluster_size").join(victims.select("id"), "id", "left_anti")
     heads = left.where("cluster_id is not null").groupBy("cluster_id").agg(F.count("*").alias("n"), F.min(F.struct(recency().alias("r"), "id"))["id"].alias("first"), F.max((F.col("id") == F.col("cluster_id")).cast("int")).alias("alive"))
     new = F.when(F.col("n") == 1, F.lit(None)).when(F.col("alive") == 1, F.col("cluster_id")).otherwise(F.col("first"))
-    fixed = left.join(heads, "cluster_id", "left").withColumn("cluster_id", F.when(F.col("cluster_id").isNotNull(), new)).select(items.columns)
+    fixed = left.join(heads, "cluster_id", "left").withColumn("cluster_id", F.when(F.col("cluster_id").isNotNull(), new)).select(left.columns)
     return fixed, vectors.join(victims.select(F.col("id").alias("item_id")), "item_id", "left_anti")

@@ -110,10 +110,10 @@ def list_items(
 
 
 def shown_items(rows: DataFrame, items: DataFrame, feeds: DataFrame, *more: str) -> DataFrame:
-    """What a list shows of rows; sizes count members among all items."""
+    """What a list shows of rows; sizes count members among all items, unless rows bring them along."""
+    sized = rows if "cluster_size" in rows.columns else rows.join(cluster_sizes(items), "cluster_id", "left")
     return (
-        rows.join(feed_titles(feeds), "feed_id")
-        .join(cluster_sizes(items), "cluster_id", "left")
+        sized.join(feed_titles(feeds), "feed_id")
         .select(
             "id",
             "feed_id",

@@ -82,13 +82,14 @@ class Views:
 
     @cached_property
     def clusters(self) -> DataFrame:
-        """(id, cluster_id) of items whose text another item has too."""
+        """(id, cluster_id, cluster_size) of items whose text another item has too."""
         digests = self.table("documents").select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("digest"))
         heads = digests.groupBy("digest").agg(F.min("id").alias("cluster_id"), F.count("*").alias("n")).where("n > 1")
-        return digests.join(heads, "digest").select("id", "cluster_id")
+        return digests.join(heads, "digest").select("id", "cluster_id", F.col("n").alias("cluster_size"))
 
     @cached_property
     def items(self) -> DataFrame:
+        """Items with their cluster and its size, which lists then need not count."""
         return self.plain_items.join(self.clusters, "id", "left")
 
     @cached_property
