@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import new_table, ship, written
 
-__all__ = ["BLANKS", "BLANK_BYTES", "arrow_map", "byte_texts", "new_table", "shuffle_width", "single_threaded", "table", "written"]
+__all__ = ["BLANKS", "BLANK_BYTES", "arrow_map", "by_bucket", "byte_texts", "new_table", "shuffle_width", "single_threaded", "split_by", "table", "written"]
 
 #: Characters that separate words: space, \t, \n, \v, \f and \r.  bytes.split() cuts at the same six.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -39,3 +41,26 @@ def single_threaded() -> None:
     """Worker-side: the cluster's cores are dealt out by Spark, not by a library's own thread pool."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     os.environ["RAYON_NUM_THREADS"] = "1"
+
+
+def split_by(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, its indexes in order)."""
+    order = np.argsort(bucket, kind="stable")
+    ordered = bucket[order]
+    cuts = np.flatnonzero(ordered[1:] != ordered[:-1]) + 1
+    for own in np.split(order, cuts) if len(order) else []:
+        yield int(bucket[own[0]]), own
+
+
+def by_bucket(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[int, list[list]]]:
+    """(bucket, its rows) of batches sorted by bucket; one bucket's rows are held at a time."""
+    at, held = None, []
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in ["bucket", *names]), strict=True):
+            if row[0] != at and held:
+                yield at, held
+                held = []
+            at = row[0]
+            held.append(row[1:])
+    if held:
+        yield at, held

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import block_rows, blocks, texts_of, with_text
-from .common import arrow_map, shuffle_width, written
+from .common import arrow_map, by_bucket, shuffle_width, split_by, written
 
 _RANDOM = np.random.default_rng(20240601).integers(0, 2**64, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
@@ -125,15 +125,6 @@ def entries(texts: list[bytes], length: int, k: int) -> Entries:
     return Entries(distinct, list(owners.values()), runs_of, place, first, last, entry, order[heads], hashes[order][heads], context[order][heads], times.astype(np.uint8))
 
 
-def split_by(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(bucket, its indexes in order)."""
-    order = np.argsort(bucket, kind="stable")
-    ordered = bucket[order]
-    cuts = np.flatnonzero(ordered[1:] != ordered[:-1]) + 1
-    for own in np.split(order, cuts) if len(order) else []:
-        yield int(bucket[own[0]]), own
-
-
 # --- suffix order -------------------------------------------------------------------------------------
 
 
@@ -230,20 +221,6 @@ def _ask(length: int, k: int, buckets: int):
     return ask
 
 
-def by_bucket(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[int, list[list]]]:
-    """(bucket, its rows) of batches sorted by bucket; one bucket's rows are held at a time."""
-    at, held = None, []
-    for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ["bucket", *names]), strict=True):
-            if row[0] != at and held:
-                yield at, held
-                held = []
-            at = row[0]
-            held.append(row[1:])
-    if held:
-        yield at, held
-
-
 def _judge(crowd: int, earlier_only: bool):
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in by_bucket(batches, ["block", "anchors", "contexts", "times"]):

@@ -18,7 +18,7 @@ of such bits lead to.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, byte_texts, written
+from .common import arrow_map, by_bucket, byte_texts, shuffle_width, split_by, written
 from .components import components
 
 SEED = 42
@@ -123,17 +123,17 @@ def shard_keys(fp: Column, radius: int = 4) -> Column:
     return F.array(*(F.struct(F.lit(i).alias("pair"), F.shiftleft(pick(a), b[1]).bitwiseOR(pick(b)).alias("bits")) for i, (a, b) in enumerate(pairs)))
 
 
-def _links(radius: int, shard_columns: tuple[str, ...], number: Callable):
+def _links(radius: int):
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by shard; a shard may span batches."""
         at, tree, ids = None, None, []
         for batch in batches:
             a, b = [], []
-            shards = zip(*(batch.column(c).to_pylist() for c in shard_columns), strict=True)
-            for shard, value, own in zip(shards, batch.column("fp").to_pylist(), batch.column("rep").to_pylist(), strict=True):
+            pair, bits, fp, rep = (batch.column(c).to_pylist() for c in ("pair", "bits", "fp", "rep"))
+            for shard, value, own in zip(zip(pair, bits, strict=True), fp, rep, strict=True):
                 if shard != at:
                     at, tree, ids = shard, BKTree(radius), []
-                for t in tree.add(number(value)):
+                for t in tree.add(value & 0xFFFFFFFFFFFFFFFF):
                     a.append(ids[t])
                     b.append(own)
                 ids.append(own)
@@ -168,7 +168,7 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     shards = distinct.where("rep is not null").select("fp", "rep", F.explode(shard_keys(F.col("fp"), radius)).alias("k")).select("k.pair", "k.bits", "fp", "rep")
     dealt = shards.repartition("pair", "bits").sortWithinPartitions("pair", "bits", "fp")
-    edges = arrow_map(dealt, _links(radius, ("pair", "bits"), lambda fp: fp & 0xFFFFFFFFFFFFFFFF), "a long, b long")
+    edges = arrow_map(dealt, _links(radius), "a long, b long")
     return _grouped(marked, distinct, edges).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -220,6 +220,43 @@ def probes(sums: np.ndarray) -> np.ndarray:
     return np.concatenate(out, axis=1).astype(np.int32)
 
 
+def _deal(buckets: int):
+    """Each text's shards, its fingerprint and its id, packed by the shard's bucket."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shards = np.asarray(batch.column("shards").flatten(), np.int32)
+            owner = np.repeat(np.arange(batch.num_rows), BANDS * PROBES)
+            fps = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint8).reshape(-1, 8 * WIDE)
+            reps = np.asarray(batch.column("rep"))
+            rows = [(b, shards[own], owner[own]) for b, own in split_by(shards % buckets)]
+            columns = [pa.array([b for b, _, _ in rows], pa.int32()), *(pa.array(x, pa.binary()) for x in ([k.tobytes() for _, k, _ in rows], [fps[o].tobytes() for *_, o in rows], [reps[o].tobytes() for *_, o in rows]))]
+            yield pa.RecordBatch.from_arrays(columns, names=["bucket", "shards", "fps", "reps"])
+
+    return deal
+
+
+def _link_shards(radius: int):
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in by_bucket(batches, ["shards", "fps", "reps"]):
+            shards, reps = (np.concatenate([np.frombuffer(r[j], kind) for r in rows]) for j, kind in ((0, np.int32), (2, np.int64)))
+            fps = np.concatenate([np.frombuffer(r[1], np.uint8) for r in rows]).reshape(-1, 8 * WIDE)
+            # By shard, then id: which order a tree grows in doesn't depend on how rows arrived.
+            order = np.lexsort((reps, shards))
+            cuts = np.flatnonzero(np.diff(shards[order], prepend=-1, append=-1))
+            a, b = [], []
+            for first, end in zip(cuts[:-1][np.diff(cuts) > 1].tolist(), cuts[1:][np.diff(cuts) > 1].tolist(), strict=True):
+                tree, own = BKTree(radius), order[first:end]
+                ids = reps[own].tolist()
+                for k, fp in zip(ids, fps[own], strict=True):
+                    for t in tree.add(int.from_bytes(fp.tobytes(), "little")):
+                        a.append(ids[t])
+                        b.append(k)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return link
+
+
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, fingerprint (64 hex digits), component_id for every row of df.
 
@@ -240,6 +277,7 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
 
     marked = written(arrow_map(rows, hashed, "doc_id long, fp binary, shards array<int>"))
     distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min_by("shards", "doc_id").alias("shards")))
-    dealt = distinct.where("rep is not null").select("fp", "rep", F.explode("shards").alias("shard")).repartition("shard").sortWithinPartitions("shard", "fp")
-    edges = arrow_map(dealt, _links(wide_radius(similarity), ("shard",), lambda fp: int.from_bytes(fp, "little")), "a long, b long")
+    buckets = shuffle_width(df.sparkSession)
+    packed = arrow_map(distinct.where("rep is not null"), _deal(buckets), "bucket int, shards binary, fps binary, reps binary")
+    edges = arrow_map(packed.repartition(buckets, "bucket").sortWithinPartitions("bucket"), _link_shards(wide_radius(similarity)), "a long, b long")
     return _grouped(marked.select("doc_id", "fp"), distinct, edges).select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
