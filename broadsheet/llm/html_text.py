@@ -40,9 +40,15 @@ DROPPED = frozenset(
 DROPPED_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 #: Words of class names and ids that mark what is no content.
 DROPPED_WORDS = frozenset(
-    "ad ads adsense adslot advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright"
-    " disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promotion related"
-    " recommended replies reply respond share sharebar sharing sidebar signup social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
+    "ad ads adbox adsbygoogle adsense adslot adunit advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist"
+    " consent cookie cookies copyright disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices outbrain overlay pager"
+    " pagination paywall popup promo promotion related recommended replies reply respond share sharebar sharing sidebar signup social sponsor sponsored"
+    " subscribe subscription taboola toolbar topbar widget widgets".split()
+)
+#: Class names and ids by which pages without an article or main element mark their content.
+MAIN_NAMES = frozenset(
+    "content main main-content maincontent article article-body articlebody article-content post post-content post-body entry entry-content story story-body"
+    " story-content page-content".split()
 )
 KEPT_WITH_HEADER = frozenset("article entry post story title content".split())
 #: A start tag ends open elements of these kinds up to the given barriers.
@@ -95,6 +101,17 @@ def no_content(tag: str, rest: str, in_article: bool) -> bool:
     return False
 
 
+def place_of(tag: str, rest: str) -> int:
+    """2 for an article, 1 for what is marked as a page's main content, else 0."""
+    if tag in ("article", "main"):
+        return 2 if tag == "article" else 1
+    if tag not in ("div", "section") or not rest.strip():
+        return 0
+    found = attributes(rest)
+    names = set(f"{found.get('class', '')} {found.get('id', '')}".lower().replace("_", "-").split())
+    return int(found.get("role", "").lower() == "main" or bool(names & MAIN_NAMES))
+
+
 def read_page(source: str) -> Page:
     """One pass over the tags, with the implied ends that HTML allows; never fails, whatever the input."""
     from xxhash import xxh64_intdigest
@@ -186,8 +203,7 @@ def read_page(source: str) -> Page:
         if m["rest"].endswith("/") and tag not in BLOCK and tag not in ("a", "b", "i", "em", "strong", "span"):
             continue
         gone = not dropped and no_content(tag, m["rest"], article > 0)
-        role = "main" if tag != "main" and 'role="main"' in m["rest"] else tag
-        place = 2 if tag == "article" and not gone else 1 if role == "main" and not gone else 0
+        place = 0 if gone else place_of(tag, m["rest"])
         stack.append([tag, len(page.blocks), [], int(gone), place])
         dropped += gone
         article += place == 2

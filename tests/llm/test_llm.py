@@ -379,6 +379,8 @@ PAGE = """<html><head><title>T</title></head><body class="has-sidebar"><header><
 
 def test_html_blocks():
     assert html_text.main_text(html_text.read_page(PAGE)) == "Title & more\nOne two\nthree four five\na\nb\n1\n2\ntail"
+    named = '<body><div class="top">x</div><div id="content"><h2>H</h2><p>words</p><ins class="adsbygoogle">buy</ins></div><div class="side-bar sidebar">y</div>'
+    assert html_text.main_text(html_text.read_page(named)) == "H\nwords"
     for odd in ("", "<", "<p", "<!-- x", "</p></p>", "<div" * 50, "<b>" * 3000 + "x", "a < b & c", "<script>never closed"):
         html_text.read_page(odd)
 
