@@ -337,6 +337,11 @@ def test_word_model_matches_counts(spark, small):
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2) and r["score"] < 0
 
 
+def test_totals_round_trip():
+    for x in ([], [0, 5, 2**32 - 1], [2**40, 1]):
+        assert lm_scores.unpack_totals(lm_scores.pack_totals(np.array(x, np.int64)), len(x)).tolist() == x
+
+
 def plain_ppm(counts, context, symbol):
     """Escape method C with exclusion, from counts of (three symbols, symbol)."""
     p, excluded = 1.0, set()
