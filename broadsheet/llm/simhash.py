@@ -220,8 +220,9 @@ def probes(sums: np.ndarray) -> np.ndarray:
     return np.concatenate(out, axis=1).astype(np.int32)
 
 
-def _deal(buckets: int):
-    """Each text's shards, its fingerprint and its id, packed by the shard's bucket."""
+def _deal(route: int):
+    """Texts with their shards by the shard's first `route` bits after the band's number.  A text's probes of a band
+    share most of those bits, so its fingerprint travels a few times a band and not once for each shard."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,24 +230,32 @@ def _deal(buckets: int):
             owner = np.repeat(np.arange(batch.num_rows), BANDS * PROBES)
             fps = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint8).reshape(-1, 8 * WIDE)
             reps = np.asarray(batch.column("rep"))
-            rows = [(b, shards[own], owner[own]) for b, own in split_by(shards % buckets)]
-            columns = [pa.array([b for b, _, _ in rows], pa.int32()), *(pa.array(x, pa.binary()) for x in ([k.tobytes() for _, k, _ in rows], [fps[o].tobytes() for *_, o in rows], [reps[o].tobytes() for *_, o in rows]))]
-            yield pa.RecordBatch.from_arrays(columns, names=["bucket", "shards", "fps", "reps"])
+            rows = []
+            for bucket, own in split_by(shards >> (BAND - route)):
+                texts, at = np.unique(owner[own], return_inverse=True)
+                rows.append((bucket, shards[own].tobytes(), at.astype(np.int32).tobytes(), fps[texts].tobytes(), reps[texts].tobytes()))
+            kinds = (pa.int32(), *[pa.binary()] * 4)
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)], names=["bucket", "shards", "owners", "fps", "reps"])
 
     return deal
 
 
 def _link_shards(radius: int):
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in by_bucket(batches, ["shards", "fps", "reps"]):
-            shards, reps = (np.concatenate([np.frombuffer(r[j], kind) for r in rows]) for j, kind in ((0, np.int32), (2, np.int64)))
-            fps = np.concatenate([np.frombuffer(r[1], np.uint8) for r in rows]).reshape(-1, 8 * WIDE)
+        for _, rows in by_bucket(batches, ["shards", "owners", "fps", "reps"]):
+            reps = [np.frombuffer(r[3], np.int64) for r in rows]
+            before = np.cumsum([0, *map(len, reps)])
+            shards = np.concatenate([np.frombuffer(r[0], np.int32) for r in rows])
+            owners = np.concatenate([np.frombuffer(r[1], np.int32) + n for r, n in zip(rows, before.tolist(), strict=False)])
+            fps = np.concatenate([np.frombuffer(r[2], np.uint8) for r in rows]).reshape(-1, 8 * WIDE)
+            reps = np.concatenate(reps)
             # By shard, then id: which order a tree grows in doesn't depend on how rows arrived.
-            order = np.lexsort((reps, shards))
+            order = np.lexsort((reps[owners], shards))
             cuts = np.flatnonzero(np.diff(shards[order], prepend=-1, append=-1))
+            many = np.diff(cuts) > 1
             a, b = [], []
-            for first, end in zip(cuts[:-1][np.diff(cuts) > 1].tolist(), cuts[1:][np.diff(cuts) > 1].tolist(), strict=True):
-                tree, own = BKTree(radius), order[first:end]
+            for first, end in zip(cuts[:-1][many].tolist(), cuts[1:][many].tolist(), strict=True):
+                tree, own = BKTree(radius), owners[order[first:end]]
                 ids = reps[own].tolist()
                 for k, fp in zip(ids, fps[own], strict=True):
                     for t in tree.add(int.from_bytes(fp.tobytes(), "little")):
@@ -277,7 +286,8 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
 
     marked = written(arrow_map(rows, hashed, "doc_id long, fp binary, shards array<int>"))
     distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min_by("shards", "doc_id").alias("shards")))
-    buckets = shuffle_width(df.sparkSession)
-    packed = arrow_map(distinct.where("rep is not null"), _deal(buckets), "bucket int, shards binary, fps binary, reps binary")
-    edges = arrow_map(packed.repartition(buckets, "bucket").sortWithinPartitions("bucket"), _link_shards(wide_radius(similarity)), "a long, b long")
+    tasks = shuffle_width(df.sparkSession)
+    route = min(BAND, max(4, tasks.bit_length()))
+    packed = arrow_map(distinct.where("rep is not null"), _deal(route), "bucket int, shards binary, owners binary, fps binary, reps binary")
+    edges = arrow_map(packed.repartition(tasks, "bucket").sortWithinPartitions("bucket"), _link_shards(wide_radius(similarity)), "a long, b long")
     return _grouped(marked.select("doc_id", "fp"), distinct, edges).select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
