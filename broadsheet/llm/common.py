@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import new_table, ship, written
 
-__all__ = ["BLANKS", "BLANK_BYTES", "arrow_map", "by_bucket", "byte_texts", "new_table", "shuffle_width", "single_threaded", "split_by", "table", "written"]
+__all__ = ["BLANKS", "BLANK_BYTES", "arrow_map", "by_bucket", "byte_texts", "new_table", "shuffle_width", "single_threaded", "slices", "split_by", "table", "written"]
 
 #: Characters that separate words: space, \t, \n, \v, \f and \r.  bytes.split() cuts at the same six.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -37,6 +37,13 @@ def byte_texts(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches, so that texts as Python objects and their results are held a few at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def single_threaded() -> None:
     """Worker-side: the cluster's cores are dealt out by Spark, not by a library's own thread pool."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, byte_texts, written
+from .common import arrow_map, byte_texts, slices, written
 from .quality import Discriminant, learn, quality_classes, statistics, statistics_of
 
 DOMAINS = ("clean", "toxic", "low")
@@ -110,7 +110,7 @@ def membership(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, tem
     kind = dict(rows.dtypes)["doc_id"]
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             tokens, stats, bins = [], [], []
             for text in byte_texts(batch.column("text")):
                 words = text.lower().split()
@@ -228,15 +228,13 @@ def drawn(
     steps, _, _ = fit_rates(members, np.array([weights[d] for d in DOMAINS], float))
 
     def repeat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                texts = byte_texts(part.column(text_col))
-                x = np.array([statistics(t) for t in texts])
-                r = rates(model.posteriors(x, [word_bins(t.lower().split()) for t in texts], temperature), steps)
-                whole = np.floor(r)
-                copies = (whole + (np.asarray(part.column(part.num_columns - 1)) < r - whole)).astype(np.int64)
-                rows = pa.RecordBatch.from_arrays(part.columns[:-1], names=part.schema.names[:-1])
-                yield rows.take(pa.array(np.repeat(np.arange(len(r)), copies)))
+        for part in slices(batches):
+            texts = byte_texts(part.column(text_col))
+            x = np.array([statistics(t) for t in texts])
+            r = rates(model.posteriors(x, [word_bins(t.lower().split()) for t in texts], temperature), steps)
+            whole = np.floor(r)
+            copies = (whole + (np.asarray(part.column(part.num_columns - 1)) < r - whole)).astype(np.int64)
+            rows = pa.RecordBatch.from_arrays(part.columns[:-1], names=part.schema.names[:-1])
+            yield rows.take(pa.array(np.repeat(np.arange(len(r)), copies)))
 
     return arrow_map(df.select("*", _draw(F.col(f"`{id_col}`"), seed).alias(f"draw of {id_col}")), repeat, df.schema)

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, single_threaded, written
+from .common import arrow_map, single_threaded, slices, written
 
 #: Lead bytes from here on start characters above U+02FF.
 _HIGH = bytes(range(0xCC, 0x100))
@@ -163,7 +163,7 @@ def pack(df: DataFrame, json_path: str, rank_path: str | None = None, id_col: st
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, ranks = TaskContext.get().partitionId(), {}
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for k, text in enumerate(batch.column("text").to_pylist()):
                 ids = np.array([*encode(text, json_path, rank_path), end_id], "<u4")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, byte_texts, written
+from .common import arrow_map, byte_texts, slices, written
 
 SYMBOLS = b"#*$%&<>@^~\\{}[]="
 NAMES = ("words", "word_length", "symbols", "pipes", "shouts", "upper", "digits", "stops", "unique", "adjacent", "entropy", "lines")
@@ -114,7 +114,7 @@ def measured_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     kind = dict(rows.dtypes)["doc_id"]
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             x = [statistics(t) for t in byte_texts(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "x"])
 
@@ -170,7 +170,7 @@ def keep_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     model = learn(measured.where(~held_out(F.col("doc_id"), folds)), quality_classes(labels, id_col, label_col), 2)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             x = np.array([statistics(t) for t in byte_texts(batch.column(text_col))]).reshape(-1, len(NAMES))
             yield batch.filter(pa.array(model.scores(x) >= threshold))
 

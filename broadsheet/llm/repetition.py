@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK_BYTES, arrow_map, byte_texts
+from .common import BLANK_BYTES, arrow_map, byte_texts, slices
 
 #: Characters counted as symbols (fixed by the query's contract).
 SYMBOLS = b"#*$%&|<>"
@@ -126,7 +126,7 @@ def repetition_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in COLUMNS.split(", ")]
         kinds = [{"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}[c.split()[1]] for c in COLUMNS.split(", ")]
-        for batch in batches:
+        for batch in slices(batches):
             found = list(zip(*(measure(t, rules) for t in byte_texts(batch.column("text"))), strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(v, k) for v, k in zip(found, kinds, strict=True))], names=["doc_id", *names])
 

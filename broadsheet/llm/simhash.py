@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, by_bucket, byte_texts, shuffle_width, split_by, written
+from .common import arrow_map, by_bucket, byte_texts, shuffle_width, slices, split_by, written
 from .components import components
 
 SEED = 42
@@ -160,7 +160,7 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = fingerprints(byte_texts(batch.column("text")), width)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
@@ -276,13 +276,11 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                sums = wide_sums(byte_texts(part.column("text")), width)
-                fps = np.packbits(sums > 0, axis=1, bitorder="little")
-                columns = [part.column("doc_id"), pa.array([x.tobytes() for x in fps], pa.binary()), pa.array(list(probes(sums)), pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "shards"])
+        for part in slices(batches):
+            sums = wide_sums(byte_texts(part.column("text")), width)
+            fps = np.packbits(sums > 0, axis=1, bitorder="little")
+            columns = [part.column("doc_id"), pa.array([x.tobytes() for x in fps], pa.binary()), pa.array(list(probes(sums)), pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "shards"])
 
     marked = written(arrow_map(rows, hashed, "doc_id long, fp binary, shards array<int>"))
     distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min_by("shards", "doc_id").alias("shards")))

@@ -11,7 +11,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, single_threaded
+from .common import arrow_map, single_threaded, slices
 
 #: One call of the library gets about so many bytes: long and short texts then take alike long a call,
 #: and what a call holds in memory doesn't depend on how many long texts stand together.
@@ -85,7 +85,7 @@ def token_counts(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
     rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("text")
             n_bytes = pa.compute.binary_length(texts).cast(pa.int64())
             n_tokens = pa.array(lengths(texts.to_pylist(), tokenizer_path), pa.int64())
