@@ -9,10 +9,11 @@ links, never all its pairs, and a query skips subtrees that already belong to it
 large group of near copies costs a few visits a member.
 
 `simhash_groups` links 64-bit fingerprints within a radius, all of them.  `near_groups` is for a stated
-similarity of texts: sums over 256 bits, a radius that stands for the similarity, and shards found by
-probing, for at such radii no two fingerprints need share a block.  Bits whose sums lie near zero are those
-that differ between near copies; a text stands in the shards of each 24-bit band that its likeliest flips
-of such bits lead to.
+similarity of texts: fingerprints of 256 bits only propose, with a radius well beyond what the similarity
+brings about, and what they propose is decided by the texts' shingles.  Shards are found by probing, for at
+such radii no two fingerprints need share a block.  Bits whose sums lie near zero are those that differ
+between near copies; a text stands in the shards of each 24-bit band that its likeliest flips of such bits
+lead to.  Groups of proposed links are then compared in full, text by text, in tiles.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -176,19 +178,28 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 #: 64-bit words of a wide fingerprint, bits of a band, bands and probes of each that are looked up, and how many of a
 #: band's least certain bits may be flipped, at most how many at once.
-WIDE, BAND, BANDS, PROBES, WEAK, FLIPS = 4, 24, 4, 16, 8, 4
+WIDE, BAND, BANDS, PROBES, WEAK, FLIPS = 4, 24, 10, 16, 8, 4
+#: Sets of so many shingles or fewer, whose bits tell little, also find each other without fail by their smallest hashes.
+FEW = 8
+#: Texts of a proposed group that are compared with each other or with as many others in one go.
+TILE = 256
 
 
 def wide_radius(similarity: float) -> int:
-    """Differing bits that texts of this Jaccard similarity have on average, and two more."""
-    return math.ceil(64 * WIDE * math.acos(2 * similarity / (1 + similarity)) / math.pi) + 2
+    """Differing bits that texts of this Jaccard similarity have on average, and 4.5 standard deviations more."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.ceil(64 * WIDE * share + 4.5 * math.sqrt(64 * WIDE * share * (1 - share)))
 
 
-def wide_sums(texts: list[bytes], width: int) -> np.ndarray:
-    """For each text and bit: hashes with the bit less those without it."""
-    out = np.zeros((len(texts), 64 * WIDE), np.int64)
-    for k, text in enumerate(texts):
-        hashes = np.array(shingle_hashes(text, width), np.uint64)
+def shingle_set(text: bytes, width: int) -> np.ndarray:
+    """Its different shingle hashes in order."""
+    return np.unique(np.array(shingle_hashes(text, width), np.uint64))
+
+
+def wide_sums(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set of hashes and bit: hashes with the bit less those without it."""
+    out = np.zeros((len(sets), 64 * WIDE), np.int64)
+    for k, hashes in enumerate(sets):
         for at in range(0, len(hashes), 1 << 12):
             part = hashes[at : at + (1 << 12)]
             bits = []
@@ -220,6 +231,67 @@ def probes(sums: np.ndarray) -> np.ndarray:
     return np.concatenate(out, axis=1).astype(np.int32)
 
 
+def smallest(hashes: np.ndarray, similarity: float) -> np.ndarray:
+    """Shards that a small set stands in besides: two sets of at least the similarity share one of the smallest
+    hashes, as many as may be missing from the other, and one."""
+    n = len(hashes)
+    if not 0 < similarity * n <= FEW + 1e-9:
+        return np.zeros(0, np.int32)
+    most = n - math.ceil(similarity * n - 1e-9) + 1
+    return np.unique(hashes[:most] & np.uint64((1 << BAND) - 1)).astype(np.int32) | np.int32(BANDS << BAND)
+
+
+def alike(sets: list[np.ndarray], similarity: float, cut: int = 0) -> list[tuple[int, int]]:
+    """Links (a forest of them) between sets of a Jaccard similarity of at least `similarity`; of all pairs, or if
+    cut is given of those on either side of it.  Sets are not empty."""
+    numbers = np.unique(np.concatenate(sets), return_inverse=True)[1].reshape(-1)
+    sizes = np.array([len(x) for x in sets])
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    own = np.zeros(numbers.max() + 1, np.uint8)
+    label = np.arange(len(sets))
+    found = []
+    for k in range(max(cut, 1), len(sets)):
+        before = cut or k
+        if (label[:before] == label[k]).all():
+            continue
+        own[:] = 0
+        own[numbers[starts[k] : ends[k]]] = 1
+        shared = np.add.reduceat(own[numbers[: ends[before - 1]]], starts[:before], dtype=np.int64)
+        for t in np.flatnonzero(shared >= similarity * (sizes[:before] + sizes[k] - shared) - 1e-9).tolist():
+            if label[t] != label[k]:
+                label[label == label[t]] = label[k]
+                found.append((t, k))
+    return found
+
+
+def _verify(similarity: float):
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by tile (bucket, one, other)."""
+        for (_, one, other), rows in by_tile(batches):
+            rows.sort(key=lambda r: (r[1] != one, r[0]))
+            cut = sum(r[1] == one for r in rows) if one != other else 0
+            if len(rows) < 2 or (one != other and cut in (0, len(rows))):
+                continue
+            links = alike([np.frombuffer(r[2], np.uint64) for r in rows], similarity, cut)
+            yield pa.RecordBatch.from_arrays([pa.array([rows[k][0] for k in side], pa.int64()) for side in (list(zip(*links, strict=True)) or [(), ()])], names=["a", "b"])
+
+    return verify
+
+
+def by_tile(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple]]]:
+    at, held = None, []
+    for batch in batches:
+        for *tile, rep, chunk, hashes in zip(*(batch.column(c).to_pylist() for c in ("group", "one", "other", "rep", "chunk", "hashes")), strict=True):
+            if tile != at and held:
+                yield tuple(at), held
+                held = []
+            at = tile
+            held.append((rep, chunk, hashes))
+    if held:
+        yield tuple(at), held
+
+
 def _deal(route: int):
     """Texts with their shards by the shard's first `route` bits after the band's number.  A text's probes of a band
     share most of those bits, so its fingerprint travels a few times a band and not once for each shard."""
@@ -227,7 +299,7 @@ def _deal(route: int):
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             shards = np.asarray(batch.column("shards").flatten(), np.int32)
-            owner = np.repeat(np.arange(batch.num_rows), BANDS * PROBES)
+            owner = np.repeat(np.arange(batch.num_rows), np.asarray(pc.list_value_length(batch.column("shards"))))
             fps = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint8).reshape(-1, 8 * WIDE)
             reps = np.asarray(batch.column("rep"))
             rows = []
@@ -269,23 +341,64 @@ def _link_shards(radius: int):
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, fingerprint (64 hex digits), component_id for every row of df.
 
-    Links texts whose shingles of `width` lower-cased words have about the stated Jaccard similarity or more, as
-    their wide fingerprints tell it; component_id is the smallest id reachable.  Odd rows have the results that
-    simhash_groups gives them.
+    Links texts whose sets of shingles of `width` lower-cased words have the stated Jaccard similarity or more;
+    component_id is the smallest id reachable.  Every link is checked on the whole sets.  Links are looked for
+    where the wide fingerprints propose one, and within all of a group so proposed.  Odd rows have the results
+    that simhash_groups gives them.
     """
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            sums = wide_sums(byte_texts(part.column("text")), width)
+            sets = [shingle_set(t, width) for t in byte_texts(part.column("text"))]
+            sums = wide_sums(sets)
             fps = np.packbits(sums > 0, axis=1, bitorder="little")
-            columns = [part.column("doc_id"), pa.array([x.tobytes() for x in fps], pa.binary()), pa.array(list(probes(sums)), pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "shards"])
+            shards = [np.concatenate((own, smallest(x, similarity))) for own, x in zip(probes(sums), sets, strict=True)]
+            columns = [part.column("doc_id"), pa.array([_digest(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in fps], pa.binary()), pa.array(shards, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "fp", "shards"])
 
-    marked = written(arrow_map(rows, hashed, "doc_id long, fp binary, shards array<int>"))
-    distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min_by("shards", "doc_id").alias("shards")))
+    marked = written(arrow_map(rows, hashed, "doc_id long, key binary, fp binary, shards array<int>"))
+    distinct = written(marked.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("fp", "shards"), "doc_id").alias("x")).select("key", "rep", "x.fp", "x.shards"))
     tasks = shuffle_width(df.sparkSession)
     route = min(BAND, max(4, tasks.bit_length()))
     packed = arrow_map(distinct.where("rep is not null"), _deal(route), "bucket int, shards binary, owners binary, fps binary, reps binary")
-    edges = arrow_map(packed.repartition(tasks, "bucket").sortWithinPartitions("bucket"), _link_shards(wide_radius(similarity)), "a long, b long")
-    return _grouped(marked.select("doc_id", "fp"), distinct, edges).select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+    proposed = arrow_map(packed.repartition(tasks, "bucket").sortWithinPartitions("bucket"), _link_shards(wide_radius(similarity)), "a long, b long")
+    edges = _checked(rows, distinct, components(proposed), width, similarity)
+    found = components(edges)
+    labels = distinct.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id"))
+    return marked.select("doc_id", "key", "fp").join(labels, "key").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
+#: Up to so many texts that stand in proposed groups are looked up by a broadcast of their ids; beyond it texts are
+#: shuffled by id instead, with the same result.
+BROADCAST_IDS = 500_000
+
+
+def _digest(hashes: np.ndarray) -> bytes:
+    from xxhash import xxh3_128_digest
+
+    return xxh3_128_digest(hashes.tobytes(), SEED)
+
+
+def _checked(rows: DataFrame, distinct: DataFrame, groups: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Links (a, b) of at least the similarity between the texts of each group (node, component): all that are needed
+    to connect them.  A group of many texts is cut into chunks, and each pair of chunks is a tile of its own."""
+    groups = written(groups.withColumnRenamed("node", "rep").withColumnRenamed("component", "group"))
+    chunks = groups.groupBy("group").agg(F.ceil(F.count("*") / TILE).cast("int").alias("chunks"))
+    wanted = written(groups.join(chunks, "group").join(distinct.select("rep", "key"), "rep").select(F.col("rep").alias("doc_id"), "key", "group", "chunks"))
+    few = wanted.count() <= BROADCAST_IDS
+    texts = rows.join(F.broadcast(wanted) if few else wanted, "doc_id")
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            sets = [shingle_set(t, width) for t in byte_texts(part.column("text"))]
+            # An id may stand for several texts.
+            own = pa.array([len(x) > 0 and _digest(x) == key for x, key in zip(sets, part.column("key").to_pylist(), strict=True)], pa.bool_())
+            columns = [*(part.column(c) for c in ("group", "chunks", "doc_id")), pa.array([x.tobytes() for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["group", "chunks", "rep", "hashes"]).filter(own)
+
+    sets = arrow_map(texts, sets_of, "group long, chunks int, rep long, hashes binary").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+    others = sets.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    tiles = others.select("group", F.least("chunk", "with").alias("one"), F.greatest("chunk", "with").alias("other"), "rep", "chunk", "hashes")
+    dealt = tiles.repartition("group", "one", "other").sortWithinPartitions("group", "one", "other")
+    return arrow_map(dealt, _verify(similarity), "a long, b long")

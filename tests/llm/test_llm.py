@@ -163,6 +163,49 @@ def test_near_groups_catch_near_copies(spark):
     assert all(got[i] == i for i, _ in near)
 
 
+def test_near_groups_hold_to_the_exact_similarity(spark):
+    """Pairs a little over 0.8 are linked and pairs a little under it are not; a line said many times counts once."""
+    r = np.random.default_rng(21)
+    word = lambda: bytes(r.integers(97, 123, int(r.integers(4, 9)), dtype=np.uint8)).decode()
+    texts, similar = {}, {}
+    for k in range(300):
+        words = [word() for _ in range(int(r.integers(9, 14) if k % 5 == 0 else r.integers(40, 500)))]
+        # Words changed at the end, so that the similarity is (n - d) / (n + d) of n shingles.
+        n, want = len(words) - 4, r.uniform(0.8, 0.85) if k % 2 else r.uniform(0.74, 0.8)
+        d = max(1, round(n * (1 - want) / (1 + want)))
+        changed = words[: len(words) - d] + [word() for _ in range(d)]
+        texts[10 * k], texts[10 * k + 1] = " ".join(words), " ".join(changed)
+        a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (words, changed))
+        similar[10 * k] = len(a & b) / len(a | b)
+    line = " ".join(word() for _ in range(6))
+    for k in (5000, 5001):
+        texts[k] = " ".join([line] * 300 + [word() for _ in range(30)])
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(docs(spark, sorted(texts.items()))).collect()}
+    over = [i for i, j in similar.items() if j >= 0.8]
+    assert min(len(over), 300 - len(over)) > 100
+    assert np.mean([got[i + 1] == i for i in over]) >= 0.99
+    assert all(got[i + 1] == i + 1 for i in similar if i not in over) and got[5001] == 5001
+
+
+def test_alike_is_exact_in_tiles():
+    r = np.random.default_rng(5)
+    base = r.integers(0, 1 << 62, 60).astype(np.uint64)
+    sets = [np.unique(np.concatenate((base[r.random(60) < 0.93], r.integers(0, 1 << 62, int(r.integers(1, 6))).astype(np.uint64)))) for _ in range(60)]
+    near = lambda a, b: len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b))
+
+    def groups(links):
+        label = list(range(len(sets)))
+        for a, b in links:
+            label = [label[a] if x == label[b] else x for x in label]
+        return label
+
+    for cut in (0, 25):
+        want = [(a, b) for b in range(len(sets)) for a in range(b) if (not cut or a < cut <= b) and near(sets[a], sets[b])]
+        same = lambda x: [[u == v for v in x] for u in x]
+        got = simhash.alike(sets, 0.8, cut)
+        assert set(got) <= set(want) and same(groups(got)) == same(groups(want))
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 102), (102, 101), (7, 7), (200, 300)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
