@@ -2,16 +2,17 @@
 
 A classifier learnt from the labelled table gives each document a posterior over the domains clean, toxic
 and low (quality): none belongs wholly to one.  Document rates r >= 0 (how often a document is expected in the mixture) are fitted so that
-the expected tokens of each domain, sum of r * tokens * posterior, meet the targets: projected gradient on
-the least squares of the domains' misses, from r = 1.  The misses are weighted by the inverse of the
-domains' token moments, which makes a step of length one safe and a fit without clipping exact at once.
+the expected tokens of each domain, sum of r * tokens * posterior, meet the targets and the rates change as
+little from 1 as that allows.  Such rates are r = max(0, 1 - posterior . dual) for k dual numbers, found by
+Newton's method on a convex function of them: as exact as wanted after a few passes, clipped rates or not.
 
-A step is the same few numbers for every document, so no rate is stored: each pass works a document's rate
-out from the steps so far, and returns one row of sums.  The driver holds k numbers a step.
+The dual is the same few numbers for every document, so no rate is stored: each pass works a document's rate
+out from it for several step lengths at once, and returns one row of sums for each.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import arrow_map, byte_texts, slices, written
 from .quality import Discriminant, learn, quality_classes, statistics, statistics_of
 
+log = logging.getLogger(__name__)
+
 DOMAINS = ("clean", "toxic", "low")
 #: Words are told apart by so many bits of their CRC32.
 BINS = 1 << 14
@@ -131,50 +134,66 @@ def membership(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, tem
     return written(arrow_map(measured, judge, f"doc_id {kind}, tokens long, q array<double>")), model
 
 
-def fit_rates(members: DataFrame, weights: np.ndarray, most_steps: int = 60, tolerance: float = 1e-4, least_gain: float = 0.01) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """(steps, expected domain tokens after them, targets).  The targets share out the members' own token total.
+#: What a miss costs against changed rates: small, so that only targets out of reach are missed.
+SLACK = 1e-7
+#: Lengths of Newton steps that a pass tries.
+LENGTHS = 0.25 ** np.arange(12)
+
 
-    Ends within `tolerance` of the total, or where a step takes less than `least_gain` of the miss away: the
-    targets are then out of reach, or as good as.
+def fit_rates(members: DataFrame, weights: np.ndarray, tolerance: float = 1e-6) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """(steps for rates(), expected domain tokens after them, targets).  The targets share out the members' own token total.
+
+    Goes on until the dual function's slope is within `tolerance` of the total or no step gets lower, however many
+    passes that takes.  Targets out of reach end in the least squares of the misses, and a warning with the shares met.
     """
     k = len(weights)
-    steps: list[np.ndarray] = []
-    upper = [(i, j) for i in range(k) for j in range(i, k)]
+    upper = np.triu_indices(k)
+
+    def sums_of(duals: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """For each row of duals: tokens of r squared, domain tokens, moments of documents with a rate; and all tokens."""
+        n = len(duals) * (1 + k + len(upper[0])) + 1
 
-    def sums_of(steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, float]:
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(1 + k + len(upper))
+            total = np.zeros(n)
             for batch in batches:
                 q = np.asarray(batch.column("q").flatten()).reshape(-1, k)
                 tokens = np.asarray(batch.column("tokens")).astype(float)
-                held = rates(q, steps) * tokens
-                total[0] += tokens.sum()
-                total[1 : k + 1] += held @ q
-                total[k + 1 :] += [(tokens * q[:, i] * q[:, j]).sum() for i, j in upper]
-            yield pa.RecordBatch.from_arrays([pa.array([v]) for v in total], names=[f"v{i}" for i in range(len(total))])
-
-        n = 1 + k + len(upper)
-        row = arrow_map(members, add, ", ".join(f"v{i} double" for i in range(n))).agg(*(F.sum(f"v{i}").alias(f"v{i}") for i in range(n))).first()
-        v = np.array([row[i] or 0.0 for i in range(n)])
-        moments = np.zeros((k, k))
-        for (i, j), x in zip(upper, v[k + 1 :], strict=True):
-            moments[i, j] = moments[j, i] = x
-        return v[1 : k + 1], moments, v[0]
-
-    got, moments, total = sums_of(steps)
+                r = np.maximum(0.0, 1 - q @ duals.T)
+                held = r * tokens[:, None]
+                moments = ((r > 0) * tokens[:, None]).T @ (q[:, upper[0]] * q[:, upper[1]])
+                total += np.concatenate((np.concatenate(((held * r).sum(0)[:, None], held.T @ q, moments), 1).ravel(), [tokens.sum()]))
+            yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], names=["v"])
+
+        # One row a task.  They are added up in order of value, so that a run's order of tasks changes nothing.
+        found = [row["v"] for row in arrow_map(members, add, "v array<double>").collect()]
+        v = np.sum(sorted(found), axis=0) if found else np.zeros(n)
+        own = v[:-1].reshape(len(duals), -1)
+        moments = np.zeros((len(duals), k, k))
+        moments[:, upper[0], upper[1]] = moments[:, upper[1], upper[0]] = own[:, 1 + k :]
+        return own[:, 0], own[:, 1 : 1 + k], moments, float(v[-1])
+
+    dual = np.zeros(k)
+    squares, (got,), (moments,), total = sums_of(dual[None])
     targets = weights / weights.sum() * total
     if not total:
-        return steps, got, targets
-    weighting = np.linalg.inv(moments + 1e-9 * np.trace(moments) * np.eye(k))
-    miss = np.inf
-    while np.abs(got - targets).max() > tolerance * total and len(steps) < most_steps:
-        left = float((got - targets) @ weighting @ (got - targets))
-        if left > miss * (1 - least_gain):
-            break
-        miss = left
-        steps.append(weighting @ (got - targets))
-        got = sums_of(steps)[0]
-    return steps, got, targets
+        return [], got, targets
+    slack = SLACK * np.trace(moments)
+    height, slope = squares[0] / 2, targets - got
+    while np.abs(slope).max() > tolerance * total:
+        tried = dual - LENGTHS[:, None] * np.linalg.solve(moments + slack * np.eye(k), slope)
+        squares, all_got, all_moments, _ = sums_of(tried)
+        heights = squares / 2 + tried @ targets + slack / 2 * (tried**2).sum(1)
+        slopes = targets - all_got + slack * tried
+        best = int(np.argmin(heights))
+        if not heights[best] < height:
+            # Too near the end for heights to differ: go by the slope.
+            best = int(np.argmin(np.abs(slopes).max(1)))
+            if not np.abs(slopes[best]).max() < 0.5 * np.abs(slope).max():
+                break
+        dual, got, moments, height, slope = tried[best], all_got[best], all_moments[best], heights[best], slopes[best]
+    if np.abs(got - targets).max() > 1e-4 * total:
+        log.warning("mixing targets are out of reach: shares %s of %s wanted", (got / total).round(5).tolist(), (targets / total).round(5).tolist())
+    return [dual], got, targets
 
 
 def mix(
@@ -191,7 +210,7 @@ def mix(
     copies is rate rounded up or down by a draw that depends on the id and seed alone, so its expectation is
     the rate.  Null texts count as empty: no tokens, and the rate its posterior gives.  Null labels teach nothing.
     Without labelled rows all posteriors are equal.  Targets that no rates can meet are met as
-    nearly as least squares can.  Repeated rows each count; an empty table gives an empty result; other
+    nearly as least squares can, and a warning names the shares met.  Repeated rows each count; an empty table gives an empty result; other
     columns are ignored.
     """
     members, _ = membership(df, labels, id_col, text_col, temperature)

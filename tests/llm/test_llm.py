@@ -356,6 +356,21 @@ def test_mixing_meets_targets(spark):
     assert Counter(r["doc_id"] for r in rows.collect()) == Counter({i: c for i, c in zip(got.doc_id.tolist(), got.copies.tolist(), strict=True) if c})
 
 
+def test_rates_meet_targets_near_the_edge(spark, caplog):
+    """Most rates of low documents are clipped at zero before these targets are met; others can't be met at all."""
+    r = np.random.default_rng(11)
+    low = np.where(r.random(3000) < 0.2, r.uniform(0.5, 1, 3000), r.uniform(0.001, 0.03, 3000))
+    toxic = (1 - low) * np.where(r.random(3000) < 0.1, r.uniform(0.3, 1, 3000), r.uniform(0.0, 0.05, 3000))
+    q = np.stack((1 - low - toxic, toxic, low), 1)
+    members = spark.createDataFrame([(i, int(r.integers(20, 900)), p) for i, p in enumerate(q.tolist())], "doc_id long, tokens long, q array<double>")
+    steps, got, targets = mixing.fit_rates(members, np.array([0.945, 0.05, 0.005]))
+    tokens = np.array([row["tokens"] for row in members.orderBy("doc_id").collect()])
+    assert np.abs(got - targets).max() < 1e-4 * targets.sum() and not caplog.records
+    assert np.allclose((mixing.rates(q, steps) * tokens) @ q, got)
+    _, got, targets = mixing.fit_rates(members, np.array([0.5, 0.4999, 0.0001]))
+    assert "out of reach" in caplog.text and abs(got.sum() / targets.sum() - 1) < 0.01
+
+
 def test_word_bins_round_trip():
     r = np.random.default_rng(2)
     for n in (0, 1, 5, 800):
