@@ -28,8 +28,8 @@ from .quality import Discriminant, learn, quality_classes, statistics, statistic
 log = logging.getLogger(__name__)
 
 DOMAINS = ("clean", "toxic", "low")
-#: Words are told apart by so many bits of their CRC32.
-BINS = 1 << 14
+#: Words are told apart by all bits of their CRC32.
+BINS = 1 << 32
 
 
 @dataclass(frozen=True)
@@ -38,15 +38,17 @@ class Membership:
 
     quality: Discriminant
     prior: float
-    #: The log odds that a document without any of the telling words brings, and what each word's bin adds.
+    #: The log odds that a document without any of the telling words brings, the telling words' bins in order, and
+    #: what each adds.
     absent: float
+    telling: np.ndarray
     odds: np.ndarray
 
     def posteriors(self, x: np.ndarray, bins: list[bytes], temperature: float) -> np.ndarray:
         """Of DOMAINS; a temperature over 1 softens what a document's own text says."""
         logs = self.quality.densities(x)
         good = _logistic((logs[:, 1] - logs[:, 0]) / temperature)
-        toxic = _logistic(self.prior + (self.absent + np.array([self.odds[bins_of(b)].sum() for b in bins])) / temperature)
+        toxic = _logistic(self.prior + (self.absent + np.array([self.odds[np.isin(self.telling, bins_of(b), assume_unique=True)].sum() for b in bins])) / temperature)
         return np.stack((good * (1 - toxic), good * toxic, 1 - good), 1)
 
 
@@ -55,28 +57,28 @@ def _logistic(x: np.ndarray) -> np.ndarray:
 
 
 def word_odds(with_toxic: np.ndarray, with_other: np.ndarray, toxic: int, other: int, least: float = 5.0) -> tuple[float, float, np.ndarray]:
-    """The log prior odds; what it says that no telling bin is there; each bin's log odds ratio where it is `least`
-    standard errors from none, else 0."""
+    """The log prior odds; what it says that no telling bin is there; each bin's log odds ratio where the
+    likelihood ratio says that it is as sure as `least` standard errors, else 0.  (Standard errors themselves are wide
+    for the surest words, those that one side never has.)"""
     a, b = with_toxic + 0.5, toxic - with_toxic + 0.5
     c, d = with_other + 0.5, other - with_other + 0.5
     ratio = np.log(a / b) - np.log(c / d)
-    sure = np.abs(ratio) > least * np.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
+    both, all_rows = with_toxic + with_other, max(toxic + other, 1)
+    gain = 0.0
+    for seen, expected in ((with_toxic, both * toxic), (toxic - with_toxic, (all_rows - both) * toxic), (with_other, both * other), (other - with_other, (all_rows - both) * other)):
+        gain = gain + 2 * seen * np.log(np.maximum(seen, 1) * all_rows / np.maximum(expected, 1))
+    sure = gain > least**2
     absent = (np.log(b / (a + b)) - np.log(d / (c + d)))[sure].sum()
     return float(np.log((toxic + 0.5) / (other + 0.5))), float(absent), np.where(sure, ratio, 0.0)
 
 
 def word_bins(words: list[bytes]) -> bytes:
-    """The sorted bins of the distinct words as byte-wide gaps: 255 says that the gap goes on."""
-    bins = np.unique(np.fromiter(map(crc32, set(words)), np.uint32) & np.uint32(BINS - 1)).astype(np.int64)
-    gaps = np.diff(bins, prepend=0)
-    out = np.full(len(gaps) + int((gaps // 255).sum()), 255, np.uint8)
-    out[np.cumsum(gaps // 255 + 1) - 1] = gaps % 255
-    return out.tobytes()
+    """The sorted bins of the distinct words, 32 bits each."""
+    return np.unique(np.fromiter(map(crc32, set(words)), np.uint32)).astype("<u4").tobytes()
 
 
 def bins_of(packed: bytes) -> np.ndarray:
-    gaps = np.frombuffer(packed, np.uint8)
-    return np.cumsum(gaps, dtype=np.int64)[gaps != 255]
+    return np.frombuffer(packed, "<u4")
 
 
 def rates(posteriors: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
@@ -87,24 +89,38 @@ def rates(posteriors: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
     return r
 
 
-def learn_words(measured: DataFrame, labels: DataFrame, id_col: str) -> tuple[float, float, np.ndarray]:
-    """From all labelled rows, those with equal words and label once; at most BINS + 1 rows reach the driver."""
+def learn_words(measured: DataFrame, labels: DataFrame, id_col: str) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """From all labelled rows, those with equal words and label once; only the telling words reach the driver."""
     marked = labels.select(F.col(f"`{id_col}`").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)")
+    names = ("bin", "other", "toxic")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros((2, BINS + 1), np.int64)
         for batch in batches:
-            for bins, toxic in zip(batch.column("bins").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                n[toxic, bins_of(bins)] += 1
-                n[toxic, BINS] += 1
-        own = np.flatnonzero(n.any(0))
-        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(n[0, own]), pa.array(n[1, own])], names=["bin", "other", "toxic"])
-
-    counted = arrow_map(measured.select("doc_id", "bins").join(marked, "doc_id").select("bins", "toxic").distinct(), count, "bin long, other long, toxic long")
-    n = np.zeros((2, BINS + 1))
-    for row in counted.groupBy("bin").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic")).collect():
-        n[:, row["bin"]] = row["other"], row["toxic"]
-    return word_odds(n[1, :BINS], n[0, :BINS], n[1, BINS], n[0, BINS])
+            toxic = np.asarray(batch.column("toxic"))
+            rows = [bins_of(b) for b in batch.column("bins").to_pylist()]
+            own, at = np.unique(np.concatenate([*rows, np.zeros(0, np.uint32)]), return_inverse=True)
+            of = np.repeat(toxic, [len(x) for x in rows])
+            n = [np.bincount(at.reshape(-1)[of == k], minlength=len(own)) for k in (0, 1)]
+            # Bin -1: the rows.
+            columns = [np.append(own.astype(np.int64), -1), *(np.append(n[k], (toxic == k).sum()) for k in (0, 1))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+
+    # Joined the same way at every size: labels grow with the documents.
+    lessons = measured.select("doc_id", "bins").join(marked.hint("merge"), "doc_id").select("bins", "toxic").distinct()
+    counted = arrow_map(lessons, count, "bin long, other long, toxic long")
+    counted = written(counted.groupBy("bin").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic")))
+    rows = counted.where("bin = -1").first()
+    other, toxic = (rows["other"], rows["toxic"]) if rows else (0, 0)
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            odds = word_odds(np.asarray(batch.column("toxic")), np.asarray(batch.column("other")), toxic, other)[2]
+            yield batch.filter(pa.array(odds != 0))
+
+    found = sorted(tuple(r) for r in arrow_map(counted.where("bin >= 0").select(*names), tell, "bin long, other long, toxic long").collect())
+    bins, with_other, with_toxic = np.array(found, np.int64).reshape(-1, 3).T
+    prior, absent, odds = word_odds(with_toxic, with_other, toxic, other)
+    return prior, absent, bins.astype(np.uint32), odds
 
 
 def membership(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, temperature: float) -> tuple[DataFrame, Membership]:

@@ -371,6 +371,21 @@ def test_rates_meet_targets_near_the_edge(spark, caplog):
     assert "out of reach" in caplog.text and abs(got.sum() / targets.sum() - 1) < 0.01
 
 
+def test_a_toxic_word_is_not_diluted_by_others(spark):
+    """Of two words with the same 14 low bits, one tells of toxic texts and the other of clean ones."""
+    seen, pair = {}, None
+    for n in range(100000):
+        w = f"w{n}"
+        other = seen.setdefault(zlib.crc32(w.encode()) & (1 << 14) - 1, w)
+        if other != w:
+            pair = other, w
+            break
+    rows = [(i, f"some text number n{i} with {pair[i % 2]} in it") for i in range(400)]
+    got = mixing.mix(docs(spark, rows), labels(spark, [(i, 1 if i % 3 else 0, i % 2) for i in range(300)]), {"clean": 0.6, "toxic": 0.2, "low": 0.2}).toPandas()
+    share = got.p_toxic / (got.p_toxic + got.p_clean)
+    assert share[got.doc_id % 2 == 1].min() > 0.8 and share[got.doc_id % 2 == 0].max() < 0.2
+
+
 def test_word_bins_round_trip():
     r = np.random.default_rng(2)
     for n in (0, 1, 5, 800):
