@@ -230,10 +230,11 @@ def host_of(url: str | None) -> str:
         return ""
 
 
-def extract_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = 10, min_share: float = 0.5) -> DataFrame:
+def extract_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = 10, min_share: float = 0.02) -> DataFrame:
     """page_id, url, text, n_chars for every row of df.
 
-    A null or empty page has an empty text.  A null or odd url belongs to the host ''.  Rows that repeat a
+    A subtree on at least `min_pages` different pages of a host, and on `min_share` of them, is its template: sections,
+    languages and layouts of a host each have their own.  A null or empty page has an empty text.  A null or odd url belongs to the host ''.  Rows that repeat a
     page_id and a host share what is deleted from them.  An empty table gives an empty result; other columns
     are ignored.  Hosts of any size are counted by partial sums; no host's pages are gathered.
     """

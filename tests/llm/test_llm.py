@@ -470,6 +470,14 @@ def test_site_templates(spark):
     assert got[3] == "text 3 of it" and got[21] == "welcome to the site\ntext 21 of it" and got[95] == "copied page"
 
 
+def test_templates_of_several_layouts(spark):
+    """Three layouts of a host, each on a third of its pages, and a promotion on a tenth of them."""
+    promo = lambda i: "<div><p>buy now</p></div>" if i % 10 == 0 else ""
+    rows = [(i, f"https://a.example/{i}", f"<body><div><p>layout {i % 3}</p></div>{promo(i)}<div><p>text {i} of it</p></div></body>") for i in range(150)]
+    got = html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in got} == {i: f"text {i} of it" for i in range(150)}
+
+
 def test_pages_of_the_small_table(spark):
     assert QUERIES["op8_html_extraction"](spark, SMALL).where("n_chars = 0 or n_chars <> length(text)").count() == 0
 
