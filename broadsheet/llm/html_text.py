@@ -1,77 +1,86 @@
 """Main text of web pages, with templates found per site.
 
-A page is read once into blocks of text and the element subtrees over them.  What a page itself marks as no
-content (menus, forms, notices and the like) is left out at once.  Then subtrees are hashed and counted per
-host in Spark: one that recurs on at least half of a host's different pages, and on ten or more, is the
-site's template and is deleted from each.  Pages with equal blocks count once, so copies of one article
-don't make its paragraphs a template.  Of what is left, the article is taken where a page marks one, else
-its main element, else everything.
+A page is read once, in one pass whose work is linear in its length, into blocks of text and the element
+subtrees over them: menus, footers and all.  Subtrees are hashed and counted per host in Spark.  One that
+recurs on `min_pages` different pages of a host is its template and is deleted from each of them; inside what
+a page itself marks as its article, where authors repeat themselves too, it must recur on `inside_share` of
+the host's pages.  Pages with equal content count once, so copies of one article don't make its paragraphs
+a template.
+
+Templates that recur too seldom to be told by counting (a host with few pages, a rare menu) leave blocks that
+their own markup says are no content: nav, footer, form and the like, ARIA roles, hidden elements, and class
+names that are as a whole one of NO_CONTENT.  These go in a second step.  Of what is left, the article is
+taken where a page marks one, else its main element, else everything.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, written
+from .common import arrow_map, slices, written
 
-TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:"[^"]*+"|'[^']*+'|[^'">])*+)>""", re.S
-)
-ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
+#: What ends a stretch of a tag: its end, or a quote.
+STOP = re.compile("[>\"']")
+NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'=<>`]++)))?+""")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Their content is text up to their own end tag.
+#: Their content is text up to their own end tag, and never of the page.
 RAW = frozenset("script style title textarea xmp iframe noembed noframes".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form"
     " h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-DROPPED = frozenset(
-    "aside audio button canvas datalist dialog footer form head iframe input map math menu nav noscript object script select style svg template textarea title video".split()
+#: Elements that are no content by their kind.
+MARKED = frozenset(
+    "aside audio button canvas datalist dialog footer form head iframe map math menu nav noscript object select svg template video".split()
 )
-DROPPED_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
-#: Words of class names and ids that mark what is no content.
-DROPPED_WORDS = frozenset(
-    "ad ads adbox adsbygoogle adsense adslot adunit advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist"
-    " consent cookie cookies copyright disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices outbrain overlay pager"
-    " pagination paywall popup promo promotion related recommended replies reply respond share sharebar sharing sidebar signup social sponsor sponsored"
-    " subscribe subscription taboola toolbar topbar widget widgets".split()
+MARKED_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
+#: Class names and ids, whole ones, that say so.
+NO_CONTENT = frozenset(
+    "ad ads advert adverts advertisement advertising adsbygoogle sponsored breadcrumb breadcrumbs comment comments comment-list commentlist respond"
+    " cookie-banner cookie-notice footer menu nav navbar navigation newsletter notice pagination popup share share-bar sidebar side-bar".split()
 )
 #: Class names and ids by which pages without an article or main element mark their content.
 MAIN_NAMES = frozenset(
     "content main main-content maincontent article article-body articlebody article-content post post-content post-body entry entry-content story story-body"
     " story-content page-content".split()
 )
-KEPT_WITH_HEADER = frozenset("article entry post story title content".split())
 #: A start tag ends open elements of these kinds up to the given barriers.
 SIBLINGS = {
-    "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
-    "dt": ({"dt", "dd"}, {"dl"}),
-    "dd": ({"dt", "dd"}, {"dl"}),
-    "option": ({"option"}, {"select", "datalist"}),
-    "tr": ({"tr", "td", "th"}, {"table"}),
-    "td": ({"td", "th"}, {"tr", "table"}),
-    "th": ({"td", "th"}, {"tr", "table"}),
-    "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}),
-    "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}),
-    "thead": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}),
+    "li": (("li",), ("ul", "ol", "menu", "dir")),
+    "dt": (("dt", "dd"), ("dl",)),
+    "dd": (("dt", "dd"), ("dl",)),
+    "option": (("option",), ("select", "datalist")),
+    "tr": (("tr", "td", "th"), ("table",)),
+    "td": (("td", "th"), ("tr", "table")),
+    "th": (("td", "th"), ("tr", "table")),
+    "tbody": (("tbody", "thead", "tfoot", "tr", "td", "th"), ("table",)),
+    "tfoot": (("tbody", "thead", "tfoot", "tr", "td", "th"), ("table",)),
+    "thead": (("tbody", "thead", "tfoot", "tr", "td", "th"), ("table",)),
 }
-_P_BARRIERS = frozenset("table td th caption object template html".split())
+_P_BARRIERS = ("table", "td", "th", "caption", "object", "template", "html")
 _INSIDE_P = frozenset("option optgroup body html head tr td th tbody thead tfoot caption legend".split())
 
+#: Where a block stands: the article, the main element or elsewhere, and whether its markup says that it is no content.
+ARTICLE, MAIN, ELSEWHERE, IS_MARKED = 2, 1, 0, 4
+
 
 @dataclass
 class Page:
-    """Blocks in page order, each with the kind of place it stands in (2 article, 1 main, 0 else); subtrees as
-    (hash, first block, end block)."""
+    """Blocks in page order, each with its place; subtrees as (hash, first block, end block).  A subtree's hash is odd
+    inside what the page marks as its article or main element, and even elsewhere."""
 
     blocks: list[str] = field(default_factory=list)
     places: list[int] = field(default_factory=list)
@@ -82,45 +91,83 @@ def attributes(rest: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(rest)}
 
 
-def no_content(tag: str, rest: str, in_article: bool) -> bool:
-    """Whether an element is left out by its kind, role, class or id."""
-    if tag in DROPPED or tag == "header" and not in_article:
+def names_of(found: dict[str, str]) -> list[str]:
+    return f"{found.get('class', '')} {found.get('id', '')}".lower().replace("_", "-").split()
+
+
+def is_marked(tag: str, found: dict[str, str], in_article: bool) -> bool:
+    """Whether an element's kind, role, class or id says that it is no content."""
+    if tag in MARKED or tag == "header" and not in_article:
         return True
-    if not rest.strip() or tag in ("html", "body"):
+    if not found or tag in ("html", "body"):
         return False
-    found = attributes(rest)
     if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
         return True
-    if DROPPED_ROLES & set(found.get("role", "").lower().split()):
-        return True
-    for name in f"{found.get('class', '')} {found.get('id', '')}".split():
-        words = set(re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()))
-        hit = DROPPED_WORDS & words
-        if hit and not (hit == {"header"} and (in_article or KEPT_WITH_HEADER & words)) and not {"has", "with", "no"} & words:
-            return True
-    return False
+    return not MARKED_ROLES.isdisjoint(found.get("role", "").lower().split()) or not NO_CONTENT.isdisjoint(names_of(found))
 
 
-def place_of(tag: str, rest: str) -> int:
-    """2 for an article, 1 for what is marked as a page's main content, else 0."""
+def place_of(tag: str, found: dict[str, str]) -> int:
     if tag in ("article", "main"):
-        return 2 if tag == "article" else 1
-    if tag not in ("div", "section") or not rest.strip():
-        return 0
-    found = attributes(rest)
-    names = set(f"{found.get('class', '')} {found.get('id', '')}".lower().replace("_", "-").split())
-    return int(found.get("role", "").lower() == "main" or bool(names & MAIN_NAMES))
-
-
-def read_page(source: str) -> Page:
-    """One pass over the tags, with the implied ends that HTML allows; never fails, whatever the input."""
+        return ARTICLE if tag == "article" else MAIN
+    if tag not in ("div", "section") or not found:
+        return ELSEWHERE
+    return MAIN if found.get("role", "").lower() == "main" or not MAIN_NAMES.isdisjoint(names_of(found)) else ELSEWHERE
+
+
+class Scanner:
+    """Tags one after the other.  A quote inside a tag runs to its partner.  Once a tag has not ended before the page
+    does, quotes count for nothing in the rest of the page, so that a page is scanned twice at most."""
+
+    def __init__(self, source: str) -> None:
+        self.source, self.quotes, self.last = source, True, source.rfind(">")
+
+    def next(self, at: int) -> tuple[int, int, str, str, bool] | None:
+        """(start, end, tag, rest, whether it ends an element) of the first tag from `at` on; tag "" for comments and
+        declarations."""
+        source = self.source
+        while (start := source.find("<", at)) >= 0:
+            head = source[start + 1 : start + 2]
+            if head in ("!", "?"):
+                mark, width = ("-->", 3) if source.startswith("<!--", start) else (">", 1)
+                end = source.find(mark, start + 1 + width)
+                return start, len(source) if end < 0 else end + width, "", "", False
+            ends = head == "/"
+            name = NAME.match(source, start + 1 + ends) if start < self.last else None
+            if name:
+                end = self._end(name.end()) if self.quotes else -1
+                if end < 0:
+                    self.quotes, end = False, source.find(">", name.end())
+                return start, end + 1, name[0].lower(), source[name.end() : end], ends
+            at = start + 1
+        return None
+
+    def _end(self, at: int) -> int:
+        """Where the tag's > stands, quoted ones left out, or -1."""
+        while m := STOP.search(self.source, at):
+            if m[0] == ">":
+                return m.start()
+            at = self.source.find(m[0], m.end()) + 1
+            if not at:
+                break
+        return -1
+
+
+def read_page(source: str, host: str = "") -> Page:
+    """One pass over the tags, with the implied ends that HTML allows; never fails, whatever the input.
+
+    Only block elements are kept open.  Subtree hashes are the host's own.
+    """
     from xxhash import xxh64_intdigest
 
     page = Page()
-    # Open elements: tag, first block, hashes of what they hold, dropped, place.
+    # Open elements: tag, first block, hashes of what they hold, marked, place.
     stack: list[list] = []
+    # Where in the stack each kind of element is open.
+    opened: dict[str, list[int]] = {}
     text: list[str] = []
-    dropped = article = main = 0
+    marked = article = main = 0
+    # An inline element that is no content: its tag, how many of that tag are open in it, the stack's height then.
+    inline: list | None = None
 
     def flush() -> None:
         if text:
@@ -128,99 +175,107 @@ def read_page(source: str) -> Page:
             text.clear()
             if words:
                 page.blocks.append(words)
-                page.places.append(2 if article else 1 if main else 0)
-                own = next((x for x in reversed(stack) if x[0] in BLOCK), None)
-                if own:
-                    own[2].append(xxh64_intdigest(words))
+                page.places.append((ARTICLE if article else MAIN if main else ELSEWHERE) | (IS_MARKED if marked else 0))
+                if stack:
+                    stack[-1][2].append(xxh64_intdigest(words))
 
     def close(at: int) -> None:
         """Ends the elements from stack[at] on."""
-        nonlocal dropped, article, main
+        nonlocal marked, article, main, inline
         while len(stack) > at:
-            if stack[-1][0] in BLOCK:
-                flush()
+            flush()
+            inside = article > 0 or main > 0
             tag, first, hashes, gone, place = stack.pop()
-            dropped -= gone
-            article -= place == 2
-            main -= place == 1
-            if tag in BLOCK and len(page.blocks) > first:
-                own = xxh64_intdigest(f"{tag}{hashes}")
-                if not gone and tag not in ("html", "body"):
-                    page.subtrees.append((own - (own >> 63 << 64), first, len(page.blocks)))
-                parent = next((x for x in reversed(stack) if x[0] in BLOCK), None)
-                if parent:
-                    parent[2].append(own)
-
-    at = 0
-    while True:
-        m = TOKEN.search(source, at)
-        if not dropped and (piece := source[at : m.start() if m else len(source)]):
-            text.append(piece)
-        if not m:
-            break
-        at = m.end()
-        if not m["tag"]:
+            opened[tag].pop()
+            marked -= gone
+            article -= place == ARTICLE
+            main -= place == MAIN
+            if len(page.blocks) > first:
+                own = xxh64_intdigest(f"{host} {tag}{hashes}")
+                if tag not in ("html", "body", "head"):
+                    page.subtrees.append(((own - (own >> 63 << 64)) & -2 | inside, first, len(page.blocks)))
+                if stack:
+                    stack[-1][2].append(own)
+        if inline and len(stack) < inline[2]:
+            inline = None
+
+    last = lambda kinds: max((opened[k][-1] for k in kinds if opened.get(k)), default=-1)
+    scanner, at = Scanner(source), 0
+    while found_tag := scanner.next(at):
+        start, end, tag, rest, ends = found_tag
+        if inline is None and start > at:
+            text.append(source[at:start])
+        at = end
+        if not tag:
             continue
-        tag = m["tag"].lower()
-        if m["end"]:
-            found = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
-            if tag in BLOCK:
-                if found >= 0:
-                    close(found)
+        if ends:
+            if inline and tag == inline[0]:
+                inline[1] -= 1
+                inline = inline if inline[1] else None
+            elif tag in BLOCK:
+                if opened.get(tag):
+                    close(opened[tag][-1])
                 elif tag == "p":
                     flush()
-            elif found >= 0:
-                # The end of an inline element leaves the blocks within it open.
-                dropped -= stack[found][3]
-                del stack[found]
             continue
         if tag in SIBLINGS:
             kinds, barriers = SIBLINGS[tag]
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in barriers:
-                    break
-                if stack[i][0] in kinds:
-                    close(i)
-                    break
-        elif tag in BLOCK and tag not in _INSIDE_P:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in _P_BARRIERS:
-                    break
-                if stack[i][0] == "p":
-                    close(i)
-                    break
+            floor = last(barriers)
+            ended = [own[k] for own in (opened.get(kind, ()) for kind in kinds) if (k := bisect_right(own, floor)) < len(own)]
+            if ended:
+                close(min(ended))
+        elif tag == "body" and opened.get("head"):
+            close(opened["head"][-1])
+        elif tag in BLOCK and tag not in _INSIDE_P and opened.get("p") and opened["p"][-1] > last(_P_BARRIERS):
+            close(opened["p"][-1])
         if tag in BLOCK:
             flush()
-        elif tag in ("br", "img", "wbr"):
-            if not dropped and tag == "br":
-                text.append(" ")
+        elif tag == "br" and inline is None:
+            text.append(" ")
         if tag in VOID:
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|$)[^>]*>?", re.I).search(source, at)
-            at = end.end() if end else len(source)
+            close_tag = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|$)[^>]*>?", re.I).search(source, at)
+            at = close_tag.end() if close_tag else len(source)
             continue
-        if m["rest"].endswith("/") and tag not in BLOCK and tag not in ("a", "b", "i", "em", "strong", "span"):
+        if rest.endswith("/") and tag not in BLOCK and tag not in ("a", "b", "i", "em", "strong", "span"):
             continue
-        gone = not dropped and no_content(tag, m["rest"], article > 0)
-        place = 0 if gone else place_of(tag, m["rest"])
-        stack.append([tag, len(page.blocks), [], int(gone), place])
-        dropped += gone
-        article += place == 2
-        main += place == 1
+        found = attributes(rest) if rest and not rest.isspace() else {}
+        if tag not in BLOCK:
+            if inline:
+                inline[1] += tag == inline[0]
+            elif is_marked(tag, found, article > 0):
+                inline = [tag, 1, len(stack)]
+            continue
+        gone = int(is_marked(tag, found, article > 0))
+        place = ELSEWHERE if gone else place_of(tag, found)
+        opened.setdefault(tag, []).append(len(stack))
+        stack.append([tag, len(page.blocks), [], gone, place])
+        marked += gone
+        article += place == ARTICLE
+        main += place == MAIN
+    if inline is None and at < len(source):
+        text.append(source[at:])
     flush()
     close(0)
     return page
 
 
-def main_text(page: Page, templates: set[int] | frozenset = frozenset()) -> str:
-    """The page's text once the subtrees with the given hashes are deleted."""
-    keep = [True] * len(page.blocks)
+def deleted(page: Page, templates: set[int] | frozenset = frozenset()) -> np.ndarray:
+    """Which blocks stand in a subtree that is a template."""
+    edges = np.zeros(len(page.blocks) + 1, np.int64)
     for own, first, end in page.subtrees:
         if own in templates:
-            keep[first:end] = [False] * (end - first)
-    best = max((p for p, k in zip(page.places, keep, strict=True) if k), default=0)
-    return "\n".join(b for b, p, k in zip(page.blocks, page.places, keep, strict=True) if k and p == best)
+            edges[first] += 1
+            edges[end] -= 1
+    return np.cumsum(edges)[:-1] > 0
+
+
+def main_text(page: Page, templates: set[int] | frozenset = frozenset()) -> str:
+    """The page's text: templates go first, then what its markup says is no content."""
+    left = [(b, p) for b, p, gone in zip(page.blocks, page.places, deleted(page, templates).tolist(), strict=True) if not gone and not p & IS_MARKED]
+    best = max((p for _, p in left), default=ELSEWHERE)
+    return "\n".join(b for b, p in left if p == best)
 
 
 def host_of(url: str | None) -> str:
@@ -230,13 +285,30 @@ def host_of(url: str | None) -> str:
         return ""
 
 
-def extract_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = 10, min_share: float = 0.02) -> DataFrame:
-    """page_id, url, text, n_chars for every row of df.
+#: Up to so many templates (8 bytes each) go to every executor; beyond it pages find theirs by a join, with the same result.
+BROADCAST_TEMPLATES = 4_000_000
+#: How many tasks share the pages of one template in that join.
+SALTS = 32
+
+
+def extract_text(
+    df: DataFrame,
+    id_col: str = "page_id",
+    url_col: str = "url",
+    html_col: str = "html",
+    min_pages: int = 10,
+    inside_share: float = 0.5,
+    broadcast_templates: int = BROADCAST_TEMPLATES,
+) -> DataFrame:
+    """page_id, url, text, n_chars, template_blocks, marked_blocks for every row of df.
 
-    A subtree on at least `min_pages` different pages of a host, and on `min_share` of them, is its template: sections,
-    languages and layouts of a host each have their own.  A null or empty page has an empty text.  A null or odd url belongs to the host ''.  Rows that repeat a
-    page_id and a host share what is deleted from them.  An empty table gives an empty result; other columns
-    are ignored.  Hosts of any size are counted by partial sums; no host's pages are gathered.
+    A subtree on at least `min_pages` different pages of a host is its template, whatever the host's size: sections,
+    languages and layouts each have their own.  Inside the article it must be on `inside_share` of the pages as well.
+    template_blocks counts the blocks deleted so, marked_blocks those that only their own markup gave away.
+
+    A null or empty page has an empty text.  A null or odd url belongs to the host ''.  Repeated rows are each
+    returned.  Very long pages are read in one pass.  An empty table gives an empty result; other columns are
+    ignored.  Hosts of any size are counted by partial sums; no host's pages are gathered.
     """
     rows = df.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url"), F.coalesce(F.col(f"`{html_col}`"), F.lit("")).alias("html"))
     kind = dict(rows.dtypes)["page_id"]
@@ -244,41 +316,59 @@ def extract_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
-        signed = lambda h: h - (h >> 63 << 64)
-        for batch in batches:
-            urls = batch.column("url").to_pylist()
-            pages = [read_page(x) for x in batch.column("html").to_pylist()]
+        number = TaskContext.get().partitionId() << 33
+        for batch in slices(batches, 256):
+            hosts = [host_of(u) for u in batch.column("url").to_pylist()]
+            pages = [read_page(x, h) for x, h in zip(batch.column("html").to_pylist(), hosts, strict=True)]
+            contents = [xxh64_intdigest(main_text(p)) for p in pages]
             columns = [
                 batch.column("page_id"),
                 batch.column("url"),
-                pa.array([host_of(u) for u in urls], pa.string()),
-                pa.array([signed(xxh64_intdigest("\n".join(p.blocks))) for p in pages], pa.int64()),
+                pa.array(np.arange(number, number + len(pages))),
+                pa.array(hosts, pa.string()),
+                pa.array([c - (c >> 63 << 64) for c in contents], pa.int64()),
                 pa.array([p.blocks for p in pages], pa.list_(pa.string())),
                 pa.array([p.places for p in pages], pa.list_(pa.int8())),
                 *(pa.array([[s[j] for s in p.subtrees] for p in pages], pa.list_(t)) for j, t in ((0, pa.int64()), (1, pa.int32()), (2, pa.int32()))),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "host", "content", "blocks", "places", "hashes", "firsts", "ends"])
+            number += len(pages)
+            yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "row", "host", "content", "blocks", "places", "hashes", "firsts", "ends"])
 
     parsed = written(
-        arrow_map(rows, read, f"page_id {kind}, url string, host string, content long, blocks array<string>, places array<tinyint>, hashes array<long>, firsts array<int>, ends array<int>")
+        arrow_map(rows, read, f"page_id {kind}, url string, row long, host string, content long, blocks array<string>, places array<tinyint>, hashes array<long>, firsts array<int>, ends array<int>")
     )
-    # Pages with equal blocks count once on each host.
-    different = parsed.groupBy("host", "content").agg(F.lit(1).alias("one"))
-    sizes = different.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
-    seen = parsed.select("host", "content", F.explode(F.array_distinct("hashes")).alias("hash")).groupBy("host", "hash", "content").agg(F.lit(1).alias("one"))
-    counts = seen.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    templates = counts.join(sizes, "host").where(F.col("n") >= F.col("pages") * F.lit(min_share)).select("host", "hash")
-    hits = parsed.select("page_id", "host", F.explode(F.array_distinct("hashes")).alias("hash")).join(templates, ["host", "hash"])
-    doomed = written(hits.groupBy("page_id", "host").agg(F.collect_set("hash").alias("doomed")))
+    templates = written(templates_of(parsed, min_pages, inside_share))
+    few = templates.count() <= broadcast_templates
+    known = df.sparkSession.sparkContext.broadcast(np.array([r["hash"] for r in templates.collect()] if few else [], np.int64))
+    if not few:
+        salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+        seen = parsed.select("row", F.explode(F.array_distinct("hashes")).alias("hash"), F.pmod("row", F.lit(SALTS)).cast("int").alias("salt"))
+        hits = seen.join(templates.select("hash", salt), ["hash", "salt"]).groupBy("row").agg(F.collect_list("hash").alias("doomed"))
+        parsed = parsed.join(hits, "row", "left")
+    else:
+        parsed = parsed.withColumn("doomed", F.lit(None).cast("array<long>"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = ("blocks", "places", "hashes", "firsts", "ends", "doomed")
-            texts = [
-                main_text(Page(blocks, places, list(zip(hashes, firsts, ends, strict=True))), frozenset(gone or ()))
-                for blocks, places, hashes, firsts, ends, gone in zip(*(batch.column(c).to_pylist() for c in names), strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
-
-    done = arrow_map(parsed.join(doomed, ["page_id", "host"], "left"), finish, f"page_id {kind}, url string, text string")
-    return done.withColumn("n_chars", F.length("text").cast("long"))
+        everywhere = frozenset(known.value.tolist())
+        for batch in slices(batches, 256):
+            out = []
+            for blocks, places, hashes, firsts, ends, doomed in zip(*(batch.column(c).to_pylist() for c in ("blocks", "places", "hashes", "firsts", "ends", "doomed")), strict=True):
+                page = Page(blocks, places, list(zip(hashes, firsts, ends, strict=True)))
+                own = frozenset(doomed) if doomed else everywhere
+                gone = deleted(page, own)
+                out.append((main_text(page, own), int(gone.sum()), sum(1 for p, g in zip(places, gone.tolist(), strict=True) if p & IS_MARKED and not g)))
+            columns = [pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [()] * 3, (pa.string(), pa.int32(), pa.int32()), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), *columns], names=["page_id", "url", "text", "template_blocks", "marked_blocks"])
+
+    done = arrow_map(parsed, finish, f"page_id {kind}, url string, text string, template_blocks int, marked_blocks int")
+    return done.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "template_blocks", "marked_blocks")
+
+
+def templates_of(parsed: DataFrame, min_pages: int, inside_share: float) -> DataFrame:
+    """The hashes of subtrees that are templates.  Pages with equal content count once on each host."""
+    seen = parsed.select("host", "content", F.explode(F.array_distinct("hashes")).alias("hash")).groupBy("host", "hash", "content").agg(F.lit(1).alias("one"))
+    counts = written(seen.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages))
+    inside = F.col("hash").bitwiseAND(F.lit(1)) == 1
+    sizes = parsed.groupBy("host", "content").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("pages"))
+    within = counts.where(inside).join(sizes.where(F.col("pages") >= min_pages), "host").where(F.col("n") >= F.col("pages") * F.lit(inside_share))
+    return counts.where(~inside).select("hash").unionByName(within.select("hash"))
