@@ -1,22 +1,24 @@
 """Language-model scores: prediction by partial matching, beside an add-one word model.
 
-PPM: a trie of byte contexts to depth three over 64 symbols: the 62 most frequent training bytes, one
-symbol for all others (told apart by their own frequencies) and one for a text's bounds.  A context's
-distribution is escape method C with exclusion: a symbol seen in it takes n / (T + D), an unseen one the
-escape D / (T + D) times what the next shorter context gives it among the symbols not seen in the longer
-one.  The trie is pretrained on all training texts.  64 symbols and depth three bound it at 64**4 counts
-whatever the input, so it may be sent to every executor.
-
-Word model: exact counts of all words.  A block of documents asks once for each of its distinct words,
-with its own training counts; words meet by a 96-bit hash, counts are added there and the sums go back to
-the blocks that asked.  No word travels once for each time it occurs, and none is held in one place.
+PPM: a trie of byte contexts of up to `depth` bytes, over all 256 bytes and a text's bounds, pretrained on all
+training texts.  A context's distribution is escape method C with exclusion: a symbol seen in it takes
+n / (T + D), an unseen one the escape D / (T + D) times what the next shorter context gives it among the
+symbols not seen in the longer one.  No context is pruned, so the trie grows with the corpus.  Counts are
+added up in each map task and then by context.  A trie of up to `broadcast_grams` strings goes to every
+executor; a larger one stays where it was counted, and blocks of documents ask there for the strings they hold.
+
+Word model: exact counts of all words, added up in each map task and then by word (a 96-bit hash of it).
+A block asks once for each of its distinct words.
+
+Tables are kept in ranges of their keys and looked up by `lookups`: tables are copied to several tasks, so
+that the ranges grow with what is known, not with how many blocks ask.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +26,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import block_rows, blocks, texts_of, with_text
-from .common import arrow_map, shuffle_width, written
+from .common import arrow_map, new_table, shuffle_width, slices, split_by, written
 from .quality import held_out
 
 #: The token that ends a text; no word holds a space.
 END = b" "
-SYMBOLS = 64
-BOUND, OTHER = 62, 63
+#: A byte's symbol is the byte; one more stands for a text's bounds.  Each takes BITS bits of a string's code.
+BOUND, SYMBOLS, BITS = 256, 257, 9
+_LOW = np.uint64((1 << BITS) - 1)
+_ONE = np.uint64(BITS)
+#: Places whose codes are held at once.
+AT_ONCE = 1 << 21
+#: Up to so many strings (with their shorter contexts about 50 bytes each) the trie goes to every executor.
+BROADCAST_GRAMS = 2_000_000
+#: A lookup's tables are cut into at least so many ranges, or into one for so many keys.
+LEAST_RANGES, KEYS_A_RANGE = 64, 1_000_000
 
 
 # --- words ------------------------------------------------------------------------------------------
@@ -44,22 +54,40 @@ def word_keys(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return flat[:, 0].copy(), flat[:, 1].astype(np.uint32)
 
 
-def bucket_of(high: np.ndarray, buckets: int) -> np.ndarray:
-    return (high % np.uint64(buckets)).astype(np.int64)
+def range_of(high: np.ndarray, ranges: int) -> np.ndarray:
+    """Which of so many equal ranges of 64-bit keys each key falls in; sorted keys have sorted ranges."""
+    return ((high >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
 
 
-def merge_counts(requests: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[list[np.ndarray], int, int]:
-    """For requests of (key, key, count): each key's total, request by request; the sum of all; keys with any."""
-    sizes = [len(r[0]) for r in requests]
-    a, b, n = (np.concatenate([r[k] for r in requests]) for k in range(3))
-    order = np.lexsort((b, a))
-    sa, sb = a[order], b[order]
-    fresh = np.concatenate(([True], (sa[1:] != sa[:-1]) | (sb[1:] != sb[:-1])))
-    group = np.cumsum(fresh) - 1
-    totals = np.add.reduceat(n[order].astype(np.int64), np.flatnonzero(fresh))
-    out = np.empty(len(a), np.int64)
-    out[order] = totals[group]
-    return np.split(out, np.cumsum(sizes)[:-1]), int(totals.sum()), int((totals > 0).sum())
+def first_ones(*ordered: np.ndarray) -> np.ndarray:
+    """Where a new key starts in sorted keys of one column or more."""
+    fresh = np.ones(len(ordered[0]), bool)
+    fresh[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in ordered])
+    return np.flatnonzero(fresh)
+
+
+def added_up(high: np.ndarray, low: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sum of each one's counts."""
+    order = np.lexsort((low, high))
+    high, low, counts = high[order], low[order], counts[order]
+    fresh = first_ones(high, low)
+    return high[fresh], low[fresh], np.add.reduceat(counts, fresh) if len(fresh) else counts
+
+
+def totals_of(known: tuple[np.ndarray, np.ndarray, np.ndarray], high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Each key's count among the known ones (sorted), 0 for others."""
+    highs, lows, counts = known
+    if not len(highs):
+        return np.zeros(len(high), np.int64)
+    at = np.searchsorted(highs, high)
+    while True:
+        here = np.minimum(at, len(highs) - 1)
+        same = (at < len(highs)) & (highs[here] == high)
+        # Keys that share their first 64 bits stand next to each other.
+        wrong = same & (lows[here] != low)
+        if not wrong.any():
+            return np.where(same, counts[here], 0)
+        at = at + wrong
 
 
 def pack_totals(totals: np.ndarray) -> bytes:
@@ -71,254 +99,329 @@ def unpack_totals(packed: bytes, n: int) -> np.ndarray:
     return np.frombuffer(packed, np.uint32 if len(packed) == 4 * n else np.int64)
 
 
-def _ask(buckets: int):
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for number, _, ends, flags, body in block_rows(batch):
-                texts = texts_of(ends, body)
-                words, counts = vocabulary(texts, flags)
-                high, low = word_keys(words)
-                bucket = bucket_of(high, buckets)
-                rows = [(b, own) for b in range(buckets) if len(own := np.flatnonzero(bucket == b))]
-                columns = [
-                    pa.array([number] * len(rows), pa.int64()),
-                    pa.array([b for b, _ in rows], pa.int32()),
-                    *(pa.array([x[own].tobytes() for _, own in rows], pa.binary()) for x in (high, low, counts)),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=["block", "bucket", "high", "low", "counts"])
-
-    return ask
-
-
-def vocabulary(texts: list[bytes], train: list[bool]) -> tuple[list[bytes], np.ndarray]:
-    """The distinct tokens of the texts in order of first use, and how often the training texts have them."""
-    seen: dict[bytes, int] = {}
-    taught: Counter = Counter()
-    for text, flag in zip(texts, train, strict=True):
-        words = text.lower().split()
-        seen.update(dict.fromkeys(words, 0))
-        if flag:
-            taught.update(words)
-            taught[END] += 1
-    seen[END] = 0
-    return list(seen), np.fromiter((taught[w] for w in seen), np.uint32, len(seen))
-
-
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by bucket; one bucket's requests are held at a time."""
-    at, asked, who = None, [], []
-
-    def answers() -> pa.RecordBatch:
-        totals, tokens, distinct = merge_counts(asked)
-        columns = [
-            pa.array([*who, -1], pa.int64()),
-            pa.array([at] * (len(who) + 1), pa.int32()),
-            pa.array([*map(pack_totals, totals), None], pa.binary()),
-            pa.array([None] * len(who) + [tokens], pa.int64()),
-            pa.array([None] * len(who) + [distinct], pa.int64()),
-        ]
-        return pa.RecordBatch.from_arrays(columns, names=["block", "bucket", "totals", "tokens", "distinct"])
-
-    for batch in batches:
-        for k in range(batch.num_rows):
-            number, bucket, high, low, counts = (batch.column(c)[k].as_py() for c in ("block", "bucket", "high", "low", "counts"))
-            if bucket != at and asked:
-                yield answers()
-                asked, who = [], []
-            at = bucket
-            who.append(number)
-            asked.append((np.frombuffer(high, np.uint64), np.frombuffer(low, np.uint32), np.frombuffer(counts, np.uint32)))
-    if asked:
-        yield answers()
+# --- prediction by partial matching -------------------------------------------------------------------
 
 
-# --- prediction by partial matching -------------------------------------------------------------------
+def gram_slices(texts: list[bytes], depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(codes, texts, lengths): codes of some places and how many of them belong to which text, in order.
+
+    A code holds the bytes before a place, the nearest one highest, and its own symbol lowest; so the first bits of a
+    code are its shorter contexts.  Before a text stand bounds, and one ends it.  A long text comes in several slices.
+    """
+    lengths = np.array([len(t) for t in texts], np.int64) + 1
+    ends = np.cumsum(lengths + depth)
+    starts = ends - lengths
+    flat = np.full(int(ends[-1]) if len(ends) else 0, BOUND, np.uint16)
+    for text, start in zip(texts, starts.tolist(), strict=True):
+        flat[start : start + len(text)] = np.frombuffer(text, np.uint8)
+    for a in range(depth, len(flat), AT_ONCE):
+        b = min(a + AT_ONCE, len(flat))
+        wide = flat[a - depth : b].astype(np.uint64)
+        code = wide[depth:].copy()
+        for k in range(1, depth + 1):
+            code |= wide[depth - k : len(wide) - k] << np.uint64(BITS * (depth + 1 - k))
+        first, last = np.searchsorted(ends, a, "right"), np.searchsorted(starts, b, "left")
+        own = np.arange(first, last)
+        low, high = np.maximum(starts[own], a) - a, np.minimum(ends[own], b) - a
+        inside = np.zeros(b - a + 1, np.int8)
+        np.add.at(inside, low, 1)
+        np.add.at(inside, high, -1)
+        yield code[np.cumsum(inside[:-1]) > 0], own, high - low
+
+
+def count_grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    parts = [np.unique(code, return_counts=True) for code, _, _ in gram_slices(texts, depth)]
+    return sum_grams([p[0] for p in parts], [p[1] for p in parts])
+
+
+def sum_grams(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes in order, and the sum of each one's counts."""
+    if len(codes) == 1:
+        return codes[0], counts[0].astype(np.int64)
+    both = np.concatenate([np.zeros(0, np.uint64), *codes])
+    order = np.argsort(both, kind="stable")
+    both, n = both[order], np.concatenate([np.zeros(0, np.int64), *counts])[order]
+    fresh = first_ones(both)
+    return both[fresh], np.add.reduceat(n, fresh) if len(fresh) else n
+
+
+class Level:
+    """Strings of one context length and their contexts: total T, kinds D, and what the context's symbols count in the
+    next shorter context."""
+
+    def __init__(self, grams: np.ndarray, counts: np.ndarray) -> None:
+        self.grams, self.counts = grams, counts
+        first = first_ones(grams >> _ONE)
+        self.contexts = grams[first] >> _ONE
+        self.total = np.add.reduceat(counts, first) if len(first) else counts
+        self.kinds = np.diff(np.append(first, len(grams)))
+        self.shorter = np.zeros(len(first), np.int64)
+        self.first = first
+
+    def below(self, lower: Level) -> None:
+        n = find(lower.grams, self.grams >> _ONE >> _ONE << _ONE | self.grams & _LOW)
+        self.shorter = np.add.reduceat(lower.counts[n], self.first) if len(self.first) else self.shorter
+
+
+def find(ordered: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where each wanted value stands in ordered, or -1."""
+    if not len(ordered):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(ordered, wanted), len(ordered) - 1)
+    return np.where(ordered[at] == wanted, at, -1)
 
 
-def symbol_map(histogram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A symbol for each byte, and log10 of each byte's share among those of the symbol OTHER (0 for the rest)."""
-    order = sorted(range(256), key=lambda b: (-int(histogram[b]), b))
-    symbols = np.full(256, OTHER, np.uint8)
-    symbols[order[:BOUND]] = np.arange(BOUND)
-    rest = order[BOUND:]
-    shares = np.zeros(256)
-    shares[rest] = np.log10((histogram[rest] + 1.0) / (histogram[rest].sum() + len(rest)))
-    return symbols, shares
+class Trie:
+    """Log10 probabilities of symbols after their contexts."""
+
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, depth: int, base: list[Level] | None = None) -> None:
+        """From the sorted codes of the longest strings.  With `base`, the levels of its lengths come from there."""
+        self.depth = depth
+        least = len(base) if base else 0
+        levels = {depth: Level(grams, counts.astype(np.int64))}
+        for j in range(depth - 1, least - 1, -1):
+            above = levels[j + 1]
+            levels[j] = Level(*sum_grams([above.grams >> np.uint64(2 * BITS) << _ONE | above.grams & _LOW, np.zeros(0, np.uint64)], [above.counts, np.zeros(0, np.int64)]))
+        self.levels = [*(base or []), *(levels[j] for j in range(least, depth + 1))]
+        for j in range(max(1, least), depth + 1):
+            self.levels[j].below(self.levels[j - 1])
+
+    def logs(self, wanted: np.ndarray) -> np.ndarray:
+        """For codes of the longest strings."""
+        out = np.zeros(len(wanted))
+        left, scale = np.arange(len(wanted)), np.ones(len(wanted))
+        cut_total, cut_kinds = np.zeros(len(wanted), np.int64), np.zeros(len(wanted), np.int64)
+        for j in range(self.depth, -1, -1):
+            level = self.levels[j]
+            own = wanted[left]
+            context = own >> np.uint64(BITS * (self.depth + 1 - j))
+            at = find(level.contexts, context)
+            seen = find(level.grams, context << _ONE | own & _LOW)
+            known = at >= 0
+            kinds = np.where(known, level.kinds[at] if len(level.kinds) else 0, 0)
+            # What the longer context has seen is excluded here.
+            total = np.where(known, level.total[at] if len(level.total) else 0, 0) - cut_total
+            fresh = kinds - cut_kinds
+            # Where every symbol has been seen, nothing is left to escape to.
+            whole = np.maximum(total + np.where(kinds == SYMBOLS, 0, fresh), 1)
+            hit = seen >= 0
+            out[left[hit]] = np.log10(scale[hit] * level.counts[seen[hit]] / whole[hit])
+            scale = np.where(fresh > 0, scale * fresh / whole, scale)[~hit]
+            cut_total = np.where(known, level.shorter[at] if len(level.shorter) else 0, 0)[~hit]
+            cut_kinds, left = kinds[~hit], left[~hit]
+        out[left] = np.log10(scale / np.maximum(SYMBOLS - cut_kinds, 1))
+        return out
+
+
+def text_logs(texts: list[bytes], depth: int, logs: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """Each text's log10 probability."""
+    out = np.zeros(len(texts))
+    for code, own, n in gram_slices(texts, depth):
+        found, at = np.unique(code, return_inverse=True)
+        ends = np.concatenate(([0.0], np.cumsum(logs(found)[at.reshape(-1)])))[np.concatenate(([0], np.cumsum(n)))]
+        out[own] += np.diff(ends)
+    return out
 
 
-def codes(texts: list[bytes], symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes (three symbols of context and the symbol) of every place, and where each text's places start and end.
+def part_of(grams: np.ndarray, depth: int, parts: int) -> np.ndarray:
+    """By the two symbols before: all contexts of two symbols and more are in one part."""
+    near = grams >> np.uint64(BITS * (depth - 1))
+    return ((near * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
-    A text stands between bounds: three before it, one after.  Codes at places between texts mean nothing.
-    """
-    lengths = np.array([len(t) for t in texts], np.int64)
-    starts = np.concatenate(([0], np.cumsum(lengths + 4)))[:-1] + 3
-    flat = np.full(int((lengths + 4).sum()), BOUND, np.uint8)
-    for text, start in zip(texts, starts.tolist(), strict=True):
-        flat[start : start + len(text)] = symbols[np.frombuffer(text, np.uint8)]
-    wide = flat.astype(np.uint32)
-    out = wide.copy()
-    for k in (1, 2, 3):
-        out[k:] |= wide[:-k] << np.uint32(6 * k)
-    return out, starts, starts + lengths + 1
 
+# --- lookups ------------------------------------------------------------------------------------------
 
-def count_codes(texts: list[bytes], symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    found, starts, ends = codes(texts, symbols)
-    inside = np.zeros(len(found) + 1, np.int8)
-    np.add.at(inside, starts, 1)
-    np.add.at(inside, ends, -1)
-    return np.unique(found[np.cumsum(inside[:-1]).astype(bool)], return_counts=True)
+ROW = "part int, salt int, asks boolean, block long, a binary, b binary, c binary"
 
 
-class Trie:
-    """Log10 probabilities of each symbol after each context of three symbols.
+def rows_of(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int32(), pa.bool_(), pa.int64(), *[pa.binary()] * 3)
+    columns = [pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)]
+    return pa.RecordBatch.from_arrays(columns, names=["part", "salt", "asks", "block", "a", "b", "c"])
+
 
-    rows[context] is a row of table; contexts that the training texts don't have share their shorter
-    context's row.
+def lookups(table: DataFrame, asked: DataFrame, salts: int, build, answer) -> DataFrame:
+    """(block, part, found): answers to the rows of `asked`, each from its part of `table`.
+
+    Each part of the table is copied to `salts` tasks, which share the blocks that ask.  A task holds one part, built
+    from its rows, and one request at a time.
     """
 
-    def __init__(self, found: np.ndarray, counts: np.ndarray) -> None:
-        """found: sorted codes; counts: how often each occurs."""
-        s = SYMBOLS
-        flat2 = np.bincount(found & (s**3 - 1), weights=counts, minlength=s**3) if len(found) else np.zeros(s**3)
-        n2 = flat2.reshape(s, s, s)
-        n1 = n2.sum(0)
-        n0 = n1.sum(0)
-        unseen = s - np.count_nonzero(n0)
-        lower = np.where(n0 > 0, 0.0, 1 / max(1, unseen))
-        p0, low1 = self.level(n0[None, :], lower[None, :])
-        p1, low2 = self.level(n1, self.beneath(n1, n0[None, :], low1))
-        p2, low3 = self.level(n2.reshape(-1, s), self.beneath(n2.reshape(-1, s), np.tile(n1, (s, 1)), np.tile(low2, (s, 1))))
-        contexts = np.unique(found >> 6)
-        self.rows = np.tile(np.arange(s * s, dtype=np.int32), s)
-        self.rows[contexts] = s * s + np.arange(len(contexts), dtype=np.int32)
-        self.table = np.empty((s * s + len(contexts), s), np.float32)
-        self.table[: s * s] = np.log10(np.maximum(p2, 1e-30))
-        for at in range(0, len(contexts), 4096):
-            part = contexts[at : at + 4096]
-            a, b = np.searchsorted(found, [int(part[0]) << 6, (int(part[-1]) + 1) << 6])
-            n3 = np.zeros((len(part), s))
-            n3[np.searchsorted(part, found[a:b] >> 6), found[a:b] & (s - 1)] = counts[a:b]
-            suffix = part & (s * s - 1)
-            p3, _ = self.level(n3, self.beneath(n3, n2.reshape(-1, s)[suffix], low3[suffix]))
-            self.table[s * s + at : s * s + at + len(part)] = np.log10(np.maximum(p3, 1e-30))
-
-    @staticmethod
-    def level(n: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The contexts' distributions from their counts and what unseen symbols get beneath; and that again."""
-        total, kinds = n.sum(1, keepdims=True), (n > 0).sum(1, keepdims=True)
-        whole = np.maximum(total + kinds, 1)
-        escape = np.where(total > 0, kinds / whole, 1.0)
-        # Where every symbol was seen nothing is left to escape to.
-        whole, escape = np.where(kinds == n.shape[1], np.maximum(total, 1), whole), np.where(kinds == n.shape[1], 0.0, escape)
-        return np.where(n > 0, n / whole, escape * lower), lower
-
-    @staticmethod
-    def beneath(n: np.ndarray, shorter: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        """What the shorter context gives each symbol once those seen in the longer one are excluded."""
-        left = np.where(n > 0, 0.0, shorter)
-        total, kinds = left.sum(1, keepdims=True), (left > 0).sum(1, keepdims=True)
-        whole = np.maximum(total + kinds, 1)
-        escape = np.where(total > 0, kinds / whole, 1.0)
-        none = np.broadcast_to((shorter > 0).all(1, keepdims=True), escape.shape)
-        whole, escape = np.where(none, np.maximum(total, 1), whole), np.where(none, 0.0, escape)
-        return np.where(left > 0, left / whole, escape * lower)
-
-    def logs(self, found: np.ndarray) -> np.ndarray:
-        return self.table.ravel()[self.rows[found >> np.uint32(6)].astype(np.int64) * SYMBOLS + (found & np.uint32(SYMBOLS - 1))]
-
-
-def text_logs(trie: Trie, symbols: np.ndarray, shares: np.ndarray, texts: list[bytes], at_once: int = 1 << 20) -> list[float]:
-    """Each text's log10 probability; about `at_once` bytes are scored at a time, a longer text in slices."""
-    out: list[float] = []
-    group: list[bytes] = []
-    held = 0
-
-    def flush() -> None:
-        nonlocal group, held
-        if group:
-            found, starts, ends = codes(group, symbols)
-            logs = np.concatenate((trie.logs(found).astype(np.float64), [0.0]))
-            sums = np.add.reduceat(logs, np.stack((starts, ends), 1).ravel())[::2]
-            other = np.array([shares[np.frombuffer(t, np.uint8)].sum() for t in group])
-            out.extend((sums + other).tolist())
-            group, held = [], 0
-
-    for text in texts:
-        group.append(text)
-        held += len(text)
-        if held >= at_once:
-            flush()
-    flush()
-    return out
+    def reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, ready = None, [], None
+        for batch in slices(batches):
+            out = []
+            for k in range(batch.num_rows):
+                part, salt, asks, block, a, b, c = (batch.column(j)[k].as_py() for j in range(7))
+                if (part, salt) != at:
+                    at, held, ready = (part, salt), [], None
+                if not asks:
+                    held.append((a, b, c))
+                    continue
+                if ready is None:
+                    ready, held = build(held), []
+                out.append((block, part, answer(ready, a, b)))
+            columns = [pa.array([r[j] for r in out], t) for j, t in enumerate((pa.int64(), pa.int32(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "part", "found"])
+
+    copies = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).select(asked.columns)
+    dealt = copies.unionByName(asked).repartition(shuffle_width(table.sparkSession), "part", "salt").sortWithinPartitions("part", "salt", "asks")
+    return arrow_map(dealt, reply, "block long, part int, found binary")
+
+
+def ranges_for(keys: int, width: int) -> tuple[int, int]:
+    """Into how many ranges a table of so many keys is cut, and to how many tasks each goes."""
+    ranges = max(1, min(width, max(LEAST_RANGES, -(-keys // KEYS_A_RANGE))))
+    return ranges, max(1, width // ranges)
+
+
+def build_words(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return added_up(*(np.concatenate([np.zeros(0, t), *(np.frombuffer(r[j], t) for r in rows)]) for j, t in enumerate((np.uint64, np.uint32, np.int64))))
+
+
+def answer_words(known, a: bytes, b: bytes) -> bytes:
+    return pack_totals(totals_of(known, np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint32)))
 
 
 # --- the operator -------------------------------------------------------------------------------------
 
 
-def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, fold: int = 2, block_bytes: int = 4 << 20) -> DataFrame:
+def distinct_words(lists: list[list[bytes]]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words of the lists and END, their keys in order, and which word each of these is."""
+    words = list(dict.fromkeys(w for own in lists for w in own)) + [END]
+    high, low = word_keys(words)
+    order = np.lexsort((low, high))
+    return words, high[order], low[order], order
+
+
+def _survey(width: int, depth: int):
+    """What each block asks for (kind ask), and what a task's training texts count: words and strings by range."""
+
+    def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(kind: str, found: list[tuple]) -> pa.RecordBatch:
+            kinds = (pa.string(), pa.int64(), pa.int32(), *[pa.binary()] * 3)
+            return pa.RecordBatch.from_arrays([pa.array([x[j] for x in [(kind, *r) for r in found]], k) for j, k in enumerate(kinds)], names=["kind", "block", "part", "a", "b", "c"])
+
+        words: list[tuple] = [(np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64))]
+        codes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for batch in batches:
+            for number, _, ends, flags, body in block_rows(batch):
+                texts = texts_of(ends, body)
+                lists = [t.lower().split() for t in texts]
+                distinct, high, low, order = distinct_words(lists)
+                yield rows("ask", [(number, None, high.tobytes(), low.tobytes(), None)])
+                taught: Counter = Counter()
+                for own, flag in zip(lists, flags, strict=True):
+                    if flag:
+                        taught.update(own)
+                taught[END] = sum(flags)
+                times = np.fromiter(map(taught.__getitem__, distinct), np.int64, len(distinct))[order]
+                words.append((high[times > 0], low[times > 0], times[times > 0]))
+                grams = count_grams([t for t, flag in zip(texts, flags, strict=True) if flag], depth)
+                codes.append(grams[0])
+                counts.append(grams[1])
+                if sum(len(w[0]) for w in words[1:]) > len(words[0][0]) + (1 << 20):
+                    words = [added_up(*(np.concatenate(c) for c in zip(*words, strict=True)))]
+                if sum(map(len, codes[1:])) > len(codes[0]) + (1 << 20):
+                    merged = sum_grams(codes, counts)
+                    codes, counts = [merged[0]], [merged[1]]
+        high, low, times = added_up(*(np.concatenate(c) for c in zip(*words, strict=True)))
+        yield rows("word", [(None, p, high[own].tobytes(), low[own].tobytes(), times[own].tobytes()) for p, own in split_by(range_of(high, width))])
+        code, times = sum_grams(codes, counts)
+        yield rows("gram", [(None, p, code[own].tobytes(), times[own].tobytes(), None) for p, own in split_by(part_of(code, depth, width))])
+
+    return survey
+
+
+def _sums(words: bool):
+    """One row for each part, with what tasks counted added up."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(part: int, held: list[tuple]) -> pa.RecordBatch:
+            if words:
+                found = build_words(held)
+                tokens = int(found[2].sum())
+            else:
+                found = (*sum_grams([np.frombuffer(r[0], np.uint64) for r in held], [np.frombuffer(r[1], np.int64) for r in held]), None)
+                tokens = 0
+            columns = [pa.array([part], pa.int32()), *(pa.array([None if x is None else x.tobytes()], pa.binary()) for x in found), pa.array([tokens], pa.int64()), pa.array([len(found[0])], pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, names=["part", "a", "b", "c", "tokens", "keys"])
+
+        at, held = None, []
+        for batch in batches:
+            for k in range(batch.num_rows):
+                part, a, b, c = (batch.column(j)[k].as_py() for j in range(4))
+                if part != at and held:
+                    yield done(at, held)
+                    held = []
+                at = part
+                held.append((a, b, c))
+        if held:
+            yield done(at, held)
+
+    return add
+
+
+def lm_scores(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, fold: int = 2, depth: int = 4, block_bytes: int = 4 << 20, broadcast_grams: int = BROADCAST_GRAMS
+) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of df.
 
     Both models learn from all rows outside the held-out fold.  A null or empty text is its end alone.
     Without a training row all counts are 0 (base_score is then 0 a token, as V and N are 0) and the byte
     model is uniform.  Repeated rows each teach and are each scored; an empty table gives an empty result;
-    other columns are ignored.
+    other columns are ignored.  Ids are taken as 64-bit integers.  A text over `block_bytes` is a block's last, and
+    is scored in slices.  `depth` is at most 6.
     """
     spark = df.sparkSession
-    buckets = shuffle_width(spark)
-    packed = blocks(with_text(df, id_col, text_col, lambda i: ~held_out(i, folds, fold)), block_bytes, buckets)
-    asked = arrow_map(packed, _ask(buckets), "block long, bucket int, high binary, low binary, counts binary")
-    answers = written(arrow_map(asked.repartition(buckets, "bucket").sortWithinPartitions("bucket"), _answer, "block long, bucket int, totals binary, tokens long, distinct long"))
-    known = answers.where("block = -1").agg(F.sum("tokens").alias("n"), F.sum("distinct").alias("v")).first()
+    width = shuffle_width(spark)
+    packed = blocks(with_text(df, id_col, text_col, lambda i: ~held_out(i, folds, fold)), block_bytes, width)
+    path = new_table(spark, "survey")
+    surveyed = arrow_map(packed, _survey(width, depth), "kind string, block long, part int, a binary, b binary, c binary")
+    surveyed.write.partitionBy("kind").option("compression", "zstd").parquet(path)
+    found = spark.read.schema(surveyed.schema).parquet(path)
+    summed = "part int, a binary, b binary, c binary, tokens long, keys long"
+
+    def sums(kind: str) -> DataFrame:
+        rows = found.where(F.col("kind") == kind).select("part", "a", "b", "c")
+        return written(arrow_map(rows.repartition(width, "part").sortWithinPartitions("part"), _sums(kind == "word"), summed))
+
+    words = sums("word")
+    known = words.agg(F.sum("tokens").alias("n"), F.sum("keys").alias("v")).first()
     n, v = known["n"] or 0, known["v"] or 0
+    ranges, salts = ranges_for(v, width)
 
-    def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(256, np.int64)
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A block's keys by range."""
         for batch in batches:
-            for _, _, ends, flags, body in block_rows(batch):
-                for text, flag in zip(texts_of(ends, body), flags, strict=True):
-                    if flag:
-                        total += np.bincount(np.frombuffer(text, np.uint8), minlength=256)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(total)], names=["byte", "n"])
-
-    bytes_seen = np.zeros(256, np.int64)
-    for row in arrow_map(packed, histogram, "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect():  # 256 rows
-        bytes_seen[row["byte"]] = row["n"]
-    symbols, shares = symbol_map(bytes_seen)
+            for k in range(batch.num_rows):
+                block, a, b = (batch.column(j)[k].as_py() for j in range(3))
+                high, low = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint32)
+                yield rows_of([(p, block % salts, True, block, high[own].tobytes(), low[own].tobytes(), None) for p, own in split_by(range_of(high, ranges))])
 
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """What a task has counted goes out in pages of equal code remainders."""
-        found, counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    def rerange(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The words' sums by the lookups' ranges."""
         for batch in batches:
-            for _, _, ends, flags, body in block_rows(batch):
-                texts = [t for t, flag in zip(texts_of(ends, body), flags, strict=True) if flag]
-                if texts:
-                    more, times = count_codes(texts, symbols)
-                    found, at = np.unique(np.concatenate((found, more)), return_inverse=True)
-                    counts = np.bincount(at, weights=np.concatenate((counts, times))).astype(np.int64)
-        page = found % np.uint32(buckets)
-        rows = [(p, own) for p in range(buckets) if len(own := np.flatnonzero(page == p))]
-        columns = [pa.array([p for p, _ in rows], pa.int32()), pa.array([found[own].tobytes() for _, own in rows], pa.binary()), pa.array([counts[own].tobytes() for _, own in rows], pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, names=["page", "codes", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        for batch in batches:
-            more = [np.frombuffer(x, np.uint32) for x in batch.column("codes").to_pylist()]
-            times = [np.frombuffer(x, np.int64) for x in batch.column("counts").to_pylist()]
-            found, at = np.unique(np.concatenate((found, *more)), return_inverse=True)
-            counts = np.bincount(at, weights=np.concatenate((counts, *times))).astype(np.int64)
-        if len(found):
-            yield pa.RecordBatch.from_arrays([pa.array([found.tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary())], names=["codes", "counts"])
-
-    pages = arrow_map(packed, grams, "page int, codes binary, counts binary").repartition(buckets, "page")
-    # At most 64**4 counts, one binary a task.
-    parts = arrow_map(pages, add, "codes binary, counts binary").collect()
-    found = np.concatenate([np.frombuffer(r["codes"], np.uint32) for r in parts] or [np.zeros(0, np.uint32)])
-    counts = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in parts] or [np.zeros(0, np.int64)])
-    order = np.argsort(found)
-    trie = spark.sparkContext.broadcast(Trie(found[order].astype(np.int64), counts[order]))
+            for k in range(batch.num_rows):
+                own = build_words([tuple(batch.column(j)[k].as_py() for j in range(3))])
+                yield rows_of([(p, 0, False, None, *(x[at].tobytes() for x in own)) for p, at in split_by(range_of(own[0], ranges))])
+
+    asked = arrow_map(found.where("kind = 'ask'").select("block", "a", "b"), route, ROW)
+    answers = written(lookups(arrow_map(words.select("a", "b", "c"), rerange, ROW), asked, salts, build_words, answer_words))
+    gathered = lambda rows, name: rows.groupBy("block").agg(F.collect_list(F.struct("part", "found")).alias(name)).hint("shuffle_hash")
+    joined = packed.join(gathered(answers, "words"), "block")
+
+    grams = sums("gram")
+    n_grams = grams.agg(F.sum("keys").alias("n")).first()["n"] or 0
+    parts, gram_salts = ranges_for(n_grams, width)
+    trie = None
+    if n_grams <= broadcast_grams:
+        rows = grams.select("a", "b").collect()
+        codes, counts = sum_grams([np.frombuffer(r["a"], np.uint64) for r in rows], [np.frombuffer(r["b"], np.int64) for r in rows])
+        trie = spark.sparkContext.broadcast(Trie(codes, counts, depth))
+        joined = joined.withColumn("strings", F.lit(None).cast("array<struct<part:int,found:binary>>"))
+    else:
+        joined = joined.join(gathered(written(_far_logs(packed, grams, depth, parts, gram_salts)), "strings"), "block")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = math.log10(n + v + 1)
@@ -326,26 +429,74 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fol
             for k, (_, ids, ends, _, body) in enumerate(block_rows(batch)):
                 texts = texts_of(ends, body)
                 lists = [t.lower().split() for t in texts]
-                order = list(dict.fromkeys(w for own in lists for w in own)) + [END]
-                bucket = bucket_of(word_keys(order)[0], buckets)
-                totals = np.zeros(len(order), np.int64)
-                for answer in batch.column("answers")[k].as_py():
-                    own = np.flatnonzero(bucket == answer["bucket"])
-                    totals[own] = unpack_totals(answer["totals"], len(own))
-                logs = dict(zip(order, np.log10(totals + 1.0).tolist(), strict=True))
-                new = {w for w, c in zip(order, totals.tolist(), strict=True) if not c}
-                size = [len(own) + 1 for own in lists]
-                base = [sum(map(logs.__getitem__, own)) + logs[END] - m * whole for own, m in zip(lists, size, strict=True)]
-                fresh = [(END in new) + sum(map(new.__contains__, own)) for own in lists]
+                distinct, high, _, order = distinct_words(lists)
+                totals = np.empty(len(order), np.int64)
+                given = {x["part"]: x["found"] for x in batch.column("words")[k].as_py()}
+                for p, own in split_by(range_of(high, ranges)):
+                    totals[order[own]] = unpack_totals(given[p], len(own))
+                index = dict(zip(distinct, range(len(distinct)), strict=True))
+                size = np.array([len(own) for own in lists], np.int64)
+                at = np.fromiter((index[w] for own in lists for w in own), np.int64, int(size.sum()))
+                places = np.concatenate(([0], np.cumsum(size)))
+                logs, seen = np.log10(totals + 1.0), (totals > 0).astype(np.int64)
+                sums_of = lambda x, at=at, places=places: np.diff(np.concatenate(([0], np.cumsum(x[at])))[places]) + x[-1]
+                if trie is None:
+                    mine = distinct_grams(texts, depth)
+                    far = np.empty(len(mine))
+                    given = {x["part"]: x["found"] for x in batch.column("strings")[k].as_py()}
+                    for p, own in split_by(part_of(mine, depth, parts)):
+                        far[own] = np.frombuffer(given[p])
+                    look = lambda q, mine=mine, far=far: far[np.searchsorted(mine, q)]
+                else:
+                    look = trie.value.logs
                 columns = [
                     pa.array(ids, pa.int64()),
-                    pa.array(size, pa.int64()),
-                    pa.array([m - f for m, f in zip(size, fresh, strict=True)], pa.int64()),
-                    pa.array(base, pa.float64()),
-                    pa.array(text_logs(trie.value, symbols, shares, texts), pa.float64()),
+                    pa.array(size + 1, pa.int64()),
+                    pa.array(sums_of(seen), pa.int64()),
+                    pa.array(sums_of(logs) - (size + 1) * whole, pa.float64()),
+                    pa.array(text_logs(texts, depth, look), pa.float64()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
-    gathered = answers.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("bucket", "totals")).alias("answers"))
-    scored = arrow_map(packed.join(gathered.hint("shuffle_hash"), "block"), score, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    scored = arrow_map(joined, score, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", held_out(F.col("doc_id"), folds, fold).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def distinct_grams(texts: list[bytes], depth: int) -> np.ndarray:
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.unique(code) for code, _, _ in gram_slices(texts, depth))]))
+
+
+def _far_logs(packed: DataFrame, grams: DataFrame, depth: int, parts: int, salts: int) -> DataFrame:
+    """Logs of each block's strings, from a trie that stays in its parts.  Contexts of up to one symbol, at most
+    SYMBOLS squared counts, go to every task."""
+    spark = packed.sparkSession
+
+    def shortest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                code, times = np.frombuffer(batch.column(0)[k].as_py(), np.uint64), np.frombuffer(batch.column(1)[k].as_py(), np.int64)
+                near = sum_grams([code >> np.uint64(BITS * depth) << _ONE | code & _LOW, np.zeros(0, np.uint64)], [times, np.zeros(0, np.int64)])
+                yield pa.RecordBatch.from_arrays([pa.array(near[0].astype(np.int64)), pa.array(near[1])], names=["code", "n"])
+
+    pairs = arrow_map(grams.select("a", "b"), shortest, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").collect()
+    one = Level(np.array([r["code"] for r in pairs], np.uint64), np.array([r["n"] for r in pairs], np.int64))
+    none = Level(*sum_grams([one.grams & _LOW, np.zeros(0, np.uint64)], [one.counts, np.zeros(0, np.int64)]))
+    one.below(none)
+    base = spark.sparkContext.broadcast([none, one])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                code, times = np.frombuffer(batch.column(0)[k].as_py(), np.uint64), np.frombuffer(batch.column(1)[k].as_py(), np.int64)
+                yield rows_of([(p, 0, False, None, code[own].tobytes(), times[own].tobytes(), None) for p, own in split_by(part_of(code, depth, parts))])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, _, ends, _, body in block_rows(batch):
+                mine = distinct_grams(texts_of(ends, body), depth)
+                yield rows_of([(p, number % salts, True, number, mine[own].tobytes(), None, None) for p, own in split_by(part_of(mine, depth, parts))])
+
+    def build(rows: list[tuple]) -> Trie:
+        return Trie(*sum_grams([np.zeros(0, np.uint64), *(np.frombuffer(r[0], np.uint64) for r in rows)], [np.zeros(0, np.int64), *(np.frombuffer(r[1], np.int64) for r in rows)]), depth, base.value)
+
+    return lookups(arrow_map(grams.select("a", "b"), deal, ROW), arrow_map(packed, ask, ROW), salts, build, lambda trie, a, b: trie.logs(np.frombuffer(a, np.uint64)).tobytes())

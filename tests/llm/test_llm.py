@@ -393,61 +393,6 @@ def test_word_bins_round_trip():
         assert mixing.bins_of(mixing.word_bins(words)).tolist() == sorted({zlib.crc32(w) & mixing.BINS - 1 for w in words})
 
 
-# --- language model ------------------------------------------------------------------------------------
-
-
-def test_word_model_matches_counts(spark, small):
-    df, texts = small
-    count = Counter()
-    for i, t in texts.items():
-        if zlib.crc32(str(i).encode()) % 7 != 2:
-            count.update([*t.encode().lower().split(), b" "])
-    n, v = sum(count.values()), len(count)
-    for r in lm_scores.lm_scores(df, block_bytes=60_000).collect():
-        words = [*texts[r["doc_id"]].encode().lower().split(), b" "]
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(words), sum(count[w] > 0 for w in words), n)
-        assert r["base_score"] == pytest.approx(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in words))
-        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2) and r["score"] < 0
-
-
-def test_totals_round_trip():
-    for x in ([], [0, 5, 2**32 - 1], [2**40, 1]):
-        assert lm_scores.unpack_totals(lm_scores.pack_totals(np.array(x, np.int64)), len(x)).tolist() == x
-
-
-def plain_ppm(counts, context, symbol):
-    """Escape method C with exclusion, from counts of (three symbols, symbol)."""
-    p, excluded = 1.0, set()
-    for k in (3, 2, 1, 0):
-        seen = Counter()
-        for (c, s), n in counts.items():
-            if c[3 - k :] == context[3 - k :]:
-                seen[s] += n
-        left = {s: n for s, n in seen.items() if s not in excluded}
-        total, kinds = sum(left.values()), len(left)
-        if symbol in left:
-            return p * left[symbol] / (total + kinds)
-        if left:
-            p *= kinds / (total + kinds)
-        excluded |= set(seen)
-    return p / (lm_scores.SYMBOLS - len(excluded))
-
-
-def test_trie_matches_plain_ppm():
-    r = np.random.default_rng(4)
-    text = r.integers(0, 6, 400)
-    counts = Counter((tuple(text[i - 3 : i].tolist()), int(text[i])) for i in range(3, 400))
-    code = {((c[0] << 18) | (c[1] << 12) | (c[2] << 6) | s): n for (c, s), n in counts.items()}
-    found = np.array(sorted(code), np.int64)
-    trie = lm_scores.Trie(found, np.array([code[k] for k in found.tolist()]))
-    for context in [(0, 1, 2), (5, 5, 5), (9, 0, 1), (9, 9, 0), (9, 9, 9), *list(c for c, _ in counts)[:10]]:
-        base = (context[0] << 18) | (context[1] << 12) | (context[2] << 6)
-        logs = trie.logs(np.arange(base, base + 64).astype(np.uint32))
-        assert (10.0**logs).sum() == pytest.approx(1, rel=1e-4)
-        for s in (0, 3, 5, 40):
-            assert logs[s] == pytest.approx(math.log10(plain_ppm(counts, context, s)), abs=1e-4)
-
-
 # --- HTML ----------------------------------------------------------------------------------------------
 
 PAGE = """<html><head><title>T</title></head><body class="has-sidebar"><header><h1>Site</h1></header><nav>menu</nav><main><article><header class="entry-header"><h1>Title &amp; more</h1></header>
