@@ -13,7 +13,7 @@ out from it for several step lengths at once, and returns one row of sums for ea
 from __future__ import annotations
 
 import logging
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -123,24 +123,38 @@ def learn_words(measured: DataFrame, labels: DataFrame, id_col: str) -> tuple[fl
     return prior, absent, bins.astype(np.uint32), odds
 
 
-def membership(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, temperature: float) -> tuple[DataFrame, Membership]:
-    """A written table of doc_id, tokens (words between white space) and q, the posterior over DOMAINS; and what judged it."""
+#: Tokens of a text's bytes.
+Counter = Callable[[bytes], int]
+
+
+def features(df: DataFrame, id_col: str, text_col: str, tokens_of: Counter | None) -> DataFrame:
+    """A written table of doc_id, tokens, and what the classifiers look at."""
     rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    kind = dict(rows.dtypes)["doc_id"]
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             tokens, stats, bins = [], [], []
             for text in byte_texts(batch.column("text")):
                 words = text.lower().split()
-                tokens.append(len(words))
+                tokens.append(tokens_of(text) if tokens_of else len(words))
                 stats.append(statistics(text))
                 bins.append(word_bins(words))
             columns = [batch.column("doc_id"), pa.array(tokens, pa.int64()), pa.array(stats, pa.list_(pa.float64())), pa.array(bins, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tokens", "x", "bins"])
 
-    measured = written(arrow_map(rows, features, f"doc_id {kind}, tokens long, x array<double>, bins binary"))
-    model = Membership(learn(measured, quality_classes(labels, id_col, "quality"), 2), *learn_words(measured, labels, id_col))
+    return written(arrow_map(rows, look, f"doc_id {dict(rows.dtypes)['doc_id']}, tokens long, x array<double>, bins binary"))
+
+
+def membership(
+    df: DataFrame, labels: DataFrame, id_col: str, text_col: str, temperature: float, tokens_of: Counter | None = None, taught: DataFrame | None = None
+) -> tuple[DataFrame, Membership]:
+    """A written table of doc_id, tokens (words between white space unless told otherwise) and q, the posterior over DOMAINS;
+    and what judged it.  `taught` holds the texts that the labels speak of, df's own unless given: after a filter,
+    df may have lost a domain."""
+    measured = features(df, id_col, text_col, tokens_of)
+    kind = dict(measured.dtypes)["doc_id"]
+    lessons = measured if taught is None else features(taught, id_col, text_col, None)
+    model = Membership(learn(lessons, quality_classes(labels, id_col, "quality"), 2), *learn_words(lessons, labels, id_col))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,16 +234,20 @@ def mix(
     text_col: str = "text",
     temperature: float = 2.0,
     seed: int = 17,
+    tokens_of: Counter | None = None,
 ) -> DataFrame:
     """doc_id, tokens, p_<domain>, rate, copies for every row of df.
 
+    Tokens are words between white space, or what `tokens_of` counts in a text's bytes.
+
     copies is rate rounded up or down by a draw that depends on the id and seed alone, so its expectation is
     the rate.  Null texts count as empty: no tokens, and the rate its posterior gives.  Null labels teach nothing.
     Without labelled rows all posteriors are equal.  Targets that no rates can meet are met as
-    nearly as least squares can, and a warning names the shares met.  Repeated rows each count; an empty table gives an empty result; other
+    nearly as least squares can, and a warning names the shares met.  Repeated rows each count towards the targets, and
+    labelled rows with equal words and label teach what words tell once.  An empty table gives an empty result; other
     columns are ignored.
     """
-    members, _ = membership(df, labels, id_col, text_col, temperature)
+    members, _ = membership(df, labels, id_col, text_col, temperature, tokens_of)
     steps, _, _ = fit_rates(members, np.array([weights[d] for d in DOMAINS], float))
     kind = dict(members.dtypes)["doc_id"]
 
@@ -257,9 +275,14 @@ def drawn(
     text_col: str = "text",
     temperature: float = 2.0,
     seed: int = 17,
+    tokens_of: Counter | None = None,
+    taught: DataFrame | None = None,
 ) -> DataFrame:
-    """The rows of df, all columns as they are, each as often as mix() says in copies; rows never leave their partitions."""
-    members, model = membership(df, labels, id_col, text_col, temperature)
+    """The rows of df, all columns as they are, each as often as mix() says in copies; rows never leave their partitions.
+
+    Nulls, repeated rows and empty tables are taken as mix() takes them.
+    """
+    members, model = membership(df, labels, id_col, text_col, temperature, tokens_of, taught)
     steps, _, _ = fit_rates(members, np.array([weights[d] for d in DOMAINS], float))
 
     def repeat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

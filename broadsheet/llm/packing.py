@@ -63,6 +63,11 @@ def encode(text: str, json_path: str, rank_path: str | None = None) -> list[int]
     return exact.encode(text, add_special_tokens=False).ids
 
 
+def piece_tokens(json_path: str, rank_path: str | None = None):
+    """A function that says how many tokens pack() makes of a text's bytes, the end included."""
+    return lambda text: len(encode(text.decode(), json_path, rank_path)) + 1
+
+
 def pieces_of(ids: np.ndarray, capacity: int) -> Iterator[tuple[int, int]]:
     """(start, length) of the pieces: one if it fits, else `capacity` long each but the first, which takes the rest."""
     n = len(ids)

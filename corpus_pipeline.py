@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 from broadsheet.llm.common import table, written
 from broadsheet.llm.exact_dedup import exact_dedup
 from broadsheet.llm.mixing import drawn
-from broadsheet.llm.packing import pack
+from broadsheet.llm.packing import pack, piece_tokens
 from broadsheet.llm.quality import keep_quality
 from broadsheet.llm.simhash import near_groups
 
 #: Shares of the expected tokens after the quality classifier has taken the low-quality documents out.
-MIXTURE = {"clean": 0.945, "toxic": 0.05, "low": 0.005}
+MIXTURE = {"clean": 0.97, "toxic": 0.03, "low": 0.0}
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +49,12 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its rate says, its fraction decided by a draw from its id."""
-    return drawn(docs, table(spark, sf_dir, "labels"), MIXTURE)
+    """Each document as often as its rate says, its fraction decided by a draw from its id.  Tokens are those that the
+    next stage packs.  Domains are learnt from all labelled documents, for most of one have been rejected by now."""
+    from public_tokenizers import path
+
+    tokens_of = piece_tokens(path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"))
+    return drawn(docs, table(spark, sf_dir, "labels"), MIXTURE, tokens_of=tokens_of, taught=table(spark, sf_dir, "documents"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
