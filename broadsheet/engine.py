@@ -13,16 +13,24 @@ from .functions.answers import read_answer
 from .functions.text import embed_input
 from .operators import digests as D
 from .operators import lists as L
+from .operators import search as X
 from .operators import state as S
 from .operators import vectors as V
 from .operators import work as W
 from .session import ship
-from .settings import resolve
+from .settings import clamped, resolve
 
 Embedder = Callable[[list[str]], list[list[float]]]
 Enricher = Callable[[str, str], str]
 
 
+@dataclass(frozen=True)
+class Page:
+    rows: list
+    mode: str
+    next_cursor: str | None
+
+
 @dataclass(frozen=True)
 class Engine:
     """Tables in, tables out: every change returns a new Engine over the next snapshot."""
@@ -35,6 +43,19 @@ class Engine:
     model: str = "m1"
     embedder: Embedder | None = None
     threshold: int = 65
+    #: operators.search.postings of items; without it a search reads all texts.
+    index: DataFrame | None = None
+
+    def page(self, view: str = "unread", feed_id: int | None = None, tag: str | None = None, query: str | None = None, mode: str = "text", cursor: str | None = None, limit: int | None = None) -> Page:
+        """One page's rows, at most 200 of them, in order; a full page of a list by time has a cursor to the next."""
+        rows, found = self.list(view, feed_id, tag, query, mode, cursor, limit)
+        held = rows.collect()
+        by_time = found == "text" and (view != "interesting" or L.search_terms(query) is not None)
+        more = None
+        if by_time and len(held) == L.page_size(limit):
+            last = self.items.where(F.col("id") == held[-1]["id"]).select(L.recency().alias("at")).first()
+            more = L.make_cursor(last["at"], held[-1]["id"])
+        return Page(held, found, more)
 
     def list(self, view: str = "unread", feed_id: int | None = None, tag: str | None = None, query: str | None = None, mode: str = "text", cursor: str | None = None, limit: int | None = None) -> tuple[DataFrame, str]:
         """Rows, and the mode that found them: semantic search falls back to text when no query vector comes."""
@@ -43,8 +64,9 @@ class Engine:
             if asked is not None:
                 found = V.semantic_search(self.vectors, asked, self.model, limit=L.page_size(limit))
                 rows = self.items if feed_id is None else self.items.where(F.col("feed_id") == feed_id)
-                return L.shown_items(rows.join(found.withColumnRenamed("item_id", "id"), "id"), self.items, self.feeds, "similarity"), "semantic"
-        return L.list_items(self.items, self.feeds, view, feed_id, tag, query, cursor, L.page_size(limit), self.threshold), "text"
+                best = [F.desc("similarity"), F.col("id")]
+                return L.shown_items(rows.join(found.withColumnRenamed("item_id", "id"), "id"), self.items, self.feeds, "similarity", order=best), "semantic"
+        return L.list_items(self.items, self.feeds, view, feed_id, tag, query, cursor, L.page_size(limit), self.threshold, self.index), "text"
 
     def _query_vector(self, query: str) -> list[float] | None:
         try:
@@ -82,16 +104,54 @@ class Engine:
     def digest(self, day: str) -> DataFrame:
         """A day's digest with its items in order; items since deleted are left out."""
         ids = D.threads(self.digests.where(F.col("day") == F.lit(day).cast("date"))).select("thread", "title", "pos", F.col("item_id").alias("id"))
-        return ids.withColumnRenamed("title", "thread_title").join(self.items.select("id", "title"), "id")
+        return L.by_ids(self.items.select("id", "title"), ids.select("thread", "pos", "id", F.col("title").alias("thread_title")))
+
+    def feed(self, feed_id: int) -> DataFrame:
+        return self.feeds.where(F.col("id") == feed_id)
+
+    def item(self, item_id: int) -> DataFrame:
+        """One item as the reader shows it, members of clusters too."""
+        return L.shown_items(self.items.where(F.col("id") == item_id), self.items, self.feeds, "content_text", "summary")
+
+    def vector(self, item_id: int) -> DataFrame:
+        return self.vectors.where(F.col("item_id") == item_id)
+
+    def enrichment(self, item_id: int) -> DataFrame:
+        return self.items.where(F.col("id") == item_id).select("id", "summary", "score", "tags")
+
+    def with_items(self, items: DataFrame) -> Engine:
+        return replace(self, items=items)
+
+    def add_items(self, batch: DataFrame) -> Engine:
+        """New items by (feed_id, guid), and their postings."""
+        fresh = S.insert_missing(self.items, batch, ["feed_id", "guid"], "id").select(self.items.columns)
+        return replace(self, items=self.items.unionByName(fresh), index=None if self.index is None else X.updated(self.index, fresh))
+
+    def record_digest(self, digest: DataFrame) -> Engine:
+        return replace(self, digests=D.recorded(self.digests, digest))
+
+    def record_vectors(self, found: DataFrame, now: str) -> Engine:
+        items, vectors = S.record_vectors(self.items, self.vectors, found, now)
+        return replace(self, items=items, vectors=vectors)
+
+    def set(self, changes: dict[str, float]) -> Engine:
+        """Settings stored within their bounds, those given in place of what was stored."""
+        rows = self.feeds.sparkSession.createDataFrame([(k, str(clamped(k, v))) for k, v in changes.items()], "key string, value string")
+        return replace(self, stored=rows if self.stored is None else S.upsert_newest(self.stored, rows, "key"))
+
+    def add_feeds(self, asked: DataFrame, now: str) -> Engine:
+        return replace(self, feeds=S.insert_feeds(self.feeds, asked, now))
 
     def digest_candidates(self, day: str) -> DataFrame | None:
         """None on a day with fewer items than make a digest."""
         rows = D.candidates(self.items, self.feeds, day)
         return rows if rows.limit(D.FEWEST).count() >= D.FEWEST else None
 
-    def prune(self, cutoff: str) -> Engine:
-        items, vectors = D.prune(self.items, self.vectors, D.retention_victims(self.items, self.digests, cutoff))
-        return replace(self, items=items, vectors=vectors)
+    def prune(self, cutoff: str, most: int | None = 2000) -> Engine:
+        victims = D.retention_victims(self.items, self.digests, cutoff, most)
+        items, vectors = D.prune(self.items, self.vectors, victims)
+        index = None if self.index is None else self.index.join(victims.select("id"), "id", "left_anti").select("token", "id")
+        return replace(self, items=items, vectors=vectors, index=index)
 
     def delete_feed(self, feed_id: int) -> Engine:
         gone = self.feeds.sparkSession.createDataFrame([(feed_id,)], "feed_id long")

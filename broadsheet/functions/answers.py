@@ -38,12 +38,12 @@ def digest_system(profile: str, day: str) -> str:
 def digest_user(candidates: DataFrame) -> DataFrame:
     """One prompt of a day's candidates (at most 40 rows), best first."""
     line = F.concat(
-        F.lit("\n["), F.col("id").cast("string"), F.lit("] "), F.trim("title"), F.lit(" - "), F.trim("feed_title"),
+        F.lit("\n["), F.col("id").cast("string"), F.lit("] "), F.trim("title"), F.lit(" — "), F.trim("feed_title"),
         F.when(F.col("score").isNotNull(), F.concat(F.lit(" (score "), F.col("score").cast("string"), F.lit(")"))).otherwise(""),
         F.when(F.col("summary").isNotNull(), F.concat(F.lit("\n    "), F.trim("summary"))).otherwise(""),
     )
     rank = F.struct((-F.coalesce("score", F.lit(-1))).alias("s"), (-F.unix_seconds(F.col("recency").cast("timestamp"))).alias("r"), (-F.col("id")).alias("i"), line.alias("line"))
-    return candidates.agg(F.concat(F.lit("Items:"), F.array_join(F.transform(F.array_sort(F.collect_list(rank)), lambda x: x["line"]), "")).alias("prompt"))
+    return candidates.agg(F.concat(F.lit("Items:\n"), F.array_join(F.transform(F.array_sort(F.collect_list(rank)), lambda x: x["line"]), "")).alias("prompt"))
 
 
 def read_answer(answer: Column, kind: str = "enrich") -> Column:

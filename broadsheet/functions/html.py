@@ -14,6 +14,7 @@ LAZY = ("data-src", "data-lazy-src", "data-original", "data-echo")
 PRUNABLE = ("p", "span", "div", "section", "article", "header", "footer", "figure", "em", "strong", "b", "i", "small", "h1", "h2", "h3", "h4", "h5", "h6")
 PRUNE_PASSES = 8
 
+#: The elements, attributes and address schemes that the published defaults of an HTML sanitizer allow.
 ALLOWED = frozenset(
     "a abbr acronym area article aside b bdi bdo blockquote br caption center cite code col colgroup data dd del details dfn div dl dt em figcaption figure"
     " footer h1 h2 h3 h4 h5 h6 header hgroup hr i img ins kbd li map mark nav ol p pre q rp rt ruby s samp section small span strike strong sub summary sup"
@@ -228,23 +229,33 @@ class _Article(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.stack, self.skipped, self.found, self.order = [("", 0)], 0, {}, 0
+        #: The markup that is not skipped, and where each element's own begins and ends in it.
+        self.markup, self.spans = [], {("", 0): [0, None]}
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if not self.skipped and tag not in self.SKIP:
+            self.markup.append(self.get_starttag_text())
         if tag in VOID or tag in ("meta", "link", "input"):
             return
         self.order += 1
         self.stack.append((tag, self.order))
+        self.spans[tag, self.order] = [len(self.markup), None]
         self.skipped += tag in self.SKIP
 
     def handle_endtag(self, tag: str) -> None:
         if any(t == tag for t, _ in self.stack[1:]):
             while True:
-                t, _ = self.stack.pop()
+                t, number = self.stack.pop()
+                self.spans[t, number][1] = len(self.markup)
                 self.skipped -= t in self.SKIP
+                if not self.skipped and t not in self.SKIP:
+                    self.markup.append(f"</{t}>")
                 if t == tag:
                     break
 
     def handle_data(self, data: str) -> None:
+        if not self.skipped:
+            self.markup.append(html.escape(data, quote=False))
         if self.skipped or not data.strip():
             return
         for tag, number in self.stack:
@@ -252,9 +263,9 @@ class _Article(HTMLParser):
                 self.found.setdefault((tag, number), []).append(data)
 
 
-def article_text(markup: str, least: int = 200) -> str | None:
-    """The text of a page's article: its article or main element, else the innermost container with most of its prose;
-    null below `least` characters."""
+def article(markup: str, base: str | None = None, least: int = 200) -> dict[str, str] | None:
+    """The harmless markup and the text of a page's article: its article or main element, else the innermost container
+    with most of its prose; null below `least` characters."""
     parser = _Article()
     try:
         parser.feed(markup)
@@ -262,8 +273,34 @@ def article_text(markup: str, least: int = 200) -> str | None:
     except (AssertionError, ValueError):
         return None
     texts = {key: " ".join(" ".join(parts).split()) for key, parts in parser.found.items()}
-    marked = [t for (tag, _), t in texts.items() if tag in ("article", "main")]
-    whole = max(texts.values(), key=len, default="")
-    inner = [t for _, t in sorted(texts.items(), key=lambda x: -x[0][1]) if 2 * len(t) > len(whole)]
-    best = max(marked, key=len) if marked else (inner or [""])[0]
-    return best if len(best) >= least else None
+    marked = [key for key in texts if key[0] in ("article", "main")]
+    longest = max(map(len, texts.values()), default=0)
+    inner = [key for key in sorted(texts, key=lambda k: -k[1]) if 2 * len(texts[key]) > longest]
+    best = max(marked, key=lambda k: len(texts[k])) if marked else next(iter(inner), None)
+    if best is None or len(texts[best]) < least:
+        return None
+    first, end = parser.spans[best]
+    return {"html": sanitize("".join(parser.markup[first:end]), base), "text": texts[best]}
+
+
+def article_text(markup: str, least: int = 200) -> str | None:
+    found = article(markup, None, least)
+    return found and found["text"]
+
+
+def closed_address(url: str) -> bool:
+    """Whether a url names an address that is not on the public internet.  Names are not looked up here."""
+    import ipaddress
+    from urllib.parse import urlsplit
+
+    try:
+        host = urlsplit(url).hostname or ""
+    except ValueError:
+        return True
+    if host == "localhost" or host.endswith(".localhost"):
+        return True
+    try:
+        ipaddress.ip_address(host)
+    except ValueError:
+        return False
+    return not is_public(host)

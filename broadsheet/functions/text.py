@@ -26,6 +26,14 @@ def folded(text: Column) -> Column:
     return F.translate(F.lower(text), ACCENTED, PLAIN)
 
 
+_FOLDING = str.maketrans(ACCENTED, PLAIN)
+
+
+def fold(text: str) -> str:
+    """What folded() makes of a text, for queries that come from outside the tables."""
+    return text.lower().translate(_FOLDING)
+
+
 def tokens(text: Column) -> Column:
     """Folded runs of letters and digits."""
     return F.filter(F.split(folded(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{N}]+"), lambda t: t != "")

@@ -26,3 +26,14 @@ def column2(function: Callable, kind: str) -> Callable:
         return pd.Series([None if x is None else function(x, y) for x, y in zip(a, b, strict=True)])
 
     return each
+
+
+def struct2(function: Callable, fields: dict[str, str]) -> Callable:
+    """Of two arguments, to a struct of the given fields; all of them null if the first argument or the result is."""
+
+    @F.pandas_udf(", ".join(f"{name} {kind}" for name, kind in fields.items()))
+    def each(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        found = [(None if x is None else function(x, y)) or {} for x, y in zip(a, b, strict=True)]
+        return pd.DataFrame({name: pd.Series([f.get(name) for f in found], dtype=object) for name in fields})
+
+    return each

@@ -14,8 +14,9 @@ CANDIDATES, FEWEST = 40, 3
 def candidates(items: DataFrame, feeds: DataFrame, day: str, most: int = CANDIDATES) -> DataFrame:
     """A day's cluster heads, best and newest first."""
     rows = items.where(is_head()).withColumn("recency", recency()).where(F.to_date("recency") == F.lit(day).cast("date"))
-    top = rows.orderBy(F.desc_nulls_last("score"), F.desc("recency"), F.desc("id")).limit(most)
-    return top.join(feed_titles(feeds), "feed_id").select("id", "title", "feed_title", "score", "summary", "recency")
+    order = [F.desc_nulls_last("score"), F.desc("recency"), F.desc("id")]
+    top = rows.orderBy(*order).limit(most)
+    return top.join(feed_titles(feeds), "feed_id").select("id", "title", "feed_title", "score", "summary", "recency").orderBy(*order)
 
 
 def threads(digests: DataFrame) -> DataFrame:
@@ -25,11 +26,29 @@ def threads(digests: DataFrame) -> DataFrame:
     return flat.select("day", "thread", F.col("t.title").alias("title"), F.posexplode("t.item_ids").alias("pos", "item_id"))
 
 
+def recorded(digests: DataFrame, written: DataFrame) -> DataFrame:
+    """digests with a day's new digest in place of an old one."""
+    return digests.join(written.select("day"), "day", "left_anti").select(written.columns).unionByName(written)
+
+
 def pruned(content: DataFrame, known: DataFrame) -> DataFrame:
     """threads() rows whose item is known; a thread without any is gone."""
     return content.join(known, "item_id", "left_semi")
 
 
+def known_only(digests: DataFrame, known: DataFrame) -> DataFrame:
+    """Digests as they are to be stored: threads keep the ids that are known (item_id), and threads without any go."""
+    kept = pruned(threads(digests), known).groupBy("day", "thread").agg(F.array_sort(F.collect_list(F.struct("pos", "item_id"))).alias("ids"))
+    left = kept.groupBy("day").agg(F.map_from_entries(F.collect_list(F.struct("thread", F.transform("ids", lambda x: x["item_id"]).alias("ids")))).alias("left"))
+    read = digests.join(left, "day", "left").withColumn("c", F.from_json("content", DIGEST_CONTENT))
+    threads_ = F.filter(
+        F.transform("c.threads", lambda t, i: F.struct(t["title"].alias("title"), t["note"].alias("note"), F.coalesce(F.col("left")[i], F.array().cast("array<bigint>")).alias("item_ids"))),
+        lambda t: F.size(t["item_ids"]) > 0,
+    )
+    content = F.to_json(F.struct(F.col("c.intro").alias("intro"), threads_.alias("threads")))
+    return read.select(*(content.alias(c) if c == "content" else F.col(c) for c in digests.columns))
+
+
 def retention_victims(items: DataFrame, digests: DataFrame, cutoff: str, most: int | None = 2000) -> DataFrame:
     """Read, unstarred, uncited items older than the cutoff, oldest first."""
     old = items.where(F.col("read_at").isNotNull() & F.col("starred_at").isNull()).withColumn("recency", recency())

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .search import found_ids
 
 #: Page sizes: shortest, usual and longest.
 PAGE = (1, 50, 200)
@@ -44,11 +46,7 @@ def search_terms(query: str | None) -> list[str] | None:
     """None without a query; else its words, folded, the last one a prefix.  A query without words gives [], which matches nothing."""
     if query is None or not query.strip():
         return None
-    import re
-    import unicodedata
-
-    folded = "".join(c for c in unicodedata.normalize("NFD", query.lower()) if not unicodedata.combining(c))
-    return [w for w in re.split(r"[\W_]+", folded) if w]
+    return [w for w in re.split(r"[\W_]+", T.fold(query)) if w]
 
 
 def matches(terms: list[str], title: Column, body: Column) -> Column:
@@ -85,35 +83,48 @@ def list_items(
     cursor: str | None = None,
     limit: int | None = None,
     threshold: int = 65,
+    index: DataFrame | None = None,
 ) -> DataFrame:
-    """Items of a view, newest first (interesting: best first), with their feed's title and cluster's size.
+    """Items of a view with their feed's title and cluster's size; a page of `limit` rows comes newest first
+    (interesting: best first), all rows in any order.
 
-    A search looks through the whole archive: the view is ignored and clusters aren't collapsed.  The cursor
-    is the last row of the page before; the interesting view has none.
+    A search looks through the whole archive: the view is ignored and clusters aren't collapsed.  With an index (see
+    operators.search) it reads the postings of its words and no text.  The cursor is the last row of the page before;
+    the interesting view has none.
     """
     terms = search_terms(query)
+    view = view if terms is None else "all"
     rows = items
     if feed_id is not None:
         rows = rows.where(F.col("feed_id") == feed_id)
     if tag:
         rows = rows.where(F.array_contains("tags", tag))
-    rows = rows.where(in_view(view, threshold) & is_head() if terms is None else matches(terms, F.col("title"), F.col("content_text")))
+    if terms is None:
+        rows = rows.where(in_view(view, threshold) & is_head())
+    elif index is None:
+        rows = rows.where(matches(terms, F.col("title"), F.col("content_text")))
+    else:
+        rows = rows.join(found_ids(index, terms), "id", "left_semi")
     at = parse_cursor(cursor) if view != "interesting" else None
     rows = rows.withColumn("recency", recency())
     if at:
         # The first condition says no more than the second, but reaches the scan's statistics.
         rows = rows.where(F.col("recency") <= F.lit(at[0])).where(F.struct("recency", "id") < F.struct(F.lit(at[0]).cast("timestamp_ntz"), F.lit(at[1]).cast("long")))
     order = [F.desc("recency"), F.desc("id")]
-    if limit is not None:
-        rows = rows.orderBy(*([F.desc_nulls_last("score"), *order] if view == "interesting" else order)).limit(limit)
-    return shown_items(rows, items, feeds)
+    if view == "interesting":
+        order = [F.desc_nulls_last("score"), *order]
+    if limit is None:
+        return shown_items(rows, items, feeds)
+    return shown_items(rows.orderBy(*order).limit(limit), items, feeds, order=order)
 
 
-def shown_items(rows: DataFrame, items: DataFrame, feeds: DataFrame, *more: str) -> DataFrame:
-    """What a list shows of rows; sizes count members among all items, unless rows bring them along."""
+def shown_items(rows: DataFrame, items: DataFrame, feeds: DataFrame, *more: str, order: list[Column] | None = None) -> DataFrame:
+    """What a list shows of rows; sizes count members among all items, unless rows bring them along.  The joins keep no
+    order, so a page is put in order after them."""
     sized = rows if "cluster_size" in rows.columns else rows.join(cluster_sizes(items), "cluster_id", "left")
+    named = sized.join(feed_titles(feeds), "feed_id")
     return (
-        sized.join(feed_titles(feeds), "feed_id")
+        (named.orderBy(*order) if order else named)
         .select(
             "id",
             "feed_id",
@@ -157,5 +168,6 @@ def topics(items: DataFrame, least: int = 3, most: int = 12) -> DataFrame:
 
 
 def by_ids(items: DataFrame, ids: DataFrame) -> DataFrame:
-    """Items in the order of ids (pos, id); ids without an item are dropped."""
-    return ids.join(items, "id")
+    """Items in the order of ids (id, and the positions that say the order); ids without an item are dropped."""
+    places = [c for c in ids.columns if c != "id"]
+    return ids.join(items, "id").orderBy(*places)

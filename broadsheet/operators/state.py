@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.schedule import later, next_interval
+from ..functions.schedule import FIRST, later, next_interval
 from ..functions.text import clamp
 
 MAX_REFUSALS = 4
@@ -156,11 +156,56 @@ def repair_icons(feeds: DataFrame) -> DataFrame:
 
 
 def host_refusals(tries: DataFrame, most: int = 3) -> DataFrame:
-    """tries: host, day, event_id, refused, succeeded.  Which tries a pass would have left out: those after a host
-    refused `most` times since its last success that day.  A pass is a day, so no window outgrows one."""
-    by_host = Window.partitionBy("host", "day").orderBy("event_id")
+    """tries: host, agent, day, event_id, refused, succeeded.  Which tries a pass would have left out: those after a host
+    refused an agent `most` times since that one's last success that day.  A host that refused one agent has said
+    nothing of another.  A pass is a day, so no window outgrows one."""
+    key = ["host", "agent", "day"]
+    by_host = Window.partitionBy(*key).orderBy("event_id")
     streaks = tries.withColumn("streak", F.sum(F.col("succeeded").cast("int")).over(by_host.rowsBetween(Window.unboundedPreceding, 0)))
-    since = Window.partitionBy("host", "day", "streak").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
+    since = Window.partitionBy(*key, "streak").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
     counted = streaks.withColumn("refusals", F.sum(F.col("refused").cast("int")).over(since))
-    trip = F.min(F.when(F.col("refusals") >= most, F.col("event_id"))).over(Window.partitionBy("host", "day"))
+    trip = F.min(F.when(F.col("refusals") >= most, F.col("event_id"))).over(Window.partitionBy(*key))
     return counted.withColumn("trip", trip).withColumn("retired", F.coalesce(F.col("event_id") > F.col("trip"), F.lit(False))).drop("streak", "trip")
+
+
+def paced(tries: DataFrame, gap_s: float = 1.0) -> DataFrame:
+    """tries: host, day, event_id, asked_at (seconds).  When each may start, so that starts at one host lie `gap_s` apart:
+    start(k) is the largest of asked(j) + (k - j) * gap over the tries j up to k."""
+    by_host = Window.partitionBy("host", "day").orderBy("asked_at", "event_id")
+    turn = (F.row_number().over(by_host) * F.lit(gap_s)).alias("turn")
+    turns = tries.select("*", turn)
+    earliest = F.max(F.col("asked_at") - F.col("turn")).over(by_host.rowsBetween(Window.unboundedPreceding, 0))
+    return turns.withColumn("start_at", earliest + F.col("turn")).drop("turn")
+
+
+def insert_feeds(feeds: DataFrame, asked: DataFrame, now: str) -> DataFrame:
+    """feeds and those of asked (pos, url, title, site_url) whose url is new, the first of equals: due now, with the usual
+    interval, numbered on from the largest id in the order of pos."""
+    fresh = insert_missing(feeds, asked, ["url"], "pos")
+    top = feeds.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
+    order = Window.orderBy("pos")
+    known = {
+        "id": (F.col("top") + F.row_number().over(order)).cast("long"),
+        "url": F.col("url"),
+        "title": F.col("title"),
+        "site_url": F.col("site_url"),
+        "next_fetch_at": F.lit(now).cast("timestamp_ntz"),
+        "interval_s": F.lit(FIRST),
+        "disabled": F.lit(False),
+        "llm_enabled": F.lit(True),
+        **{c: F.lit(0) for c in ("failures", "refusals", "icon_attempts")},
+    }
+    # A subscription list is what one reader has; numbering it takes one task.
+    rows = fresh.join(F.broadcast(top)).select(*(known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in feeds.schema))
+    return feeds.unionByName(rows)
+
+
+def record_vectors(items: DataFrame, vectors: DataFrame, found: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:
+    """items and vectors after a pass of the embedder: found holds item_id, model, embedding (null: failed) and, for
+    failures, whether the model could not be reached, which costs an item nothing."""
+    good = found.where("embedding is not null").withColumn("dims", F.size("embedding")).withColumn("created_at", F.lit(now).cast("timestamp_ntz"))
+    fresh = good.select(*(good[c] if c in good.columns else F.lit(None).alias(c) for c in vectors.columns))
+    outcome = F.when(F.col("embedding").isNotNull(), "ok").when(F.col("unreachable"), "unreachable").otherwise("failed")
+    tried = found.select(F.col("item_id").alias("id"), outcome.alias("outcome"))
+    after = F.when(F.col("outcome").isNull(), F.col("embed_attempts")).otherwise(attempts_after(F.col("embed_attempts"), F.col("outcome")))
+    return items.join(tried, "id", "left").withColumn("embed_attempts", after).select(items.columns), upsert_newest(vectors, fresh, "item_id")

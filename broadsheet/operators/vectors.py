@@ -13,6 +13,8 @@ from ..session import ship, written
 
 #: Vectors in a tile: two tiles and their products take a few MB.
 TILE = 1024
+#: A cell of tile pairs is so many tiles wide and high.
+GRID = 4
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -41,29 +43,50 @@ def decode_blob(blob: bytes) -> list[float]:
 
 
 def semantic_search(vectors: DataFrame, query: list[float], model: str, floor: float = 0.55, limit: int | None = None) -> DataFrame:
-    """(item_id, similarity) of this model's vectors from the floor on, best first.  The query travels as a literal."""
+    """(item_id, similarity) of this model's vectors from the floor on, best first.  The query travels as a literal.  The
+    floor is held to before similarities are rounded for show."""
     like = F.array(*(F.lit(float(x)) for x in query))
-    scored = vectors.where(F.col("model") == model).select("item_id", F.round(dot(F.col("embedding"), like), 6).alias("similarity")).where(F.col("similarity") >= floor)
-    return scored.orderBy(F.desc("similarity"), "item_id").limit(limit) if limit else scored
+    scored = vectors.where(F.col("model") == model).select("item_id", dot(F.col("embedding"), like).alias("similarity")).where(F.col("similarity") >= floor)
+    best = scored.orderBy(F.desc("similarity"), "item_id").limit(limit) if limit else scored
+    return best.select("item_id", F.round("similarity", 6).alias("similarity"))
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, window_hours: int = 72) -> DataFrame:
-    """(a, b, similarity) with a < b of one model whose times lie within the window.
+def similar_pairs(vectors: DataFrame, threshold: float, window_hours: int = 72, fresh: DataFrame | None = None) -> DataFrame:
+    """(a, b, similarity) with a < b of one model whose times lie within the window; with `fresh` (item_id), only pairs
+    with at least one of those.
 
     Time is cut into buckets as wide as the window, so partners stand in one bucket or in neighbours.  Buckets
-    are cut into tiles of about TILE vectors, and pairs of tiles are multiplied in numpy: only pairs at or over
-    the threshold leave a task, and no task holds more than two tiles, however full a bucket is.
+    are cut into tiles of about TILE vectors.  Pairs of tiles are laid out as a grid, cut into cells of GRID by GRID
+    tiles: each tile goes once to every cell of its row and of its column, and a cell's pairs are multiplied one
+    after the other in numpy.  So a crowded bucket's work is even over many tasks, a task holds two tiles of a pair
+    at a time, and only pairs at or over the threshold leave it.
     """
     ship(vectors.sparkSession)
     hours = F.unix_seconds(F.col("ts").cast("timestamp")) / 3600
     rows = vectors.select("item_id", "model", "embedding", F.col("ts"), F.floor(hours / window_hours).alias("bucket"))
-    sizes = rows.groupBy("model", "bucket").agg(F.ceil(F.count("*") / TILE).alias("tiles"))
-    cut = rows.join(sizes, ["model", "bucket"]).withColumn("tile", F.pmod(F.xxhash64("item_id"), F.col("tiles")))
-    row = F.struct("item_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), "embedding")
-    tiles = written(cut.groupBy("model", "bucket", "tile").agg(F.collect_list(row).alias("rows")))
-    left = tiles.select("model", "bucket", F.col("tile").alias("tile_a"), F.col("rows").alias("a"), F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)).alias("other"))
-    right = tiles.select("model", F.col("bucket").alias("other"), F.col("tile").alias("tile_b"), F.col("rows").alias("b"))
-    pairs = left.join(right, ["model", "other"]).where((F.col("bucket") < F.col("other")) | (F.col("tile_a") <= F.col("tile_b")))
+    if fresh is not None:
+        rows = rows.join(fresh.select("item_id", F.lit(True).alias("new")), "item_id", "left").withColumn("new", F.coalesce("new", F.lit(False)))
+    else:
+        rows = rows.withColumn("new", F.lit(True))
+    sizes = rows.groupBy("model", "bucket").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    cut = rows.join(sizes, ["model", "bucket"]).withColumn("tile", F.pmod(F.xxhash64("item_id"), F.col("tiles")).cast("int"))
+    row = F.struct("item_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), "embedding", "new")
+    tiles = written(cut.groupBy("model", "bucket", "tile").agg(F.collect_list(row).alias("rows"), F.max("new").alias("news")))
+    # How many cells of the other side a tile meets, in its own bucket and in the next.
+    cells = written(sizes.withColumn("cells", F.ceil(F.col("tiles") / GRID).cast("int")).select("model", "bucket", "cells"))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = tiles.select("model", "bucket", F.col("tile").alias("tile_a"), F.col("rows").alias("a"), F.col("news").alias("news_a"), F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)).alias("other"))
+    left = left.join(cells.select("model", F.col("bucket").alias("other"), "cells"), ["model", "other"]).withColumn("cell_b", spread("cells")).drop("cells")
+    left = left.withColumn("cell_a", F.floor(F.col("tile_a") / GRID).cast("int"))
+    mine = cells.select("model", "bucket", "cells")
+    # A right tile goes to the rows of its own bucket's grid and of the grid with the bucket before.
+    own = tiles.join(mine, ["model", "bucket"]).select("model", "bucket", F.col("bucket").alias("other"), F.col("tile").alias("tile_b"), F.col("rows").alias("b"), F.col("news").alias("news_b"), spread("cells").alias("cell_a"))
+    before = mine.select("model", "bucket", "cells", (F.col("bucket") + 1).alias("other"))
+    earlier = tiles.select("model", F.col("bucket").alias("other"), F.col("tile").alias("tile_b"), F.col("rows").alias("b"), F.col("news").alias("news_b")).join(before, ["model", "other"])
+    earlier = earlier.select("model", "bucket", "other", "tile_b", "b", "news_b", spread("cells").alias("cell_a"))
+    right = own.unionByName(earlier).withColumn("cell_b", F.floor(F.col("tile_b") / GRID).cast("int"))
+    pairs = left.join(right.hint("shuffle_merge"), ["model", "bucket", "other", "cell_a", "cell_b"])
+    pairs = pairs.where(((F.col("bucket") < F.col("other")) | (F.col("tile_a") <= F.col("tile_b"))) & (F.col("news_a") | F.col("news_b")))
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -73,28 +96,73 @@ def similar_pairs(vectors: DataFrame, threshold: float, window_hours: int = 72)
                 for side in ("a", "b"):
                     held = batch.column(side)[k].values
                     sizes = held.field("embedding").value_lengths()
-                    sides.append((np.asarray(held.field("item_id")), np.asarray(held.field("at")), held.field("embedding"), np.asarray(sizes)))
-                (ids_a, at_a, va, na), (ids_b, at_b, vb, nb) = sides
+                    sides.append((np.asarray(held.field("item_id")), np.asarray(held.field("at")), held.field("embedding"), np.asarray(sizes), np.asarray(held.field("new").to_numpy(zero_copy_only=False))))
+                (ids_a, at_a, va, na, new_a), (ids_b, at_b, vb, nb, new_b) = sides
                 for width in np.intersect1d(na, nb):
                     ia, ib = np.flatnonzero(na == width), np.flatnonzero(nb == width)
                     x, y = (np.asarray(v.take(pa.array(i)).flatten(), np.float64).reshape(-1, width) for v, i in ((va, ia), (vb, ib)))
-                    near = np.round(x @ y.T, 6)
+                    near = x @ y.T
                     hit = (near >= threshold) & (np.abs(at_a[ia][:, None] - at_b[ib][None, :]) <= window_hours * 3600)
+                    hit &= new_a[ia][:, None] | new_b[ib][None, :]
                     if same:
                         hit &= ids_a[ia][:, None] < ids_b[ib][None, :]
                     i, j = np.nonzero(hit)
                     p, q = ids_a[ia][i], ids_b[ib][j]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q)), pa.array(near[i, j])], names=["a", "b", "similarity"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q)), pa.array(np.round(near[i, j], 6))], names=["a", "b", "similarity"])
 
     return pairs.select("bucket", "other", "tile_a", "tile_b", "a", "b").mapInArrow(multiply, "a long, b long, similarity double")
 
 
+def recent(vectors: DataFrame, model: str, as_of: str, window_hours: int = 72) -> DataFrame:
+    """What a new vector may be a duplicate of: this model's vectors of items from `window_hours` before as_of on, however
+    late they came in or lie in the future."""
+    since = F.lit(as_of).cast("timestamp_ntz") - F.expr(f"interval {int(window_hours)} hours")
+    return vectors.where((F.col("model") == model) & (F.col("ts") >= since))
+
+
+def joined_clusters(items: DataFrame, vectors: DataFrame, fresh: DataFrame, model: str, as_of: str, threshold: float, window_hours: int = 72) -> DataFrame:
+    """items with the new ones (fresh: item_id) put into clusters, and no more than that done again.
+
+    New items come newest first, ties by larger id.  Each is compared with the recent vectors of known items and of new
+    ones before it, joins the cluster of its best match (the smallest id of equals), or founds one headed by it.
+    An item without a cluster that a new one joins becomes its head.
+    """
+    if threshold >= 1:
+        return items
+    held = recent(vectors, model, as_of, window_hours)
+    fresh = fresh.join(held.select("item_id"), "item_id", "left_semi")
+    pairs = similar_pairs(held.withColumn("ts", F.lit(as_of).cast("timestamp_ntz")), threshold, window_hours, fresh)
+    at = held.join(fresh.select("item_id", F.lit(1).alias("new")), "item_id", "left").select("item_id", F.struct(F.coalesce("new", F.lit(0)).alias("new"), F.when(F.col("new") == 1, F.struct((-F.unix_micros(F.col("ts").cast("timestamp"))).alias("t"), (-F.col("item_id")).alias("i"))).alias("turn")).alias("at"))
+    sides = pairs.join(at.select(F.col("item_id").alias("a"), F.col("at").alias("at_a")), "a").join(at.select(F.col("item_id").alias("b"), F.col("at").alias("at_b")), "b")
+    later = F.col("at_a") > F.col("at_b")
+    edges = sides.select(F.when(later, F.col("a")).otherwise(F.col("b")).alias("child"), F.when(later, F.col("b")).otherwise(F.col("a")).alias("parent"), "similarity")
+    best = edges.groupBy("child").agg(F.max(F.struct("similarity", (-F.col("parent")).alias("minus")))["minus"].alias("minus")).select("child", (-F.col("minus")).alias("parent"))
+    roots = rooted(best)
+    # A known item stands for the cluster it is in.
+    heads = roots.join(items.select(F.col("id").alias("root"), "cluster_id"), "root").select("item_id", F.coalesce("cluster_id", "root").alias("head"))
+    moved = heads.unionByName(heads.select(F.col("head").alias("item_id"), "head").distinct())
+    moved = moved.groupBy("item_id").agg(F.min("head").alias("head")).withColumnRenamed("item_id", "id")
+    return items.join(moved, "id", "left").withColumn("cluster_id", F.coalesce("head", "cluster_id")).select(items.columns)
+
+
+def rooted(up: DataFrame) -> DataFrame:
+    """(item_id, root) for each child of a forest (child, parent), by pointer jumping: as many rounds as the depth's
+    logarithm, each written."""
+    up = written(up.select("child", "parent"))
+    while True:
+        step = up.select(F.col("child").alias("parent"), F.col("parent").alias("grand"))
+        jumped = written(up.join(step, "parent", "left").select("child", F.coalesce("grand", "parent").alias("parent"), F.col("grand").isNotNull().alias("moved")))
+        up = jumped.select("child", "parent")
+        if jumped.where("moved").isEmpty():
+            return up.select(F.col("child").alias("item_id"), F.col("parent").alias("root"))
+
+
 def cluster_forest(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
     """(item_id, cluster_id): each item joins the best of its partners that came before it, and so that one's head.
 
     Items come newest first, ties by larger id.  An item's parent is its most similar earlier partner (the
     smallest id of equals); a cluster is a tree of parents and its head the root.  Items without a partner are
-    not returned.  Roots are found by pointer jumping: as many rounds as the depth's logarithm, each written.
+    not returned.
     """
     order = F.struct("ts", "item_id")
     at = vectors.select("item_id", order.alias("at"))
@@ -102,12 +170,6 @@ def cluster_forest(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
     later_a = F.col("at_a") < F.col("at_b")
     edges = both.select(F.when(later_a, F.col("a")).otherwise(F.col("b")).alias("child"), F.when(later_a, F.col("b")).otherwise(F.col("a")).alias("parent"), "similarity")
     best = edges.groupBy("child").agg(F.max(F.struct("similarity", (-F.col("parent")).alias("minus")))["minus"].alias("minus")).select("child", (-F.col("minus")).alias("parent"))
-    up = written(best)
-    while True:
-        step = up.select(F.col("child").alias("parent"), F.col("parent").alias("grand"))
-        jumped = written(up.join(step, "parent", "left").select("child", F.coalesce("grand", "parent").alias("parent"), F.col("grand").isNotNull().alias("moved")))
-        up = jumped.select("child", "parent")
-        if jumped.where("moved").isEmpty():
-            break
-    heads = up.select(F.col("parent").alias("item_id"), F.col("parent").alias("cluster_id")).distinct()
-    return up.select(F.col("child").alias("item_id"), F.col("parent").alias("cluster_id")).unionByName(heads)
+    up = rooted(best)
+    heads = up.select(F.col("root").alias("item_id"), F.col("root").alias("cluster_id")).distinct()
+    return up.select("item_id", F.col("root").alias("cluster_id")).unionByName(heads)

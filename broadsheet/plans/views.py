@@ -121,6 +121,7 @@ class Views:
             "ts",
             "user_id % 20 as feed_id",
             "concat('h', user_id % 30) as host",
+            "case when user_id % 7 = 0 then 'agent/1' else '' end as agent",
             "case event_type when 'view' then 200 when 'click' then 403 when 'purchase' then 429 when 'signup' then 304 else case event_id % 3 when 0 then 500 when 1 then 404 else 200 end end as status",
             "case event_id % 6 when 0 then '120' when 1 then '-5' when 2 then 'soon' when 3 then '' when 4 then 'Mon, 05 Feb 2024 00:05:00 GMT' end as retry_after",
         )
@@ -164,7 +165,7 @@ SQL = f"""WITH feeds AS (
   SELECT doc_id AS item_id, DATE '2024-01-20' + CAST(doc_id % 3 AS INTEGER) AS day, CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END AS thread
   FROM documents WHERE doc_id % 97 = 0
 ), responses AS (
-  SELECT event_id, ts, user_id % 20 AS feed_id, 'h' || user_id % 30 AS host,
+  SELECT event_id, ts, user_id % 20 AS feed_id, 'h' || user_id % 30 AS host, CASE WHEN user_id % 7 = 0 THEN 'agent/1' ELSE '' END AS agent,
     CASE event_type WHEN 'view' THEN 200 WHEN 'click' THEN 403 WHEN 'purchase' THEN 429 WHEN 'signup' THEN 304
       ELSE CASE event_id % 3 WHEN 0 THEN 500 WHEN 1 THEN 404 ELSE 200 END END AS status,
     CASE event_id % 6 WHEN 0 THEN '120' WHEN 1 THEN '-5' WHEN 2 THEN 'soon' WHEN 3 THEN '' WHEN 4 THEN 'Mon, 05 Feb 2024 00:05:00 GMT' END AS retry_after

@@ -73,10 +73,20 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def named(spark: SparkSession, name: str) -> str:
+    """A name in the session's catalog, remembered for drop_written."""
+    sc = spark.sparkContext
+    sc._broadsheet_names = [*getattr(sc, "_broadsheet_names", []), name]
+    return name
+
+
 def drop_written(spark: SparkSession) -> int:
-    """Deletes the tables this session has written in the shared folder; returns how many.  Results that were
-    not stored elsewhere can't be read after it."""
+    """Deletes the tables this session has written in the shared folder, and their names in the catalog; returns how
+    many.  Results that were not stored elsewhere can't be read after it."""
     sc, jvm = spark.sparkContext, spark._jvm
+    for name in getattr(sc, "_broadsheet_names", []):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    sc._broadsheet_names = []
     gone = getattr(sc, "_broadsheet_tables", [])
     for path in gone:
         place = jvm.org.apache.hadoop.fs.Path(path)

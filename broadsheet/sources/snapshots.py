@@ -1,8 +1,10 @@
-"""Tables as numbered snapshot folders: readers take the newest complete one, so a lost writer leaves no half table."""
+"""Tables as numbered folders.  Snapshots: readers take the newest complete one, so a lost writer leaves no half table.
+Logs: each batch adds a folder of its own rows, cut by a key, and nothing else is written or read again."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
@@ -45,3 +47,49 @@ class Snapshots:
         root, fs = self._files()
         for v in self.versions()[:-keep]:
             fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(root, f"v-{v}"), True)
+
+
+class Log:
+    """A folder of batches batch=n/part=k of rows, k a hash of the key.  A batch written again replaces itself, so a
+    batch that is run again after a loss leaves what it left before.  One writer at a time."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: StructType, key: str, parts: int = 64) -> None:
+        self.spark, self.path, self.schema, self.key, self.parts = spark, path.rstrip("/"), schema, key, parts
+
+    def _full(self) -> StructType:
+        return StructType([*self.schema.fields]).add("batch", "long").add("part", "integer")
+
+    def part(self):
+        return F.pmod(F.xxhash64(F.col(self.key)), F.lit(self.parts)).cast("int")
+
+    def _exists(self) -> bool:
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = root.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        return fs.exists(root) and len(fs.listStatus(root)) > 0
+
+    def read(self, before: int | None = None, keys: DataFrame | None = None) -> DataFrame:
+        """All rows, those of batches before a number, or those of the given keys (a small table, distinct), which reads
+        only their parts."""
+        if not self._exists():
+            return self.spark.createDataFrame([], self.schema)
+        rows = self.spark.read.schema(self._full()).parquet(self.path)
+        if before is not None:
+            rows = rows.where(F.col("batch") < before)
+        if keys is not None:
+            wanted = [r["part"] for r in keys.select(self.part().alias("part")).distinct().collect()]  # at most `parts`
+            rows = rows.where(F.col("part").isin(wanted)).join(keys.select(self.key), self.key, "left_semi")
+        return rows.select(*self.names)
+
+    @property
+    def names(self) -> list[str]:
+        return self.schema.names
+
+    def of(self, batch: int) -> DataFrame:
+        """The rows that one batch added."""
+        if not self._exists():
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self._full()).parquet(self.path).where(F.col("batch") == batch).select(*self.names)
+
+    def write(self, df: DataFrame, batch: int) -> None:
+        rows = df.select(*(df[f.name].cast(f.dataType).alias(f.name) for f in self.schema)).withColumn("part", self.part())
+        rows.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/batch={batch}")

@@ -5,34 +5,79 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from ..operators.state import insert_missing
+from ..operators.work import POLLS
+from ..schemas import schema
 from ..sources.feeds import entries, parse_responses
-from ..sources.snapshots import Snapshots
+from ..sources.snapshots import Log, Snapshots
+
+
+#: Newest events that a slow reader is told of; what is older it reads from the tables.
+EVENT_DEPTH = 256
+EVENT = "kind string, feed_id long, count long, item_id long, summary string, score long, score_reason string, tags array<string>"
+
+
+def _event(rows: DataFrame, kind: str) -> DataFrame:
+    """Rows as events: fields that a kind lacks are null."""
+    kept = {c: F.col(c) for c in rows.columns} | {"kind": F.lit(kind)}
+    return rows.select(*(kept.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema(EVENT)))
 
 
 def items_new(inserted: DataFrame) -> DataFrame:
     """One event per feed with new items."""
-    return inserted.groupBy("feed_id").agg(F.count("*").alias("count")).select(F.lit("items-new").alias("kind"), "feed_id", "count")
+    return _event(inserted.groupBy("feed_id").agg(F.count("*").alias("count")), "items-new")
+
+
+def feeds_updated(polled: DataFrame, inserted: DataFrame) -> DataFrame:
+    """One event per polled feed (feed_id) that brought nothing new, failed ones included."""
+    return _event(polled.select("feed_id").distinct().join(inserted, "feed_id", "left_anti"), "feed-updated")
+
 
+def items_enriched(answers: DataFrame) -> DataFrame:
+    """One event per item that the model answered for: id and answer as engine.enriched gives them."""
+    told = answers.where("answer is not null").select(F.col("id").alias("item_id"), "answer.*")
+    return _event(told.withColumnRenamed("reason", "score_reason") if "reason" in told.columns else told, "item-enriched")
 
-def ingest_batch(responses: DataFrame, items: Snapshots, batch_id: int, events: Snapshots | None = None) -> None:
+
+def newest_events(events: DataFrame, depth: int = EVENT_DEPTH) -> DataFrame:
+    """What a reader that fell behind is told: the newest events of (batch, ...), the rest is skipped."""
+    return events.orderBy(F.desc("batch"), "kind", "feed_id", "item_id").limit(depth)
+
+
+def patched(items: DataFrame, events: DataFrame) -> DataFrame:
+    """items with the newest item-enriched event of each in place (events have a batch number); fields that an event
+    leaves null stay."""
+    fields = ("summary", "score", "score_reason", "tags")
+    told = events.where("kind = 'item-enriched'").groupBy(F.col("item_id").alias("id"))
+    newest = told.agg(F.max_by(F.struct(*fields), "batch").alias("told"))
+    return items.join(newest, "id", "left").select(*(F.coalesce(F.col(f"told.{c}"), F.col(c)).alias(c) if c in fields else F.col(c) for c in items.columns))
+
+
+def ingest_batch(responses: DataFrame, items: Log, batch_id: int, events: Snapshots | None = None) -> None:
     """Parses a batch of (feed_id, url, body) and adds entries not known yet, by (feed_id, guid).
 
-    A batch is a version: run again after a loss it starts from the version before and writes the same one.
+    Only the fresh rows are written, as the batch's own folder, and only what is known of the batch's feeds is read.  A
+    batch run again after a loss looks at the batches before it and writes the same rows.
     """
-    known = items.read(before=batch_id)
-    fresh = insert_missing(known, entries(parse_responses(responses)), ["feed_id", "guid"], "pos").drop("pos")
-    items.write(known.unionByName(fresh, allowMissingColumns=True), batch_id)
+    feeds = responses.select("feed_id").distinct()
+    known = items.read(before=batch_id, keys=feeds)
+    items.write(insert_missing(known, entries(parse_responses(responses)), ["feed_id", "guid"], "pos").drop("pos"), batch_id)
     if events is not None:
-        added = items.read().join(known.select("feed_id", "guid"), ["feed_id", "guid"], "left_anti")
-        events.write(items_new(added).withColumn("batch", F.lit(batch_id).cast("long")), batch_id)
+        added = items.of(batch_id)
+        events.write(items_new(added).unionByName(feeds_updated(feeds, added)).withColumn("batch", F.lit(batch_id).cast("long")), batch_id)
+
+
+def responses_of(spark: SparkSession, path: str, schema_: StructType, batch: int = POLLS) -> DataFrame:
+    """A stream of fetched responses, one file each, at most a poll's batch of them at a time."""
+    return spark.readStream.schema(schema_).option("maxFilesPerTrigger", batch).parquet(path)
 
 
-def ingest(responses: DataFrame, items: Snapshots, checkpoint: str, events: Snapshots | None = None, on_batch: Callable[[int], None] | None = None, once: bool = False):
+def ingest(responses: DataFrame, items: Log, checkpoint: str, events: Snapshots | None = None, on_batch: Callable[[int], None] | None = None, once: bool = False, tick_s: int = 60):
     """Starts the stream of responses into items; late entries are kept, whatever their date."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
@@ -41,25 +86,25 @@ def ingest(responses: DataFrame, items: Snapshots, checkpoint: str, events: Snap
             on_batch(batch_id)
 
     writer = responses.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="60 seconds")).start()
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{tick_s} seconds")).start()
 
 
 def refusal_stream(tries: DataFrame, most: int = 3) -> DataFrame:
-    """tries: host, day, event_id, refused, succeeded.  The same verdicts as operators.state.host_refusals, kept as
-    two numbers of state for each host and day."""
+    """tries: host, agent, day, event_id, refused, succeeded.  The same verdicts as operators.state.host_refusals, kept as
+    two numbers of state for each host, agent and day."""
 
     def judge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         streak, tripped = state.get if state.exists else (0, False)
         rows = pd.concat(list(batches)).sort_values("event_id")
         out = []
         for event_id, refused, succeeded in zip(rows["event_id"], rows["refused"], rows["succeeded"], strict=True):
-            out.append((key[0], key[1], int(event_id), bool(tripped)))
+            out.append((*key, int(event_id), bool(tripped)))
             streak = 0 if succeeded else streak + int(refused)
             tripped = tripped or streak >= most
         state.update((int(streak), bool(tripped)))
-        yield pd.DataFrame(out, columns=["host", "day", "event_id", "retired"])
+        yield pd.DataFrame(out, columns=["host", "agent", "day", "event_id", "retired"])
 
-    return tries.groupBy("host", "day").applyInPandasWithState(judge, "host string, day date, event_id long, retired boolean", "streak int, tripped boolean", "append", GroupStateTimeout.NoTimeout)
+    return tries.groupBy("host", "agent", "day").applyInPandasWithState(judge, "host string, agent string, day date, event_id long, retired boolean", "streak int, tripped boolean", "append", GroupStateTimeout.NoTimeout)
 
 
 def daily_counts(events: DataFrame, lateness: str = "3 days") -> DataFrame:

@@ -6,14 +6,17 @@ from pyspark.sql import functions as F
 from broadsheet.engine import Engine, embedded, enriched
 from broadsheet.operators import digests as D
 from broadsheet.operators import state as S
-from broadsheet.plans.queries import RSS
 from broadsheet.plans.views import Views
 from broadsheet.schemas import PARSED_ITEM, schema
-from broadsheet.sources.snapshots import Snapshots
+from broadsheet.sources.snapshots import Log, Snapshots
 from broadsheet.streaming import ingest as I
+from broadsheet.streaming import ticks as TICKS
 
 SMALL = "/root/testdata/sf0.001"
-WORDS = "pyo3 python wheel tomato compost greenhouse kernel scheduler".split()
+RSS = """<?xml version="1.0"?><rss version="2.0"><channel><title>News</title><link>https://site.example/</link><ttl>45</ttl>
+<item><title>One &amp; two</title><link>/a</link><guid>g-1</guid><pubDate>Mon, 01 Jan 2024 10:00:00 GMT</pubDate><description>&lt;p&gt;Hello &lt;b&gt;world&lt;/b&gt;&lt;/p&gt;&lt;script&gt;x()&lt;/script&gt;</description></item>
+<item><title>Talk</title><link>https://site.example/b</link><comments>https://talk.example/?a=1&amp;b=2</comments><description><![CDATA[<a href="https://talk.example/">Comments</a>]]></description></item></channel></rss>"""
+WORDS = "harbour ferry timetable violin quartet rehearsal glacier meltwater".split()
 
 
 def bag(texts):
@@ -25,9 +28,9 @@ def engine(spark):
     at = datetime(2024, 1, 1, 12)
     feeds = spark.createDataFrame([(1, "https://a/f", "A", None, False, True), (2, "https://b/f", "", None, False, True)], "id long, url string, title string, custom_title string, disabled boolean, llm_enabled boolean")
     rows = [
-        (1, 1, "pyo3 wheel", "python pyo3 wheel", at, None, ["py"]),
-        (2, 2, "pyo3 wheels", "python pyo3 wheel", at, None, ["py"]),
-        (3, 1, "tomato", "tomato compost greenhouse", at, None, ["garden"]),
+        (1, 1, "New ferry timetable", "the harbour ferry sails hourly", at, None, ["coast"]),
+        (2, 2, "Ferry timetable out", "a harbour ferry every hour", at, None, ["coast"]),
+        (3, 1, "Quartet in town", "the violin quartet opens its rehearsal", at, None, ["music"]),
     ]
     items = spark.createDataFrame(rows, "id long, feed_id long, title string, content_text string, published_at timestamp_ntz, read_at timestamp_ntz, tags array<string>").selectExpr(
         "*", "published_at as fetched_at", "cast(null as timestamp_ntz) as starred_at", "cast(null as long) as cluster_id", "cast(90 as long) as score", "concat('https://x/', id) as url",
@@ -42,13 +45,13 @@ def engine(spark):
 def test_clusters_collapse_lists_but_not_searches(engine):
     e = engine.cluster(0.9)
     listed = {r["id"]: r["cluster_size"] for r in e.list()[0].collect()}
-    assert sorted(listed.values()) == [1, 2] and len(e.list(query="pyo3")[0].collect()) == 2
+    assert sorted(listed.values()) == [1, 2] and len(e.list(query="harbour")[0].collect()) == 2
     assert len(engine.cluster(1.0).list()[0].collect()) == 3
     assert e.list(query="***")[0].count() == 0
 
 
 def test_semantic_search_and_fallback(engine):
-    rows, mode = engine.list(query="tomato", mode="semantic")
+    rows, mode = engine.list(query="violin quartet", mode="semantic")
     assert mode == "semantic" and [r["id"] for r in rows.collect()] == [3]
 
     def gone(texts):
@@ -56,7 +59,7 @@ def test_semantic_search_and_fallback(engine):
 
     from dataclasses import replace
 
-    assert replace(engine, embedder=gone).list(query="greenhouse", mode="semantic")[1] == "text"
+    assert replace(engine, embedder=gone).list(query="rehearsal", mode="semantic")[1] == "text"
 
 
 def test_mark_read_takes_whole_clusters(engine):
@@ -122,23 +125,46 @@ def test_embedder_failures_leave_nulls(spark):
 
 
 def test_stream_ingest_is_idempotent(spark, tmp_path):
-    source, known = tmp_path / "in", Snapshots(spark, str(tmp_path / "items"), schema("feed_id long, " + PARSED_ITEM))
-    events = Snapshots(spark, str(tmp_path / "events"), schema("kind string, feed_id long, count long, batch long"))
-    rows = spark.createDataFrame([(1, "https://site.example/feed", RSS)], "feed_id long, url string, body string")
+    source, known = tmp_path / "in", Log(spark, str(tmp_path / "items"), schema("feed_id long, " + PARSED_ITEM), "feed_id")
+    events = Snapshots(spark, str(tmp_path / "events"), schema(I.EVENT + ", batch long"))
+    rows = spark.createDataFrame([(1, "https://site.example/feed", RSS), (2, "https://gone.example/feed", "<html>")], "feed_id long, url string, body string")
     rows.coalesce(1).write.parquet(str(source))
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(source))
-    I.ingest(stream, known, str(tmp_path / "cp"), events, once=True).awaitTermination(120)
-    assert known.read().count() == 2 and [r["count"] for r in events.read().collect()] == [2]
+    run = lambda: I.ingest(I.responses_of(spark, str(source), rows.schema, 1), known, str(tmp_path / "cp"), events, once=True).awaitTermination(120)
+    told = lambda: sorted((r["kind"], r["feed_id"], r["count"]) for r in events.read().collect())
+    run()
+    assert known.read().count() == 2 and told() == [("feed-updated", 2, None), ("items-new", 1, 2)]
     rows.coalesce(1).write.mode("append").parquet(str(source))
-    I.ingest(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(source)), known, str(tmp_path / "cp"), events, once=True).awaitTermination(120)
-    assert known.read().count() == 2 and events.read().count() == 0
-    I.ingest_batch(rows, known, known.versions()[-1])
-    assert known.read().count() == 2
+    run()
+    assert known.read().count() == 2 and told() == [("feed-updated", 1, None), ("feed-updated", 2, None)]
+    # Run again, the batches leave what they left before.
+    for batch in (0, 1):
+        I.ingest_batch(rows, known, batch)
+        assert known.of(batch).count() == 2 * (batch == 0)
+    assert known.read(keys=rows.select("feed_id").where("feed_id = 2")).count() == 0 and known.read(before=0).count() == 0
+
+
+def test_late_items_are_kept(spark, tmp_path):
+    known = Log(spark, str(tmp_path / "items"), schema("feed_id long, " + PARSED_ITEM), "feed_id")
+    for batch, year in enumerate(("2024", "1999")):
+        body = RSS.replace("01 Jan 2024", f"01 Jan {year}").replace("g-1", f"g-{year}")
+        I.ingest_batch(spark.createDataFrame([(1, "https://site.example/feed", body)], "feed_id long, url string, body string"), known, batch)
+    assert {r["guid"] for r in known.read().collect()} >= {"g-2024", "g-1999"}
+
+
+def test_events_patch_rows_in_place(spark, engine):
+    answers = spark.createDataFrame([(1, ("s1", ["a"], 70, "why")), (2, None)], "id long, answer struct<summary:string,tags:array<string>,score:int,reason:string>")
+    first = I.items_enriched(answers).withColumn("batch", F.lit(1).cast("long"))
+    later = first.withColumn("batch", F.lit(2).cast("long")).withColumn("score", F.lit(20).cast("long")).withColumn("summary", F.lit(None).cast("string"))
+    assert [(r["kind"], r["item_id"], r["score_reason"]) for r in first.collect()] == [("item-enriched", 1, "why")]
+    items = engine.items.withColumn("score_reason", F.lit(None).cast("string"))
+    got = {r["id"]: (r["summary"], r["score"]) for r in I.patched(items, first.unionByName(later)).collect()}
+    assert got == {1: (None, 20), 2: (None, 90), 3: (None, 90)}
+    assert I.newest_events(first.unionByName(later), 1).first()["batch"] == 2
 
 
 def test_refusal_stream_equals_batch(spark, tmp_path):
     tries = Views(spark, SMALL).responses.select(
-        "event_id", "host", F.to_date("ts").alias("day"), F.col("status").isin(*S.REFUSED).alias("refused"), F.col("status").between(200, 299).alias("succeeded")
+        "event_id", "host", "agent", F.to_date("ts").alias("day"), F.col("status").isin(*S.REFUSED).alias("refused"), F.col("status").between(200, 299).alias("succeeded")
     )
     tries.coalesce(1).sortWithinPartitions("event_id").write.parquet(str(tmp_path / "t"))
     stream = I.refusal_stream(spark.readStream.schema(tries.schema).parquet(str(tmp_path / "t")))
@@ -146,3 +172,154 @@ def test_refusal_stream_equals_batch(spark, tmp_path):
     q.awaitTermination(120)
     got = {(r["event_id"], r["retired"]) for r in spark.table("refusals").collect()}
     assert got == {(r["event_id"], r["retired"]) for r in S.host_refusals(tries).collect()} and any(r for _, r in got)
+
+
+# --- pages in order, cursors, the index -----------------------------------------------------------------
+
+
+def test_pages_come_in_order(spark):
+    from broadsheet.operators import lists as L
+
+    v = Views(spark, SMALL)
+    at = {r["id"]: (r["score"], r["at"]) for r in v.plain_items.select("id", "score", F.coalesce("published_at", "fetched_at").alias("at")).collect()}
+    by_time = [r["id"] for r in L.list_items(v.items, v.feeds, "all", limit=150).collect()]
+    assert by_time == sorted(by_time, key=lambda i: (at[i][1], i), reverse=True) and len(by_time) == 150
+    best = [r["id"] for r in L.list_items(v.items, v.feeds, "interesting", limit=150).collect()]
+    assert best == sorted(best, key=lambda i: (at[i][0], at[i][1], i), reverse=True)
+    day = [(r["score"] if r["score"] is not None else -1, r["recency"], r["id"]) for r in D.candidates(v.items, v.feeds, "2024-01-03").collect()]
+    assert day == sorted(day, reverse=True)
+    ids = spark.createDataFrame([(0, 5), (1, 3), (2, 9), (3, 1)], "pos int, id long")
+    assert [r["id"] for r in L.by_ids(v.plain_items.select("id", "title"), ids).collect()] == [5, 3, 9, 1]
+
+
+def test_cursors_lead_through_the_archive(spark):
+    v = Views(spark, SMALL)
+    e = Engine(v.feeds, v.items.cache(), v.vectors, v.digests)
+    seen, cursor = [], None
+    while True:
+        page = e.page("all", cursor=cursor, limit=45)
+        seen += [r["id"] for r in page.rows]
+        if page.next_cursor is None:
+            break
+        cursor = page.next_cursor
+    assert len(seen) == len(set(seen)) == e.list("all", limit=200)[0].count()
+    assert e.page("interesting", limit=2).next_cursor is None and e.page("unread", limit=200).next_cursor is None
+    assert e.page("interesting", query="the", limit=2).next_cursor is not None
+
+
+def test_the_index_is_kept_up(spark, engine):
+    from dataclasses import replace
+
+    from broadsheet.operators import search as X
+
+    e = replace(engine, index=X.postings(engine.items))
+    new = engine.items.where("id = 3").withColumn("id", F.lit(4).cast("long")).withColumn("title", F.lit("Ferry Übersicht")).withColumn("guid", F.lit("g4"))
+    e = replace(e, items=e.items.withColumn("guid", F.concat(F.lit("g"), F.col("id")))).add_items(new)
+    found = lambda q: {r["id"] for r in e.list(query=q)[0].collect()}
+    assert found("ferry") == {1, 2, 4} and found("ferry uber") == {4} and found("ferry harb") == {1, 2} and found("***") == set()
+    for q in ("ferry", "quartet vio", "the h"):
+        assert found(q) == {r["id"] for r in replace(e, index=None).list(query=q)[0].collect()}
+
+
+@pytest.mark.parametrize("query, text, found", [("한국", "오늘 한국 소식", True), ("май", "майский май", True), ("σήμερα", "Σήμερα νέα", True), ("café", "CAFE noir", True), ("cafe", "le café", True), ("маи", "май", False)])
+def test_search_folds_query_and_text_alike(spark, query, text, found):
+    from broadsheet.operators import lists as L
+
+    rows = spark.createDataFrame([(text,)], "t string")
+    assert (rows.where(L.matches(L.search_terms(query), F.col("t"), F.lit(""))).count() == 1) == found
+
+
+# --- ticks ------------------------------------------------------------------------------------------------
+
+
+def test_digest_tick(spark):
+    v = Views(spark, SMALL)
+    e = Engine(v.feeds, v.items, v.vectors, v.digests)
+    asked = []
+
+    def write(rows, day):
+        asked.append(day)
+        ids = [r["id"] for r in rows.collect()]
+        content = '{"intro": "i", "threads": [{"title": "t", "note": "n", "item_ids": [%d, 999999, %d]}, {"title": "u", "note": "n", "item_ids": [888888]}]}' % (ids[1], ids[0])
+        return spark.createDataFrame([(datetime(2024, 1, 3).date(), content, "m", len(ids))], "day date, content string, model string, item_count long")
+
+    def gone(rows, day):
+        raise OSError
+
+    now = datetime(2024, 1, 4, 7)
+    assert TICKS.digest_tick(e, now, 8, write) is e and not asked
+    assert TICKS.digest_tick(e, now, 6, gone) is e
+    after = TICKS.digest_tick(e, now, 6, write)
+    rows = D.threads(after.digests.where("day = date'2024-01-03'")).collect()
+    assert asked == ["2024-01-03"] and len(rows) == 2 and {r["title"] for r in rows} == {"t"}
+    assert TICKS.digest_tick(after, now, 6, write) is after and asked == ["2024-01-03"]
+    assert TICKS.digest_tick(e, datetime(2023, 1, 4, 7), 6, write) is e
+
+
+def test_retention_tick(spark):
+    v = Views(spark, SMALL)
+    e = Engine(v.feeds, v.items.drop("cluster_size"), v.vectors, v.digests)
+    now = datetime(2024, 2, 1)
+    assert TICKS.retention_tick(e, now, 0) is e
+    kept = e.items.count()
+    assert TICKS.retention_tick(e, now, 12, most=5).items.count() == kept - 5
+    assert TICKS.poll_batch(v.feeds, datetime(2024, 2, 6), 3).count() == 3
+
+
+def test_new_items_join_the_clusters_there_are(engine):
+    """A late report of a story joins its cluster; one outside the window founds none."""
+    e = engine.cluster(0.9)
+    head = {r["id"]: r["cluster_id"] for r in e.items.collect()}[1]
+    rows = engine.items.where("id = 1").withColumn("cluster_id", F.lit(None).cast("long"))
+    late = rows.withColumn("id", F.lit(7).cast("long")).withColumn("published_at", F.expr("timestamp_ntz'2023-12-31 06:00:00'"))
+    old = rows.withColumn("id", F.lit(8).cast("long")).withColumn("published_at", F.expr("timestamp_ntz'2023-06-01 00:00:00'"))
+    vector = e.vectors.where("item_id = 1")
+    from dataclasses import replace
+
+    more = replace(e, items=e.items.unionByName(late).unionByName(old), vectors=e.vectors.unionByName(vector.withColumn("item_id", F.lit(7).cast("long"))).unionByName(vector.withColumn("item_id", F.lit(8).cast("long"))))
+    after = TICKS.dedupe_tick(more, more.vectors.where("item_id in (7, 8)").select("item_id"), datetime(2024, 1, 2))
+    got = {r["id"]: r["cluster_id"] for r in after.items.collect()}
+    assert got[7] == head and got[8] is None and {i: got[i] for i in (1, 2)} == {1: head, 2: head}
+
+
+def test_tiles_and_cells_cover_all_pairs(spark, monkeypatch):
+    from broadsheet.operators import vectors as V
+
+    monkeypatch.setattr(V, "TILE", 20)
+    monkeypatch.setattr(V, "GRID", 2)
+    v = Views(spark, SMALL)
+    got = V.similar_pairs(v.vectors, 0.3).collect()
+    rows = v.vectors.collect()
+    want = set()
+    for k, a in enumerate(rows):
+        for b in rows[:k]:
+            if a["model"] == b["model"] and abs((a["ts"] - b["ts"]).total_seconds()) <= 72 * 3600 and sum(x * y for x, y in zip(a["embedding"], b["embedding"], strict=True)) >= 0.3:
+                want.add((min(a["item_id"], b["item_id"]), max(a["item_id"], b["item_id"])))
+    assert len(got) == len({(r["a"], r["b"]) for r in got}) and {(r["a"], r["b"]) for r in got} == want
+
+
+# --- stores and pages ---------------------------------------------------------------------------------------
+
+
+def test_settings_are_stored_within_bounds(engine):
+    got = {r["key"]: r["value"] for r in engine.set({"digest_hour": 30, "retention_days": 2}).set({"digest_hour": 5}).settings().collect()}
+    assert got == {"digest_hour": 5.0, "retention_days": 7.0, "score_threshold": 65.0, "dedupe_threshold": 0.9}
+
+
+def test_vectors_are_recorded(engine):
+    found = engine.vectors.limit(1).sparkSession.createDataFrame([(1, "m2", [1.0], False), (2, "m2", None, False), (3, "m2", None, True)], "item_id long, model string, embedding array<float>, unreachable boolean")
+    after = engine.record_vectors(found, "2024-01-02 00:00:00")
+    assert {r["id"]: r["embed_attempts"] for r in after.items.collect()} == {1: 0, 2: 1, 3: 0}
+    assert {r["item_id"]: r["model"] for r in after.vectors.collect()} == {1: "m2", 2: "m1", 3: "m1"}
+
+
+def test_articles_keep_harmless_markup_and_say_why_not(spark):
+    from broadsheet.sources.pages import articles
+
+    body = "<p>" + "plain words of an article " * 12 + '<a href="/x" onclick="y()">link</a><script>z()</script></p>'
+    page = f"<html><nav>menu</nav><article>{body}<aside>more</aside></article><footer>end</footer></html>"
+    rows = [(1, "https://a.example/1", page, None), (2, "http://127.0.0.1/x", page, None), (3, "https://a.example/3", page, "application/pdf"), (4, "https://a.example/4", "<p>short</p>", "text/html; charset=utf-8"), (5, "http://[::1]/", None, None), (6, "https://a.example/6", "x" * (3 << 20), ""), (7, None, None, None)]
+    got = {r["page_id"]: r for r in articles(spark.createDataFrame(rows, "page_id long, url string, html string, kind string"), type_col="kind").collect()}
+    assert got[1]["error"] is None and "menu" not in got[1]["html"] and "more" not in got[1]["html"] and "script" not in got[1]["html"] and "onclick" not in got[1]["html"]
+    assert 'href="https://a.example/x"' in got[1]["html"] and got[1]["text"].startswith("plain words")
+    assert [got[i]["error"] for i in range(2, 8)] == ["address not public", "not html: application/pdf", "no article", "address not public", "too large", "no article"]
