@@ -14,7 +14,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, byte_texts, new_table, written
+from ..session import named
+from .common import arrow_map, byte_texts, new_table, slices, written
 
 SCHEMA = "block long, ids array<long>, ends array<long>, flags array<boolean>, body binary"
 
@@ -39,7 +40,7 @@ def blocks(df: DataFrame, size: int = 8 << 20, buckets: int = 0) -> DataFrame:
             columns = [pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([ends], pa.list_(pa.int64())), pa.array([flags], pa.list_(pa.bool_())), pa.array([b"".join(texts)], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, names=["block", "ids", "ends", "flags", "body"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for doc_id, text, flag in zip(batch.column("doc_id").to_pylist(), byte_texts(batch.column("text")), batch.column("flag").to_pylist(), strict=True):
                 ids.append(doc_id)
                 flags.append(flag)
@@ -57,7 +58,7 @@ def blocks(df: DataFrame, size: int = 8 << 20, buckets: int = 0) -> DataFrame:
     if not buckets:
         return written(built)
     path = new_table(df.sparkSession, "blocks")
-    name = path.rpartition("/")[2].replace("-", "_")
+    name = named(df.sparkSession, path.rpartition("/")[2].replace("-", "_"))
     built.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(buckets, "block").saveAsTable(name)
     return df.sparkSession.table(name)
 

@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import block_rows, blocks, texts_of, with_text
-from .common import arrow_map, new_table, shuffle_width, slices, split_by, written
+from .common import arrow_map, new_table, shuffle_width, split_by, written
+from .lookups import ROW, added_up, first_ones, gathered, lookups, pack_totals, range_of, ranges_for, route, rows_of, sum_codes, totals_of, unpack_totals
 from .quality import held_out
 
 #: The token that ends a text; no word holds a space.
@@ -39,8 +40,6 @@ _ONE = np.uint64(BITS)
 AT_ONCE = 1 << 21
 #: Up to so many strings (with their shorter contexts about 50 bytes each) the trie goes to every executor.
 BROADCAST_GRAMS = 2_000_000
-#: A lookup's tables are cut into at least so many ranges, or into one for so many keys.
-LEAST_RANGES, KEYS_A_RANGE = 64, 1_000_000
 
 
 # --- words ------------------------------------------------------------------------------------------
@@ -54,51 +53,6 @@ def word_keys(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return flat[:, 0].copy(), flat[:, 1].astype(np.uint32)
 
 
-def range_of(high: np.ndarray, ranges: int) -> np.ndarray:
-    """Which of so many equal ranges of 64-bit keys each key falls in; sorted keys have sorted ranges."""
-    return ((high >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
-
-
-def first_ones(*ordered: np.ndarray) -> np.ndarray:
-    """Where a new key starts in sorted keys of one column or more."""
-    fresh = np.ones(len(ordered[0]), bool)
-    fresh[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in ordered])
-    return np.flatnonzero(fresh)
-
-
-def added_up(high: np.ndarray, low: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys in order, and the sum of each one's counts."""
-    order = np.lexsort((low, high))
-    high, low, counts = high[order], low[order], counts[order]
-    fresh = first_ones(high, low)
-    return high[fresh], low[fresh], np.add.reduceat(counts, fresh) if len(fresh) else counts
-
-
-def totals_of(known: tuple[np.ndarray, np.ndarray, np.ndarray], high: np.ndarray, low: np.ndarray) -> np.ndarray:
-    """Each key's count among the known ones (sorted), 0 for others."""
-    highs, lows, counts = known
-    if not len(highs):
-        return np.zeros(len(high), np.int64)
-    at = np.searchsorted(highs, high)
-    while True:
-        here = np.minimum(at, len(highs) - 1)
-        same = (at < len(highs)) & (highs[here] == high)
-        # Keys that share their first 64 bits stand next to each other.
-        wrong = same & (lows[here] != low)
-        if not wrong.any():
-            return np.where(same, counts[here], 0)
-        at = at + wrong
-
-
-def pack_totals(totals: np.ndarray) -> bytes:
-    """32 bits each where all fit, else 64."""
-    return totals.astype(np.uint32 if totals.max(initial=0) < 1 << 32 else np.int64).tobytes()
-
-
-def unpack_totals(packed: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(packed, np.uint32 if len(packed) == 4 * n else np.int64)
-
-
 # --- prediction by partial matching -------------------------------------------------------------------
 
 
@@ -131,18 +85,7 @@ def gram_slices(texts: list[bytes], depth: int) -> Iterator[tuple[np.ndarray, np
 
 def count_grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     parts = [np.unique(code, return_counts=True) for code, _, _ in gram_slices(texts, depth)]
-    return sum_grams([p[0] for p in parts], [p[1] for p in parts])
-
-
-def sum_grams(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct codes in order, and the sum of each one's counts."""
-    if len(codes) == 1:
-        return codes[0], counts[0].astype(np.int64)
-    both = np.concatenate([np.zeros(0, np.uint64), *codes])
-    order = np.argsort(both, kind="stable")
-    both, n = both[order], np.concatenate([np.zeros(0, np.int64), *counts])[order]
-    fresh = first_ones(both)
-    return both[fresh], np.add.reduceat(n, fresh) if len(fresh) else n
+    return sum_codes([p[0] for p in parts], [p[1] for p in parts])
 
 
 class Level:
@@ -181,7 +124,7 @@ class Trie:
         levels = {depth: Level(grams, counts.astype(np.int64))}
         for j in range(depth - 1, least - 1, -1):
             above = levels[j + 1]
-            levels[j] = Level(*sum_grams([above.grams >> np.uint64(2 * BITS) << _ONE | above.grams & _LOW, np.zeros(0, np.uint64)], [above.counts, np.zeros(0, np.int64)]))
+            levels[j] = Level(*sum_codes([above.grams >> np.uint64(2 * BITS) << _ONE | above.grams & _LOW, np.zeros(0, np.uint64)], [above.counts, np.zeros(0, np.int64)]))
         self.levels = [*(base or []), *(levels[j] for j in range(least, depth + 1))]
         for j in range(max(1, least), depth + 1):
             self.levels[j].below(self.levels[j - 1])
@@ -229,57 +172,11 @@ def part_of(grams: np.ndarray, depth: int, parts: int) -> np.ndarray:
     return ((near * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
-# --- lookups ------------------------------------------------------------------------------------------
-
-ROW = "part int, salt int, asks boolean, block long, a binary, b binary, c binary"
-
-
-def rows_of(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int32(), pa.bool_(), pa.int64(), *[pa.binary()] * 3)
-    columns = [pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)]
-    return pa.RecordBatch.from_arrays(columns, names=["part", "salt", "asks", "block", "a", "b", "c"])
-
-
-def lookups(table: DataFrame, asked: DataFrame, salts: int, build, answer) -> DataFrame:
-    """(block, part, found): answers to the rows of `asked`, each from its part of `table`.
-
-    Each part of the table is copied to `salts` tasks, which share the blocks that ask.  A task holds one part, built
-    from its rows, and one request at a time.
-    """
-
-    def reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held, ready = None, [], None
-        for batch in slices(batches):
-            out = []
-            for k in range(batch.num_rows):
-                part, salt, asks, block, a, b, c = (batch.column(j)[k].as_py() for j in range(7))
-                if (part, salt) != at:
-                    at, held, ready = (part, salt), [], None
-                if not asks:
-                    held.append((a, b, c))
-                    continue
-                if ready is None:
-                    ready, held = build(held), []
-                out.append((block, part, answer(ready, a, b)))
-            columns = [pa.array([r[j] for r in out], t) for j, t in enumerate((pa.int64(), pa.int32(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["block", "part", "found"])
-
-    copies = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).select(asked.columns)
-    dealt = copies.unionByName(asked).repartition(shuffle_width(table.sparkSession), "part", "salt").sortWithinPartitions("part", "salt", "asks")
-    return arrow_map(dealt, reply, "block long, part int, found binary")
-
-
-def ranges_for(keys: int, width: int) -> tuple[int, int]:
-    """Into how many ranges a table of so many keys is cut, and to how many tasks each goes."""
-    ranges = max(1, min(width, max(LEAST_RANGES, -(-keys // KEYS_A_RANGE))))
-    return ranges, max(1, width // ranges)
-
-
 def build_words(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return added_up(*(np.concatenate([np.zeros(0, t), *(np.frombuffer(r[j], t) for r in rows)]) for j, t in enumerate((np.uint64, np.uint32, np.int64))))
 
 
-def answer_words(known, a: bytes, b: bytes) -> bytes:
+def answer_words(known, block: int, a: bytes, b: bytes) -> bytes:
     return pack_totals(totals_of(known, np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint32)))
 
 
@@ -323,11 +220,11 @@ def _survey(width: int, depth: int):
                 if sum(len(w[0]) for w in words[1:]) > len(words[0][0]) + (1 << 20):
                     words = [added_up(*(np.concatenate(c) for c in zip(*words, strict=True)))]
                 if sum(map(len, codes[1:])) > len(codes[0]) + (1 << 20):
-                    merged = sum_grams(codes, counts)
+                    merged = sum_codes(codes, counts)
                     codes, counts = [merged[0]], [merged[1]]
         high, low, times = added_up(*(np.concatenate(c) for c in zip(*words, strict=True)))
         yield rows("word", [(None, p, high[own].tobytes(), low[own].tobytes(), times[own].tobytes()) for p, own in split_by(range_of(high, width))])
-        code, times = sum_grams(codes, counts)
+        code, times = sum_codes(codes, counts)
         yield rows("gram", [(None, p, code[own].tobytes(), times[own].tobytes(), None) for p, own in split_by(part_of(code, depth, width))])
 
     return survey
@@ -342,7 +239,7 @@ def _sums(words: bool):
                 found = build_words(held)
                 tokens = int(found[2].sum())
             else:
-                found = (*sum_grams([np.frombuffer(r[0], np.uint64) for r in held], [np.frombuffer(r[1], np.int64) for r in held]), None)
+                found = (*sum_codes([np.frombuffer(r[0], np.uint64) for r in held], [np.frombuffer(r[1], np.int64) for r in held]), None)
                 tokens = 0
             columns = [pa.array([part], pa.int32()), *(pa.array([None if x is None else x.tobytes()], pa.binary()) for x in found), pa.array([tokens], pa.int64()), pa.array([len(found[0])], pa.int64())]
             return pa.RecordBatch.from_arrays(columns, names=["part", "a", "b", "c", "tokens", "keys"])
@@ -391,14 +288,6 @@ def lm_scores(
     n, v = known["n"] or 0, known["v"] or 0
     ranges, salts = ranges_for(v, width)
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A block's keys by range."""
-        for batch in batches:
-            for k in range(batch.num_rows):
-                block, a, b = (batch.column(j)[k].as_py() for j in range(3))
-                high, low = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint32)
-                yield rows_of([(p, block % salts, True, block, high[own].tobytes(), low[own].tobytes(), None) for p, own in split_by(range_of(high, ranges))])
-
     def rerange(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The words' sums by the lookups' ranges."""
         for batch in batches:
@@ -406,9 +295,8 @@ def lm_scores(
                 own = build_words([tuple(batch.column(j)[k].as_py() for j in range(3))])
                 yield rows_of([(p, 0, False, None, *(x[at].tobytes() for x in own)) for p, at in split_by(range_of(own[0], ranges))])
 
-    asked = arrow_map(found.where("kind = 'ask'").select("block", "a", "b"), route, ROW)
+    asked = route(found.where("kind = 'ask'"), ranges, salts)
     answers = written(lookups(arrow_map(words.select("a", "b", "c"), rerange, ROW), asked, salts, build_words, answer_words))
-    gathered = lambda rows, name: rows.groupBy("block").agg(F.collect_list(F.struct("part", "found")).alias(name)).hint("shuffle_hash")
     joined = packed.join(gathered(answers, "words"), "block")
 
     grams = sums("gram")
@@ -417,7 +305,7 @@ def lm_scores(
     trie = None
     if n_grams <= broadcast_grams:
         rows = grams.select("a", "b").collect()
-        codes, counts = sum_grams([np.frombuffer(r["a"], np.uint64) for r in rows], [np.frombuffer(r["b"], np.int64) for r in rows])
+        codes, counts = sum_codes([np.frombuffer(r["a"], np.uint64) for r in rows], [np.frombuffer(r["b"], np.int64) for r in rows])
         trie = spark.sparkContext.broadcast(Trie(codes, counts, depth))
         joined = joined.withColumn("strings", F.lit(None).cast("array<struct<part:int,found:binary>>"))
     else:
@@ -475,12 +363,12 @@ def _far_logs(packed: DataFrame, grams: DataFrame, depth: int, parts: int, salts
         for batch in batches:
             for k in range(batch.num_rows):
                 code, times = np.frombuffer(batch.column(0)[k].as_py(), np.uint64), np.frombuffer(batch.column(1)[k].as_py(), np.int64)
-                near = sum_grams([code >> np.uint64(BITS * depth) << _ONE | code & _LOW, np.zeros(0, np.uint64)], [times, np.zeros(0, np.int64)])
+                near = sum_codes([code >> np.uint64(BITS * depth) << _ONE | code & _LOW, np.zeros(0, np.uint64)], [times, np.zeros(0, np.int64)])
                 yield pa.RecordBatch.from_arrays([pa.array(near[0].astype(np.int64)), pa.array(near[1])], names=["code", "n"])
 
     pairs = arrow_map(grams.select("a", "b"), shortest, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").collect()
     one = Level(np.array([r["code"] for r in pairs], np.uint64), np.array([r["n"] for r in pairs], np.int64))
-    none = Level(*sum_grams([one.grams & _LOW, np.zeros(0, np.uint64)], [one.counts, np.zeros(0, np.int64)]))
+    none = Level(*sum_codes([one.grams & _LOW, np.zeros(0, np.uint64)], [one.counts, np.zeros(0, np.int64)]))
     one.below(none)
     base = spark.sparkContext.broadcast([none, one])
 
@@ -497,6 +385,6 @@ def _far_logs(packed: DataFrame, grams: DataFrame, depth: int, parts: int, salts
                 yield rows_of([(p, number % salts, True, number, mine[own].tobytes(), None, None) for p, own in split_by(part_of(mine, depth, parts))])
 
     def build(rows: list[tuple]) -> Trie:
-        return Trie(*sum_grams([np.zeros(0, np.uint64), *(np.frombuffer(r[0], np.uint64) for r in rows)], [np.zeros(0, np.int64), *(np.frombuffer(r[1], np.int64) for r in rows)]), depth, base.value)
+        return Trie(*sum_codes([np.zeros(0, np.uint64), *(np.frombuffer(r[0], np.uint64) for r in rows)], [np.zeros(0, np.int64), *(np.frombuffer(r[1], np.int64) for r in rows)]), depth, base.value)
 
-    return lookups(arrow_map(grams.select("a", "b"), deal, ROW), arrow_map(packed, ask, ROW), salts, build, lambda trie, a, b: trie.logs(np.frombuffer(a, np.uint64)).tobytes())
+    return lookups(arrow_map(grams.select("a", "b"), deal, ROW), arrow_map(packed, ask, ROW), salts, build, lambda trie, block, a, b: trie.logs(np.frombuffer(a, np.uint64)).tobytes())

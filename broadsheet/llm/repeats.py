@@ -6,13 +6,14 @@ together, then each gathering is put in suffix order:
 1. Anchors.  Of each window of L bytes the smallest hash among its k-byte strings is the anchor, the
    leftmost of equals.  Equal windows have equal anchors at equal places, so every window is judged once,
    with its anchor.  Neighbouring windows mostly share theirs: a run, whose bytes are its context.
-2. Blocks ask with (anchor hash, context hash), each distinct pair once.  An anchor met once repeats
-   nothing; contexts that are all equal repeat wholly.  Only anchors with unlike contexts are contested.
-3. Contested contexts travel as bytes to their anchor's task.  There the windows are put in suffix order,
-   and previous and next smaller positions in that order give each window's longest earlier match.
-   Anchors with more than `crowd` contexts are not gathered: their windows are told apart by 128-bit
-   hashes, dealt out by hash and counted, so a passage in a third of all documents stays spread.
-4. Answers go back to the blocks that asked, as bits.
+2. Tasks count their anchors and add up; blocks ask how often theirs occur.  A window whose anchor is met
+   once repeats nothing.
+3. Contexts of shared anchors travel as bytes, each distinct one once a task, to their anchor's part.  There
+   an anchor's contexts are put in suffix order.  Previous and next smaller positions in that order hold each
+   window's longest previous factor; one of L bytes or more is a repeat, and so is what it repeats.
+   Anchors that occur more than `crowd` times are not gathered: their windows are told apart by 96-bit
+   hashes and counted like any keys, so a passage in a third of all documents stays spread.
+4. Blocks ask for the bits of their contexts' windows, and for the counts of their crowded windows.
 
 Judgements are on the input, and matches never cross texts.
 """
@@ -29,7 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import block_rows, blocks, texts_of, with_text
-from .common import arrow_map, by_bucket, shuffle_width, split_by, written
+from .common import arrow_map, new_table, shuffle_width, split_by, written
+from .lookups import ROW, answered, first_ones, gathered, lookups, range_of, ranges_for, route, rows_of
 
 _RANDOM = np.random.default_rng(20240601).integers(0, 2**64, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
@@ -37,7 +39,10 @@ _BASE = 0x9E3779B97F4A7C15
 _LOW = np.uint64((1 << 20) - 1)
 _SLICE = 1 << 19
 
-ONCE, REPEATS, CONTESTED, CROWDED = 0, 1, 2, 4
+#: What a block learns of its anchors: met once in the corpus, shared by a few windows' runs, by a crowd of them.
+ONCE, SHARED, CROWDED = 0, 1, 2
+#: Bytes of contexts that a task sends at once, and that are put in suffix order at once.
+SHOWN, AT_ONCE = 64 << 20, 8 << 20
 
 
 # --- anchors ------------------------------------------------------------------------------------------
@@ -81,55 +86,79 @@ def anchors(data: bytes, length: int, k: int) -> tuple[np.ndarray, np.ndarray, n
 
 
 @dataclass
-class Entries:
-    """A block's runs, and its distinct (anchor hash, context hash) pairs."""
+class Runs:
+    """A block's distinct texts, and the runs of windows in them."""
 
-    texts: list[bytes]  # distinct
-    owners: list[list[int]]  # the documents of each
-    runs_of: np.ndarray  # text of each run
+    texts: list[bytes]
+    owners: list[list[int]]  # the documents of each text
+    text: np.ndarray  # of each run
+    key: np.ndarray  # the anchor's hash, mixed
     place: np.ndarray
     first: np.ndarray
     last: np.ndarray
-    entry: np.ndarray  # of each run
-    earliest: np.ndarray  # run of each entry
-    anchor: np.ndarray  # of each entry
-    context: np.ndarray
-    times: np.ndarray  # how often the block has the entry, 2 for more
+    weight: np.ndarray  # documents that have the run
 
+    @property
+    def windows(self) -> np.ndarray:
+        return self.last - self.first + 1
 
-def entries(texts: list[bytes], length: int, k: int) -> Entries:
-    from xxhash import xxh64_intdigest
 
+def runs_of(texts: list[bytes], length: int, k: int) -> Runs:
     owners: dict[bytes, list[int]] = {}
     for i, text in enumerate(texts):
         owners.setdefault(text, []).append(i)
-    distinct = list(owners)
-    parts, contexts, sizes = [], [], []
-    for text in distinct:
-        found = anchors(text, length, k)
-        parts.append(found)
-        sizes.append(len(found[0]))
-        contexts += [xxh64_intdigest(text[a : b + length], p - a) for p, a, b in zip(*(c.tolist() for c in found[1:]), strict=True)]
-    hashes, place, first, last = (np.concatenate(c) for c in zip(*parts, strict=True))
-    context = np.array(contexts, np.uint64)
-    runs_of = np.repeat(np.arange(len(distinct)), sizes)
-    weight = np.array([min(2, len(own)) for own in owners.values()])[runs_of]
-    order = np.lexsort((context, hashes))
-    fresh = np.ones(len(order), bool)
-    fresh[1:] = (hashes[order][1:] != hashes[order][:-1]) | (context[order][1:] != context[order][:-1])
+    found = [anchors(text, length, k) for text in owners]
+    hashes, place, first, last = (np.concatenate([np.zeros(0, t), *c]) for t, c in zip((np.uint64, *[np.int64] * 3), zip(*found, strict=True) if found else [()] * 4, strict=True))
+    sizes = [len(f[0]) for f in found]
+    weight = np.repeat(np.array([len(own) for own in owners.values()], np.int64), sizes)
+    # An anchor is a smallest hash; multiplied, its high bits are even again.
+    return Runs(list(owners), list(owners.values()), np.repeat(np.arange(len(found)), sizes), hashes * np.uint64(_BASE), place, first, last, weight)
+
+
+@dataclass
+class Contexts:
+    """The distinct contexts of some of a block's runs, in the order of their 96-bit keys."""
+
+    runs: np.ndarray
+    entry: np.ndarray  # of each of these runs
+    earliest: np.ndarray  # run of each context
+    high: np.ndarray
+    low: np.ndarray
+    times: np.ndarray  # 2 for more
+
+
+def contexts_of(r: Runs, runs: np.ndarray, length: int) -> Contexts:
+    from xxhash import xxh3_128_digest
+
+    rows = zip(r.text[runs].tolist(), r.place[runs].tolist(), r.first[runs].tolist(), r.last[runs].tolist(), strict=True)
+    flat = np.frombuffer(b"".join(xxh3_128_digest(r.texts[t][a : b + length], p - a) for t, p, a, b in rows), "<u8").reshape(-1, 2)
+    high, low = flat[:, 0].copy(), flat[:, 1].astype(np.uint32)
+    order = np.lexsort((low, high))
+    heads = first_ones(high[order], low[order])
     entry = np.empty(len(order), np.int64)
-    entry[order] = np.cumsum(fresh) - 1
-    heads = np.flatnonzero(fresh)
-    times = np.minimum(2, np.add.reduceat(weight[order], heads)) if len(heads) else np.zeros(0, np.int64)
-    # lexsort is stable, so the first run of an entry in this order is its earliest.
-    return Entries(distinct, list(owners.values()), runs_of, place, first, last, entry, order[heads], hashes[order][heads], context[order][heads], times.astype(np.uint8))
+    entry[order] = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(order))))
+    times = np.add.reduceat(r.weight[runs][order], heads) if len(heads) else np.zeros(0, np.int64)
+    # lexsort is stable, so the first run of a context in this order is its earliest.
+    return Contexts(runs, entry, runs[order[heads]], high[order[heads]], low[order[heads]], np.minimum(times, 2).astype(np.uint8))
+
+
+def context_bytes(r: Runs, runs: np.ndarray, length: int) -> list[bytes]:
+    return [r.texts[t][a : b + length] for t, a, b in zip(r.text[runs].tolist(), r.first[runs].tolist(), r.last[runs].tolist(), strict=True)]
+
+
+def window_keys(contexts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
+    from xxhash import xxh3_128_digest
+
+    flat = np.frombuffer(b"".join(xxh3_128_digest(c[i : i + length]) for c in contexts for i in range(len(c) - length + 1)), "<u8").reshape(-1, 2)
+    return flat[:, 0].copy(), flat[:, 1].astype(np.uint32)
 
 
 # --- suffix order -------------------------------------------------------------------------------------
 
 
-def prefix_ranks(data: np.ndarray, length: int) -> np.ndarray:
-    """The rank of each position's `length`-byte string in byte order, cut where the data end; by doubling."""
+def prefix_ranks(data: np.ndarray, length: int) -> list[tuple[int, np.ndarray]]:
+    """(width, ranks): each position's string of that width in byte order, cut where the data end, by doubling up to
+    `length`, the last one's width."""
     padded = np.concatenate((data, np.zeros(length + 8, np.uint8)))
     x = np.zeros(len(data) + length, np.uint64)
     for i in range(8):
@@ -137,261 +166,365 @@ def prefix_ranks(data: np.ndarray, length: int) -> np.ndarray:
     if length < 8:
         x >>= np.uint64(8 * (8 - length))
     rank, width = np.unique(x, return_inverse=True)[1].astype(np.int64), min(8, length)
+    out = [(width, rank[: len(data)])]
     while width < length:
         step = min(width, length - width)
         beyond = np.zeros(len(rank), np.int64)
         beyond[: len(rank) - step] = rank[step:]
         rank = np.unique(rank * (rank.max() + 1) + beyond, return_inverse=True)[1].astype(np.int64)
         width += step
-    return rank[: len(data)]
-
+        out.append((width, rank[: len(data)]))
+    return out
 
-def smaller_neighbours(place: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For suffixes in suffix order: where the previous and the next one with a smaller place stand, or -1.
 
-    Only within a group, which is a stretch of the order whose suffixes share a prefix.
-    """
+def smaller_neighbours(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For suffixes in suffix order: where the previous and the next one with a smaller place stand, or -1."""
 
-    def previous(place: np.ndarray, group: np.ndarray) -> np.ndarray:
+    def previous(place: np.ndarray) -> np.ndarray:
         at = np.arange(len(place)) - 1
-        at[np.concatenate(([True], group[1:] != group[:-1]))[: len(at)]] = -1
-        while True:
-            wrong = np.flatnonzero((at >= 0) & (place[at] > place))
-            if not len(wrong):
-                return at
+        wrong = np.flatnonzero((at >= 0) & (place[at] > place))
+        for _ in range(8):
             # Everything between a suffix and its own candidate stands later in the text, so candidates may be followed.
             at[wrong] = at[at[wrong]]
+            wrong = wrong[(at[wrong] >= 0) & (place[at[wrong]] > place[wrong])]
+            if not len(wrong):
+                return at
+        at[wrong] = last_smaller(place, wrong)
+        return at
 
-    before = previous(place, group)
-    after = previous(place[::-1], group[::-1])[::-1]
+    before = previous(place)
+    after = previous(place[::-1])[::-1]
     return before, np.where(after >= 0, len(place) - 1 - after, -1)
 
 
-def repeated_windows(data: np.ndarray, windows: np.ndarray, place: np.ndarray, length: int, earlier_only: bool = False) -> np.ndarray:
-    """Which windows (start positions in data) equal another one; places order them in the corpus.
+def last_smaller(place: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """For some positions the last one before with a smaller value, or -1: up a tree of block minima and down again, so
+    that no order of places takes longer than another."""
+    levels = [place]
+    while len(levels[-1]) > 1:
+        below = levels[-1]
+        levels.append(np.minimum.reduceat(below, np.arange(0, len(below), 2)))
+    value, at, height = place[wanted], wanted.copy(), np.full(len(wanted), -1)
+    for h, level in enumerate(levels):
+        beside = (height < 0) & (at % 2 == 1)
+        found = np.flatnonzero(beside)
+        found = found[level[at[found] - 1] < value[found]]
+        height[found] = h
+        at[found] -= 1
+        at[height < 0] >>= 1
+    for h in range(len(levels) - 1, 0, -1):
+        own = np.flatnonzero(height == h)
+        right = np.minimum(2 * at[own] + 1, len(levels[h - 1]) - 1)
+        at[own] = np.where(levels[h - 1][right] < value[own], right, 2 * at[own])
+        height[own] = h - 1
+    return np.where(height < 0, -1, at)
+
+
+def longest_previous_factors(data: np.ndarray, windows: np.ndarray, place: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For windows (start positions in data, at least `length` bytes from its end; places order them in the corpus): how many
+    bytes, up to `length`, its longest earlier match has, and which window that is (-1: none)."""
+    ranks = prefix_ranks(data, length)
+    rank = ranks[-1][1][windows]
+    # Suffix order: by the windows' bytes, then by what follows (places serve where that is equal).
+    order = np.lexsort((place, rank))
+    best, source = np.zeros(len(windows), np.int64), np.full(len(windows), -1, np.int64)
+    for near in smaller_neighbours(place[order]):
+        has = near >= 0
+        own, other = order[has], order[near[has]]
+        common = common_bytes(data, ranks, windows[own], windows[other], length)
+        more = common > best[own]
+        best[own[more]], source[own[more]] = common[more], other[more]
+    return best, source
 
-    A window whose longest previous factor has `length` bytes or more repeats an earlier one; that one, the
-    factor's source, is repeated as well unless only later copies are asked for.
-    """
-    rank = prefix_ranks(data, length)[windows]
-    # Suffix order: by the windows' bytes, then by what follows (the data's own order serves where that is equal).
-    order = np.lexsort((windows, rank))
-    before, after = smaller_neighbours(place[order], rank[order])
-    matched = np.zeros(len(windows), bool)
-    for source in (before, after):
-        has = source >= 0
-        matched[order[has]] = True
-        if not earlier_only:
-            matched[order[source[has]]] = True
-    return matched
 
+def common_bytes(data: np.ndarray, ranks: list[tuple[int, np.ndarray]], a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """How many bytes, up to `length`, the strings at a and at b share, by their ranks from the widest to the narrowest."""
+    out = np.where(ranks[-1][1][a] == ranks[-1][1][b], length, 0)
+    left = np.flatnonzero(out == 0)
+    i, j = a[left], b[left]
+    # Each width is over half of the next, so what is left to find is under twice a width when its turn comes.
+    for width, rank in reversed(ranks[:-1]):
+        same = (out[left] + width <= length) & (rank[np.minimum(i, len(rank) - 1)] == rank[np.minimum(j, len(rank) - 1)])
+        out[left[same]] += width
+        i, j = np.where(same, i + width, i), np.where(same, j + width, j)
+    for _ in range(ranks[0][0]):
+        same = (out[left] < length) & (np.maximum(i, j) < len(data))
+        same[same] = data[i[same]] == data[j[same]]
+        out[left[same]] += 1
+        left, i, j = left[same], i[same] + 1, j[same] + 1
+    return out
 
-def longest_previous_factor(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """For one text: the length of each position's longest earlier match, and where that starts (-1: none)."""
-    n = len(data)
-    order = np.argsort(prefix_ranks(np.frombuffer(data, np.uint8), max(1, n)), kind="stable") if n else np.zeros(0, np.int64)
-    # Ranks don't tell a suffix that ends from one that goes on with zero bytes; the shorter one comes first.
-    order = np.array(sorted(order.tolist(), key=lambda i: data[i:])) if b"\0" in data else order
-    before, after = smaller_neighbours(order, np.zeros(n, np.int64)) if n else (order, order)
-    best, source = np.zeros(n, np.int64), np.full(n, -1, np.int64)
-    for near in (before, after):
-        for at in np.flatnonzero(near >= 0).tolist():
-            i, j = int(order[at]), int(order[near[at]])
-            m = 0
-            while i + m < n and data[i + m] == data[j + m]:
-                m += 1
-            if m > best[i]:
-                best[i], source[i] = m, j
-    return best, source
+
+def repeated_windows(data: np.ndarray, windows: np.ndarray, place: np.ndarray, length: int, earlier_only: bool = False) -> np.ndarray:
+    """Which windows equal another one: those whose longest previous factor has `length` bytes and, unless only later
+    copies are asked for, the sources of these."""
+    best, source = longest_previous_factors(data, windows, place, length)
+    matched = best >= length
+    if not earlier_only:
+        matched[source[best >= length]] = True
+    return matched
 
 
 # --- passes -------------------------------------------------------------------------------------------
 
+KIND = "kind string, block long, part int, a binary, b binary, c binary, d binary, e binary"
 
-def _ask(length: int, k: int, buckets: int):
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _rows(kind: str, found: list[tuple]) -> pa.RecordBatch:
+    """Rows (block, part, a, b, c, d, e) of one kind."""
+    rows = [(kind, *r) for r in found]
+    kinds = (pa.string(), pa.int64(), pa.int32(), *[pa.binary()] * 5)
+    return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)], names=[c.split()[0] for c in KIND.split(", ")])
+
+
+def _kinds(df: DataFrame, function, name: str):
+    """The rows that a pass makes, written by kind; a function that gives those of one kind."""
+    spark, path = df.sparkSession, new_table(df.sparkSession, name)
+    arrow_map(df, function, KIND).write.partitionBy("kind").option("compression", "zstd").parquet(path)
+    found = spark.read.schema(KIND).parquet(path)
+    return lambda kind: found.where(F.col("kind") == kind)
+
+
+class Counts:
+    """Keys (64 bits, and 32 more) with what a task has counted, and the first block that has each."""
+
+    def __init__(self, most: int = 1 << 20) -> None:
+        self.most, self.parts, self.held = most, [], 0
+
+    def add(self, high: np.ndarray, low: np.ndarray, counts: np.ndarray, firsts: np.ndarray) -> None:
+        self.parts.append((high, low, counts, firsts))
+        self.held += len(high)
+        if self.held > self.most:
+            merged = self.merged()
+            self.parts, self.held = [merged], 0
+
+    def merged(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        kinds = (np.uint64, np.uint32, np.int64, np.int64)
+        high, low, counts, firsts = (np.concatenate([np.zeros(0, t), *(p[j] for p in self.parts)]) for j, t in enumerate(kinds))
+        order = np.lexsort((low, high))
+        heads = first_ones(high[order], low[order])
+        if not len(heads):
+            return high, low, counts, firsts
+        return high[order[heads]], low[order[heads]], np.add.reduceat(counts[order], heads), np.minimum.reduceat(firsts[order], heads)
+
+
+def _survey(length: int, k: int, width: int):
+    """What each block asks (its anchors), and how often a task's texts have each anchor."""
+
+    def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = Counts()
         for batch in batches:
             for number, _, ends, _, body in block_rows(batch):
-                e = entries(texts_of(ends, body), length, k)
-                rows = list(split_by((e.anchor % np.uint64(buckets)).astype(np.int64)))
-                columns = [pa.array([number] * len(rows), pa.int64()), pa.array([b for b, _ in rows], pa.int32())]
-                columns += [pa.array([x[own].tobytes() for _, own in rows], pa.binary()) for x in (e.anchor, e.context, e.times)]
-                yield pa.RecordBatch.from_arrays(columns, names=["block", "bucket", "anchors", "contexts", "times"])
-
-    return ask
-
-
-def _judge(crowd: int, earlier_only: bool):
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, rows in by_bucket(batches, ["block", "anchors", "contexts", "times"]):
-            blocks_, anchors_, contexts, times = zip(*rows, strict=True)
-            sizes = [len(t) for t in times]
-            a, c = (np.concatenate([np.frombuffer(x, np.uint64) for x in column]) for column in (anchors_, contexts))
-            n = np.concatenate([np.frombuffer(x, np.uint8) for x in times]).astype(np.int64)
-            who = np.repeat(np.array(blocks_), sizes)
-            order = np.lexsort((who, c, a))
-            new_a = np.concatenate(([True], a[order][1:] != a[order][:-1]))
-            new_c = new_a | np.concatenate(([True], c[order][1:] != c[order][:-1]))
-            pair, anchor = np.cumsum(new_c) - 1, np.cumsum(new_a) - 1
-            heads = np.flatnonzero(new_c)
-            total = np.add.reduceat(n[order], heads)[pair]
-            kinds = np.add.reduceat(new_c.astype(np.int64), np.flatnonzero(new_a))[anchor]
-            # The first block that has a context holds its first copy.
-            repeats = ~new_c if earlier_only else total > 1
-            flags = np.empty(len(a), np.uint8)
-            flags[order] = np.where(repeats, REPEATS, ONCE) | np.where(kinds > 1, CONTESTED, 0) | np.where(kinds > crowd, CROWDED, 0)
-            parts = np.split(flags, np.cumsum(sizes)[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(blocks_, pa.int64()), pa.array([bucket] * len(parts), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["block", "bucket", "flags"])
-
-    return judge
-
-
-def flags_of(e: Entries, answers: list[dict], buckets: int) -> np.ndarray:
-    flags = np.zeros(len(e.anchor), np.uint8)
-    if answers:
-        given = {x["bucket"]: x["flags"] for x in answers}
-        for b, own in split_by((e.anchor % np.uint64(buckets)).astype(np.int64)):
-            flags[own] = np.frombuffer(given[b], np.uint8)
-    return flags
-
-
-def contested(e: Entries, flags: np.ndarray, crowded: bool) -> np.ndarray:
-    """Entries of contested anchors; those known to repeat wholly go along as what others may repeat in part."""
-    return np.flatnonzero(((flags & CONTESTED) > 0) & (((flags & CROWDED) > 0) == crowded))
-
-
-def context_bytes(e: Entries, own: np.ndarray, length: int) -> list[bytes]:
-    runs = e.earliest[own]
-    return [e.texts[t][a : b + length] for t, a, b in zip(e.runs_of[runs].tolist(), e.first[runs].tolist(), e.last[runs].tolist(), strict=True)]
+                r = runs_of(texts_of(ends, body), length, k)
+                keys, at = np.unique(r.key, return_inverse=True)
+                counts.add(keys, np.zeros(len(keys), np.uint32), np.bincount(at.reshape(-1), r.weight, len(keys)).astype(np.int64), np.zeros(len(keys), np.int64))
+                yield _rows("ask", [(number, None, keys.tobytes(), None, None, None, None)])
+        high, _, times, _ = counts.merged()
+        yield _rows("count", [(None, p, high[own].tobytes(), None, times[own].tobytes(), None, None) for p, own in split_by(range_of(high, width))])
 
+    return survey
 
-def window_keys(contexts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
-    from xxhash import xxh3_128_digest
 
-    flat = np.frombuffer(b"".join(xxh3_128_digest(c[i : i + length]) for c in contexts for i in range(len(c) - length + 1)), "<u8").reshape(-1, 2)
-    return flat[:, 0].copy(), flat[:, 1].copy()
+def _sum(firsts: bool, all_keys: bool):
+    """One row for each part: keys, counts and first blocks; without `all_keys` only of those counted more than once."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in _by_part(batches, ["a", "b", "c", "d"]):
+            counts = Counts()
+            for a, b, c, d in rows:
+                high = np.frombuffer(a, np.uint64)
+                counts.add(high, np.zeros(len(high), np.uint32) if b is None else np.frombuffer(b, np.uint32), np.frombuffer(c, np.int64), np.frombuffer(d, np.int64) if firsts else np.zeros(len(high), np.int64))
+            high, low, times, first = counts.merged()
+            own = np.flatnonzero(times > (0 if all_keys else 1))
+            values = [pa.array([x[own].tobytes()], pa.binary()) for x in (high, low, times, first)]
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *values, pa.array([len(own)], pa.int64())], names=["part", "a", "b", "c", "d", "keys"])
+
+    return add
 
 
-def _show(length: int, k: int, buckets: int):
-    """Contested contexts as bytes by anchor (kind 0), crowded ones as window hashes by hash (kind 1)."""
+def _by_part(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[int, Iterator[tuple]]]:
+    """(part, its rows) of batches sorted by part; rows come one at a time and have to be taken before the next part."""
+    rows = ((batch.column("part")[k].as_py(), tuple(batch.column(c)[k].as_py() for c in names)) for batch in batches for k in range(batch.num_rows))
+    from itertools import groupby
+
+    for part, own in groupby(rows, lambda row: row[0]):
+        yield part, (row for _, row in own)
+
+
+def _show(length: int, k: int, width: int, ranges: int, keep_first: bool):
+    """Contexts of shared anchors by anchor, each distinct one once a task; counts of crowded windows; and what blocks ask
+    of either."""
 
     def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows, held, size = Counts(), {}, 0
+
+        def shown() -> pa.RecordBatch:
+            keys = list(held)
+            anchor = np.array([held[key][0] for key in keys], np.uint64)
+            out = []
+            for p, own in split_by(range_of(anchor, width)):
+                rows = [held[keys[i]] for i in own.tolist()]
+                sizes = np.array([len(row[3]) for row in rows], np.int32)
+                firsts = np.array([row[2] for row in rows], np.int64)
+                out.append((None, p, anchor[own].tobytes(), b"".join(keys[i] for i in own.tolist()), sizes.tobytes() + np.array([row[1] for row in rows], np.uint8).tobytes(), b"".join(row[3] for row in rows), firsts.tobytes() if keep_first else None))
+            held.clear()
+            return _rows("context", out)
+
         for batch in batches:
             for i, (number, _, ends, _, body) in enumerate(block_rows(batch)):
-                answers = batch.column("answers")[i].as_py() or []
-                e = entries(texts_of(ends, body), length, k)
-                flags = flags_of(e, answers, buckets)
-                own = contested(e, flags, False)
-                out = []
-                for b, part in split_by((e.anchor[own] % np.uint64(buckets)).astype(np.int64)):
-                    shown = context_bytes(e, own[part], length)
-                    out.append((2 * b, np.array([len(x) for x in shown], np.int32).tobytes(), b"".join(shown), e.times[own[part]].tobytes()))
-                own = contested(e, flags, True)
-                if len(own):
-                    shown = context_bytes(e, own, length)
-                    low, high = window_keys(shown, length)
-                    times = np.repeat(e.times[own], [len(x) - length + 1 for x in shown])
-                    for b, part in split_by((low % np.uint64(buckets)).astype(np.int64)):
-                        out.append((2 * b + 1, low[part].tobytes(), high[part].tobytes(), times[part].tobytes()))
-                columns = [pa.array([number] * len(out), pa.int64()), pa.array([x[0] for x in out], pa.int32()), *(pa.array([x[j] for x in out], pa.binary()) for j in (1, 2, 3))]
-                yield pa.RecordBatch.from_arrays(columns, names=["block", "bucket", "a", "b", "times"])
+                r = runs_of(texts_of(ends, body), length, k)
+                state = anchor_state(r, batch.column("anchors")[i].as_py(), ranges)
+                e = contexts_of(r, np.flatnonzero(state == SHARED), length)
+                yield _rows("ask_context", [(number, None, e.high.tobytes(), e.low.tobytes(), None, None, None)])
+                keys = [a.to_bytes(8, "little") + b.to_bytes(4, "little") for a, b in zip(e.high.tolist(), e.low.tolist(), strict=True)]
+                for key, anchor, times, run, text in zip(keys, r.key[e.earliest].tolist(), e.times.tolist(), e.earliest.tolist(), context_bytes(r, e.earliest, length), strict=True):
+                    old = held.get(key)
+                    first = (number, run)
+                    held[key] = (anchor, min(2, times + old[1]), min(first, old[2]), text) if old else (anchor, times, first, text)
+                    size += 0 if old else len(text) + 200
+                if size > SHOWN:
+                    yield shown()
+                    size = 0
+                e = contexts_of(r, np.flatnonzero(state == CROWDED), length)
+                if len(e.high):
+                    shown_ = context_bytes(r, e.earliest, length)
+                    high, low = window_keys(shown_, length)
+                    times = np.repeat(e.times.astype(np.int64), [len(c) - length + 1 for c in shown_])
+                    own = Counts()
+                    own.add(high, low, times, np.full(len(high), number))
+                    high, low, times, firsts = own.merged()
+                    windows.add(high, low, times, firsts)
+                    yield _rows("ask_window", [(number, None, high.tobytes(), low.tobytes(), None, None, None)])
+        yield shown()
+        high, low, times, firsts = windows.merged()
+        yield _rows("window", [(None, p, high[own].tobytes(), low[own].tobytes(), times[own].tobytes(), firsts[own].tobytes(), None) for p, own in split_by(range_of(high, width))])
 
     return show
 
 
-def compare_contexts(rows: list[tuple], length: int, earlier_only: bool, at_once: int = 8 << 20) -> list[bytes]:
-    """For rows (block, sizes, bytes, times) of contexts: bits of their windows that repeat."""
-    rows_sizes = [np.frombuffer(r[1], np.int32).astype(np.int64) for r in rows]
-    sizes = np.concatenate(rows_sizes)
-    data = np.concatenate([np.frombuffer(r[2], np.uint8) for r in rows])
-    times = np.concatenate([np.frombuffer(r[3], np.uint8) for r in rows])
-    blocks_ = np.repeat(np.array([r[0] for r in rows]), [len(s) for s in rows_sizes])
-    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    raw = data.tobytes()
-    # Equal contexts, of several blocks or several in one, are put in order once.
-    seen: dict[bytes, int] = {}
-    kind = np.array([seen.setdefault(raw[a : a + n], len(seen)) for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)])
-    many = np.bincount(kind, weights=times) > 1
-    by_block = np.lexsort((blocks_, kind))
-    firsts = by_block[np.concatenate(([True], kind[by_block][1:] != kind[by_block][:-1]))]
-    joined = np.frombuffer(b"".join(seen), np.uint8)
-    lengths = np.array([len(x) for x in seen], np.int64)
-    begins = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    windows = lengths - length + 1
-    owner = np.repeat(np.arange(len(seen)), windows)
-    inner = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-    at = begins[owner] + inner
-    # Corpus order of the kinds: by the first block that has them, then as they came.
-    age = np.empty(len(seen), np.int64)
-    age[np.lexsort((np.arange(len(seen)), blocks_[firsts]))] = np.arange(len(seen))
-    found = repeated_windows(joined, at, age[owner] * (1 << 32) + inner, length, earlier_only)
-    if not earlier_only:
-        found |= many[owner]
-    ends = np.cumsum(windows)
-    by_kind = [found[b - n : b] for b, n in zip(ends.tolist(), windows.tolist(), strict=True)]
-    out, k = [], 0
-    first_of = set(firsts.tolist())
-    for row_sizes in rows_sizes:
-        bits = []
-        for _ in range(len(row_sizes)):
-            own = by_kind[kind[k]]
-            bits.append(own | True if earlier_only and k not in first_of else own)
-            k += 1
-        out.append(np.packbits(np.concatenate(bits)).tobytes() if bits else b"")
-    return out
+def anchor_state(r: Runs, answers: list[dict] | None, ranges: int) -> np.ndarray:
+    """ONCE, SHARED or CROWDED for each run."""
+    keys, at = np.unique(r.key, return_inverse=True)
+    return answered(answers, keys, ranges, np.uint8)[:, 0][at.reshape(-1)]
 
 
-def compare_hashes(rows: list[tuple], earlier_only: bool) -> list[bytes]:
-    """For rows (block, low, high, times) of window hashes: bits of those that repeat."""
-    sizes = [len(r[3]) for r in rows]
-    low, high = (np.concatenate([np.frombuffer(r[j], np.uint64) for r in rows]) for j in (1, 2))
-    times = np.concatenate([np.frombuffer(r[3], np.uint8) for r in rows]).astype(np.int64)
-    who = np.repeat(np.array([r[0] for r in rows]), sizes)
-    order = np.lexsort((np.arange(len(low)), who, high, low))
-    fresh = np.concatenate(([True], (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])))
-    total = np.add.reduceat(times[order], np.flatnonzero(fresh))[np.cumsum(fresh) - 1]
-    found = np.empty(len(low), bool)
-    found[order] = ~fresh if earlier_only else total > 1
-    return [np.packbits(x).tobytes() for x in np.split(found, np.cumsum(sizes)[:-1])]
+def bit_bytes(length: int, k: int) -> int:
+    """Bytes that hold a bit for each window of a run."""
+    return -(-(length - k + 1) // 8)
 
 
-def _compare(length: int, earlier_only: bool):
+def _compare(length: int, k: int, keep_first: bool):
+    """One row for each part: its contexts' keys, the bits of their windows that repeat, and with keep_first the blocks
+    that have them first."""
+    wide = bit_bytes(length, k)
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, rows in by_bucket(batches, ["block", "a", "b", "times"]):
-            bits = compare_hashes(rows, earlier_only) if bucket % 2 else compare_contexts(rows, length, earlier_only)
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([bucket] * len(rows), pa.int32()), pa.array(bits, pa.binary())], names=["block", "bucket", "bits"])
+        for part, rows in _by_part(batches, ["a", "b", "c", "d", "e"]):
+            held: dict[bytes, list] = {}
+            for a, b, c, d, e in rows:
+                n = len(a) // 8
+                sizes, times = np.frombuffer(c[: 4 * n], np.int32).tolist(), c[4 * n :]
+                firsts = np.frombuffer(e, np.int64).reshape(-1, 2).tolist() if keep_first else [None] * n
+                at = 0
+                for i, (anchor, size, first) in enumerate(zip(np.frombuffer(a, np.uint64).tolist(), sizes, firsts, strict=True)):
+                    key = b[12 * i : 12 * i + 12]
+                    old = held.get(key)
+                    if old is None:
+                        held[key] = [anchor, times[i], first, d[at : at + size]]
+                    else:
+                        old[1] += times[i]
+                        old[2] = min(old[2], first) if keep_first else None
+                    at += size
+            keys = sorted(held, key=lambda key: (held[key][0], held[key][2] or [], key))
+            bits = np.zeros((len(keys), wide), np.uint8)
+            start = 0
+            while start < len(keys):
+                end, size = start, 0
+                # Whole anchors, for equal windows share theirs.
+                while end < len(keys) and (size < AT_ONCE or held[keys[end]][0] == held[keys[end - 1]][0]):
+                    size += len(held[keys[end]][3])
+                    end += 1
+                bits[start:end] = compared([held[key] for key in keys[start:end]], length, wide, keep_first)
+                start = end
+            first = np.array([held[key][2][0] if keep_first else 0 for key in keys], np.int64)
+            values = [pa.array([x], pa.binary()) for x in (b"".join(key[:8] for key in keys), b"".join(key[8:] for key in keys), bits.tobytes(), first.tobytes())]
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *values, pa.array([len(keys)], pa.int64())], names=["part", "a", "b", "c", "d", "keys"])
 
     return compare
 
 
-def marked_starts(e: Entries, flags: np.ndarray, bits: list[dict], length: int, buckets: int, earlier_only: bool) -> dict[int, np.ndarray]:
-    """By text (of the block's distinct ones): which window starts are to go; texts without any are left out."""
-    given = {x["bucket"]: x["bits"] for x in bits}
-    size = e.last[e.earliest] - e.first[e.earliest] + 1
-    windows: dict[int, np.ndarray] = {}
-    own = contested(e, flags, False)
-    for b, part in split_by((e.anchor[own] % np.uint64(buckets)).astype(np.int64)):
-        n = size[own[part]]
-        flat = np.unpackbits(np.frombuffer(given[2 * b], np.uint8), count=int(n.sum())).astype(bool)
-        windows |= zip(own[part].tolist(), np.split(flat, np.cumsum(n)[:-1]), strict=True)
-    own = contested(e, flags, True)
-    if len(own):
-        low, _ = window_keys(context_bytes(e, own, length), length)
-        flat = np.empty(len(low), bool)
-        for b, part in split_by((low % np.uint64(buckets)).astype(np.int64)):
-            flat[part] = np.unpackbits(np.frombuffer(given[2 * b + 1], np.uint8), count=len(part)).astype(bool)
-        windows |= zip(own.tolist(), np.split(flat, np.cumsum(size[own])[:-1]), strict=True)
-    later = np.ones(len(e.entry), bool)
-    later[e.earliest] = False
-    whole = (flags[e.entry] & REPEATS) > 0
-    if earlier_only:
-        whole |= later
-    part = np.array([k in windows for k in range(len(e.anchor))], bool)[e.entry] & ~whole
+def compared(rows: list[list], length: int, wide: int, earlier_only: bool) -> np.ndarray:
+    """For rows [anchor, times, first, context] in order of anchor and corpus: packed bits of windows that repeat."""
+    anchor = np.array([row[0] for row in rows], np.uint64)
+    sizes = np.array([len(row[3]) for row in rows], np.int64)
+    windows = sizes - length + 1
+    owner = np.repeat(np.arange(len(rows)), windows)
+    inner = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
+    found = np.zeros(len(owner), bool)
+    if not earlier_only:
+        found |= (np.array([row[1] for row in rows]) > 1)[owner]
+    # An anchor with one context alone has nothing to compare it with.
+    alone = np.ones(len(rows), bool)
+    alone[1:] &= anchor[1:] != anchor[:-1]
+    alone[:-1] &= anchor[1:] != anchor[:-1]
+    if not alone.all():
+        kept = np.flatnonzero(~alone)
+        data = np.frombuffer(b"".join(rows[i][3] for i in kept.tolist()), np.uint8)
+        begins = np.zeros(len(rows), np.int64)
+        begins[kept] = np.cumsum(sizes[kept]) - sizes[kept]
+        own = np.flatnonzero(~alone[owner])
+        found[own] |= repeated_windows(data, begins[owner[own]] + inner[own], own, length, earlier_only)
+    flat = np.zeros((len(rows), 8 * wide), bool)
+    flat[owner, inner] = found
+    return np.packbits(flat, axis=1)
+
+
+def build_table(kind, width: int):
+    def build(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys in order, and a row of values for each."""
+        high = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r[0], np.uint64) for r in rows)])
+        low = np.concatenate([np.zeros(0, np.uint32), *(np.zeros(len(r[0]) // 8, np.uint32) if r[1] is None else np.frombuffer(r[1], np.uint32) for r in rows)])
+        values = np.concatenate([np.zeros((0, width), kind), *(np.frombuffer(r[2], kind).reshape(-1, width) for r in rows)])
+        order = np.lexsort((low, high))
+        return high[order], low[order], values[order]
+
+    return build
+
+
+def values_of(known: tuple[np.ndarray, np.ndarray, np.ndarray], a: bytes, b: bytes | None) -> np.ndarray:
+    """The asked keys' rows of values, zeros for unknown ones."""
+    high = np.frombuffer(a, np.uint64)
+    low = np.zeros(len(high), np.uint32) if b is None else np.frombuffer(b, np.uint32)
+    highs, lows, values = known
+    out = np.zeros((len(high), values.shape[1]), values.dtype)
+    at = np.searchsorted(highs, high)
+    left = np.arange(len(high))
+    while len(left):
+        left = left[at[left] < len(highs)]
+        left = left[highs[at[left]] == high[left]]
+        same = lows[at[left]] == low[left]
+        out[left[same]] = values[at[left[same]]]
+        left = left[~same]
+        at[left] += 1
+    return out
+
+
+def marked_starts(r: Runs, state: np.ndarray, e: Contexts, bits: np.ndarray, crowd: Contexts, gone: list[np.ndarray], number: int, length: int, keep_first: bool) -> dict[int, np.ndarray]:
+    """By text (of the block's distinct ones): which window starts are to go; texts without any are left out.  bits holds
+    a row for each context of e, gone one for each of crowd."""
     out: dict[int, np.ndarray] = {}
-    for run in np.flatnonzero(whole | part).tolist():
-        text = int(e.runs_of[run])
-        marks = out.setdefault(text, np.zeros(len(e.texts[text]) - length + 1, bool))
-        marks[e.first[run] : e.last[run] + 1] = True if whole[run] else windows[int(e.entry[run])]
+    flags = np.unpackbits(bits[:, : bits.shape[1] - 8 * keep_first], axis=1).astype(bool)
+    later = bits[:, -8:].copy().view(np.int64)[:, 0] != number if keep_first else np.zeros(len(bits), bool)
+    any_flag = flags.any(1) | later
+    rows = [(run, flags[k], bool(later[k])) for run, k in zip(e.runs.tolist(), e.entry.tolist(), strict=True) if any_flag[k] or keep_first]
+    rows += [(run, gone[k], False) for run, k in zip(crowd.runs.tolist(), crowd.entry.tolist(), strict=True)]
+    earliest = set(e.earliest.tolist()) | set(crowd.earliest.tolist())
+    for run, own, whole in rows:
+        first, last, text = int(r.first[run]), int(r.last[run]), int(r.text[run])
+        whole |= keep_first and run not in earliest
+        if whole or own[: last - first + 1].any():
+            marks = out.setdefault(text, np.zeros(len(r.texts[text]) - length + 1, bool))
+            marks[first : last + 1] = True if whole else own[: last - first + 1]
     return out
 
 
@@ -423,36 +556,101 @@ def remove_repeats(
     Removes each byte covered by a `length`-byte string that also starts anywhere else; with keep_first the
     first copy in the written blocks' order stays.  `gram`, a power of two below `length`, is the anchors'
     size.  Null texts count as empty, and texts shorter than `length` stay whole.  Repeated rows are copies
-    of each other like any equal texts.  An empty table gives an empty result; other columns are ignored.
+    of each other like any equal texts.  A text over `block_bytes` is a block's last and is read in slices.  Ids are
+    taken as 64-bit integers.  An empty table gives an empty result; other columns are ignored.
     """
-    buckets = shuffle_width(df.sparkSession)
-    packed = blocks(with_text(df, id_col, text_col, lambda i: F.lit(True)), block_bytes, buckets)
-    dealt = lambda asked, n: asked.repartition(n, "bucket").sortWithinPartitions("bucket")
-    asked = arrow_map(packed, _ask(length, gram, buckets), "block long, bucket int, anchors binary, contexts binary, times binary")
-    judged = written(arrow_map(dealt(asked, buckets), _judge(crowd, keep_first), "block long, bucket int, flags binary"))
-    answers = judged.groupBy("block").agg(F.collect_list(F.struct("bucket", "flags")).alias("answers"))
-    seen = packed.join(answers.hint("shuffle_hash"), "block", "left")
-    shown = arrow_map(seen, _show(length, gram, buckets), "block long, bucket int, a binary, b binary, times binary")
-    compared = written(arrow_map(dealt(shown, buckets), _compare(length, keep_first), "block long, bucket int, bits binary"))
-    bits = compared.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias("bits"))
+    width = shuffle_width(df.sparkSession)
+    packed = blocks(with_text(df, id_col, text_col, lambda i: F.lit(True)), block_bytes, width)
+    surveyed = _kinds(packed, _survey(length, gram, width), "survey")
+    summed = "part int, a binary, b binary, c binary, d binary, keys long"
+
+    def sums(rows: DataFrame, firsts: bool, all_keys: bool) -> DataFrame:
+        dealt = rows.select("part", "a", "b", "c", "d").repartition(width, "part").sortWithinPartitions("part")
+        return written(arrow_map(dealt, _sum(firsts, all_keys), summed))
+
+    def keys_in(table: DataFrame) -> int:
+        return table.agg(F.sum("keys").alias("n")).first()["n"] or 0
+
+    def ranged(table: DataFrame, ranges: int, value) -> DataFrame:
+        """A table by the lookups' ranges; value makes each key's values of the columns c and d."""
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    a, b, c, d = (batch.column(j)[k].as_py() for j in range(4))
+                    high, low, kept = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint32), value(c, np.frombuffer(d, np.int64))
+                    yield rows_of([(p, 0, False, None, high[own].tobytes(), low[own].tobytes(), kept[own].tobytes()) for p, own in split_by(range_of(high, ranges))])
+
+        return arrow_map(table.select("a", "b", "c", "d"), cut, ROW)
+
+    look = lambda known, number, a, b: values_of(known, a, b).tobytes()
+    anchored = sums(surveyed("count"), False, False)
+    ranges, salts = ranges_for(keys_in(anchored), width)
+    state_of = lambda times, _: np.where(np.frombuffer(times, np.int64) > crowd, CROWDED, SHARED).astype(np.uint8)
+    anchors_ = written(lookups(ranged(anchored, ranges, state_of), route(surveyed("ask"), ranges, salts), salts, build_table(np.uint8, 1), look))
+    seen = packed.join(gathered(anchors_, "anchors"), "block", "left")
+    shown = _kinds(seen, _show(length, gram, width, ranges, keep_first), "shown")
+
+    wide = bit_bytes(length, gram)
+    contexts = shown("context").select("part", "a", "b", "c", "d", "e").repartition(width, "part").sortWithinPartitions("part")
+    judged = written(arrow_map(contexts, _compare(length, gram, keep_first), summed))
+    parts, copies = ranges_for(keys_in(judged), width)
+
+    def bits_of(bits: bytes, firsts: np.ndarray) -> np.ndarray:
+        own = np.frombuffer(bits, np.uint8).reshape(-1, wide)
+        return np.concatenate((own, firsts.view(np.uint8).reshape(-1, 8)), axis=1) if keep_first else own
+
+    bit_width = wide + 8 * keep_first
+    bits = written(lookups(ranged(judged, parts, bits_of), route(shown("ask_context"), parts, copies), copies, build_table(np.uint8, bit_width), look))
+
+    windowed = sums(shown("window"), True, keep_first)
+    window_ranges, window_salts = ranges_for(keys_in(windowed), width)
+    kept_first = (lambda times, firsts: firsts + 1) if keep_first else (lambda times, firsts: np.frombuffer(times, np.int64))
+    asked = route(shown("ask_window"), window_ranges, window_salts)
+    windows = written(lookups(ranged(windowed, window_ranges, kept_first), asked, window_salts, build_table(np.int64, 1), look))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, (_, ids, ends, _, body) in enumerate(block_rows(batch)):
-                e = entries(texts_of(ends, body), length, gram)
-                flags = flags_of(e, batch.column("answers")[i].as_py() or [], buckets)
-                starts = marked_starts(e, flags, batch.column("bits")[i].as_py() or [], length, buckets, keep_first)
+            for i, (number, ids, ends, _, body) in enumerate(block_rows(batch)):
+                r = runs_of(texts_of(ends, body), length, gram)
+                state = anchor_state(r, batch.column("anchors")[i].as_py(), ranges)
+                e, many = (contexts_of(r, np.flatnonzero(state == s), length) for s in (SHARED, CROWDED))
+                found = answered(batch.column("bits")[i].as_py(), e.high, parts, np.uint8, bit_width)
+                gone = crowded_windows(r, many, batch.column("windows")[i].as_py(), window_ranges, number, length, keep_first)
+                starts = marked_starts(r, state, e, found, many, gone, number, length, keep_first)
                 out = []
-                for k, (text, owners) in enumerate(zip(e.texts, e.owners, strict=True)):
-                    gone, spans, left = removed(text, starts.get(k), length)
+                for k, (text, owners) in enumerate(zip(r.texts, r.owners, strict=True)):
+                    n_gone, spans, left = removed(text, starts.get(k), length)
                     digest = hashlib.sha256(left).hexdigest()
                     for j, own in enumerate(owners):
                         if keep_first and j and len(text) >= length:
-                            gone, spans, left, digest = len(text), 1, b"", hashlib.sha256(b"").hexdigest()
-                        out.append((ids[own], len(text), gone, spans, digest, left if with_kept else None))
+                            n_gone, spans, left, digest = len(text), 1, b"", hashlib.sha256(b"").hexdigest()
+                        out.append((ids[own], len(text), n_gone, spans, digest, left if with_kept else None))
                 columns = zip(*out, strict=True)
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    done = arrow_map(seen.join(bits.hint("shuffle_hash"), "block", "left"), finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    joined = seen.join(gathered(bits, "bits"), "block", "left").join(gathered(windows, "windows"), "block", "left")
+    done = arrow_map(joined, finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return done if with_kept else done.drop("kept")
+
+
+def crowded_windows(r: Runs, e: Contexts, answers: list[dict] | None, ranges: int, number: int, length: int, keep_first: bool) -> list[np.ndarray]:
+    """For each context of crowded anchors: which of its windows are to go."""
+    if not len(e.high):
+        return []
+    shown = context_bytes(r, e.earliest, length)
+    sizes = [len(c) - length + 1 for c in shown]
+    high, low = window_keys(shown, length)
+    order = np.lexsort((low, high))
+    heads = first_ones(high[order], low[order])
+    at = np.empty(len(high), np.int64)
+    at[order] = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(order))))
+    found = answered(answers, high[order[heads]], ranges, np.int64)[:, 0][at]
+    if not keep_first:
+        return np.split(found > 1, np.cumsum(sizes)[:-1])
+    # The first of the block's own stays if no block before has it.
+    age = np.lexsort((np.arange(len(high)), np.repeat(e.earliest, sizes)))
+    first = np.zeros(len(high), bool)
+    first[age[np.unique(at[age], return_index=True)[1]]] = True
+    return np.split(~(first & (found == number + 1)), np.cumsum(sizes)[:-1])

@@ -314,16 +314,6 @@ def test_keeping_first_leaves_each_string_once(spark, small):
     assert max(v for k, v in after.items() if k in before) == 1
 
 
-@pytest.mark.parametrize("data", [b"banana", b"abracadabra", b"aaaa", b"", b"x", b"a\0a\0\0"])
-def test_longest_previous_factor(data):
-    lpf, source = repeats.longest_previous_factor(data)
-    for i in range(len(data)):
-        best = max((next((m for m in range(len(data) - i + 1) if data[i : i + m + 1] != data[j : j + m + 1] or i + m >= len(data)), 0) for j in range(i)), default=0)
-        assert lpf[i] == best
-        if best:
-            assert source[i] < i and data[source[i] : source[i] + best] == data[i : i + best]
-
-
 def test_runs_across_slices_of_a_long_text(monkeypatch):
     monkeypatch.setattr(repeats, "_SLICE", 1000)
     data = bytes(np.random.default_rng(1).integers(97, 123, 4000, dtype=np.uint8))

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from broadsheet.llm import lm_scores
+from broadsheet.llm import lm_scores, lookups
 
 SMALL = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, block long, part int, found binary, flag boolean, kind string"
@@ -102,19 +102,19 @@ def test_long_texts_are_scored_in_slices(monkeypatch):
 
 
 def test_keys_that_share_their_first_bits_are_told_apart():
-    known = lm_scores.added_up(np.array([7, 7, 7, 9], np.uint64), np.array([3, 1, 3, 0], np.uint32), np.array([1, 5, 2, 4]))
-    assert lm_scores.totals_of(known, np.array([7, 7, 7, 8, 9, 10], np.uint64), np.array([1, 3, 2, 0, 0, 0], np.uint32)).tolist() == [5, 3, 0, 0, 4, 0]
+    known = lookups.added_up(np.array([7, 7, 7, 9], np.uint64), np.array([3, 1, 3, 0], np.uint32), np.array([1, 5, 2, 4]))
+    assert lookups.totals_of(known, np.array([7, 7, 7, 8, 9, 10], np.uint64), np.array([1, 3, 2, 0, 0, 0], np.uint32)).tolist() == [5, 3, 0, 0, 4, 0]
 
 
 def test_totals_round_trip():
     for x in ([], [0, 5, 2**32 - 1], [2**40, 1]):
-        assert lm_scores.unpack_totals(lm_scores.pack_totals(np.array(x, np.int64)), len(x)).tolist() == x
+        assert lookups.unpack_totals(lookups.pack_totals(np.array(x, np.int64)), len(x)).tolist() == x
 
 
 def test_ranges_follow_the_keys_and_not_the_blocks():
-    assert lm_scores.ranges_for(10, 8) == (8, 1) and lm_scores.ranges_for(10, 6400) == (64, 100) and lm_scores.ranges_for(10**9, 100_000) == (1000, 100)
+    assert lookups.ranges_for(10, 8) == (8, 1) and lookups.ranges_for(10, 6400) == (64, 100) and lookups.ranges_for(10**9, 100_000) == (1000, 100)
     high = np.sort(np.random.default_rng(1).integers(0, 2**64, 1000, dtype=np.uint64))
-    found = lm_scores.range_of(high, 64)
+    found = lookups.range_of(high, 64)
     assert (np.diff(found) >= 0).all() and found.min() == 0 and found.max() == 63
 
 
