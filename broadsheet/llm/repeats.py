@@ -6,9 +6,10 @@ together, then each gathering is put in suffix order:
 1. Anchors.  Of each window of L bytes the smallest hash among its k-byte strings is the anchor, the
    leftmost of equals.  Equal windows have equal anchors at equal places, so every window is judged once,
    with its anchor.  Neighbouring windows mostly share theirs: a run, whose bytes are its context.
-2. Tasks count their anchors and add up; blocks ask how often theirs occur.  A window whose anchor is met
-   once repeats nothing.
-3. Contexts of shared anchors travel as bytes, each distinct one once a task, to their anchor's part.  There
+2. Tasks count their anchors and add up, with a 64-bit hash of the context as long as an anchor has but one; blocks
+   ask about theirs.  A window whose anchor is met once repeats nothing; one whose anchor always has the same
+   context repeats.
+3. Contexts of other shared anchors travel as bytes, each distinct one once a task, to their anchor's part.  There
    an anchor's contexts are put in suffix order.  Previous and next smaller positions in that order hold each
    window's longest previous factor; one of L bytes or more is a repeat, and so is what it repeats.
    Anchors that occur more than `crowd` times are not gathered: their windows are told apart by 96-bit
@@ -39,10 +40,11 @@ _BASE = 0x9E3779B97F4A7C15
 _LOW = np.uint64((1 << 20) - 1)
 _SLICE = 1 << 19
 
-#: What a block learns of its anchors: met once in the corpus, shared by a few windows' runs, by a crowd of them.
-ONCE, SHARED, CROWDED = 0, 1, 2
+#: What a block learns of its anchors: met once in the corpus, shared by a few windows' runs, by a crowd of them, or always
+#: in the same context.
+ONCE, SHARED, CROWDED, EQUAL = 0, 1, 2, 3
 #: Bytes of contexts that a task sends at once, and that are put in suffix order at once.
-SHOWN, AT_ONCE = 64 << 20, 8 << 20
+SHOWN, AT_ONCE = 32 << 20, 2 << 20
 
 
 # --- anchors ------------------------------------------------------------------------------------------
@@ -166,14 +168,14 @@ def prefix_ranks(data: np.ndarray, length: int) -> list[tuple[int, np.ndarray]]:
     if length < 8:
         x >>= np.uint64(8 * (8 - length))
     rank, width = np.unique(x, return_inverse=True)[1].astype(np.int64), min(8, length)
-    out = [(width, rank[: len(data)])]
+    out = [(width, rank[: len(data)].astype(np.int32))]
     while width < length:
         step = min(width, length - width)
         beyond = np.zeros(len(rank), np.int64)
         beyond[: len(rank) - step] = rank[step:]
         rank = np.unique(rank * (rank.max() + 1) + beyond, return_inverse=True)[1].astype(np.int64)
         width += step
-        out.append((width, rank[: len(data)]))
+        out.append((width, rank[: len(data)].astype(np.int32)))
     return out
 
 
@@ -286,57 +288,75 @@ def _kinds(df: DataFrame, function, name: str):
 
 
 class Counts:
-    """Keys (64 bits, and 32 more) with what a task has counted, and the first block that has each."""
+    """Keys (64 bits, and 32 more) with what a task has counted, and the least and the greatest of a number that comes with
+    each."""
+
+    KINDS = (np.uint64, np.uint32, np.int64, np.int64, np.int64)
 
     def __init__(self, most: int = 1 << 20) -> None:
         self.most, self.parts, self.held = most, [], 0
 
-    def add(self, high: np.ndarray, low: np.ndarray, counts: np.ndarray, firsts: np.ndarray) -> None:
-        self.parts.append((high, low, counts, firsts))
+    def add(self, high: np.ndarray, low: np.ndarray, counts: np.ndarray, least: np.ndarray, greatest: np.ndarray) -> None:
+        self.parts.append((high, low, counts, least, greatest))
         self.held += len(high)
         if self.held > self.most:
             merged = self.merged()
-            self.parts, self.held = [merged], 0
+            # Kept keys weigh half, so that a growing table is not merged for every block.
+            self.parts, self.held = [merged], len(merged[0]) // 2 if len(merged[0]) < self.most else 0
 
-    def merged(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        kinds = (np.uint64, np.uint32, np.int64, np.int64)
-        high, low, counts, firsts = (np.concatenate([np.zeros(0, t), *(p[j] for p in self.parts)]) for j, t in enumerate(kinds))
+    def merged(self) -> tuple[np.ndarray, ...]:
+        high, low, counts, least, greatest = (np.concatenate([np.zeros(0, t), *(p[j] for p in self.parts)]) for j, t in enumerate(self.KINDS))
         order = np.lexsort((low, high))
         heads = first_ones(high[order], low[order])
         if not len(heads):
-            return high, low, counts, firsts
-        return high[order[heads]], low[order[heads]], np.add.reduceat(counts[order], heads), np.minimum.reduceat(firsts[order], heads)
+            return high, low, counts, least, greatest
+        sums = (f.reduceat(x[order], heads) for f, x in ((np.add, counts), (np.minimum, least), (np.maximum, greatest)))
+        return high[order[heads]], low[order[heads]], *sums
 
 
 def _survey(length: int, k: int, width: int):
-    """What each block asks (its anchors), and how often a task's texts have each anchor."""
+    """What each block asks (its anchors), and how often a task's texts have each anchor and in which context, if but one."""
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
         counts = Counts()
         for batch in batches:
             for number, _, ends, _, body in block_rows(batch):
                 r = runs_of(texts_of(ends, body), length, k)
-                keys, at = np.unique(r.key, return_inverse=True)
-                counts.add(keys, np.zeros(len(keys), np.uint32), np.bincount(at.reshape(-1), r.weight, len(keys)).astype(np.int64), np.zeros(len(keys), np.int64))
-                yield _rows("ask", [(number, None, keys.tobytes(), None, None, None, None)])
-        high, _, times, _ = counts.merged()
-        yield _rows("count", [(None, p, high[own].tobytes(), None, times[own].tobytes(), None, None) for p, own in split_by(range_of(high, width))])
+                rows = zip(r.text.tolist(), r.place.tolist(), r.first.tolist(), r.last.tolist(), strict=True)
+                context = np.fromiter((xxh64_intdigest(r.texts[t][a : b + length], p - a) for t, p, a, b in rows), np.uint64, len(r.key)).view(np.int64)
+                own = Counts()
+                own.add(r.key, np.zeros(len(r.key), np.uint32), r.weight, context, context)
+                found = own.merged()
+                counts.add(*found)
+                yield _rows("ask", [(number, None, found[0].tobytes(), None, None, None, None)])
+        high, _, times, least, greatest = counts.merged()
+        parts = split_by(range_of(high, width))
+        yield _rows("count", [(None, p, high[own].tobytes(), None, times[own].tobytes(), least[own].tobytes(), np.packbits(least[own] != greatest[own]).tobytes()) for p, own in parts])
 
     return survey
 
 
-def _sum(firsts: bool, all_keys: bool):
-    """One row for each part: keys, counts and first blocks; without `all_keys` only of those counted more than once."""
+def _sum(anchors_: bool, all_keys: bool):
+    """One row for each part: keys, counts, and the least of what comes with them; without `all_keys` only of those counted
+    more than once.  Counts of anchors that have but one context are negative."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, rows in _by_part(batches, ["a", "b", "c", "d"]):
+        for part, rows in _by_part(batches, ["a", "b", "c", "d", "e"]):
             counts = Counts()
-            for a, b, c, d in rows:
-                high = np.frombuffer(a, np.uint64)
-                counts.add(high, np.zeros(len(high), np.uint32) if b is None else np.frombuffer(b, np.uint32), np.frombuffer(c, np.int64), np.frombuffer(d, np.int64) if firsts else np.zeros(len(high), np.int64))
-            high, low, times, first = counts.merged()
+            for a, b, c, d, e in rows:
+                high, least = np.frombuffer(a, np.uint64), np.frombuffer(d, np.int64)
+                low = np.zeros(len(high), np.uint32) if b is None else np.frombuffer(b, np.uint32)
+                unlike = np.unpackbits(np.frombuffer(e, np.uint8), count=len(high)).astype(bool) if anchors_ else np.zeros(len(high), bool)
+                # Any other number says that contexts differ.
+                other = np.where(unlike, least ^ 1, least)
+                counts.add(high, low, np.frombuffer(c, np.int64), np.minimum(least, other), np.maximum(least, other))
+            high, low, times, least, greatest = counts.merged()
             own = np.flatnonzero(times > (0 if all_keys else 1))
-            values = [pa.array([x[own].tobytes()], pa.binary()) for x in (high, low, times, first)]
+            if anchors_:
+                times = np.where(least == greatest, -times, times)
+            values = [pa.array([x[own].tobytes()], pa.binary()) for x in (high, low, times, least)]
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *values, pa.array([len(own)], pa.int64())], names=["part", "a", "b", "c", "d", "keys"])
 
     return add
@@ -391,12 +411,12 @@ def _show(length: int, k: int, width: int, ranges: int, keep_first: bool):
                     high, low = window_keys(shown_, length)
                     times = np.repeat(e.times.astype(np.int64), [len(c) - length + 1 for c in shown_])
                     own = Counts()
-                    own.add(high, low, times, np.full(len(high), number))
-                    high, low, times, firsts = own.merged()
-                    windows.add(high, low, times, firsts)
+                    own.add(high, low, times, *[np.full(len(high), number)] * 2)
+                    high, low, times, firsts, _ = own.merged()
+                    windows.add(high, low, times, firsts, firsts)
                     yield _rows("ask_window", [(number, None, high.tobytes(), low.tobytes(), None, None, None)])
         yield shown()
-        high, low, times, firsts = windows.merged()
+        high, low, times, firsts, _ = windows.merged()
         yield _rows("window", [(None, p, high[own].tobytes(), low[own].tobytes(), times[own].tobytes(), firsts[own].tobytes(), None) for p, own in split_by(range_of(high, width))])
 
     return show
@@ -518,6 +538,7 @@ def marked_starts(r: Runs, state: np.ndarray, e: Contexts, bits: np.ndarray, cro
     any_flag = flags.any(1) | later
     rows = [(run, flags[k], bool(later[k])) for run, k in zip(e.runs.tolist(), e.entry.tolist(), strict=True) if any_flag[k] or keep_first]
     rows += [(run, gone[k], False) for run, k in zip(crowd.runs.tolist(), crowd.entry.tolist(), strict=True)]
+    rows += [(run, None, True) for run in np.flatnonzero(state == EQUAL).tolist()]
     earliest = set(e.earliest.tolist()) | set(crowd.earliest.tolist())
     for run, own, whole in rows:
         first, last, text = int(r.first[run]), int(r.last[run]), int(r.text[run])
@@ -564,9 +585,9 @@ def remove_repeats(
     surveyed = _kinds(packed, _survey(length, gram, width), "survey")
     summed = "part int, a binary, b binary, c binary, d binary, keys long"
 
-    def sums(rows: DataFrame, firsts: bool, all_keys: bool) -> DataFrame:
-        dealt = rows.select("part", "a", "b", "c", "d").repartition(width, "part").sortWithinPartitions("part")
-        return written(arrow_map(dealt, _sum(firsts, all_keys), summed))
+    def sums(rows: DataFrame, anchors_: bool, all_keys: bool) -> DataFrame:
+        dealt = rows.select("part", "a", "b", "c", "d", "e").repartition(width, "part").sortWithinPartitions("part")
+        return written(arrow_map(dealt, _sum(anchors_, all_keys), summed))
 
     def keys_in(table: DataFrame) -> int:
         return table.agg(F.sum("keys").alias("n")).first()["n"] or 0
@@ -584,9 +605,15 @@ def remove_repeats(
         return arrow_map(table.select("a", "b", "c", "d"), cut, ROW)
 
     look = lambda known, number, a, b: values_of(known, a, b).tobytes()
-    anchored = sums(surveyed("count"), False, False)
+    anchored = sums(surveyed("count"), True, False)
     ranges, salts = ranges_for(keys_in(anchored), width)
-    state_of = lambda times, _: np.where(np.frombuffer(times, np.int64) > crowd, CROWDED, SHARED).astype(np.uint8)
+
+    def state_of(times: bytes, _: np.ndarray) -> np.ndarray:
+        n = np.frombuffer(times, np.int64)
+        state = np.where(np.abs(n) > crowd, CROWDED, SHARED)
+        # Which copy of equal contexts comes first, they have to say themselves.
+        return (state if keep_first else np.where(n < 0, EQUAL, state)).astype(np.uint8)
+
     anchors_ = written(lookups(ranged(anchored, ranges, state_of), route(surveyed("ask"), ranges, salts), salts, build_table(np.uint8, 1), look))
     seen = packed.join(gathered(anchors_, "anchors"), "block", "left")
     shown = _kinds(seen, _show(length, gram, width, ranges, keep_first), "shown")
@@ -603,7 +630,7 @@ def remove_repeats(
     bit_width = wide + 8 * keep_first
     bits = written(lookups(ranged(judged, parts, bits_of), route(shown("ask_context"), parts, copies), copies, build_table(np.uint8, bit_width), look))
 
-    windowed = sums(shown("window"), True, keep_first)
+    windowed = sums(shown("window"), False, keep_first)
     window_ranges, window_salts = ranges_for(keys_in(windowed), width)
     kept_first = (lambda times, firsts: firsts + 1) if keep_first else (lambda times, firsts: np.frombuffer(times, np.int64))
     asked = route(shown("ask_window"), window_ranges, window_salts)
