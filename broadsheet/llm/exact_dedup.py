@@ -25,6 +25,11 @@ from .common import written
 BROADCAST_KEYS = 2_000_000
 
 
+#: Up to so many repeated digests are broadcast with their groups (about 100 bytes each); beyond it rows meet them within
+#: salts, with the same result.
+BROADCAST_GROUPS = 500_000
+
+
 def squeezed(text: Column) -> Column:
     """The text without any character of [\\x20\\x09-\\x0D]; null counts as empty."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+", "")
@@ -37,13 +42,14 @@ def exact_dedup(
     salts: int = 16,
     digest: Callable[[Column], Column] = lambda text: F.unhex(F.sha2(text, 256)),
     broadcast_keys: int = BROADCAST_KEYS,
+    broadcast_groups: int = BROADCAST_GROUPS,
 ) -> DataFrame:
     """One row per row of df: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after deleting ASCII white space.  Of equal texts the row with the
     most code points in its original text stays, then the smallest id.  Null texts count as empty, and
     all empty texts are equal.  Rows that repeat an id are each returned and share its fate.  Null ids
-    come last among equals.  An empty table gives an empty result; other columns are ignored.
+    come last among equals.  Ids are numbers.  An empty table gives an empty result; other columns are ignored.
     """
     rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     light = written(
@@ -77,7 +83,11 @@ def exact_dedup(
     # Texts go no further where their digest stands for one text, as it does unless digests collide.
     per_digest = winners.groupBy("digest").agg(F.count("*").alias("contents"), F.first("keep_id").alias("keep_id"), F.first("group_size").alias("group_size"))
     per_digest = written(per_digest)
-    found = light.join(per_digest, "digest", "left")
+    if per_digest.count() <= broadcast_groups:
+        found = light.join(F.broadcast(per_digest), "digest", "left")
+    else:
+        copies = per_digest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        found = light.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).join(copies, ["digest", "salt"], "left")
     plain = found.where("contents is null or contents = 1").select(
         "doc_id",
         F.when(F.col("contents").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),

@@ -2,8 +2,8 @@
 
 For each length n a polynomial hash rolls over the text's word numbers in numpy (64-bit wrap-around).
 The characters of words inside n-grams that occur again in the same text are counted once each, however
-many duplicated n-grams cover them.  Lines are treated alike.  A text fails when a share passes its
-threshold.
+many duplicated n-grams cover them.  Lines are treated alike: the words of all lines that have an equal one
+count, the first copy's too.  A text fails when a share of its word characters passes its threshold.
 """
 
 from __future__ import annotations
@@ -75,15 +75,12 @@ def measure(text: bytes, rules: Rules) -> tuple:
     n = len(words)
     word_chars = points(text) - (len(text) - len(text.translate(None, BLANK_BYTES)))
     n_symbols = len(text) - len(text.translate(None, SYMBOLS))
-    seen: dict[bytes, int] = {}
-    n_dup_lines = dup_line_bytes = 0
+    lines: dict[bytes, int] = {}
     for line in text.split(b"\n"):
         if line.strip(BLANK_BYTES):
-            if line in seen:
-                n_dup_lines += 1
-                dup_line_bytes += len(line)
-            seen[line] = 1
-    line_share = dup_line_bytes / max(1, len(text))
+            lines[line] = lines.get(line, 0) + 1
+    n_dup_lines = sum(lines.values()) - len(lines)
+    line_share = sum(times * points(line.translate(None, BLANK_BYTES)) for line, times in lines.items() if times > 1) / max(1, word_chars)
     n_repeat_words, worst, bad = 0, 0.0, line_share > rules.line_share
     if n >= 3:
         numbers: dict[bytes, int] = {}
@@ -118,8 +115,8 @@ COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_re
 def repetition_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Rules = Rules()) -> DataFrame:
     """One row per row of df with the counts above, the verdict, and the two shares it rests on.
 
-    A null or empty text has no words and fails the base rule.  Repeated rows are each measured; an empty
-    table gives an empty result; other columns are ignored.  No shuffle.
+    A null or empty text has no words and fails the base rule.  Repeated rows are each measured, and very long
+    texts as a whole; an empty table gives an empty result; other columns are ignored.  No shuffle.
     """
     rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
 

@@ -2,9 +2,10 @@
 
 Fingerprints that differ in at most 4 of 64 bits agree in at least two of six blocks of bits, so a shard
 for each value of each of the 15 pairs of blocks (20 to 22 bits) brings every linked pair together in some
-shard: no link is lost.  A shard's tree keys children by their integer Hamming distance to the parent; a
-query follows only edges within the radius of its own distance.  Trees go to the tasks by shard key and
-not as one broadcast, for together they grow with the input.  A shard returns a spanning forest of its
+shard: no link is lost.  Of more fingerprints more blocks are asked to agree, three of seven or four of eight, so
+that shards stay small and the work grows with the input.  A shard's tree keys children by their integer Hamming
+distance to the parent; a query follows only edges within the radius of its own distance.  Trees go to the tasks by
+shard key and not as one broadcast: they hold the fingerprints of all documents.  A shard returns a spanning forest of its
 links, never all its pairs, and a query skips subtrees that already belong to its own component, so a
 large group of near copies costs a few visits a member.
 
@@ -118,46 +119,54 @@ def block_bounds(blocks: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def shard_keys(fp: Column, radius: int = 4) -> Column:
-    """An array of (pair of blocks, bits in it): with radius + 2 blocks, fingerprints within the radius share one."""
+#: Fingerprints that a shard holds at most on average, were they random.
+SHARD = 32
+
+
+def agreeing(n: int, radius: int = 4) -> int:
+    """How many blocks fingerprints must agree in to share a shard, so that n of them make small shards."""
+    return next((m for m in (2, 3) if n <= SHARD << 64 * m // (radius + m)), 4)
+
+
+def shard_keys(fp: Column, radius: int = 4, agree: int = 2) -> Column:
+    """An array of (choice of blocks, bits in them): with radius + agree blocks, fingerprints within the radius share one."""
     pick = lambda at: F.shiftrightunsigned(fp, at[0]).bitwiseAND(F.lit((1 << at[1]) - 1))
-    pairs = combinations(block_bounds(radius + 2), 2)
-    return F.array(*(F.struct(F.lit(i).alias("pair"), F.shiftleft(pick(a), b[1]).bitwiseOR(pick(b)).alias("bits")) for i, (a, b) in enumerate(pairs)))
+    keys = []
+    for i, chosen in enumerate(combinations(block_bounds(radius + agree), agree)):
+        bits = pick(chosen[0])
+        for at in chosen[1:]:
+            bits = F.shiftleft(bits, at[1]).bitwiseOR(pick(at))
+        keys.append(F.struct(F.lit(i).alias("choice"), bits.alias("bits")))
+    return F.array(*keys)
 
 
 def _links(radius: int):
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by shard; a shard may span batches."""
-        at, tree, ids = None, None, []
+        at, tree, held = None, None, []
         for batch in batches:
             a, b = [], []
-            pair, bits, fp, rep = (batch.column(c).to_pylist() for c in ("pair", "bits", "fp", "rep"))
-            for shard, value, own in zip(zip(pair, bits, strict=True), fp, rep, strict=True):
+            choice, bits, fp = (batch.column(c).to_pylist() for c in ("choice", "bits", "fp"))
+            for shard, own in zip(zip(choice, bits, strict=True), fp, strict=True):
                 if shard != at:
-                    at, tree, ids = shard, BKTree(radius), []
-                for t in tree.add(value & 0xFFFFFFFFFFFFFFFF):
-                    a.append(ids[t])
+                    at, tree, held = shard, BKTree(radius), []
+                for t in tree.add(own & 0xFFFFFFFFFFFFFFFF):
+                    a.append(held[t])
                     b.append(own)
-                ids.append(own)
+                held.append(own)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return link
 
 
-def _grouped(marked: DataFrame, distinct: DataFrame, edges: DataFrame) -> DataFrame:
-    """marked's ids and fingerprints with their components, from links between the representatives in distinct."""
-    found = components(edges)
-    labels = distinct.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return marked.join(labels, "fp").select("doc_id", "fp", "component_id")
-
-
 def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for every row of df.
 
     component_id is the smallest id reachable over links of at most `radius` differing bits.  Texts without
     words, null ones included, have fingerprint zero and are linked like any other.  Rows with equal
-    fingerprints always share a component; a null id gets its fingerprint's.  An empty table gives an empty
-    result; other columns are ignored.  Ids are integers.
+    fingerprints always share a component; a null id gets its fingerprint's, links like any other, and is never a
+    component's id, which is null where no row has one.  Very long texts are hashed as a whole, a stretch at a time.
+    An empty table gives an empty result; other columns are ignored.  Ids are taken as 64-bit integers.
     """
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
 
@@ -168,10 +177,14 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     marked = written(arrow_map(rows, hashed, "doc_id long, fp long"))
     distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    shards = distinct.where("rep is not null").select("fp", "rep", F.explode(shard_keys(F.col("fp"), radius)).alias("k")).select("k.pair", "k.bits", "fp", "rep")
-    dealt = shards.repartition("pair", "bits").sortWithinPartitions("pair", "bits", "fp")
-    edges = arrow_map(dealt, _links(radius), "a long, b long")
-    return _grouped(marked, distinct, edges).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    choices = shard_keys(F.col("fp"), radius, agreeing(distinct.count(), radius))
+    shards = distinct.select("fp", F.explode(choices).alias("k")).select("k.choice", "k.bits", "fp")
+    dealt = shards.repartition("choice", "bits").sortWithinPartitions("choice", "bits", "fp")
+    # The fingerprints are the nodes; what a component is called follows from its rows' ids.
+    found = written(components(arrow_map(dealt, _links(radius), "a long, b long")).withColumnRenamed("node", "fp"))
+    named = found.join(distinct, "fp").groupBy("component").agg(F.min("rep").alias("component_id"))
+    labels = distinct.join(found.join(named, "component").select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
+    return marked.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 # --- a stated similarity ------------------------------------------------------------------------------

@@ -44,30 +44,99 @@ def labels(spark, rows=()):
     return spark.createDataFrame(list(rows), "doc_id long, quality int, toxic int")
 
 
-OPERATORS = {
-    "simhash": lambda s, d: simhash.simhash_groups(d),
-    "near": lambda s, d: simhash.near_groups(d),
-    "repetition": lambda s, d: repetition.repetition_rules(d),
-    "packing": lambda s, d: packing.pack(d, JSON, RANKS),
-    "repeats": lambda s, d: repeats.remove_repeats(d),
-    "exact": lambda s, d: exact_dedup(d),
-    "quality": lambda s, d: quality.quality_scores(d, labels(s, [(4, 1, 0), (6, 0, None), (7, None, 1), (8, 0, 1)])),
-    "keep_quality": lambda s, d: quality.keep_quality(d, labels(s)),
-    "lm": lambda s, d: lm_scores.lm_scores(d),
-    "tokens": lambda s, d: token_counts.token_counts(d, WORDS),
-    "mixing": lambda s, d: mixing.mix(d, labels(s, [(4, 1, 0), (6, 0, None), (7, None, 1), (8, 0, 1)]), {"clean": 0.8, "toxic": 0.1, "low": 0.1}),
-    "html": lambda s, d: html_text.extract_text(d.select(F.col("doc_id").alias("page_id"), F.lit(None).cast("string").alias("url"), F.col("text").alias("html"), "rank")),
-}
-
-
-@pytest.mark.parametrize("name", sorted(OPERATORS))
-def test_odd_rows_and_empty_tables(spark, name):
-    got = OPERATORS[name](spark, docs(spark, ODD)).collect()
-    if name in ("packing",):
-        assert {r["doc_id"] for r in got} == {i for i, _ in ODD}
-    elif name != "keep_quality":
-        assert len(got) == len(ODD)
-    assert OPERATORS[name](spark, docs(spark, [])).collect() == []
+#: Names of the operators' own columns.
+CLASHES = "fp key component_id salt x y block flag bins digest rank bucket body n_points n sha contents choice bits rep part piece length sequence_id score held_out n_tokens n_bytes kept".split()
+
+
+def clashing(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string").select("*", *(F.lit(7).alias(c) for c in CLASHES))
+
+
+def fields(got, *names):
+    return sorted(((r["doc_id"] if r["doc_id"] is not None else -1, *(r[n] for n in names)) for r in got), key=str)
+
+
+def test_odd_rows_simhash(spark):
+    got = simhash.simhash_groups(clashing(spark, ODD)).collect()
+    want = []
+    for i, t in ODD:
+        f = plain_fingerprint(t or "")
+        same = [j for j, u in ODD if j is not None and (plain_fingerprint(u or "") ^ f).bit_count() <= 4]
+        want.append((i if i is not None else -1, f"{f:016x}", min(same, default=None)))
+    assert fields(got, "fingerprint", "component_id") == sorted(want, key=str)
+    assert simhash.simhash_groups(clashing(spark, [])).collect() == []
+
+
+def test_links_through_rows_without_ids(spark, monkeypatch):
+    """Two texts four bits apart from a third that only a row without an id has; and a component without any id."""
+    monkeypatch.setattr(simhash, "fingerprints", lambda texts, width: np.array([int(t) if t else 0 for t in texts], np.uint64))
+    rows = [(5, "15"), (None, "255"), (9, "4095"), (None, str(2**60 - 1)), (7, str((2**20 - 1) << 20))]
+    for agree in (2, 3, 4):
+        monkeypatch.setattr(simhash, "agreeing", lambda n, radius, agree=agree: agree)
+        got = {r["fingerprint"]: r["component_id"] for r in simhash.simhash_groups(docs(spark, rows)).collect()}
+        assert got == {f"{15:016x}": 5, f"{255:016x}": 5, f"{4095:016x}": 5, f"{2**60 - 1:016x}": None, f"{(2**20 - 1) << 20:016x}": 7}
+
+
+def test_shards_stay_small():
+    assert [simhash.agreeing(n) for n in (10, 60 * 10**6, 10**9, 10**10, 10**12)] == [2, 2, 3, 4, 4]
+
+
+def test_odd_rows_near(spark):
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(clashing(spark, ODD)).collect() if r["doc_id"] is not None}
+    # Texts without words, and those whose lower-cased words are the same shingle.
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6, 7: 4, 8: 8, 9: 8, 10: 10}
+    assert simhash.near_groups(clashing(spark, [])).collect() == []
+
+
+def test_odd_rows_repetition(spark):
+    got = repetition.repetition_rules(clashing(spark, ODD)).collect()
+    words = lambda t: (t or "").encode().split()
+    assert fields(got, "n_words", "word_chars") == sorted(((i if i is not None else -1, len(words(t)), sum(len(w.decode()) for w in words(t))) for i, t in ODD), key=str)
+    assert all(r["base_failed"] and not r["kept"] for r in got)
+    assert repetition.repetition_rules(clashing(spark, [])).collect() == []
+
+
+def test_odd_rows_packing(spark):
+    got = packing.pack(clashing(spark, ODD), JSON, RANKS).collect()
+    exact = packing._encoders(JSON, RANKS)[0]
+    want = Counter()
+    for i, t in ODD:
+        want[i] += len(exact.encode(t or "", add_special_tokens=False).ids) + 1
+    total = Counter()
+    for r in got:
+        total[r["doc_id"]] += r["length"]
+    assert total == want and Counter(r["doc_id"] for r in got if r["piece"] == 0) == Counter(i for i, _ in ODD)
+    assert packing.pack(clashing(spark, []), JSON, RANKS).collect() == []
+
+
+@pytest.mark.parametrize("groups", [10**6, 0])
+def test_odd_rows_exact(spark, groups):
+    """Groups sent to all tasks, and met within salts."""
+    got = exact_dedup(clashing(spark, ODD), broadcast_groups=groups).collect()
+    want = [(-1, None, 1, True), (1, 3, 3, False), (2, 3, 3, False), (3, 3, 3, True), (4, 4, 2, True), *[(5, 5, 2, True)] * 2, (6, 4, 2, False), (7, 7, 1, True), (8, 8, 1, True), (9, 9, 1, True), (10, 10, 1, True)]
+    assert fields(got, "keep_id", "group_size", "kept") == sorted(want, key=str)
+    assert exact_dedup(clashing(spark, []), broadcast_groups=groups).collect() == []
+
+
+def test_odd_rows_quality(spark):
+    y = labels(spark, [(4, 1, 0), (6, 0, None), (7, None, 1), (8, 0, 1), (None, 1, 1), (99, 1, 0)])
+    got = quality.quality_scores(clashing(spark, ODD), y).collect()
+    assert [r["doc_id"] for r in sorted(got, key=lambda r: r["doc_id"] or -1)] == sorted((i for i, _ in ODD), key=lambda i: i or -1)
+    assert all(r["held_out"] == (zlib.crc32(("" if r["doc_id"] is None else str(r["doc_id"])).encode()) % 5 == 0) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in got)
+    assert len({r["score"] for r in got if r["doc_id"] in (1, 2)}) == 1 and len({r["score"] for r in got if r["doc_id"] == 5}) == 1
+    assert {r["score"] for r in quality.quality_scores(clashing(spark, ODD), labels(spark)).collect()} == {0.5}
+    assert quality.quality_scores(clashing(spark, []), y).collect() == []
+    kept = quality.keep_quality(clashing(spark, ODD), y)
+    assert kept.columns == ["doc_id", "text", *CLASHES] and fields(kept.collect()) == sorted([(r["doc_id"] if r["doc_id"] is not None else -1,) for r in got if r["predicted"]], key=str)
+
+
+def test_odd_rows_tokens(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(WORDS)
+    got = token_counts.token_counts(clashing(spark, ODD), WORDS).collect()
+    assert fields(got, "n_bytes", "n_tokens", "over_limit") == sorted(((i if i is not None else -1, len((x or "").encode()), n, n > 2048) for i, x in ODD for n in [len(t.encode(x or "", add_special_tokens=False).ids)]), key=str)
+    assert token_counts.token_counts(clashing(spark, []), WORDS).collect() == []
 
 
 # --- exact dedup ---------------------------------------------------------------------------------------
@@ -230,6 +299,32 @@ def test_repetition_base_columns(spark, small):
         assert not (r["kept"] and r["base_failed"])
 
 
+def plain_shares(text):
+    """By sets of positions: the largest share of word characters in duplicated 5- to 10-grams, and that in equal lines."""
+    words = text.encode().split()
+    size = [len(w.decode()) for w in words]
+    worst = 0.0
+    for n in range(5, 11):
+        seen = Counter(tuple(words[i : i + n]) for i in range(len(words) - n + 1))
+        inside = {k for i in range(len(words) - n + 1) if seen[tuple(words[i : i + n])] > 1 for k in range(i, i + n)}
+        worst = max(worst, sum(size[k] for k in inside) / max(1, sum(size)))
+    lines = [x for x in text.split("\n") if x.encode().split()]
+    return worst, sum(len(w.decode()) for x in lines if lines.count(x) > 1 for w in x.encode().split()) / max(1, sum(size))
+
+
+def test_repetition_shares(spark, small):
+    df, texts = small
+    r = np.random.default_rng(3)
+    made = {10**6 + k: "\n".join(" ".join(f"wört{x}" for x in r.integers(0, 4, int(r.integers(1, 9)))) for _ in range(int(r.integers(1, 12)))) for k in range(60)}
+    both = df.select("doc_id", "text").unionByName(spark.createDataFrame(sorted(made.items()), "doc_id long, text string"))
+    repeated = 0
+    for row in repetition.repetition_rules(both).collect():
+        n, line = plain_shares((texts | made)[row["doc_id"]])
+        assert row["ngram_share"] == pytest.approx(n) and row["line_share"] == pytest.approx(line)
+        repeated += n > 0 and line > 0
+    assert repeated >= 5
+
+
 def test_repetition_verdicts():
     rules = repetition.Rules()
     clean = b" ".join(b"word%d" % i for i in range(300))
