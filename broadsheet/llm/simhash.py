@@ -159,6 +159,24 @@ def _links(radius: int):
     return link
 
 
+#: Up to so many keys that several rows or links have are broadcast with their components (about 40 bytes each); beyond it
+#: rows meet them within salts, with the same result.
+BROADCAST_LABELS = 1_000_000
+SALTS = 16
+
+
+def _labelled(marked: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """marked with component_id: that of its key in labels (key, component_id), else its own id.  A key that a third of
+    all rows have is spread over tasks."""
+    labels = written(labels.withColumn("labelled", F.lit(True)))
+    if labels.count() <= BROADCAST_LABELS:
+        found = marked.join(F.broadcast(labels), key, "left")
+    else:
+        copies = labels.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        found = marked.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(copies, [key, "salt"], "left")
+    return found.withColumn("component_id", F.when(F.col("labelled"), F.col("component_id")).otherwise(F.col("doc_id")))
+
+
 def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for every row of df.
 
@@ -176,15 +194,16 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
     marked = written(arrow_map(rows, hashed, "doc_id long, fp long"))
-    distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")))
     choices = shard_keys(F.col("fp"), radius, agreeing(distinct.count(), radius))
     shards = distinct.select("fp", F.explode(choices).alias("k")).select("k.choice", "k.bits", "fp")
     dealt = shards.repartition("choice", "bits").sortWithinPartitions("choice", "bits", "fp")
     # The fingerprints are the nodes; what a component is called follows from its rows' ids.
     found = written(components(arrow_map(dealt, _links(radius), "a long, b long")).withColumnRenamed("node", "fp"))
     named = found.join(distinct, "fp").groupBy("component").agg(F.min("rep").alias("component_id"))
-    labels = distinct.join(found.join(named, "component").select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
-    return marked.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    linked = found.join(named, "component").select("fp", "component_id", F.lit(True).alias("linked"))
+    labels = distinct.join(linked, "fp", "left").where("linked or rows > 1").select("fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("rep")).alias("component_id"))
+    return _labelled(marked, labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 # --- a stated similarity ------------------------------------------------------------------------------
@@ -371,15 +390,16 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "fp", "shards"])
 
     marked = written(arrow_map(rows, hashed, "doc_id long, key binary, fp binary, shards array<int>"))
-    distinct = written(marked.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("fp", "shards"), "doc_id").alias("x")).select("key", "rep", "x.fp", "x.shards"))
+    grouped = marked.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("fp", "shards"), "doc_id").alias("x"), F.count("*").alias("rows"))
+    distinct = written(grouped.select("key", "rep", "x.fp", "x.shards", "rows"))
     tasks = shuffle_width(df.sparkSession)
     route = min(BAND, max(4, tasks.bit_length()))
     packed = arrow_map(distinct.where("rep is not null"), _deal(route), "bucket int, shards binary, owners binary, fps binary, reps binary")
     proposed = arrow_map(packed.repartition(tasks, "bucket").sortWithinPartitions("bucket"), _link_shards(wide_radius(similarity)), "a long, b long")
     edges = _checked(rows, distinct, components(proposed), width, similarity)
     found = components(edges)
-    labels = distinct.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id"))
-    return marked.select("doc_id", "key", "fp").join(labels, "key").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+    labels = distinct.join(found.withColumnRenamed("node", "rep"), "rep", "left").where("component is not null or rows > 1").select("key", F.coalesce("component", "rep").alias("component_id"))
+    return _labelled(marked.select("doc_id", "key", "fp"), labels, "key").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
 #: Up to so many texts that stand in proposed groups are looked up by a broadcast of their ids; beyond it texts are

@@ -77,6 +77,16 @@ def test_links_through_rows_without_ids(spark, monkeypatch):
         assert got == {f"{15:016x}": 5, f"{255:016x}": 5, f"{4095:016x}": 5, f"{2**60 - 1:016x}": None, f"{(2**20 - 1) << 20:016x}": 7}
 
 
+def test_components_reach_rows_within_salts(spark, small, monkeypatch):
+    """What a broadcast gives, a salted join gives too."""
+    df, texts = small
+    want = [(r["doc_id"], r["component_id"]) for r in simhash.simhash_groups(df).collect()]
+    near = [(r["doc_id"], r["component_id"]) for r in simhash.near_groups(df).collect()]
+    monkeypatch.setattr(simhash, "BROADCAST_LABELS", -1)
+    assert sorted((r["doc_id"], r["component_id"]) for r in simhash.simhash_groups(df).collect()) == sorted(want)
+    assert sorted((r["doc_id"], r["component_id"]) for r in simhash.near_groups(df).collect()) == sorted(near)
+
+
 def test_shards_stay_small():
     assert [simhash.agreeing(n) for n in (10, 60 * 10**6, 10**9, 10**10, 10**12)] == [2, 2, 3, 4, 4]
 
