@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, byte_texts, slices, written
-from .quality import Discriminant, learn, quality_classes, statistics, statistics_of
+from .quality import Discriminant, labelled, learn, quality_classes, statistics, statistics_of
 
 log = logging.getLogger(__name__)
 
@@ -153,7 +153,7 @@ def membership(
     df may have lost a domain."""
     measured = features(df, id_col, text_col, tokens_of)
     kind = dict(measured.dtypes)["doc_id"]
-    lessons = measured if taught is None else features(taught, id_col, text_col, None)
+    lessons = measured if taught is None else features(labelled(taught, labels, id_col), id_col, text_col, None)
     model = Membership(learn(lessons, quality_classes(labels, id_col, "quality"), 2), *learn_words(lessons, labels, id_col))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -159,8 +159,9 @@ def pack(df: DataFrame, json_path: str, rank_path: str | None = None, id_col: st
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its text's ids and then end_id, so null and empty texts are one piece of one token.  Only
-    documents over the token capacity are cut.  Repeated rows are each packed; an empty table gives an empty
-    result; other columns are ignored.
+    documents over the token capacity are cut, however long.  Repeated rows are each packed, and which of equally long
+    pieces goes where follows from how rows stand in their partitions.  An empty table gives an empty result; other
+    columns are ignored.
     """
     rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
@@ -187,7 +188,8 @@ def pack(df: DataFrame, json_path: str, rank_path: str | None = None, id_col: st
     before = held.select("part", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("earlier"))
     # At most `capacity` rows.
     plan = best_fit({r["length"]: r["n"] for r in held.groupBy("length").agg(F.sum("n").alias("n")).collect()}, limits)
-    tables = {length: tuple(np.array(x, np.int64) for x in zip(*runs, strict=True)) for length, runs in plan.runs.items()}
+    # A run ends with its length or with the sequences of one state, so they are about as many as lengths and states.
+    tables = df.sparkSession.sparkContext.broadcast({length: tuple(np.array(x, np.int64) for x in zip(*runs, strict=True)) for length, runs in plan.runs.items()})
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,7 +197,7 @@ def pack(df: DataFrame, json_path: str, rank_path: str | None = None, id_col: st
             sequence, offset = np.empty(len(rank), np.int64), np.empty(len(rank), np.int64)
             for x in np.unique(length):
                 own = np.flatnonzero(length == x)
-                first, start, at = tables[int(x)]
+                first, start, at = tables.value[int(x)]
                 run = np.searchsorted(first, rank[own], "right") - 1
                 sequence[own], offset[own] = start[run] + rank[own] - first[run], at[run]
             kept = [batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]

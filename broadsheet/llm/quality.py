@@ -121,6 +121,19 @@ def measured_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return written(arrow_map(rows, features, f"doc_id {kind}, x array<double>"))
 
 
+#: Up to so many labelled ids (about 64 MB) say which rows are measured to learn from; beyond it all rows are, with the same
+#: result.
+BROADCAST_IDS = 2_000_000
+
+
+def labelled(df: DataFrame, labels: DataFrame, id_col: str) -> DataFrame:
+    """The rows of df that labels speak of, and more where there are too many labels to send around."""
+    ids = labels.select(F.col(f"`{id_col}`").alias("labelled id")).distinct()
+    if ids.count() > BROADCAST_IDS:
+        return df
+    return df.join(F.broadcast(ids), F.col(f"`{id_col}`") == F.col("labelled id"), "left_semi")
+
+
 def learn(measured: DataFrame, classes: DataFrame, k: int) -> Discriminant:
     """From all rows of measured that have a class: classes holds doc_id and y, 0 to k - 1."""
     d = len(NAMES)
@@ -151,7 +164,8 @@ def quality_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
     Learns from the labelled rows outside the held-out fold, all of them.  Only the text enters a score.
     Null texts count as empty and are scored too.  Null labels teach nothing; without any labelled row all
-    scores are 0.5.  Repeated rows are each scored and each teach; an empty table gives an empty result.
+    scores are 0.5.  Repeated rows are each scored and each teach, and so do several labels of one id.  Very long texts
+    are measured as a whole.  An empty table gives an empty result; other columns are ignored.
     """
     measured = measured_rows(df, id_col, text_col)
     model = learn(measured.where(~held_out(F.col("doc_id"), folds)), quality_classes(labels, id_col, label_col), 2)
@@ -165,8 +179,11 @@ def quality_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
 
 def keep_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3, folds: int = 5) -> DataFrame:
-    """The rows of df, all columns as they are, that quality_scores would predict 1; rows never leave their partitions."""
-    measured = measured_rows(df, id_col, text_col)
+    """The rows of df, all columns as they are, that quality_scores would predict 1; rows never leave their partitions.
+
+    Nulls, repeated rows and empty tables are taken as quality_scores takes them.
+    """
+    measured = measured_rows(labelled(df, labels, id_col), id_col, text_col)
     model = learn(measured.where(~held_out(F.col("doc_id"), folds)), quality_classes(labels, id_col, label_col), 2)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
