@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+#: Words, and a text with A-Z in lower case and nothing else.
+WORDS = r"regexp_extract_all({x}, '[^\x20\x09-\x0D]+')"
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: CRC-32 of a number's digits, bit by bit.
+CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: list_transform(range(8), lambda k: (ord(c) >> k) & 1)))),
+ lambda c, b: xor(c >> 1, CASE WHEN (xor(c, b) & 1) = 1 THEN 3988292384 ELSE 0 END)))"""
+
 ORACLES = {
     "op5_exact_dedup": r"""
         WITH n AS (
@@ -16,4 +23,26 @@ ORACLES = {
         )
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS text_sha256 FROM w
     """,
+    "base_repetition": rf"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {WORDS.format(x="coalesce(text, '')")} AS w FROM documents),
+        p AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM d),
+        t AS (SELECT doc_id, i, word || ' ' || lead(word) OVER o || ' ' || lead(word, 2) OVER o AS three FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+        m AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, three) AS n FROM t WHERE three IS NOT NULL) WHERE n > 1),
+        r AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM m) GROUP BY doc_id),
+        l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id)
+        SELECT d.doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+            length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(l.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
+            len(w) < 50 OR 100 * coalesce(r.n, 0) > 50 * len(w) AS base_failed
+        FROM d LEFT JOIN r ON r.doc_id = d.doc_id LEFT JOIN l ON l.doc_id = d.doc_id
+    """,
+    "base_word_model": rf"""
+        WITH d AS (SELECT doc_id, {CRC} % 7 = 2 AS held_out, list_append({WORDS.format(x=LOWER)}, ' ') AS w FROM documents),
+        t AS (SELECT doc_id, held_out, unnest(w) AS token FROM d),
+        c AS (SELECT token, count(*) AS c FROM t WHERE NOT held_out GROUP BY token),
+        s AS (SELECT sum(c) AS n, count(*) AS v FROM c)
+        SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, CAST(any_value(n) AS BIGINT) AS train_tokens,
+            round(sum(log10((coalesce(c, 0) + 1) / (n + (v + 1)))), 4) AS base_score
+        FROM t LEFT JOIN c ON c.token = t.token, s GROUP BY doc_id, held_out
+    """,
+    "base_token_bytes": "SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n_bytes, true AS limit_holds FROM documents",
 }
