@@ -31,21 +31,24 @@ _HIGH = bytes(range(0xCC, 0x100))
 
 
 @lru_cache(maxsize=2)
-def _encoders(json_path: str, rank_path: str | None):
-    """The library that defines the ids, and a faster one of the same vocabulary or None."""
+def _exact(json_path: str):
+    """The library that defines the ids."""
     single_threaded()
     from tokenizers import Tokenizer
 
-    exact = Tokenizer.from_file(json_path)
-    if rank_path is None:
-        return exact, None
+    return Tokenizer.from_file(json_path)
+
+
+@lru_cache(maxsize=2)
+def _fast(rank_path: str):
+    """A faster library with the same vocabulary."""
     import base64
 
     import public_tokenizers
     import tiktoken
 
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(rank_path, "rb"))}
-    return exact, tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def encode(text: str, json_path: str, rank_path: str | None = None) -> list[int]:
@@ -53,14 +56,13 @@ def encode(text: str, json_path: str, rank_path: str | None = None) -> list[int]
 
     The rank file holds the same vocabulary and merges in a library about four times as fast.  It serves
     texts of characters up to U+02FF without the start of a special string; there the two libraries' character
-    classes are the same.  All other texts go to the first library.
+    classes are the same.  All other texts go to the first library, which is loaded once one comes.
     """
-    exact, fast = _encoders(json_path, rank_path)
-    if fast is not None and "<|" not in text:
+    if rank_path is not None and "<|" not in text:
         raw = text.encode()
         if len(raw.translate(None, _HIGH)) == len(raw):
-            return fast.encode_ordinary(text)
-    return exact.encode(text, add_special_tokens=False).ids
+            return _fast(rank_path).encode_ordinary(text)
+    return _exact(json_path).encode(text, add_special_tokens=False).ids
 
 
 def piece_tokens(json_path: str, rank_path: str | None = None):

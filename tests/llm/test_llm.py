@@ -108,7 +108,7 @@ def test_odd_rows_repetition(spark):
 
 def test_odd_rows_packing(spark):
     got = packing.pack(clashing(spark, ODD), JSON, RANKS).collect()
-    exact = packing._encoders(JSON, RANKS)[0]
+    exact = packing._exact(JSON)
     want = Counter()
     for i, t in ODD:
         want[i] += len(exact.encode(t or "", add_special_tokens=False).ids) + 1
@@ -348,7 +348,7 @@ def test_repetition_verdicts():
 def test_packing(spark, small):
     df, texts = small
     got = packing.pack(df, JSON, RANKS).collect()
-    exact = packing._encoders(JSON, RANKS)[0]
+    exact = packing._exact(JSON)
     by_doc, by_sequence = {}, {}
     for r in got:
         by_doc.setdefault(r["doc_id"], []).append(r)
@@ -368,7 +368,7 @@ def test_packing(spark, small):
 
 def test_encoders_agree():
     r = np.random.default_rng(5)
-    exact, fast = packing._encoders(JSON, RANKS)
+    exact, fast = packing._exact(JSON), packing._fast(RANKS)
     for _ in range(400):
         text = "".join(map(chr, r.choice([*range(9, 14), *range(32, 127), *range(0xA0, 0x300)], int(r.integers(0, 40)))))
         if "<|" not in text:
