@@ -744,9 +744,10 @@ def opml_export(v: Views) -> DataFrame:
     return opml_rows(v)
 
 
-@query(None)
+@query("""SELECT page_id, CASE WHEN length(t) >= 200 THEN t END AS text, CASE WHEN length(t) < 200 THEN 'no article' END AS error FROM (SELECT page_id, t FROM (SELECT page_id,
+ trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS raw FROM pages), LATERAL (SELECT replace(replace(replace(replace(replace(raw, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&') AS t))""")
 def page_extract(v: Views) -> DataFrame:
-    return PAGES.articles(v.table("pages"))
+    return PAGES.articles(v.table("pages")).select("page_id", "text", "error")
 
 
 @query(None)
@@ -834,9 +835,11 @@ def ip_public(v: Views) -> DataFrame:
     return v.table("events").select("event_id", column(H.is_public, "boolean")(ip).alias("public"))
 
 
-@query(None)
+@query("SELECT id, interval_s, true AS within FROM feeds")
 def poll_jitter(v: Views) -> DataFrame:
-    return v.feeds.select("id", jittered(F.col("interval_s"), 1).alias("seconds"))
+    """Up to a tenth more or less, rounded to seconds."""
+    seconds = jittered(F.col("interval_s"), 1)
+    return v.feeds.select("id", "interval_s", (F.abs(seconds - F.col("interval_s")) <= F.col("interval_s") / 10 + 1).alias("within"))
 
 
 # --- extensions: what the events table invites and the engine's own operators don't cover --------------
