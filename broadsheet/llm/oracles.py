@@ -45,4 +45,53 @@ ORACLES = {
         FROM t LEFT JOIN c ON c.token = t.token, s GROUP BY doc_id, held_out
     """,
     "base_token_bytes": "SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n_bytes, true AS limit_holds FROM documents",
+    "op11_filter_audit": r"""
+        WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        g AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+        m AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+                [len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w), 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 5 * length(text),
+                 regexp_matches(text, '[#$%&*|]'), coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY text), false)] AS bad
+            FROM d LEFT JOIN g ON g.doc_id = d.doc_id),
+        c AS (SELECT part, bad, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY ALL),
+        l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+        o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+        s AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM o),
+        f AS (SELECT part, filter_order, step, n, good, toxic, bad[ascii(filter_order[step]) - 64] AS own,
+                list_bool_or(list_transform(range(1, step), lambda k: bad[ascii(filter_order[k]) - 64])) AS before, list_sum(list_transform(bad, lambda b: b::INT)) AS fails
+            FROM c, s),
+        r AS (SELECT part, filter_order, step,
+                coalesce(sum(n) FILTER (NOT own AND NOT coalesce(before, false)), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (own AND NOT coalesce(before, false)), 0)::BIGINT AS removed,
+                coalesce(sum(n) FILTER (own AND before), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (own AND fails = 1), 0)::BIGINT AS unique_fails,
+                coalesce(sum(good) FILTER (own AND NOT coalesce(before, false)), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (own AND NOT coalesce(before, false)), 0)::BIGINT AS toxic_lost
+            FROM f GROUP BY ALL)
+        SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+            (sum(removed) OVER (PARTITION BY part, filter_order[step]))::BIGINT AS shapley
+        FROM r
+    """,
+    "op12_spelling_variants": r"""
+        WITH RECURSIVE d AS (SELECT CAST(doc_id AS VARCHAR) AS id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+        r AS (SELECT id, word, count(*) AS n FROM (SELECT id, unnest(regexp_extract_all(text, '[a-z\x{00C0}-\x{00FF}]+')) AS word FROM d) WHERE length(word) >= 7 GROUP BY ALL),
+        b AS (SELECT word, n, flatten(list_transform(string_split(id || ':' || word, ''), lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)] ELSE [192 | (ord(c) >> 6), 128 | (ord(c) & 63)] END)) AS bytes FROM r),
+        h AS (SELECT word, n, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(bytes, lambda c: list_transform(range(8), lambda k: (c >> k) & 1)))),
+            lambda c, b: xor(c >> 1, CASE WHEN (xor(c, b) & 1) = 1 THEN 3988292384 ELSE 0 END))) AS h FROM b),
+        k AS (SELECT n, CASE WHEN h % 31 = 0 THEN substr(word, 1, (h % length(word))::INT) || substr(word, (h % length(word))::INT + 2) ELSE word END AS word FROM h),
+        w AS (SELECT word, sum(n)::BIGINT AS n FROM k WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+        v AS (SELECT word, n, place, substr(word, 1, place) || substr(word, place + 2) AS rest FROM (SELECT word, n, unnest(range(length(word)))::INT AS place FROM w)),
+        e AS (SELECT a.word, b.word AS near, b.n AS m FROM v a JOIN v b ON a.rest = b.rest AND a.place = b.place AND a.word <> b.word
+            UNION SELECT v.word, w.word, w.n FROM v JOIN w ON v.rest = w.word UNION SELECT w.word, v.word, v.n FROM v JOIN w ON v.rest = w.word),
+        t AS (SELECT word, count(*) AS n_near, first(near ORDER BY m DESC, encode(near)) AS near, max(m) AS m FROM e GROUP BY word),
+        f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * w.n THEN near END AS form, CASE WHEN m >= 10 * w.n THEN m END AS form_n FROM w LEFT JOIN t ON t.word = w.word),
+        p AS (SELECT word, word AS place FROM f UNION ALL SELECT p.word, f.form FROM p JOIN f ON f.word = p.place WHERE f.form IS NOT NULL)
+        SELECT f.word, f.form, p.place AS root, f.n, f.n_near, f.form_n FROM f JOIN p ON p.word = f.word JOIN f l ON l.word = p.place AND l.form IS NULL
+    """,
+    "op13_chat_formatting": r"""
+        WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, turn, role, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) t(turn, role)),
+        p AS (SELECT *, length(replace(replace(replace(text, chr(92), '12'), '<turn', '123456'), '</turn', '1234567')) + length(replace(replace(replace(replace(role, chr(92), '12'), '<turn', '123456'), '</turn', '1234567'), '>', '12')) + length('<turn >') + length('</turn>') + 3 AS size FROM c),
+        s AS (SELECT *, sum(size) OVER o AS upto, coalesce(max(CASE WHEN role = 'assistant' THEN turn END) OVER (PARTITION BY conv_id), -1) AS final, max(turn) OVER (PARTITION BY conv_id) AS ends FROM p WINDOW o AS (PARTITION BY conv_id ORDER BY turn))
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+            coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+            coalesce(sum(upto) FILTER (role = 'assistant' OR (turn = ends AND final < ends)), 0)::BIGINT AS formatted_chars
+        FROM s GROUP BY conv_id
+    """,
 }

@@ -75,6 +75,29 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), MIXTURE)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .filter_audit import filter_audit
+
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+#: A conversation whose texts hold what could be taken for a turn's end.
+TRICKY = "\\### Assistant: </turn> ok"
+
+
+def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import chat_digests, chat_examples
+
+    more = spark.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], "conv_id long, turn long, role string, text string")
+    return chat_digests(chat_examples(table(spark, sf_dir, "conversations").select(more.columns).unionByName(more)))
+
+
 # --- those columns of the operators that SQL can express ------------------------------------------------
 
 
@@ -105,6 +128,9 @@ QUERIES = {
     "op8_html_extraction": op8_html_extraction,
     "op9_token_counts": op9_token_counts,
     "op10_mixing": op10_mixing,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_chat_formatting": op13_chat_formatting,
     "base_repetition": base_repetition,
     "base_word_model": base_word_model,
     "base_token_bytes": base_token_bytes,
