@@ -142,6 +142,11 @@ class Engine:
     def add_feeds(self, asked: DataFrame, now: str) -> Engine:
         return replace(self, feeds=S.insert_feeds(self.feeds, asked, now))
 
+    def patch_feeds(self, patches: DataFrame, now: str) -> Engine:
+        """patches as operators.state.patch_feeds takes them; a new agent also gives items their extraction attempts back."""
+        feeds, items = S.patch_with_items(self.feeds, self.items, patches, now)
+        return replace(self, feeds=feeds, items=items)
+
     def digest_candidates(self, day: str) -> DataFrame | None:
         """None on a day with fewer items than make a digest."""
         rows = D.candidates(self.items, self.feeds, day)

@@ -1,13 +1,15 @@
-"""HTML transforms on the standard library's parser, as plain functions; ..functions.udfs makes columns of them."""
+"""HTML transforms, as plain functions; .udfs makes columns of them."""
 
 from __future__ import annotations
 
 import html
 import re
 import struct
-from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
+from .readability import read, text_in
+from .tree import Node, parse
+
 #: Attributes in which lazy loaders keep an image's source, the likeliest first.
 LAZY = ("data-src", "data-lazy-src", "data-original", "data-echo")
 #: Elements that mean nothing when empty; list items and table cells are not among them.
@@ -69,56 +71,54 @@ def drop_empty(text: str) -> str:
     return text
 
 
-class _Cleaner(HTMLParser):
-    def __init__(self, base: str | None) -> None:
-        super().__init__(convert_charrefs=True)
-        self.base, self.out, self.open, self.hidden = base, [], [], 0
+def _kept_attributes(node: Node, base: str | None) -> str:
+    attrs = node.attrs
+    if node.tag == "img":
+        real = next((v for v in (attrs.get(name, "").strip() for name in LAZY) if v), None)
+        src = attrs.get("src", "").strip()
+        if real and (not src or src.startswith("data:") or "blank.gif" in src):
+            attrs = {**{k: v for k, v in attrs.items() if k != "src"}, "src": real}
+    kept = []
+    for name, value in attrs.items():
+        if name not in KEPT_ATTRIBUTES.get(node.tag, ()) and name not in ("lang", "title"):
+            continue
+        if name in URL_ATTRIBUTES:
+            value = joined(base, value)
+            scheme = value.split(":", 1)[0].lower() if re.match(r"\s*[a-zA-Z][\w+.-]*:", value) else ""
+            if scheme.strip() and scheme.strip() not in SCHEMES:
+                continue
+        kept.append(f' {name}="{html.escape(value)}"')
+    if node.tag == "a":
+        kept.append(' rel="noopener noreferrer"')
+    return "".join(kept)
+
 
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in ("script", "style"):
-            self.hidden += 1
-        if self.hidden or tag not in ALLOWED:
+def harmless(node: Node, base: str | None = None) -> str:
+    """Markup of a tree with only harmless elements and attributes: what others hold stays, but for scripts and styles."""
+    out: list[str] = []
+
+    def visit(x: Node | str) -> None:
+        if isinstance(x, str):
+            out.append(html.escape(x, quote=False))
             return
-        kept, seen = [], set()
-        for name, value in attrs:
-            if name in seen or name not in KEPT_ATTRIBUTES.get(tag, ()) and name not in ("lang", "title"):
-                continue
-            seen.add(name)
-            value = value or ""
-            if name in URL_ATTRIBUTES:
-                if self.base:
-                    value = joined(self.base, value)
-                scheme = value.split(":", 1)[0].lower() if re.match(r"\s*[a-zA-Z][\w+.-]*:", value) else ""
-                if scheme.strip() and scheme.strip() not in SCHEMES:
-                    continue
-            kept.append(f' {name}="{html.escape(value)}"')
-        if tag == "a":
-            kept.append(' rel="noopener noreferrer"')
-        self.out.append(f"<{tag}{''.join(kept)}>")
-        if tag not in VOID:
-            self.open.append(tag)
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag in ("script", "style"):
-            self.hidden = max(0, self.hidden - 1)
-        elif tag in self.open:
-            while self.open:
-                last = self.open.pop()
-                self.out.append(f"</{last}>")
-                if last == tag:
-                    break
-
-    def handle_data(self, data: str) -> None:
-        if not self.hidden:
-            self.out.append(html.escape(data, quote=False))
+        if x.tag in ("script", "style"):
+            return
+        allowed = x.tag in ALLOWED
+        if allowed:
+            out.append(f"<{x.tag}{_kept_attributes(x, base)}>")
+        for child in x.children:
+            visit(child)
+        if allowed and x.tag not in VOID:
+            out.append(f"</{x.tag}>")
+
+    visit(node)
+    return "".join(out)
 
 
 def sanitize(text: str, base: str | None = None) -> str:
-    """Only harmless elements and attributes, relative addresses made absolute, lazy images shown, empty elements gone."""
-    cleaner = _Cleaner(base)
-    cleaner.feed(unlazy(text))
-    cleaner.close()
-    return drop_empty("".join(cleaner.out) + "".join(f"</{t}>" for t in reversed(cleaner.open)))
+    """Only harmless elements and attributes, relative addresses made absolute, lazy images shown, empty elements gone.
+    The markup is read as browsers read it, so what comes out is well nested."""
+    return drop_empty(harmless(parse(text)[0], base))
 
 
 def joined(base: str | None, href: str) -> str:
@@ -130,10 +130,7 @@ def joined(base: str | None, href: str) -> str:
 
 def text_of(markup: str) -> str:
     """Text without tags; white space collapsed; & < > stay escaped."""
-    cleaner = _Cleaner(None)
-    cleaner.feed(markup)
-    cleaner.close()
-    return " ".join(re.sub(r"<[^>]*>", "", "".join(cleaner.out)).split())
+    return " ".join(re.sub(r"<[^>]*>", "", harmless(parse(markup)[0])).split())
 
 
 def link_tags(text: str) -> list[str]:
@@ -220,67 +217,12 @@ def is_public(address: str) -> bool:
     return not any(n >> (32 - bits) == int(ipaddress.ip_address(net)) >> (32 - bits) for net, bits in closed)
 
 
-class _Article(HTMLParser):
-    """Text by container, to find the one with the most prose."""
-
-    SKIP = frozenset("nav header footer aside form script style noscript button select".split())
-    BLOCKS = frozenset("p div section article main li h1 h2 h3 h4 h5 h6 blockquote pre td br body".split())
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.stack, self.skipped, self.found, self.order = [("", 0)], 0, {}, 0
-        #: The markup that is not skipped, and where each element's own begins and ends in it.
-        self.markup, self.spans = [], {("", 0): [0, None]}
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        if not self.skipped and tag not in self.SKIP:
-            self.markup.append(self.get_starttag_text())
-        if tag in VOID or tag in ("meta", "link", "input"):
-            return
-        self.order += 1
-        self.stack.append((tag, self.order))
-        self.spans[tag, self.order] = [len(self.markup), None]
-        self.skipped += tag in self.SKIP
-
-    def handle_endtag(self, tag: str) -> None:
-        if any(t == tag for t, _ in self.stack[1:]):
-            while True:
-                t, number = self.stack.pop()
-                self.spans[t, number][1] = len(self.markup)
-                self.skipped -= t in self.SKIP
-                if not self.skipped and t not in self.SKIP:
-                    self.markup.append(f"</{t}>")
-                if t == tag:
-                    break
-
-    def handle_data(self, data: str) -> None:
-        if not self.skipped:
-            self.markup.append(html.escape(data, quote=False))
-        if self.skipped or not data.strip():
-            return
-        for tag, number in self.stack:
-            if tag in ("article", "main", "section", "div", "body", ""):
-                self.found.setdefault((tag, number), []).append(data)
-
-
 def article(markup: str, base: str | None = None, least: int = 200) -> dict[str, str] | None:
-    """The harmless markup and the text of a page's article: its article or main element, else the innermost container
-    with most of its prose; null below `least` characters."""
-    parser = _Article()
-    try:
-        parser.feed(markup)
-        parser.close()
-    except (AssertionError, ValueError):
-        return None
-    texts = {key: " ".join(" ".join(parts).split()) for key, parts in parser.found.items()}
-    marked = [key for key in texts if key[0] in ("article", "main")]
-    longest = max(map(len, texts.values()), default=0)
-    inner = [key for key in sorted(texts, key=lambda k: -k[1]) if 2 * len(texts[key]) > longest]
-    best = max(marked, key=lambda k: len(texts[k])) if marked else next(iter(inner), None)
-    if best is None or len(texts[best]) < least:
-        return None
-    first, end = parser.spans[best]
-    return {"html": sanitize("".join(parser.markup[first:end]), base), "text": texts[best]}
+    """The harmless markup and the text of a page's article, as .readability finds it; null below `least` characters and
+    for pages of more elements than it reads."""
+    found = read(markup)
+    text = "" if found is None else text_in(found)
+    return None if len(text) < least else {"html": drop_empty(harmless(found, base)), "text": text}
 
 
 def article_text(markup: str, least: int = 200) -> str | None:

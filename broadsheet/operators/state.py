@@ -42,10 +42,14 @@ def fetch_outcome(status: Column, wait: Column) -> Column:
 
 def poll_transition(feeds: DataFrame, polls: DataFrame, now: str, keep_ttl: bool = False) -> DataFrame:
     """Feeds after one poll each.  polls: feed_id, kind (new, unchanged, retry_after, failed, refused), and, where
-    they apply, new_title, new_etag, new_ttl, wait_s, error; not_modified tells a 304 from a fetch without news.
+    they apply, new_title, new_etag, new_last_modified, new_site_url, new_icon_url, new_ttl, wait_s, error; not_modified
+    tells a 304 from a fetch without news.
 
-    A 304 forgets the publisher's ttl unless keep_ttl; a wait asked for leaves counters and interval alone.
+    Validators are those of the last fetch, none if it had none: a stale one would have a publisher answer 304 for news.
+    A feed that names no site or icon keeps those it has.  Every poll is remembered by its time.  A 304 forgets the
+    publisher's ttl unless keep_ttl; a wait asked for leaves counters and interval alone.
     """
+    polls = polls.select("*", *(F.lit(None).cast("string").alias(c) for c in ("new_last_modified", "new_site_url", "new_icon_url") if c not in polls.columns))
     at = F.lit(now).cast("timestamp_ntz")
     kind, bad = F.col("kind"), F.col("kind").isin("failed", "refused")
     fetched = kind.isin("new", "unchanged") & ~F.col("not_modified")
@@ -57,7 +61,11 @@ def poll_transition(feeds: DataFrame, polls: DataFrame, now: str, keep_ttl: bool
     wait = F.when(kind == "retry_after", F.col("wait_s")).otherwise(interval)
     after = {
         "title": F.when(fetched, F.coalesce(F.nullif("new_title", F.lit("")), "title")).otherwise(F.col("title")),
+        "site_url": F.when(fetched, F.coalesce("new_site_url", "site_url")).otherwise(F.col("site_url")),
+        "icon_url": F.when(fetched, F.coalesce("new_icon_url", "icon_url")).otherwise(F.col("icon_url")),
         "etag": F.when(fetched, F.col("new_etag")).otherwise(F.col("etag")),
+        "last_modified": F.when(fetched, F.col("new_last_modified")).otherwise(F.col("last_modified")),
+        "last_fetch_at": at,
         "next_fetch_at": later(at, wait),
         "interval_s": interval,
         "failures": failures.cast("int"),
@@ -90,10 +98,17 @@ def patch_feeds(feeds: DataFrame, patches: DataFrame, now: str) -> DataFrame:
 
 
 def agent_changed(items: DataFrame, feed_ids: DataFrame) -> DataFrame:
-    """Items not yet extracted of feeds with a new agent may be tried again."""
+    """Items not yet extracted of feeds with a new agent (feed_id, each once) may be tried again."""
     hit = items.join(feed_ids.select("feed_id", F.lit(True).alias("hit")), "feed_id", "left")
-    again = F.col("hit").isNotNull() & ~F.col("extracted")
-    return hit.withColumn("extract_attempts", F.when(again, 0).otherwise(F.col("extract_attempts"))).withColumn("extract_error", F.when(~again, F.col("extract_error"))).drop("hit")
+    again = F.coalesce(F.col("hit") & ~F.coalesce("extracted", F.lit(False)), F.lit(False))
+    after = {"extract_attempts": F.when(again, 0).otherwise(F.col("extract_attempts")), "extract_error": F.when(~again, F.col("extract_error"))}
+    return hit.withColumns(after).select(items.columns)
+
+
+def patch_with_items(feeds: DataFrame, items: DataFrame, patches: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:
+    """feeds and items after patch_feeds: an agent that is set, even to none, is the one change that can make a refused
+    page readable, so it gives its feed's items their attempts back."""
+    return patch_feeds(feeds, patches, now), agent_changed(items, patches.where("set_agent is not null").select("feed_id").distinct())
 
 
 def patch_items(items: DataFrame, patches: DataFrame, now: str) -> DataFrame:
@@ -138,15 +153,21 @@ def delete_feeds(gone: DataFrame, feeds: DataFrame, items: DataFrame, vectors: D
     )
 
 
-#: Errors that say nothing about the item: patterns of messages, in any case.
-TRANSIENT = ("%timed out%", "%timeout%", "%dns error%", "%connection refused%")
+#: Messages, in any case, of a model that could not be reached; they say nothing about the item.
+UNREACHED = ("error sending request%", "%operation timed out%")
 
 
 def repair_attempts(items: DataFrame) -> DataFrame:
-    hit = F.lit(False)
-    for pattern in TRANSIENT:
-        hit = hit | F.coalesce(F.ilike(F.col("extract_error"), F.lit(pattern)), F.lit(False))
-    return items.withColumn("extract_attempts", F.when(hit, 0).otherwise(F.col("extract_attempts"))).withColumn("extract_error", F.when(~hit, F.col("extract_error")))
+    """Enrichment's and embedding's attempts that an unreachable model cost are given back, each by its own error.
+    Extraction's stay: what a publisher answered it said about the page."""
+    after = {}
+    for work in ("enrich", "embed"):
+        attempts, error = F.col(f"{work}_attempts"), F.col(f"{work}_error")
+        unreached = F.ilike(error, F.lit(UNREACHED[0])) | F.ilike(error, F.lit(UNREACHED[1]))
+        hit = F.coalesce((attempts > 0) & unreached, F.lit(False))
+        after[f"{work}_attempts"] = F.when(hit, 0).otherwise(attempts)
+        after[f"{work}_error"] = F.when(~hit, error)
+    return items.withColumns(after)
 
 
 def repair_icons(feeds: DataFrame) -> DataFrame:
@@ -155,6 +176,19 @@ def repair_icons(feeds: DataFrame) -> DataFrame:
     return feeds.withColumn("icon_url", F.when(url, F.col("icon")).otherwise(F.col("icon_url"))).withColumn("icon", F.when(~url, F.col("icon")))
 
 
+#: Version of the stored tables; icons stored before version 2 were chosen by another ranking.
+VERSION = 2
+
+
+def repair_stored(feeds: DataFrame, items: DataFrame, version: int) -> tuple[DataFrame, DataFrame, int]:
+    """feeds and items as this version stores them, and its number; running it again changes nothing.  Icons of before
+    version 2 are all fetched again, once, for nothing in a row tells a good one from a banner."""
+    feeds = repair_icons(feeds)
+    if version < 2:
+        feeds = feeds.withColumns({"icon": F.lit(None).cast("string"), "icon_attempts": F.lit(0)})
+    return feeds, repair_attempts(items), max(version, VERSION)
+
+
 def host_refusals(tries: DataFrame, most: int = 3) -> DataFrame:
     """tries: host, agent, day, event_id, refused, succeeded.  Which tries a pass would have left out: those after a host
     refused an agent `most` times since that one's last success that day.  A host that refused one agent has said

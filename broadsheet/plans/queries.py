@@ -399,10 +399,11 @@ BACKOFF = "least(21600, 1800 * CAST(pow(2, greatest(1, least(5, {f})) - 1) AS BI
 BOUND = "least(604800, greatest(greatest(900, least(21600, {b})), {t}))"
 POLLS = """SELECT id AS feed_id, CASE id % 6 WHEN 0 THEN 'new' WHEN 1 THEN 'unchanged' WHEN 2 THEN 'unchanged' WHEN 3 THEN 'retry_after' WHEN 4 THEN 'failed' ELSE 'refused' END AS kind,
  id % 6 = 2 AS not_modified, CASE WHEN id % 4 = 0 THEN '' ELSE 'T' || id END AS new_title, 'n' || id AS new_etag, CASE WHEN id % 5 = 1 THEN 10000 END AS new_ttl,
- 3600 AS wait_s, 'boom' AS error FROM feeds WHERE id % 7 <> 6"""
+ 3600 AS wait_s, 'boom' AS error, CASE WHEN id % 5 < 3 THEN 'Mon, 0' || (1 + id % 5) || ' Jan 2024 00:00:00 GMT' END AS new_last_modified,
+ CASE WHEN id % 8 < 5 THEN 'https://site' || id END AS new_site_url, CASE WHEN id % 9 < 5 THEN 'https://icon' || id END AS new_icon_url FROM feeds WHERE id % 7 <> 6"""
 
 
-@query(f""", polls AS ({POLLS}), p AS (SELECT f.*, kind, not_modified, new_title, new_etag, new_ttl, wait_s, error,
+@query(f""", polls AS ({POLLS}), p AS (SELECT f.*, kind, not_modified, new_title, new_etag, new_last_modified, new_site_url, new_icon_url, new_ttl, wait_s, error,
   kind IN ('failed', 'refused') AS bad, kind IN ('new', 'unchanged') AND NOT not_modified AS fetched FROM feeds f JOIN polls q ON q.feed_id = f.id),
  r AS (SELECT *, CASE WHEN bad THEN failures + 1 WHEN kind = 'retry_after' THEN failures ELSE 0 END AS f2 FROM p),
  s AS (SELECT *, CASE WHEN kind = 'retry_after' THEN interval_s ELSE {BOUND.format(
@@ -412,17 +413,21 @@ POLLS = """SELECT id AS feed_id, CASE id % 6 WHEN 0 THEN 'new' WHEN 1 THEN 'unch
   strftime(TIMESTAMP '{NOW}' + CASE WHEN kind = 'retry_after' THEN wait_s ELSE i2 END * INTERVAL 1 SECOND, '%Y-%m-%dT%H:%M:%SZ') AS next_fetch_at, i2 AS interval_s, f2 AS failures,
   CASE kind WHEN 'refused' THEN refusals + 1 WHEN 'retry_after' THEN refusals ELSE 0 END AS refusals, disabled OR kind = 'refused' AND refusals + 1 >= 4 AS disabled,
   CASE WHEN kind = 'retry_after' THEN wait_s WHEN NOT fetched THEN retry_after_s END AS retry_after_s, CASE WHEN fetched THEN new_ttl ELSE ttl_minutes END AS ttl_minutes,
-  CASE WHEN bad THEN error WHEN kind = 'retry_after' THEN last_error END AS last_error FROM s
- UNION ALL SELECT id, title, etag, strftime(next_fetch_at, '%Y-%m-%dT%H:%M:%SZ'), interval_s, failures, refusals, disabled, retry_after_s, ttl_minutes, last_error FROM feeds WHERE id % 7 = 6""")
+  CASE WHEN bad THEN error WHEN kind = 'retry_after' THEN last_error END AS last_error, CASE WHEN fetched THEN new_last_modified ELSE last_modified END AS last_modified,
+  CASE WHEN fetched AND new_site_url IS NOT NULL THEN new_site_url ELSE site_url END AS site_url, CASE WHEN fetched AND new_icon_url IS NOT NULL THEN new_icon_url ELSE icon_url END AS icon_url,
+  strftime(TIMESTAMP '{NOW}', '%Y-%m-%dT%H:%M:%SZ') AS last_fetch_at FROM s
+ UNION ALL SELECT id, title, etag, strftime(next_fetch_at, '%Y-%m-%dT%H:%M:%SZ'), interval_s, failures, refusals, disabled, retry_after_s, ttl_minutes, last_error, last_modified, site_url, icon_url, NULL FROM feeds WHERE id % 7 = 6""")
 def poll_transition(v: Views) -> DataFrame:
     polls = v.feeds.where("id % 7 <> 6").selectExpr(
         "id as feed_id",
         "case id % 6 when 0 then 'new' when 1 then 'unchanged' when 2 then 'unchanged' when 3 then 'retry_after' when 4 then 'failed' else 'refused' end as kind",
         "id % 6 = 2 as not_modified", "case when id % 4 = 0 then '' else concat('T', id) end as new_title", "concat('n', id) as new_etag",
         "case when id % 5 = 1 then 10000 end as new_ttl", "3600 as wait_s", "'boom' as error",
+        "case when id % 5 < 3 then concat('Mon, 0', 1 + id % 5, ' Jan 2024 00:00:00 GMT') end as new_last_modified",
+        "case when id % 8 < 5 then concat('https://site', id) end as new_site_url", "case when id % 9 < 5 then concat('https://icon', id) end as new_icon_url",
     )
     after = S.poll_transition(v.feeds, polls, NOW)
-    return after.select("id", "title", "etag", T.iso(F.col("next_fetch_at")).alias("next_fetch_at"), "interval_s", "failures", "refusals", "disabled", "retry_after_s", "ttl_minutes", "last_error")
+    return after.select("id", "title", "etag", T.iso(F.col("next_fetch_at")).alias("next_fetch_at"), "interval_s", "failures", "refusals", "disabled", "retry_after_s", "ttl_minutes", "last_error", "last_modified", "site_url", "icon_url", T.iso(F.col("last_fetch_at")).alias("last_fetch_at"))
 
 
 CASES = "SELECT i.id, i.id % 5 + 1 AS failures, 900 + 60 * (i.id % 400) AS current, CASE i.id % 3 WHEN 0 THEN 'new' WHEN 1 THEN 'unchanged' ELSE 'failed' END AS result, CASE WHEN i.id % 4 = 0 THEN 60 * (i.id % 300) END AS ttl FROM items i"
@@ -452,6 +457,16 @@ def feed_patch(v: Views) -> DataFrame:
     return after.select("id", "custom_title", "user_agent", "disabled", "failures", "refusals", T.iso(F.col("next_fetch_at")).alias("next_fetch_at"))
 
 
+@query("""SELECT id, CASE WHEN NOT extracted AND feed_id % 5 IN (1, 2) THEN 0 ELSE extract_attempts END AS attempts, CASE WHEN extracted OR feed_id % 5 NOT IN (1, 2) THEN extract_error END AS error FROM items
+ UNION ALL SELECT -1 - id, NULL, CASE id % 5 WHEN 1 THEN 'reader/2' WHEN 2 THEN NULL ELSE user_agent END FROM feeds""")
+def agent_change(v: Views) -> DataFrame:
+    """A new agent for some feeds, none for others: their items not extracted yet may be tried again; feeds by -1 - id."""
+    patches = v.feeds.selectExpr("id as feed_id", "cast(null as string) as set_title", "case id % 5 when 1 then ' reader/2 ' when 2 then '  ' end as set_agent", "cast(null as boolean) as set_disabled", "cast(null as boolean) as set_llm")
+    feeds, items = S.patch_with_items(v.feeds, v.plain_items, patches, NOW)
+    told = items.select("id", F.col("extract_attempts").alias("attempts"), F.col("extract_error").alias("error"))
+    return told.unionByName(feeds.select((-1 - F.col("id")).alias("id"), F.lit(None).cast("int").alias("attempts"), F.col("user_agent").alias("error")))
+
+
 @query(f"""SELECT id, {AT.format(f"CASE id % 4 WHEN 0 THEN coalesce(read_at, TIMESTAMP '{NOW}') WHEN 1 THEN NULL ELSE read_at END")} AS read_at,
  {AT.format(f"CASE WHEN id % 6 = 0 THEN coalesce(starred_at, TIMESTAMP '{NOW}') ELSE starred_at END")} AS starred_at,
  CASE WHEN id % 8 = 0 THEN 1 ELSE feedback END AS feedback FROM items""")
@@ -483,12 +498,17 @@ def feed_delete(v: Views) -> DataFrame:
     return counted[0].unionByName(counted[1]).unionByName(counted[2])
 
 
-@query("""SELECT 'item' AS kind, id, CASE WHEN extract_error ILIKE '%timeout%' THEN 0 ELSE extract_attempts END AS attempts, CASE WHEN extract_error NOT ILIKE '%timeout%' THEN extract_error END AS note FROM items
- UNION ALL SELECT 'feed', id, icon_attempts, CASE WHEN icon NOT LIKE 'data:%' THEN icon END FROM feeds""")
+GONE = "({w}_error ILIKE 'error sending request%' OR {w}_error ILIKE '%operation timed out%') AND {w}_attempts > 0"
+
+
+@query(" UNION ALL ".join(f"SELECT '{w}' AS kind, id, CASE WHEN {GONE.format(w=w)} THEN 0 ELSE {w}_attempts END AS attempts, CASE WHEN coalesce({GONE.format(w=w)}, false) THEN NULL ELSE {w}_error END AS note FROM items" for w in ("enrich", "embed"))
+ + " UNION ALL SELECT 'extract', id, extract_attempts, extract_error FROM items UNION ALL SELECT 'feed', id, icon_attempts, CASE WHEN icon NOT LIKE 'data:%' THEN icon END FROM feeds UNION ALL SELECT 'feed before 2', id, 0, CASE WHEN icon NOT LIKE 'data:%' THEN icon END FROM feeds")
 def repair_transient(v: Views) -> DataFrame:
-    items = S.repair_attempts(v.plain_items).select(F.lit("item").alias("kind"), "id", F.col("extract_attempts").alias("attempts"), F.col("extract_error").alias("note"))
-    feeds = S.repair_icons(v.feeds).select(F.lit("feed").alias("kind"), "id", F.col("icon_attempts").alias("attempts"), F.col("icon_url").alias("note"))
-    return items.unionByName(feeds)
+    feeds, items, _ = S.repair_stored(v.feeds, v.plain_items, S.VERSION)
+    older, _, _ = S.repair_stored(v.feeds, v.plain_items, 1)
+    told = [items.select(F.lit(w).alias("kind"), "id", F.col(f"{w}_attempts").alias("attempts"), F.col(f"{w}_error").alias("note")) for w in ("enrich", "embed", "extract")]
+    told += [rows.select(F.lit(kind).alias("kind"), "id", F.col("icon_attempts").alias("attempts"), F.col("icon_url").alias("note")) for kind, rows in (("feed", feeds), ("feed before 2", older))]
+    return told[0].unionByName(told[1]).unionByName(told[2]).unionByName(told[3]).unionByName(told[4])
 
 
 WAIT = f"CASE WHEN regexp_full_match(trim(retry_after), '[0-9]+') THEN CAST(trim(retry_after) AS BIGINT) WHEN retry_after LIKE 'Mon,%' THEN greatest(0, CAST(epoch(strptime(retry_after, '%a, %d %b %Y %H:%M:%S GMT')) - epoch(TIMESTAMP '{NOW}') AS BIGINT)) END"

@@ -37,6 +37,7 @@ class Views:
             "cast(id % 5 as int) as icon_attempts",
             "case when id % 2 = 0 then concat('e', id) end as etag",
             "case when id % 7 = 0 then 'Mon, 01 Jan 2024 00:00:00 GMT' end as last_modified",
+            "cast(null as timestamp_ntz) as last_fetch_at",
             "timestamp_ntz'2024-02-04 00:00:00' + make_dt_interval(0, cast(id * 3 as int), 0, 0) as next_fetch_at",
             "900 * (1 + id % 24) as interval_s",
             "cast(id % 5 as int) as failures",
@@ -73,11 +74,13 @@ class Views:
             "array(lang, concat('t', doc_id % 7)) as tags",
             "case when doc_id % 2 = 0 then timestamp_ntz'2024-02-02 00:00:00' end as enriched_at",
             "cast(doc_id % 4 as int) as enrich_attempts",
+            "case doc_id % 6 when 1 then 'Error sending request for url' when 2 then 'model: operation timed out' when 3 then 'no json, error sending request' end as enrich_error",
             "case when doc_id % 7 <> 0 then concat('p', doc_id % 3) end as scored_profile",
             "case when doc_id % 3 = 0 then timestamp_ntz'2024-02-03 00:00:00' end as read_at",
             "case when doc_id % 10 = 0 then timestamp_ntz'2024-02-03 06:00:00' end as starred_at",
             "cast(case doc_id % 25 when 0 then 1 when 1 then -1 else 0 end as int) as feedback",
             "cast(doc_id % 4 as int) as embed_attempts",
+            "case doc_id % 5 when 1 then 'error sending request' when 2 then 'Operation timed out after 60 s' when 3 then 'wrong size' end as embed_error",
         )
 
     @cached_property
@@ -134,7 +137,7 @@ SQL = f"""WITH feeds AS (
     CAST(NULL AS VARCHAR) AS icon_url,
     id % 5 AS icon_attempts, CASE WHEN id % 2 = 0 THEN 'e' || id END AS etag,
     CASE WHEN id % 7 = 0 THEN 'Mon, 01 Jan 2024 00:00:00 GMT' END AS last_modified,
-    TIMESTAMP '2024-02-04 00:00:00' + id * 3 * INTERVAL 1 HOUR AS next_fetch_at, 900 * (1 + id % 24) AS interval_s,
+    CAST(NULL AS TIMESTAMP) AS last_fetch_at, TIMESTAMP '2024-02-04 00:00:00' + id * 3 * INTERVAL 1 HOUR AS next_fetch_at, 900 * (1 + id % 24) AS interval_s,
     id % 5 AS failures, id % 4 AS refusals, CASE WHEN id % 10 = 0 THEN 7200 END AS retry_after_s, nullif(60 * (id % 4), 0) AS ttl_minutes,
     CASE id % 5 WHEN 1 THEN 'Connection timed out' WHEN 2 THEN 'dns error' WHEN 3 THEN '404 not found' END AS last_error,
     id % 9 = 0 AS disabled, id % 6 <> 0 AS llm_enabled, CASE WHEN id % 8 = 0 THEN 'agent/1' END AS user_agent
@@ -153,7 +156,9 @@ SQL = f"""WITH feeds AS (
     CASE WHEN d.doc_id % 7 <> 0 THEN 'p' || d.doc_id % 3 END AS scored_profile,
     CASE WHEN d.doc_id % 3 = 0 THEN TIMESTAMP '2024-02-03' END AS read_at,
     CASE WHEN d.doc_id % 10 = 0 THEN TIMESTAMP '2024-02-03 06:00:00' END AS starred_at,
-    CASE d.doc_id % 25 WHEN 0 THEN 1 WHEN 1 THEN -1 ELSE 0 END AS feedback, d.doc_id % 4 AS embed_attempts, c.cluster_id
+    CASE d.doc_id % 25 WHEN 0 THEN 1 WHEN 1 THEN -1 ELSE 0 END AS feedback, d.doc_id % 4 AS embed_attempts, c.cluster_id,
+    CASE d.doc_id % 6 WHEN 1 THEN 'Error sending request for url' WHEN 2 THEN 'model: operation timed out' WHEN 3 THEN 'no json, error sending request' END AS enrich_error,
+    CASE d.doc_id % 5 WHEN 1 THEN 'error sending request' WHEN 2 THEN 'Operation timed out after 60 s' WHEN 3 THEN 'wrong size' END AS embed_error
   FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id
   LEFT JOIN (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS cluster_id, count(*) OVER (PARTITION BY text) AS n FROM documents) c
     ON c.doc_id = d.doc_id AND c.n > 1

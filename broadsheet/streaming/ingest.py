@@ -50,12 +50,15 @@ def newest_events(events: DataFrame, depth: int = EVENT_DEPTH) -> DataFrame:
 
 
 def patched(items: DataFrame, events: DataFrame) -> DataFrame:
-    """items with the newest item-enriched event of each in place (events have a batch number); fields that an event
-    leaves null stay."""
+    """items after the item-enriched events (batch, ...), each laid over the item in the order of batches.
+
+    An event carries the item's whole enrichment, as it was stored: what it leaves null is null now, and no tags are an
+    empty list.  So the newest one alone decides all four fields."""
     fields = ("summary", "score", "score_reason", "tags")
-    told = events.where("kind = 'item-enriched'").groupBy(F.col("item_id").alias("id"))
-    newest = told.agg(F.max_by(F.struct(*fields), "batch").alias("told"))
-    return items.join(newest, "id", "left").select(*(F.coalesce(F.col(f"told.{c}"), F.col(c)).alias(c) if c in fields else F.col(c) for c in items.columns))
+    told = events.where("kind = 'item-enriched'").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
+    newest = told.groupBy(F.col("item_id").alias("id")).agg(F.max_by(F.struct(*fields), "batch").alias("told"))
+    new = lambda c: F.when(F.col("told").isNull(), F.col(c)).otherwise(F.col(f"told.{c}"))
+    return items.join(newest, "id", "left").select(*(new(c).alias(c) if c in fields else F.col(c) for c in items.columns))
 
 
 def ingest_batch(responses: DataFrame, items: Log, batch_id: int, events: Snapshots | None = None) -> None:

@@ -1,3 +1,4 @@
+from dataclasses import replace
 from datetime import datetime
 
 import pytest
@@ -156,9 +157,13 @@ def test_events_patch_rows_in_place(spark, engine):
     first = I.items_enriched(answers).withColumn("batch", F.lit(1).cast("long"))
     later = first.withColumn("batch", F.lit(2).cast("long")).withColumn("score", F.lit(20).cast("long")).withColumn("summary", F.lit(None).cast("string"))
     assert [(r["kind"], r["item_id"], r["score_reason"]) for r in first.collect()] == [("item-enriched", 1, "why")]
-    items = engine.items.withColumn("score_reason", F.lit(None).cast("string"))
-    got = {r["id"]: (r["summary"], r["score"]) for r in I.patched(items, first.unionByName(later)).collect()}
-    assert got == {1: (None, 20), 2: (None, 90), 3: (None, 90)}
+    items = engine.items.withColumn("score_reason", F.lit(None).cast("string")).withColumn("summary", F.lit("s0"))
+    got = {r["id"]: (r["summary"], r["score"], r["score_reason"]) for r in I.patched(items, first.unionByName(later)).collect()}
+    assert got == {1: (None, 20, "why"), 2: ("s0", 90, None), 3: ("s0", 90, None)}
+    got = {r["id"]: (r["summary"], r["score"]) for r in I.patched(items, later.withColumn("batch", F.lit(0).cast("long")).unionByName(first)).collect()}
+    assert got[1] == ("s1", 70)
+    bare = I.patched(items, first.withColumn("tags", F.lit(None).cast("array<string>"))).where("id = 1").first()
+    assert (bare["tags"], bare["summary"]) == ([], "s1")
     assert I.newest_events(first.unionByName(later), 1).first()["batch"] == 2
 
 
@@ -323,3 +328,19 @@ def test_articles_keep_harmless_markup_and_say_why_not(spark):
     assert got[1]["error"] is None and "menu" not in got[1]["html"] and "more" not in got[1]["html"] and "script" not in got[1]["html"] and "onclick" not in got[1]["html"]
     assert 'href="https://a.example/x"' in got[1]["html"] and got[1]["text"].startswith("plain words")
     assert [got[i]["error"] for i in range(2, 8)] == ["address not public", "not html: application/pdf", "no article", "address not public", "too large", "no article"]
+
+
+def test_a_new_agent_gives_items_their_attempts_back(spark, engine):
+    """Only those of the feed, only those not extracted; a patch without an agent gives none; a blank agent is none."""
+    items = engine.items.select("*", *(F.lit(None).cast(k).alias(c) for c, k in (("extract_attempts", "int"), ("extract_error", "string"), ("extracted", "boolean")) if c not in engine.items.columns))
+    items = items.withColumns({"extract_attempts": F.lit(3), "extract_error": F.lit("403"), "extracted": F.col("id") == 1})
+    patch = lambda agent: spark.createDataFrame([(1, None, agent, None, None)], "feed_id long, set_title string, set_agent string, set_disabled boolean, set_llm boolean")
+    of = lambda e: {r["id"]: (r["extract_attempts"], r["extract_error"]) for r in e.items.collect()}
+    feed = {r["id"]: r["feed_id"] for r in items.collect()}
+    more = {"user_agent": F.lit(None).cast("string"), "failures": F.lit(0), "refusals": F.lit(0), "next_fetch_at": F.lit(None).cast("timestamp_ntz")}
+    before = replace(engine, feeds=engine.feeds.withColumns({c: v for c, v in more.items() if c not in engine.feeds.columns}), items=items)
+    assert of(before.patch_feeds(patch(None), "2024-01-01 00:00:00")) == dict.fromkeys(feed, (3, "403"))
+    for agent, kept in ((" reader/2 ", "reader/2"), ("  ", None)):
+        after = before.patch_feeds(patch(agent), "2024-01-01 00:00:00")
+        assert of(after) == {i: (0, None) if f == 1 and i != 1 else (3, "403") for i, f in feed.items()}
+        assert {r["id"]: r["user_agent"] for r in after.feeds.collect()}[1] == kept
