@@ -33,7 +33,8 @@ class Page:
 
 @dataclass(frozen=True)
 class Engine:
-    """Tables in, tables out: every change returns a new Engine over the next snapshot."""
+    """Tables in, tables out: every change returns a new Engine over the next snapshot, as a plan that is not stored yet; a
+    stored index is of the snapshot before and left behind.  store.StoredReader is the form that stores each change."""
 
     feeds: DataFrame
     items: DataFrame
@@ -43,8 +44,8 @@ class Engine:
     model: str = "m1"
     embedder: Embedder | None = None
     threshold: int = 65
-    #: operators.search.postings of items; without it a search reads all texts.
-    index: DataFrame | None = None
+    #: A stored index, or operators.search.postings of items; without one a search reads all texts.
+    index: DataFrame | X.StoredIndex | None = None
 
     def page(self, view: str = "unread", feed_id: int | None = None, tag: str | None = None, query: str | None = None, mode: str = "text", cursor: str | None = None, limit: int | None = None) -> Page:
         """One page's rows, at most 200 of them, in order; a full page of a list by time has a cursor to the next."""
@@ -125,7 +126,7 @@ class Engine:
     def add_items(self, batch: DataFrame) -> Engine:
         """New items by (feed_id, guid), and their postings."""
         fresh = S.insert_missing(self.items, batch, ["feed_id", "guid"], "id").select(self.items.columns)
-        return replace(self, items=self.items.unionByName(fresh), index=None if self.index is None else X.updated(self.index, fresh))
+        return replace(self, items=self.items.unionByName(fresh), index=X.updated(self.index, fresh) if isinstance(self.index, DataFrame) else None)
 
     def record_digest(self, digest: DataFrame) -> Engine:
         return replace(self, digests=D.recorded(self.digests, digest))
@@ -155,7 +156,7 @@ class Engine:
     def prune(self, cutoff: str, most: int | None = 2000) -> Engine:
         victims = D.retention_victims(self.items, self.digests, cutoff, most)
         items, vectors = D.prune(self.items, self.vectors, victims)
-        index = None if self.index is None else self.index.join(victims.select("id"), "id", "left_anti").select("token", "id")
+        index = self.index.join(victims.select("id"), "id", "left_anti").select("token", "id") if isinstance(self.index, DataFrame) else None
         return replace(self, items=items, vectors=vectors, index=index)
 
     def delete_feed(self, feed_id: int) -> Engine:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .search import found_ids
+from .search import StoredIndex, found_ids
 
 #: Page sizes: shortest, usual and longest.
 PAGE = (1, 50, 200)
@@ -83,7 +83,7 @@ def list_items(
     cursor: str | None = None,
     limit: int | None = None,
     threshold: int = 65,
-    index: DataFrame | None = None,
+    index: DataFrame | StoredIndex | None = None,
 ) -> DataFrame:
     """Items of a view with their feed's title and cluster's size; a page of `limit` rows comes newest first
     (interesting: best first), all rows in any order.
@@ -104,7 +104,7 @@ def list_items(
     elif index is None:
         rows = rows.where(matches(terms, F.col("title"), F.col("content_text")))
     else:
-        rows = rows.join(found_ids(index, terms), "id", "left_semi")
+        rows = rows.join(index.ids(terms) if isinstance(index, StoredIndex) else found_ids(index, terms), "id", "left_semi")
     at = parse_cursor(cursor) if view != "interesting" else None
     rows = rows.withColumn("recency", recency())
     if at:

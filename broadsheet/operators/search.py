@@ -1,12 +1,34 @@
-"""An inverted index of items: one row for each word of an item, sorted by word, so that a search reads the row groups of
-its own words and no text."""
+"""An inverted index of items: postings (a word, an item) stored in ranges of words, and a dictionary that says how many
+items each word has.  A search reads the row groups of its own words and no text."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.archive import Archive, Commit, Table
+
+#: Ids of a search's rarest word that are broadcast to the postings of the others (about 64 MB); beyond it ids meet by a
+#: shuffle.
+BROADCAST_IDS = 2_000_000
+#: Segments of postings beyond which an update compacts.
+MOST_SEGMENTS = 8
+
+POSTINGS, TERMS = "postings", "terms"
+
+
+def _summed(terms: DataFrame) -> DataFrame:
+    return terms.groupBy("token").agg(F.sum("items").alias("items"))
+
+
+#: The index's tables in an archive.
+INDEX_TABLES = {
+    POSTINGS: Table("token string, id long", "id", ("token", "id"), row_group=4 << 20),
+    TERMS: Table("token string, items long", "token", ("token",), _summed, row_group=1 << 20),
+}
 
 
 def postings(items: DataFrame) -> DataFrame:
@@ -39,6 +61,79 @@ def updated(index: DataFrame, changed: DataFrame, gone: DataFrame | None = None)
     return index.join(touched, "id", "left_anti").select("token", "id").unionByName(postings(changed))
 
 
-def sorted_index(index: DataFrame) -> DataFrame:
-    """As it is to be written: in ranges of words, so that files and row groups can be left out by their bounds."""
-    return index.repartitionByRange("token").sortWithinPartitions("token", "id")
+@dataclass(frozen=True)
+class StoredIndex:
+    """Postings and dictionary in an archive, alone or beside the items they are of."""
+
+    archive: Archive
+    version: int | None = None
+
+    @staticmethod
+    def at(spark: SparkSession, path: str) -> StoredIndex:
+        """An archive of nothing but an index."""
+        return StoredIndex(Archive(spark, path, INDEX_TABLES))
+
+    def fill(self, commit: Commit, added: DataFrame | None = None, changed: DataFrame | None = None, gone: DataFrame | None = None) -> None:
+        """Adds to a commit what items that are new, items whose title or text is another, and the deletion of the ids in
+        `gone` do to the index.
+
+        Old postings of touched ids are hidden by tombstones, whatever words they had.  The dictionary isn't told of
+        deletions, so its counts are upper bounds."""
+        for touched in (changed, gone):
+            if touched is not None:
+                commit.delete(POSTINGS, touched.select("id"))
+        for items in (added, changed):
+            if items is not None and commit.add(POSTINGS, postings(items)):
+                fresh = self.archive.spark.read.parquet(f"{self.archive.path}/{commit.tables[POSTINGS]['segments'][-1]['path']}")
+                commit.add(TERMS, fresh.groupBy("token").agg(F.count("*").alias("items")))
+
+    def update(self, added: DataFrame | None = None, changed: DataFrame | None = None, gone: DataFrame | None = None) -> int:
+        """fill() in a commit of its own, and compaction once there are many segments."""
+        commit = self.archive.begin()
+        self.fill(commit, added, changed, gone)
+        version = commit.done()
+        return self.compact() or version
+
+    def compact(self, most: int = MOST_SEGMENTS) -> int | None:
+        """Joins segments of like size where there are over `most`; the version that came of it, if any."""
+        done = None
+        for name in (POSTINGS, TERMS):
+            while len(self.archive.manifest()["tables"].get(name, {"segments": []})["segments"]) > most and self.archive.compact(name):
+                done = self.archive.version()
+        return done
+
+    def postings(self) -> DataFrame:
+        return self.archive.read(POSTINGS, self.version)
+
+    def counts(self, terms: list[str]) -> list[int]:
+        """Postings of each term, at most: from the dictionary, the last term as the start of words."""
+        hits = [F.col("token") == t for t in terms[:-1]] + [F.col("token").startswith(terms[-1])]
+        any_hit = hits[0]
+        for hit in hits[1:]:
+            any_hit = any_hit | hit
+        sums = [F.coalesce(F.sum(F.when(hit, F.col("items"))), F.lit(0)).cast("long") for hit in hits]
+        return list(self.archive.read(TERMS, self.version).where(any_hit).agg(*(s.alias(f"c{k}") for k, s in enumerate(sums))).first())
+
+    def ids(self, terms: list[str], broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+        """Ids of items that have every term as a word, the last one as the start of a word.
+
+        The rarest term's ids go to the postings of the others, which then neither shuffle nor sort, as long as the
+        dictionary says that they are few; else one aggregation by id."""
+        if not terms:
+            return self.postings().select("id").limit(0)
+        counts = self.counts(terms)
+        rarest = counts.index(min(counts))
+        if len(terms) > 1 and counts[rarest] > broadcast_ids:
+            return found_ids(self.postings(), terms)
+        whole = self.postings()
+
+        def of(k: int) -> DataFrame:
+            """Each posting once; a start of words may have several in one item."""
+            last = k == len(terms) - 1
+            ids = whole.where(F.col("token").startswith(terms[k]) if last else F.col("token") == terms[k]).select("id")
+            return ids.distinct() if last else ids
+
+        out = of(rarest)
+        for k in sorted((k for k in range(len(terms)) if k != rarest), key=counts.__getitem__):
+            out = of(k).join(F.broadcast(out), "id", "left_semi")
+        return out

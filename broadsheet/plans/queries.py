@@ -113,7 +113,16 @@ def search_count(v: Views) -> DataFrame:
 
 @query(f"SELECT {LISTED} FROM listed WHERE {FOUND}")
 def search_index(v: Views) -> DataFrame:
-    return L.list_items(v.items, v.feeds, query="The thing", index=X.postings(v.plain_items))
+    """The same by the stored index, which is built once for a data folder."""
+    return L.list_items(v.items, v.feeds, query="The thing", index=v.index)
+
+
+@query(f"""SELECT token, n AS listed, n AS stored FROM (SELECT token, count(*) AS n FROM (SELECT DISTINCT id, unnest({WORDS}) AS token FROM items) WHERE token <> '' GROUP BY token)""")
+def search_terms(v: Views) -> DataFrame:
+    """Each word's items, by the index's dictionary and by its postings."""
+    stored = v.index.postings().groupBy("token").agg(F.count("*").alias("stored"))
+    listed = v.index.archive.read(X.TERMS).groupBy("token").agg(F.sum("items").alias("listed"))
+    return listed.join(stored, "token", "full")
 
 
 #: The end of each item's title, by the remainder of its number; the first and the last are the same word to a search.

@@ -5,11 +5,15 @@ Only whole-number arithmetic on ids decides a row's state, so both sides agree o
 
 from __future__ import annotations
 
+import hashlib
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.search import StoredIndex
+from ..session import shared_dir
+
 NOW = "2024-02-05 00:00:00"
 PROFILE = "p1"
 
@@ -117,6 +121,20 @@ class Views:
         content = F.struct(F.lit("intro").alias("intro"), F.array(thread("even", "even"), thread("odd", "odd")).alias("threads"))
         return made.select("day", F.to_json(content).alias("content"), F.lit("m").alias("model"), "item_count")
 
+    @cached_property
+    def index(self) -> StoredIndex:
+        """The index of plain_items, stored beside the session's other tables; one that is there for these files is used
+        again, in this session or a later one with the same folder."""
+        stamp = hashlib.sha256(self.dir.encode())
+        for name in sorted(self.table("documents").inputFiles()):
+            place = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+            status = place.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(place)
+            stamp.update(f"{name} {status.getLen()} {status.getModificationTime()}".encode())
+        found = StoredIndex.at(self.spark, f"{shared_dir(self.spark)}/search-index-{stamp.hexdigest()[:32]}")
+        if not found.archive.version():
+            found.update(added=self.plain_items)
+        return found
+
     @cached_property
     def responses(self) -> DataFrame:
         return self.table("events").selectExpr(

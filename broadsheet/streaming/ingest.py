@@ -12,14 +12,13 @@ from pyspark.sql.types import StructType
 
 from ..operators.state import insert_missing
 from ..operators.work import POLLS
-from ..schemas import schema
+from ..schemas import EVENT, schema
 from ..sources.feeds import entries, parse_responses
 from ..sources.snapshots import Log, Snapshots
 
 
 #: Newest events that a slow reader is told of; what is older it reads from the tables.
 EVENT_DEPTH = 256
-EVENT = "kind string, feed_id long, count long, item_id long, summary string, score long, score_reason string, tags array<string>"
 
 
 def _event(rows: DataFrame, kind: str) -> DataFrame:
