@@ -217,12 +217,16 @@ def is_public(address: str) -> bool:
     return not any(n >> (32 - bits) == int(ipaddress.ip_address(net)) >> (32 - bits) for net, bits in closed)
 
 
-def article(markup: str, base: str | None = None, least: int = 200) -> dict[str, str] | None:
+def article(markup: str, base: str | None = None, least: int = 200, with_markup: bool = True) -> dict[str, str | None] | None:
     """The harmless markup and the text of a page's article, as .readability finds it; null below `least` characters and
     for pages of more elements than it reads."""
     found = read(markup)
     text = "" if found is None else text_in(found)
-    return None if len(text) < least else {"html": drop_empty(harmless(found, base)), "text": text}
+    return None if len(text) < least else {"html": drop_empty(harmless(found, base)) if with_markup else None, "text": text}
+
+
+def article_only_text(markup: str, base: str | None = None) -> dict[str, str | None] | None:
+    return article(markup, base, with_markup=False)
 
 
 def article_text(markup: str, least: int = 200) -> str | None:

@@ -7,15 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .engine import Engine
+from .engine import Embedder, Engine, embedded
+from .functions.text import embed_input, retry_after_seconds
 from .operators import digests as D
 from .operators import state as S
+from .operators import vectors as V
+from .operators import work as W
+from .operators.lists import recency
 from .operators.search import INDEX_TABLES, StoredIndex
 from .schemas import EMBEDDINGS, EVENT, FEEDS, ITEMS
 from .session import written
 from .sources.archive import Archive, Commit, Table
 from .sources.feeds import entries, parse_responses
 
+#: Items that one pass embeds at most.
+EMBEDS = 10_000
 DIGESTS = "day date, content string, model string, item_count int, created_at timestamp_ntz"
 TABLES = {
     "feeds": Table(FEEDS, "id", ("id",)),
@@ -79,7 +85,6 @@ class StoredReader:
 
         A batch of a stream that was committed before is left alone (None), and one whose writer was lost is done anew, so
         each counts once.  Only the items of the polled feeds are read."""
-        from .functions.text import retry_after_seconds
         from .streaming.ingest import feeds_updated, items_new
 
         commit = self.archive.begin()
@@ -133,6 +138,27 @@ class StoredReader:
             other = other | ~F.col(c).eqNullSafe(F.col(f"old_{c}"))
         return after.join(old, "id").where(other).select(before.columns)
 
+    def embed(self, embedder: Embedder, now: str, model: str = "m1", batch: int = 16, threshold: float = 0.90) -> int | None:
+        """Vectors of the items that are due, their attempts, and the clusters that the new ones join, in one commit.
+
+        New vectors are compared with those of the last 72 hours alone; heads elected before stay heads.  Returns None
+        if nothing is due."""
+        commit = self.archive.begin()
+        feeds, items, vectors = (commit.read(t) for t in ("feeds", "items", "vectors"))
+        due = W.due_embedding(items, feeds, vectors, model, EMBEDS).select("id").join(items, "id")
+        found = written(embedded(due.select("id", embed_input(F.col("title"), F.col("content_text")).alias("text")), embedder, model, batch))
+        if found.isEmpty():
+            return None
+        tried, after = S.record_vectors(items.join(found.select(F.col("item_id").alias("id")), "id", "left_semi"), vectors, found.withColumn("unreachable", F.lit(False)), now)
+        fresh = written(found.where("embedding is not null").select("item_id"))
+        at = items.select(F.col("id").alias("item_id"), recency().alias("ts"))
+        timed = after.join(at, "item_id")
+        counted = items.join(tried.select("id", F.col("embed_attempts").alias("_attempts")), "id", "left").withColumn("embed_attempts", F.coalesce("_attempts", "embed_attempts")).drop("_attempts")
+        grouped = V.joined_clusters(counted.select(items.columns), timed, fresh, model, now, threshold)
+        commit.change("items", self._differing(items, grouped, "embed_attempts", "cluster_id"))
+        commit.change("vectors", after.join(fresh, "item_id", "left_semi"))
+        return commit.done()
+
     def prune(self, cutoff: str, most: int | None = 2000) -> int:
         """Old items, their vectors and postings go, and clusters that lost their head get another, in one commit."""
         commit = self.archive.begin()

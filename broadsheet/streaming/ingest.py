@@ -1,13 +1,11 @@
-"""Fetched responses as a stream: idempotent inserts, events, refusals by host, and daily counts."""
+"""Fetched responses as a stream: idempotent inserts, events, and daily counts."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from ..operators.state import insert_missing
@@ -91,24 +89,6 @@ def ingest(responses: DataFrame, items: Log, checkpoint: str, events: Snapshots
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{tick_s} seconds")).start()
 
 
-def refusal_stream(tries: DataFrame, most: int = 3) -> DataFrame:
-    """tries: host, agent, day, event_id, refused, succeeded.  The same verdicts as operators.state.host_refusals, kept as
-    two numbers of state for each host, agent and day."""
-
-    def judge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        streak, tripped = state.get if state.exists else (0, False)
-        rows = pd.concat(list(batches)).sort_values("event_id")
-        out = []
-        for event_id, refused, succeeded in zip(rows["event_id"], rows["refused"], rows["succeeded"], strict=True):
-            out.append((*key, int(event_id), bool(tripped)))
-            streak = 0 if succeeded else streak + int(refused)
-            tripped = tripped or streak >= most
-        state.update((int(streak), bool(tripped)))
-        yield pd.DataFrame(out, columns=["host", "agent", "day", "event_id", "retired"])
-
-    return tries.groupBy("host", "agent", "day").applyInPandasWithState(judge, "host string, agent string, day date, event_id long, retired boolean", "streak int, tripped boolean", "append", GroupStateTimeout.NoTimeout)
-
-
 def daily_counts(events: DataFrame, lateness: str = "3 days") -> DataFrame:
     """Events by day and kind; a day closes once the watermark has passed it."""
     return events.withWatermark("ts", lateness).groupBy(F.window("ts", "1 day").alias("day"), "event_type").agg(F.count("*").alias("n"))

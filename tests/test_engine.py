@@ -10,6 +10,7 @@ from broadsheet.operators import state as S
 from broadsheet.plans.views import Views
 from broadsheet.schemas import PARSED_ITEM, schema
 from broadsheet.sources.snapshots import Log, Snapshots
+from broadsheet.streaming import hosts as HOSTS
 from broadsheet.streaming import ingest as I
 from broadsheet.streaming import ticks as TICKS
 
@@ -172,7 +173,7 @@ def test_refusal_stream_equals_batch(spark, tmp_path):
         "event_id", "host", "agent", F.to_date("ts").alias("day"), F.col("status").isin(*S.REFUSED).alias("refused"), F.col("status").between(200, 299).alias("succeeded")
     )
     tries.coalesce(1).sortWithinPartitions("event_id").write.parquet(str(tmp_path / "t"))
-    stream = I.refusal_stream(spark.readStream.schema(tries.schema).parquet(str(tmp_path / "t")))
+    stream = HOSTS.refusal_stream(spark.readStream.schema(tries.schema).parquet(str(tmp_path / "t")))
     q = stream.writeStream.format("memory").queryName("refusals").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     q.awaitTermination(120)
     got = {(r["event_id"], r["retired"]) for r in spark.table("refusals").collect()}
