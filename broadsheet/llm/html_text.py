@@ -2,15 +2,15 @@
 
 A page is read once, in one pass whose work is linear in its length, into blocks of text and the element
 subtrees over them: menus, footers and all.  Subtrees are hashed and counted per host in Spark.  One that
-recurs on `min_pages` different pages of a host is its template and is deleted from each of them; inside what
-a page itself marks as its article, where authors repeat themselves too, it must recur on `inside_share` of
-the host's pages.  Pages with equal content count once, so copies of one article don't make its paragraphs
-a template.
+recurs on `min_pages` different pages of a host, and on `min_share` of the pages of one of its sections (the first
+folder of the path) or of all of it, is the site's template and is deleted wherever it stands; for a paragraph, list
+item or other leaf of text, and inside what a page itself marks as its article, where authors repeat themselves
+too, the share is `inside_share`.  Pages with equal content count once, so copies of one article don't make its paragraphs a template.
 
 Templates that recur too seldom to be told by counting (a host with few pages, a rare menu) leave blocks that
 their own markup says are no content: nav, footer, form and the like, ARIA roles, hidden elements, and class
-names that are as a whole one of NO_CONTENT.  These go in a second step.  Of what is left, the article is
-taken where a page marks one, else its main element, else everything.
+names that are as a whole one of NO_CONTENT.  These go in a second step.  Of what is left, the article is taken
+where a page marks one, else its main element, else everything, unless the prose says otherwise (chosen()).
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ BLOCK = frozenset(
 )
 #: Elements that are no content by their kind.
 MARKED = frozenset(
-    "aside audio button canvas datalist dialog footer form head iframe map math menu nav noscript object select svg template video".split()
+    "aside audio button canvas datalist footer form head iframe map menu nav select svg template video".split()
 )
 MARKED_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 #: Class names and ids, whole ones, that say so.
@@ -73,14 +73,23 @@ SIBLINGS = {
 _P_BARRIERS = ("table", "td", "th", "caption", "object", "template", "html")
 _INSIDE_P = frozenset("option optgroup body html head tr td th tbody thead tfoot caption legend".split())
 
-#: Where a block stands: the article, the main element or elsewhere, and whether its markup says that it is no content.
+#: Elements that hold a piece of text; as long as they hold nothing else, half of the pages must have them.
+LEAVES = frozenset("blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 legend li p pre summary td th".split())
+
+#: Where a block stands: in the article, in the main element, in both or elsewhere, and whether its markup says that it is no
+#: content.
 ARTICLE, MAIN, ELSEWHERE, IS_MARKED = 2, 1, 0, 4
+#: Blocks of at least so many characters are prose.
+PROSE = 40
+#: How many times the prose of an article the main element, and how many times that of both the rest of the page, must have to be
+#: taken instead.
+MAIN_WINS, REST_WINS = 2, 10
 
 
 @dataclass
 class Page:
     """Blocks in page order, each with its place; subtrees as (hash, first block, end block).  A subtree's hash is odd
-    inside what the page marks as its article or main element, and even elsewhere."""
+    inside what the page marks as its article or main element and for leaves of text, and even elsewhere."""
 
     blocks: list[str] = field(default_factory=list)
     places: list[int] = field(default_factory=list)
@@ -160,7 +169,7 @@ def read_page(source: str, host: str = "") -> Page:
     from xxhash import xxh64_intdigest
 
     page = Page()
-    # Open elements: tag, first block, hashes of what they hold, marked, place.
+    # Open elements: tag, first block, hashes of what they hold, marked, place, whether they hold blocks.
     stack: list[list] = []
     # Where in the stack each kind of element is open.
     opened: dict[str, list[int]] = {}
@@ -175,7 +184,7 @@ def read_page(source: str, host: str = "") -> Page:
             text.clear()
             if words:
                 page.blocks.append(words)
-                page.places.append((ARTICLE if article else MAIN if main else ELSEWHERE) | (IS_MARKED if marked else 0))
+                page.places.append((ARTICLE if article else 0) | (MAIN if main else 0) | (IS_MARKED if marked else 0))
                 if stack:
                     stack[-1][2].append(xxh64_intdigest(words))
 
@@ -185,17 +194,19 @@ def read_page(source: str, host: str = "") -> Page:
         while len(stack) > at:
             flush()
             inside = article > 0 or main > 0
-            tag, first, hashes, gone, place = stack.pop()
+            tag, first, hashes, gone, place, held = stack.pop()
             opened[tag].pop()
             marked -= gone
             article -= place == ARTICLE
             main -= place == MAIN
             if len(page.blocks) > first:
                 own = xxh64_intdigest(f"{host} {tag}{hashes}")
+                leaf = tag in LEAVES and len(page.blocks) == first + 1 and len(hashes) == 1 and not held
                 if tag not in ("html", "body", "head"):
-                    page.subtrees.append(((own - (own >> 63 << 64)) & -2 | inside, first, len(page.blocks)))
+                    page.subtrees.append(((own - (own >> 63 << 64)) & -2 | (inside or leaf), first, len(page.blocks)))
                 if stack:
                     stack[-1][2].append(own)
+                    stack[-1][5] = True
         if inline and len(stack) < inline[2]:
             inline = None
 
@@ -250,7 +261,7 @@ def read_page(source: str, host: str = "") -> Page:
         gone = int(is_marked(tag, found, article > 0))
         place = ELSEWHERE if gone else place_of(tag, found)
         opened.setdefault(tag, []).append(len(stack))
-        stack.append([tag, len(page.blocks), [], gone, place])
+        stack.append([tag, len(page.blocks), [], gone, place, False])
         marked += gone
         article += place == ARTICLE
         main += place == MAIN
@@ -261,21 +272,37 @@ def read_page(source: str, host: str = "") -> Page:
     return page
 
 
-def deleted(page: Page, templates: set[int] | frozenset = frozenset()) -> np.ndarray:
-    """Which blocks stand in a subtree that is a template."""
+NONE = np.zeros(0, np.int64)
+
+
+def deleted(page: Page, templates: np.ndarray = NONE) -> np.ndarray:
+    """Which blocks stand in a subtree that is a template (sorted hashes)."""
     edges = np.zeros(len(page.blocks) + 1, np.int64)
-    for own, first, end in page.subtrees:
-        if own in templates:
-            edges[first] += 1
-            edges[end] -= 1
+    if page.subtrees and len(templates):
+        own, first, end = np.array(page.subtrees, np.int64).T
+        hit = templates[np.minimum(np.searchsorted(templates, own), len(templates) - 1)] == own
+        np.add.at(edges, first[hit], 1)
+        np.add.at(edges, end[hit], -1)
     return np.cumsum(edges)[:-1] > 0
 
 
-def main_text(page: Page, templates: set[int] | frozenset = frozenset()) -> str:
+def chosen(left: list[tuple[str, int]]) -> list[str]:
+    """Of (block, place): the article's blocks; those of the main element where it has over MAIN_WINS times the article's
+    prose, or there is no article; all of them where the rest has over REST_WINS times the prose of both.  A place without
+    any prose counts with all of its text."""
+    size = lambda holds: (sum(len(b) for b, p in left if holds(p) and len(b) >= PROSE), sum(len(b) for b, p in left if holds(p)))
+    (article, words), (main, main_words) = size(lambda p: p & ARTICLE), size(lambda p: p & MAIN)
+    rest = size(lambda p: not p)[0]
+    own, own_words, place = (main, main_words, MAIN) if not words or main > MAIN_WINS * (article or words) else (article, words, ARTICLE)
+    if not own_words or rest > REST_WINS * (own or own_words):
+        return [b for b, _ in left]
+    return [b for b, p in left if p & place]
+
+
+def main_text(page: Page, templates: np.ndarray = NONE) -> str:
     """The page's text: templates go first, then what its markup says is no content."""
     left = [(b, p) for b, p, gone in zip(page.blocks, page.places, deleted(page, templates).tolist(), strict=True) if not gone and not p & IS_MARKED]
-    best = max((p for _, p in left), default=ELSEWHERE)
-    return "\n".join(b for b, p in left if p == best)
+    return "\n".join(chosen(left))
 
 
 def host_of(url: str | None) -> str:
@@ -285,6 +312,15 @@ def host_of(url: str | None) -> str:
         return ""
 
 
+def section_of(url: str | None) -> str:
+    """The first folder of a url's path, '' for a page that stands in none."""
+    try:
+        parts = urlsplit(url or "").path.split("/")
+    except ValueError:
+        return ""
+    return parts[1] if len(parts) > 2 else ""
+
+
 #: Up to so many templates (8 bytes each) go to every executor; beyond it pages find theirs by a join, with the same result.
 BROADCAST_TEMPLATES = 4_000_000
 #: How many tasks share the pages of one template in that join.
@@ -297,13 +333,15 @@ def extract_text(
     url_col: str = "url",
     html_col: str = "html",
     min_pages: int = 10,
+    min_share: float = 0.05,
     inside_share: float = 0.5,
     broadcast_templates: int = BROADCAST_TEMPLATES,
 ) -> DataFrame:
     """page_id, url, text, n_chars, template_blocks, marked_blocks for every row of df.
 
-    A subtree on at least `min_pages` different pages of a host is its template, whatever the host's size: sections,
-    languages and layouts each have their own.  Inside the article it must be on `inside_share` of the pages as well.
+    A subtree on at least `min_pages` different pages of a host, and on `min_share` of those of a section or of the host, is
+    its template: sections, languages and layouts each have their own, and what a large host's pages merely happen to
+    share is none.  Inside the article, and for leaves of text, the share is `inside_share`.
     template_blocks counts the blocks deleted so, marked_blocks those that only their own markup gave away.
 
     A null or empty page has an empty text.  A null or odd url belongs to the host ''.  Repeated rows are each
@@ -318,7 +356,8 @@ def extract_text(
 
         number = TaskContext.get().partitionId() << 33
         for batch in slices(batches, 256):
-            hosts = [host_of(u) for u in batch.column("url").to_pylist()]
+            urls = batch.column("url").to_pylist()
+            hosts = [host_of(u) for u in urls]
             pages = [read_page(x, h) for x, h in zip(batch.column("html").to_pylist(), hosts, strict=True)]
             contents = [xxh64_intdigest(main_text(p)) for p in pages]
             columns = [
@@ -326,20 +365,21 @@ def extract_text(
                 batch.column("url"),
                 pa.array(np.arange(number, number + len(pages))),
                 pa.array(hosts, pa.string()),
+                pa.array([section_of(u) for u in urls], pa.string()),
                 pa.array([c - (c >> 63 << 64) for c in contents], pa.int64()),
                 pa.array([p.blocks for p in pages], pa.list_(pa.string())),
                 pa.array([p.places for p in pages], pa.list_(pa.int8())),
                 *(pa.array([[s[j] for s in p.subtrees] for p in pages], pa.list_(t)) for j, t in ((0, pa.int64()), (1, pa.int32()), (2, pa.int32()))),
             ]
             number += len(pages)
-            yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "row", "host", "content", "blocks", "places", "hashes", "firsts", "ends"])
+            yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "row", "host", "section", "content", "blocks", "places", "hashes", "firsts", "ends"])
 
     parsed = written(
-        arrow_map(rows, read, f"page_id {kind}, url string, row long, host string, content long, blocks array<string>, places array<tinyint>, hashes array<long>, firsts array<int>, ends array<int>")
+        arrow_map(rows, read, f"page_id {kind}, url string, row long, host string, section string, content long, blocks array<string>, places array<tinyint>, hashes array<long>, firsts array<int>, ends array<int>")
     )
-    templates = written(templates_of(parsed, min_pages, inside_share))
+    templates = written(templates_of(parsed, min_pages, min_share, inside_share, broadcast_templates))
     few = templates.count() <= broadcast_templates
-    known = df.sparkSession.sparkContext.broadcast(np.array([r["hash"] for r in templates.collect()] if few else [], np.int64))
+    known = df.sparkSession.sparkContext.broadcast(np.sort(np.array([r["hash"] for r in templates.collect()] if few else [], np.int64)))
     if not few:
         salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
         seen = parsed.select("row", F.explode(F.array_distinct("hashes")).alias("hash"), F.pmod("row", F.lit(SALTS)).cast("int").alias("salt"))
@@ -349,12 +389,12 @@ def extract_text(
         parsed = parsed.withColumn("doomed", F.lit(None).cast("array<long>"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        everywhere = frozenset(known.value.tolist())
+        everywhere = known.value
         for batch in slices(batches, 256):
             out = []
             for blocks, places, hashes, firsts, ends, doomed in zip(*(batch.column(c).to_pylist() for c in ("blocks", "places", "hashes", "firsts", "ends", "doomed")), strict=True):
                 page = Page(blocks, places, list(zip(hashes, firsts, ends, strict=True)))
-                own = frozenset(doomed) if doomed else everywhere
+                own = np.sort(np.array(doomed, np.int64)) if doomed else everywhere
                 gone = deleted(page, own)
                 out.append((main_text(page, own), int(gone.sum()), sum(1 for p, g in zip(places, gone.tolist(), strict=True) if p & IS_MARKED and not g)))
             columns = [pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [()] * 3, (pa.string(), pa.int32(), pa.int32()), strict=True)]
@@ -364,11 +404,20 @@ def extract_text(
     return done.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "template_blocks", "marked_blocks")
 
 
-def templates_of(parsed: DataFrame, min_pages: int, inside_share: float) -> DataFrame:
-    """The hashes of subtrees that are templates.  Pages with equal content count once on each host."""
-    seen = parsed.select("host", "content", F.explode(F.array_distinct("hashes")).alias("hash")).groupBy("host", "hash", "content").agg(F.lit(1).alias("one"))
-    counts = written(seen.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages))
-    inside = F.col("hash").bitwiseAND(F.lit(1)) == 1
-    sizes = parsed.groupBy("host", "content").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("pages"))
-    within = counts.where(inside).join(sizes.where(F.col("pages") >= min_pages), "host").where(F.col("n") >= F.col("pages") * F.lit(inside_share))
-    return counts.where(~inside).select("hash").unionByName(within.select("hash"))
+def templates_of(parsed: DataFrame, min_pages: int, min_share: float, inside_share: float, broadcast_hashes: int = BROADCAST_TEMPLATES) -> DataFrame:
+    """The hashes of subtrees that are templates.  Pages with equal content count once in each section.
+
+    Most subtrees are a page's own, so all are first counted by host alone; sections are told apart only for those
+    that are on enough pages."""
+    each = parsed.select("host", "section", "content", F.explode(F.array_distinct("hashes")).alias("hash"))
+    once = each.groupBy("host", "hash", "content").agg(F.lit(1).alias("one"))
+    often = written(once.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages))
+    keys = often.select("host", "hash")
+    held = each.join(F.broadcast(keys) if keys.count() <= broadcast_hashes else keys, ["host", "hash"], "left_semi")
+    by_section = held.groupBy("host", "section", "hash", "content").agg(F.lit(1).alias("one")).groupBy("host", "section", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    pages = parsed.groupBy("host", "section", "content").agg(F.lit(1).alias("one")).groupBy("host", "section").agg(F.count("*").alias("pages"))
+    pages = written(pages)
+    share = F.when(F.col("hash").bitwiseAND(F.lit(1)) == 1, F.lit(inside_share)).otherwise(F.lit(min_share))
+    within = by_section.join(pages, ["host", "section"]).where(F.col("n") >= F.col("pages") * share)
+    whole = often.join(pages.groupBy("host").agg(F.sum("pages").alias("pages")), "host").where(F.col("n") >= F.col("pages") * share)
+    return within.select("hash").unionByName(whole.select("hash")).distinct()

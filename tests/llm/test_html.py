@@ -3,6 +3,7 @@
 import time
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,22 +19,22 @@ def pages(spark, rows):
     return spark.createDataFrame([(*r, "h", 1, 2, 3, 4) for r in rows], SCHEMA)
 
 
-def plain(rows, min_pages=10, inside_share=0.5):
-    """Texts by a count of subtrees per host in plain Python."""
-    read = [(html_text.host_of(u), html_text.read_page(h or "", html_text.host_of(u))) for _, u, h in rows]
+def plain(rows, min_pages=10, min_share=0.05, inside_share=0.5):
+    """Texts by a count of subtrees per section and per host in plain Python."""
+    read = [((html_text.host_of(u), html_text.section_of(u)), html_text.read_page(h or "", html_text.host_of(u))) for _, u, h in rows]
     contents, seen = defaultdict(set), defaultdict(set)
-    for host, page in read:
+    for (host, section), page in read:
         content = html_text.main_text(page)
-        contents[host].add(content)
-        for own, _, _ in page.subtrees:
-            seen[host, own].add(content)
-    templates = {own for (host, own), on in seen.items() if len(on) >= min_pages and (own % 2 == 0 or len(on) >= inside_share * len(contents[host]))}
+        for place in ((host, section), host):
+            contents[place].add((section, content))
+            for own, _, _ in page.subtrees:
+                seen[place, own].add((section, content) if isinstance(place, tuple) else content)
+    templates = {own for (place, own), on in seen.items() if len(on) >= min_pages and len(on) >= (inside_share if own % 2 else min_share) * len(contents[place])}
     out = []
     for _, page in read:
         gone = [any(own in templates and a <= k < b for own, a, b in page.subtrees) for k in range(len(page.blocks))]
         left = [(b, p) for b, p, g in zip(page.blocks, page.places, gone, strict=True) if not g and p < 4]
-        best = max((p for _, p in left), default=0)
-        out.append(("\n".join(b for b, p in left if p == best), sum(gone)))
+        out.append(("\n".join(html_text.chosen(left)), sum(gone)))
     return out
 
 
@@ -66,6 +67,34 @@ def test_what_recurs_in_articles_stays(spark):
     assert all(got[i] == f"title {i}\n" + ("as we said before\n" if i % 4 == 0 else "") + f"text {i}" for i in range(80))
 
 
+def test_a_large_host_keeps_what_its_pages_happen_to_share(spark):
+    """A short paragraph, and a box, on twelve of 2,400 pages stay, and so does a paragraph on a third; a box on all pages of one section of them goes."""
+    box = lambda i: "<div><p>go to the market</p><p>see prices</p></div>" if i < 60 else ""
+    page = lambda i: f"<body>{box(i)}<div><p>story {i} and so on</p>{'<p>Yes.</p><div><div>as said</div></div>' if i % 200 == 0 else ''}{'<p>More tomorrow.</p>' if i % 3 == 0 else ''}</div></body>"
+    rows = [(i, f"https://a.example/{'market' if i < 60 else 'news'}/{i}.html", page(i)) for i in range(2400)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract_text(pages(spark, rows)).collect()}
+    assert all(got[i] == f"story {i} and so on" + ("\nYes.\nas said" if i % 200 == 0 else "") for i in range(2400))
+
+
+def test_the_main_text_is_chosen_by_its_prose():
+    read = lambda x: html_text.main_text(html_text.read_page(x))
+    story = "".join(f"<p>The long story of the town, part {k}, told from its beginning to its end.</p>" for k in range(5))
+    want = "\n".join(f"The long story of the town, part {k}, told from its beginning to its end." for k in range(5))
+    assert read(f"<main>{story}</main><div><article>card</article></div>") == want
+    assert read(f"<main><p>menu</p><article>{story}</article></main>") == want
+    assert read(f"<div>{'<p>A plain line of a list that is rather long, about nothing.</p>' * 8}</div><article>{story}</article>") == want
+    assert read(f"<main>{story}<article><p>A short note inside of it</p></article></main>") == want + "\nA short note inside of it"
+    assert read(f"<div>{story * 9}</div><article><p>card</p></article>").startswith(want)
+    assert read("<article><p>short</p></article><p>other</p>") == "short"
+
+
+def test_only_what_is_no_content_is_marked():
+    read = lambda x: html_text.main_text(html_text.read_page(x))
+    assert read("<article><p>Area of a circle is <math><mi>r</mi></math> in short</p></article>") == "Area of a circle is r in short"
+    for tag in ("dialog", "object", "noscript"):
+        assert read(f"<article><p>a</p><{tag}>b</{tag}></article>").split() == ["a", "b"]
+
+
 def test_class_names_count_as_a_whole():
     read = lambda x: html_text.main_text(html_text.read_page(x))
     body = '<article><p>Intro</p><div class="related-work"><p>a</p></div><div class="story-social-impact"><p>b</p></div><div class="comments"><p>c</p></div></article>'
@@ -82,7 +111,7 @@ def test_class_names_count_as_a_whole():
 def test_a_megabyte_of_anything_is_read_in_a_pass(source):
     began = time.process_time()
     page = html_text.read_page(source)
-    html_text.main_text(page, frozenset(s[0] for s in page.subtrees))
+    html_text.main_text(page, np.sort(np.array([s[0] for s in page.subtrees], np.int64)))
     assert time.process_time() - began < 4
 
 
