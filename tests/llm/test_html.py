@@ -45,7 +45,7 @@ def test_templates_match_a_plain_count(spark, most):
     rows = [tuple(r) for r in df.select("page_id", "url", "html").collect()]
     got = {r["page_id"]: r for r in html_text.extract_text(df, min_pages=4, broadcast_templates=10**6 * most).collect()}
     want = plain(rows, min_pages=4)
-    assert len(got) == len(rows) and sum(n > 0 for _, n in want) > 100
+    assert len(got) == len(rows) and sum(n > 0 for _, n in want) > 50
     for (page_id, _, _), (text, gone) in zip(rows, want, strict=True):
         assert (got[page_id]["text"], got[page_id]["template_blocks"]) == (text, gone)
 
@@ -73,7 +73,7 @@ def test_a_large_host_keeps_what_its_pages_happen_to_share(spark):
     page = lambda i: f"<body>{box(i)}<div><p>story {i} and so on</p>{'<p>Yes.</p><div><div>as said</div></div>' if i % 200 == 0 else ''}{'<p>More tomorrow.</p>' if i % 3 == 0 else ''}</div></body>"
     rows = [(i, f"https://a.example/{'market' if i < 60 else 'news'}/{i}.html", page(i)) for i in range(2400)]
     got = {r["page_id"]: r["text"] for r in html_text.extract_text(pages(spark, rows)).collect()}
-    assert all(got[i] == f"story {i} and so on" + ("\nYes.\nas said" if i % 200 == 0 else "") for i in range(2400))
+    assert all(got[i] == f"story {i} and so on" + ("\nYes.\nas said" if i % 200 == 0 else "") + ("\nMore tomorrow." if i % 3 == 0 else "") for i in range(2400))
 
 
 def test_the_main_text_is_chosen_by_its_prose():
