@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -113,6 +115,49 @@ def similar_pairs(vectors: DataFrame, threshold: float, window_hours: int = 72,
     return pairs.select("bucket", "other", "tile_a", "tile_b", "a", "b").mapInArrow(multiply, "a long, b long, similarity double")
 
 
+def planes_needed(cosine: float, bits: int, recall: float) -> int:
+    """Tables of `bits` random planes in which two vectors of this cosine share a cell at least once, with the given chance."""
+    together = (1 - math.acos(min(1.0, max(-1.0, cosine))) / math.pi) ** bits
+    return 1 if together >= recall else math.ceil(math.log(1 - recall) / math.log1p(-together))
+
+
+def projected_pairs(vectors: DataFrame, threshold: float, window_hours: int = 72, fresh: DataFrame | None = None, recall: float = 0.98, bits: int | None = None, seed: int = 7) -> DataFrame:
+    """similar_pairs by buckets: of the pairs at or over the threshold a share of `recall` at least can be expected (those
+    at the threshold itself; likelier the more alike they are), and each is exact.
+
+    A vector's cell in a table is on which sides of `bits` random planes it lies.  Only vectors of one cell of one of the
+    tables are multiplied, in the same even tiles.  bits is chosen so that a cell of the most crowded window holds
+    about a tile; with 0 bits, as for few vectors, or where so many tables are needed that cells save nothing, all
+    are compared (exact).  Vectors of other lengths have planes, and cells, of their own.
+    """
+    ship(vectors.sparkSession)
+    if bits is None:
+        hours = F.unix_seconds(F.col("ts").cast("timestamp")) / 3600
+        most = vectors.groupBy("model", F.floor(hours / window_hours)).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+        bits = max(0, min(24, math.ceil(math.log2(max(1, most) / TILE))))
+    tables = planes_needed(threshold, bits, recall)
+    if bits == 0 or tables >= 1 << bits:
+        return similar_pairs(vectors, threshold, window_hours, fresh)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("embedding")
+            sizes = np.asarray(pc.fill_null(lists.value_lengths(), 0))
+            cells = np.zeros((batch.num_rows, tables), np.int64)
+            for width in np.unique(sizes[sizes > 0]):
+                at = np.flatnonzero(sizes == width)
+                planes = np.random.default_rng([seed, int(width)]).standard_normal((int(width), tables * bits))
+                sides = np.asarray(lists.take(pa.array(at)).flatten(), np.float64).reshape(-1, width) @ planes > 0
+                cells[at] = sides.reshape(len(at), tables, bits) @ (1 << np.arange(bits, dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("item_id"), batch.column("model"), batch.column("ts"), lists, pa.array(list(cells), pa.list_(pa.int64()))], names=["item_id", "model", "ts", "embedding", "cells"])
+
+    kinds = dict(vectors.dtypes)
+    placed = vectors.select("item_id", "model", "ts", "embedding").mapInArrow(place, f"item_id {kinds['item_id']}, model {kinds['model']}, ts {kinds['ts']}, embedding array<float>, cells array<long>")
+    each = placed.select("item_id", "model", "ts", "embedding", F.posexplode("cells").alias("table", "cell"))
+    keyed = each.withColumn("model", F.concat_ws("|", "model", F.col("table").cast("string"), F.col("cell").cast("string")))
+    return similar_pairs(keyed.select("item_id", "model", "ts", "embedding"), threshold, window_hours, fresh).distinct()
+
+
 def recent(vectors: DataFrame, model: str, as_of: str, window_hours: int = 72) -> DataFrame:
     """What a new vector may be a duplicate of: this model's vectors of items from `window_hours` before as_of on, however
     late they came in or lie in the future."""

@@ -695,6 +695,14 @@ def dup_pairs(v: Views) -> DataFrame:
     return V.similar_pairs(v.vectors, THRESHOLD)
 
 
+@query(f"""SELECT x.item_id, count(y.item_id) AS near FROM vectors x LEFT JOIN vectors y ON x.item_id < y.item_id AND x.model = y.model AND abs(epoch(x.ts) - epoch(y.ts)) <= 72 * 3600
+ AND list_dot_product(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) >= 0.9 GROUP BY x.item_id""")
+def dup_pairs_projected(v: Views) -> DataFrame:
+    """Later partners at the reader's own threshold, by random planes as far as the window's crowd needs them."""
+    pairs = V.projected_pairs(v.vectors, 0.90).groupBy(F.col("a").alias("item_id")).agg(F.count("*").alias("near"))
+    return v.vectors.select("item_id").join(pairs, "item_id", "left").select("item_id", F.coalesce("near", F.lit(0)).cast("long").alias("near"))
+
+
 @query(f""", pairs AS ({PAIRS}), edges AS (SELECT CASE WHEN (x.ts, x.item_id) < (y.ts, y.item_id) THEN a ELSE b END AS child, CASE WHEN (x.ts, x.item_id) < (y.ts, y.item_id) THEN b ELSE a END AS parent, similarity
   FROM pairs JOIN vectors x ON x.item_id = a JOIN vectors y ON y.item_id = b),
  best AS (SELECT child, parent FROM (SELECT *, row_number() OVER (PARTITION BY child ORDER BY similarity DESC, parent) AS k FROM edges) WHERE k = 1),
