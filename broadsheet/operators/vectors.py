@@ -65,7 +65,7 @@ def similar_pairs(vectors: DataFrame, threshold: float, window_hours: int = 72,
     """
     ship(vectors.sparkSession)
     hours = F.unix_seconds(F.col("ts").cast("timestamp")) / 3600
-    rows = vectors.select("item_id", "model", "embedding", F.col("ts"), F.floor(hours / window_hours).alias("bucket"))
+    rows = vectors.where(F.size("embedding") > 0).select("item_id", "model", "embedding", F.col("ts"), F.floor(hours / window_hours).alias("bucket"))
     if fresh is not None:
         rows = rows.join(fresh.select("item_id", F.lit(True).alias("new")), "item_id", "left").withColumn("new", F.coalesce("new", F.lit(False)))
     else:
@@ -100,7 +100,7 @@ def similar_pairs(vectors: DataFrame, threshold: float, window_hours: int = 72,
                     sizes = held.field("embedding").value_lengths()
                     sides.append((np.asarray(held.field("item_id")), np.asarray(held.field("at")), held.field("embedding"), np.asarray(sizes), np.asarray(held.field("new").to_numpy(zero_copy_only=False))))
                 (ids_a, at_a, va, na, new_a), (ids_b, at_b, vb, nb, new_b) = sides
-                for width in np.intersect1d(na, nb):
+                for width in np.intersect1d(na[na > 0], nb[nb > 0]):
                     ia, ib = np.flatnonzero(na == width), np.flatnonzero(nb == width)
                     x, y = (np.asarray(v.take(pa.array(i)).flatten(), np.float64).reshape(-1, width) for v, i in ((va, ia), (vb, ib)))
                     near = x @ y.T
