@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import answers as A
@@ -342,10 +342,22 @@ STORED = "SELECT 'score_threshold' AS key, CAST(count(*) % 100 AS VARCHAR) AS va
 def settings_resolved(v: Views) -> DataFrame:
     from ..settings import resolve
 
+    return resolve(_stored(v))
+
+
+@query(f""", stored AS ({STORED}), changes AS (SELECT 'digest_hour' AS key, CAST(count(*) % 24 AS VARCHAR) AS value FROM nation UNION ALL SELECT 'dedupe_threshold', '0.5')
+ SELECT key, value FROM changes UNION ALL SELECT key, value FROM stored WHERE key NOT IN (SELECT key FROM changes)""")
+def settings_upsert(v: Views) -> DataFrame:
+    """Two settings in place of what was stored for them."""
+    changes = v.table("nation").agg((F.count("*") % 24).cast("string").alias("value")).select(F.lit("digest_hour").alias("key"), "value")
+    changes = changes.unionByName(v.table("region").agg(F.lit("0.5").alias("value")).select(F.lit("dedupe_threshold").alias("key"), "value"))
+    return S.upsert_newest(_stored(v), changes, "key")
+
+
+def _stored(v: Views) -> DataFrame:
     row = lambda df, key, value: df.agg(value.cast("string").alias("value")).select(F.lit(key).alias("key"), "value")
     stored = row(v.table("documents"), "score_threshold", F.count("*") % 100).unionByName(row(v.table("documents"), "dedupe_threshold", F.max("lang")))
-    stored = stored.unionByName(row(v.table("events"), "digest_hour", F.count("*"))).unionByName(row(v.table("region"), "retention_days", F.min("r_regionkey") + 1))
-    return resolve(stored)
+    return stored.unionByName(row(v.table("events"), "digest_hour", F.count("*"))).unionByName(row(v.table("region"), "retention_days", F.min("r_regionkey") + 1))
 
 
 @query(f"""SELECT id, url, title, site_url, strftime(CASE WHEN old THEN next_fetch_at ELSE TIMESTAMP '{NOW}' END, '%Y-%m-%dT%H:%M:%SZ') AS next_fetch_at, interval_s FROM
@@ -747,19 +759,65 @@ OPML = """<opml version="2.0"><body><outline text="Folder"><outline type="rss" t
 <outline text="B" xmlurl="https://b.example/feed"/><outline text="note"/></body></opml>"""
 
 
-@query("""SELECT feed_id, pos, guid, url, trim(regexp_replace(title, '\\s+', ' ', 'g')) AS title, strftime(published_at, '%Y-%m-%dT%H:%M:%SZ') AS published_at FROM
- (SELECT feed_id, row_number() OVER (PARTITION BY feed_id ORDER BY id) - 1 AS pos, guid, url, title, published_at FROM items WHERE trim(title) <> '')""")
+#: Entries as documents say them: every fourth has a discussion of its own, every sixth a link relative to its feed.
+ENTRIES = """SELECT feed_id, row_number() OVER (PARTITION BY feed_id ORDER BY id) - 1 AS pos, guid, url, trim(regexp_replace(title, '\\s+', ' ', 'g')) AS title, strftime(published_at, '%Y-%m-%dT%H:%M:%SZ') AS published_at,
+ CASE WHEN id % 4 = 0 THEN 'https://talk.example/?a=' || id || '&b=2' END AS comments_url FROM items WHERE trim(title) <> ''"""
+
+
+def _documents(v: Views, item: Column, head: str, tail: str) -> DataFrame:
+    """Responses (feed_id, url, body) with one document for each feed's items, in the order of their numbers."""
+    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", item.alias("x")))), lambda r: r["x"]), "," if head.startswith("{") else "")
+    bodies = v.plain_items.where("trim(title) <> ''").groupBy("feed_id").agg(ordered.alias("items"))
+    url = F.concat(F.lit("https://src"), F.col("feed_id").cast("string"), F.lit(".example/feed"))
+    return bodies.select("feed_id", url.alias("url"), F.concat(F.lit(head), F.col("items"), F.lit(tail)).alias("body"))
+
+
+def _read_back(documents: DataFrame) -> DataFrame:
+    found = FEEDS.entries(FEEDS.parse_responses(documents))
+    return found.select("feed_id", "pos", "guid", "url", "title", F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("published_at"), "comments_url")
+
+
+def _escaped(c: str | Column) -> Column:
+    return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def _tag(start: str, c: Column, end: str) -> Column:
+    return F.coalesce(F.concat(F.lit(start), c, F.lit(end)), F.lit(""))
+
+
+def _link() -> Column:
+    """An item's link as its document has it."""
+    return F.when(F.col("id") % 6 == 0, F.regexp_replace("url", "^https://[^/]*", "")).otherwise(F.col("url"))
+
+
+def _talk() -> Column:
+    return F.when(F.col("id") % 4 == 0, F.concat(F.lit("https://talk.example/?a="), F.col("id").cast("string"), F.lit("&b=2")))
+
+
+@query(ENTRIES)
 def feed_parse(v: Views) -> DataFrame:
     """An RSS document of each feed's items, read back."""
-    ship(v.spark)
-    text = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    tag = lambda name, c: F.coalesce(F.concat(F.lit(f"<{name}>"), c, F.lit(f"</{name}>")), F.lit(""))
     date = F.date_format("published_at", "EEE, dd MMM yyyy HH:mm:ss 'GMT'")
-    item = F.concat(F.lit("<item>"), tag("title", text(F.col("title"))), tag("link", F.col("url")), tag("guid", F.col("guid")), tag("pubDate", date), F.lit("</item>"))
-    bodies = v.plain_items.where("trim(title) <> ''").groupBy("feed_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", item.alias("x")))), lambda r: r["x"]), "").alias("items"))
-    rows = bodies.select("feed_id", F.concat(F.lit("https://src"), F.col("feed_id").cast("string"), F.lit(".example/feed")).alias("url"), F.concat(F.lit('<?xml version="1.0"?><rss version="2.0"><channel><title>News</title>'), F.col("items"), F.lit("</channel></rss>")).alias("body"))
-    found = FEEDS.entries(FEEDS.parse_responses(rows))
-    return found.select("feed_id", "pos", "guid", "url", "title", F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("published_at"))
+    parts = (_tag("<title>", _escaped("title"), "</title>"), _tag("<link>", _link(), "</link>"), _tag("<guid>", F.col("guid"), "</guid>"), _tag("<pubDate>", date, "</pubDate>"), _tag("<comments>", _escaped(_talk()), "</comments>"))
+    item = F.concat(F.lit("<item>"), *parts, F.lit("</item>"))
+    return _read_back(_documents(v, item, '<?xml version="1.0"?><rss version="2.0"><channel><title>News</title>', "</channel></rss>"))
+
+
+@query(ENTRIES)
+def feed_parse_atom(v: Views) -> DataFrame:
+    """The same as Atom: links by their relation, the discussion as replies."""
+    date = F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    parts = (_tag('<link rel="enclosure" href="https://files.example/', F.col("guid"), '"/>'), _tag('<link rel="alternate" href="', _escaped(_link()), '"/>'), _tag('<link rel="replies" href="', _escaped(_talk()), '"/>'))
+    parts = (_tag('<title type="text">', _escaped("title"), "</title>"), _tag("<id>", F.col("guid"), "</id>"), _tag("<published>", date, "</published>"), *parts)
+    item = F.concat(F.lit("<entry>"), *parts, F.lit("</entry>"))
+    return _read_back(_documents(v, item, '<feed xmlns="http://www.w3.org/2005/Atom"><title>News</title>', "</feed>"))
+
+
+@query(ENTRIES.replace("CASE WHEN id % 4 = 0 THEN 'https://talk.example/?a=' || id || '&b=2' END", "NULL"))
+def feed_parse_json(v: Views) -> DataFrame:
+    """The same as JSON Feed, which has no place for discussions."""
+    item = F.to_json(F.struct(F.col("guid").alias("id"), _link().alias("url"), "title", F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("date_published")))
+    return _read_back(_documents(v, item, '{"version": "https://jsonfeed.org/version/1.1", "title": "News", "items": [', "]}"))
 
 
 @query("SELECT row_number() OVER (ORDER BY f.id) - 1 AS pos, url, feed_title AS title, site_url FROM feeds f JOIN shown s ON s.id = f.id")
@@ -872,11 +930,15 @@ def ip_public(v: Views) -> DataFrame:
     return v.table("events").select("event_id", column(H.is_public, "boolean")(ip).alias("public"))
 
 
-@query("SELECT id, interval_s, true AS within FROM feeds")
+@query("SELECT count(*) AS draws, count(DISTINCT feed_id) AS feeds, true AS bounds, true AS mean, true AS spread FROM items JOIN feeds ON feeds.id = feed_id")
 def poll_jitter(v: Views) -> DataFrame:
-    """Up to a tenth more or less, rounded to seconds."""
-    seconds = jittered(F.col("interval_s"), 1)
-    return v.feeds.select("id", "interval_s", (F.abs(seconds - F.col("interval_s")) <= F.col("interval_s") / 10 + 1).alias("within"))
+    """A draw for each item at its feed's interval: never over a tenth off, and as even as draws are that come from all
+    of that range (mean 1, deviation 0.0577, both ends reached)."""
+    drawn = v.plain_items.select("feed_id").join(v.feeds.select(F.col("id").alias("feed_id"), "interval_s"), "feed_id")
+    share = drawn.select("feed_id", (jittered(F.col("interval_s"), 1) / F.col("interval_s")).alias("x"))
+    told = share.agg(F.count("*").alias("draws"), F.count_distinct("feed_id").alias("feeds"), F.avg("x").alias("m"), F.stddev("x").alias("s"), F.min("x").alias("low"), F.max("x").alias("high"))
+    bounds = (F.col("low") >= 0.899) & (F.col("high") <= 1.101)
+    return told.select("draws", "feeds", bounds.alias("bounds"), (F.abs(F.col("m") - 1) < 0.02).alias("mean"), (F.col("s").between(0.048, 0.067) & (F.col("low") < 0.92) & (F.col("high") > 1.08)).alias("spread"))
 
 
 # --- extensions: what the events table invites and the engine's own operators don't cover --------------
