@@ -759,15 +759,16 @@ OPML = """<opml version="2.0"><body><outline text="Folder"><outline type="rss" t
 <outline text="B" xmlurl="https://b.example/feed"/><outline text="note"/></body></opml>"""
 
 
-#: Entries as documents say them: every fourth has a discussion of its own, every sixth a link relative to its feed.
-ENTRIES = """SELECT feed_id, row_number() OVER (PARTITION BY feed_id ORDER BY id) - 1 AS pos, guid, url, trim(regexp_replace(title, '\\s+', ' ', 'g')) AS title, strftime(published_at, '%Y-%m-%dT%H:%M:%SZ') AS published_at,
+#: Entries as documents say them, a thousand numbers a document: every fourth has a discussion of its own, every sixth a link
+#: relative to its feed.
+ENTRIES = """SELECT feed_id, row_number() OVER (PARTITION BY feed_id, id // 1000 ORDER BY id) - 1 AS pos, guid, url, trim(regexp_replace(title, '\\s+', ' ', 'g')) AS title, strftime(published_at, '%Y-%m-%dT%H:%M:%SZ') AS published_at,
  CASE WHEN id % 4 = 0 THEN 'https://talk.example/?a=' || id || '&b=2' END AS comments_url FROM items WHERE trim(title) <> ''"""
 
 
 def _documents(v: Views, item: Column, head: str, tail: str) -> DataFrame:
-    """Responses (feed_id, url, body) with one document for each feed's items, in the order of their numbers."""
+    """Responses (feed_id, url, body) with a document for each thousand numbers of a feed's items, in their order."""
     ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", item.alias("x")))), lambda r: r["x"]), "," if head.startswith("{") else "")
-    bodies = v.plain_items.where("trim(title) <> ''").groupBy("feed_id").agg(ordered.alias("items"))
+    bodies = v.plain_items.where("trim(title) <> ''").groupBy("feed_id", F.floor(F.col("id") / 1000).alias("page")).agg(ordered.alias("items"))
     url = F.concat(F.lit("https://src"), F.col("feed_id").cast("string"), F.lit(".example/feed"))
     return bodies.select("feed_id", url.alias("url"), F.concat(F.lit(head), F.col("items"), F.lit(tail)).alias("body"))
 
