@@ -70,7 +70,9 @@ def parse_cursor(cursor: str | None) -> tuple[datetime, int] | None:
 
 
 def make_cursor(when: datetime, number: int) -> str:
-    return f"{when:%Y-%m-%dT%H:%M:%SZ}|{number}"
+    """Parts of a second are kept where there are any, so that no row between two pages is skipped."""
+    part = f".{when.microsecond:06d}" if when.microsecond else ""
+    return f"{when:%Y-%m-%dT%H:%M:%S}{part}Z|{number}"
 
 
 def list_items(

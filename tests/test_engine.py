@@ -345,3 +345,24 @@ def test_a_new_agent_gives_items_their_attempts_back(spark, engine):
         after = before.patch_feeds(patch(agent), "2024-01-01 00:00:00")
         assert of(after) == {i: (0, None) if f == 1 and i != 1 else (3, "403") for i, f in feed.items()}
         assert {r["id"]: r["user_agent"] for r in after.feeds.collect()}[1] == kept
+
+
+def test_cursors_keep_parts_of_a_second(spark):
+    """Items fetched within one second, a page of one at a time: none is skipped, none comes twice."""
+    from broadsheet.operators import lists as L
+
+    at = [datetime(2024, 1, 1, 10, 0, 0, k) for k in (0, 1, 1, 999_999)]
+    assert [L.parse_cursor(L.make_cursor(t, 7)) for t in at] == [(t, 7) for t in at]
+    assert L.make_cursor(at[0], 42) == "2024-01-01T10:00:00Z|42"
+    rows = spark.createDataFrame([(k, 1, t) for k, t in enumerate(at)], "id long, feed_id long, fetched_at timestamp_ntz")
+    null = lambda kind: F.lit(None).cast(kind)
+    items = rows.withColumns({"published_at": null("timestamp_ntz"), "read_at": null("timestamp_ntz"), "starred_at": null("timestamp_ntz"), "cluster_id": null("long"), "score": null("long"), "tags": null("array<string>"), "title": F.lit("t"), "url": F.lit("u")})
+    feeds = spark.createDataFrame([(1, "f", "F", None)], "id long, url string, title string, custom_title string")
+    seen, cursor = [], None
+    while True:
+        page = L.list_items(items, feeds, cursor=cursor, limit=1).collect()
+        if not page:
+            break
+        seen.append(page[0]["id"])
+        cursor = L.make_cursor(at[seen[-1]], seen[-1])
+    assert seen == [3, 2, 1, 0]
