@@ -123,7 +123,7 @@ class Views:
 
     @cached_property
     def index(self) -> StoredIndex:
-        """The index of plain_items, stored beside the session's other tables; one that is there for these files is used
+        """The index of the items' titles and texts, which need no labels, stored beside the session's other tables; one that is there for these files is used
         again, in this session or a later one with the same folder."""
         stamp = hashlib.sha256(self.dir.encode())
         for name in sorted(self.table("documents").inputFiles()):
@@ -132,7 +132,7 @@ class Views:
             stamp.update(f"{name} {status.getLen()} {status.getModificationTime()}".encode())
         found = StoredIndex.at(self.spark, f"{shared_dir(self.spark)}/search-index-{stamp.hexdigest()[:32]}")
         if not found.archive.version():
-            found.update(added=self.plain_items)
+            found.update(added=self.table("documents").selectExpr("doc_id as id", "replace(substring(text, 1, 60), '\\n', ' ') as title", "text as content_text"))
         return found
 
     @cached_property

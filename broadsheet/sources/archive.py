@@ -19,6 +19,9 @@ from pyspark.sql.types import StructType
 
 #: The commit that a row came with.
 SEQ = "_seq"
+#: Deleted keys that are broadcast to a scan (about 64 MB); with more of them rows and keys meet by a shuffle until the
+#: table is compacted as a whole.
+BROADCAST_KEYS = 2_000_000
 
 
 class Conflict(Exception):
@@ -67,7 +70,7 @@ class Archive:
     def manifest(self, version: int | None = None) -> dict:
         version = self.version() if version is None else version
         if not version:
-            return {"version": 0, "tables": {}, "batches": {}}
+            return {"version": 0, "tables": {}, "batches": {}, "counters": {}}
         stream = self._fs().open(self._place(f"m-{version}.json"))
         try:
             return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
@@ -95,6 +98,8 @@ class Archive:
         kind = next(f.dataType for f in table.schema if f.name == table.key)
         keys = self.spark.read.schema(StructType().add("_key", kind).add("_upto", "long")).parquet(*(f"{self.path}/{d['path']}" for d in gone))
         latest = keys.groupBy("_key").agg(F.max("_upto").alias("_upto"))
+        if sum(d["rows"] for d in gone) <= BROADCAST_KEYS:
+            latest = F.broadcast(latest)
         hidden = (F.col(table.key) == F.col("_key")) & (F.col(SEQ) < F.col("_upto"))
         return rows.join(latest, hidden & (F.col(SEQ) < F.lit(newest)), "left_anti")
 
@@ -154,7 +159,8 @@ class Commit:
     archive: Archive
     base: dict
     tables: dict
-    batches: dict = field(default_factory=dict)
+    #: Numbers that the next commits go on from, such as the largest id given out.
+    counters: dict[str, int] = field(default_factory=dict)
 
     @property
     def seq(self) -> int:
@@ -224,7 +230,8 @@ class Commit:
         lets one of two writers win even if both have looked.  stream and batch are remembered for seen()."""
         archive, fs = self.archive, self.archive._fs()
         batches = {**self.base.get("batches", {}), **({stream: batch} if stream is not None else {})}
-        body = json.dumps({"version": self.seq, "tables": self.tables, "batches": batches})
+        counters = {**self.base.get("counters", {}), **self.counters}
+        body = json.dumps({"version": self.seq, "tables": self.tables, "batches": batches, "counters": counters})
         aside = archive._place(f".m-{self.seq}-{uuid.uuid4().hex}")
         out = fs.create(aside, True)
         try:

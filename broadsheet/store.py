@@ -17,11 +17,13 @@ from .operators.lists import recency
 from .operators.search import INDEX_TABLES, StoredIndex
 from .schemas import EMBEDDINGS, EVENT, FEEDS, ITEMS
 from .session import written
-from .sources.archive import Archive, Commit, Table
+from .sources.archive import BROADCAST_KEYS, Archive, Commit, Table
 from .sources.feeds import entries, parse_responses
 
 #: Items that one pass embeds at most.
 EMBEDS = 10_000
+#: Changed rows (an id and a few numbers or times) that are broadcast to find their whole rows.
+BROADCAST_CHANGES = 500_000
 DIGESTS = "day date, content string, model string, item_count int, created_at timestamp_ntz"
 TABLES = {
     "feeds": Table(FEEDS, "id", ("id",)),
@@ -74,17 +76,16 @@ class StoredReader:
                 commit.replace(name, shaped(df, TABLES[name].schema))
         if items is not None:
             self.index.fill(commit, added=items)
+            commit.counters["items"] = items.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).first()["top"]
         return commit.done()
 
-    def _top(self, commit: Commit) -> int:
-        return commit.read("items").agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).first()["top"]
-
     def record_polls(self, responses: DataFrame, now: str, batch: int | None = None, stream: str = "polls") -> int | None:
         """Fetched responses (feed_id, url, status, body, and where they came etag, last_modified, retry_after): new items and
         their postings, the feeds' rows and the events, in one commit.
 
         A batch of a stream that was committed before is left alone (None), and one whose writer was lost is done anew, so
-        each counts once.  Only the items of the polled feeds are read."""
+        each counts once.  Of several responses of a feed all give items, and the newest (by poll, where there is one) the
+        feed's row.  Only the items of the polled feeds are read."""
         from .streaming.ingest import feeds_updated, items_new
 
         commit = self.archive.begin()
@@ -92,26 +93,29 @@ class StoredReader:
             return None
         at = F.lit(now).cast("timestamp_ntz")
         has = lambda c: F.col(c) if c in responses.columns else F.lit(None).cast("string")
-        told = written(responses.select("feed_id", "url", F.col("status").cast("int").alias("status"), "body", *(has(c).alias(c) for c in ("etag", "last_modified", "retry_after"))))
+        told = written(responses.select("feed_id", "url", F.col("status").cast("int").alias("status"), "body", *(has(c).alias(c) for c in ("etag", "last_modified", "retry_after")), (-F.coalesce(has("poll").cast("long"), F.lit(0))).alias("turn")))
         wait = retry_after_seconds(F.col("retry_after"), at)
-        outcome = told.select("feed_id", "status", F.col("etag").alias("new_etag"), F.col("last_modified").alias("new_last_modified"), wait.alias("wait_s"), S.fetch_outcome(F.col("status"), wait).alias("outcome"))
-        fetched = told.join(outcome.where("outcome = 'fetched'").select("feed_id"), "feed_id", "left_semi")
+        latest = S.first_of_batch(told, ["feed_id"], "turn")
+        outcome = latest.select("feed_id", "status", F.col("etag").alias("new_etag"), F.col("last_modified").alias("new_last_modified"), wait.alias("wait_s"), S.fetch_outcome(F.col("status"), wait).alias("outcome"))
+        fetched = told.where(F.col("status").between(200, 299))
         parsed = written(parse_responses(fetched))
         polled = [r["feed_id"] for r in told.select("feed_id").distinct().collect()]  # a poll's batch, at most some dozens
         known = commit.read("items").where(F.col("feed_id").isin(polled)).select("feed_id", "guid")
         fresh = S.insert_missing(known, entries(parsed), ["feed_id", "guid"], "pos")
-        fresh = shaped(numbered(fresh, self._top(commit) + 1), TABLES["items"].schema, fetched_at=at, extracted=F.lit(False), **{c: F.lit(0) for c in ("extract_attempts", "enrich_attempts", "embed_attempts", "feedback")})
+        top = commit.base["counters"].get("items", 0)
+        fresh = shaped(numbered(fresh, top + 1), TABLES["items"].schema, fetched_at=at, extracted=F.lit(False), **{c: F.lit(0) for c in ("extract_attempts", "enrich_attempts", "embed_attempts", "feedback")})
         fresh = written(fresh)
         added = written(fresh.groupBy("feed_id").agg(F.count("*").alias("count")))
-        heads = parsed.select("feed_id", "ok", F.col("feed_title").alias("new_title"), F.col("site_url").alias("new_site_url"), F.col("icon").alias("new_icon_url"), F.col("ttl_minutes").alias("new_ttl"))
+        heads = parsed.select("feed_id", "ok", F.col("feed_title").alias("new_title"), F.col("site_url").alias("new_site_url"), F.col("icon").alias("new_icon_url"), F.col("ttl_minutes").alias("new_ttl"), (~F.col("ok")).alias("turn"))
+        heads = S.first_of_batch(heads, ["feed_id"], "turn").drop("turn")
         polls = outcome.join(heads, "feed_id", "left").join(added, "feed_id", "left")
         kind = F.when(F.col("outcome").isin("retry_after", "refused"), F.col("outcome")).when(F.col("outcome") == "unchanged", "unchanged")
         kind = kind.when((F.col("outcome") == "fetched") & F.col("ok"), F.when(F.col("count") > 0, "new").otherwise("unchanged")).otherwise("failed")
-        error = F.when(F.col("outcome") == "fetched", "not a feed").otherwise(F.concat(F.lit("status "), F.col("status").cast("string")))
+        error = F.when(F.col("outcome") == "fetched", "not a feed").otherwise(F.coalesce(F.concat(F.lit("status "), F.col("status").cast("string")), F.lit("no answer")))
         polls = polls.withColumns({"kind": kind, "not_modified": F.coalesce(F.col("outcome") == "unchanged", F.lit(False)), "error": error})
         before = commit.read("feeds").where(F.col("id").isin(polled))
         commit.change("feeds", S.poll_transition(before, polls.drop("outcome", "status", "ok", "count"), now))
-        commit.add("items", fresh)
+        commit.counters["items"] = top + commit.add("items", fresh)
         self.index.fill(commit, added=fresh)
         events = items_new(fresh).unionByName(feeds_updated(told, fresh))
         commit.add("events", events.withColumn("batch", F.lit(commit.seq if batch is None else batch).cast("long")))
@@ -132,11 +136,15 @@ class StoredReader:
 
     @staticmethod
     def _differing(before: DataFrame, after: DataFrame, *columns: str) -> DataFrame:
+        """Rows of before with after's values of columns, where those differ.  Only ids and those columns are compared;
+        whole rows are read for the ids that change, by a broadcast of them up to BROADCAST_CHANGES."""
         old = before.select("id", *(F.col(c).alias(f"old_{c}") for c in columns))
         other = F.lit(False)
         for c in columns:
             other = other | ~F.col(c).eqNullSafe(F.col(f"old_{c}"))
-        return after.join(old, "id").where(other).select(before.columns)
+        moved = written(after.select("id", *columns).join(old, "id").where(other).select("id", *columns))
+        few = moved.count() <= BROADCAST_CHANGES
+        return before.drop(*columns).join(F.broadcast(moved) if few else moved, "id").select(before.columns)
 
     def embed(self, embedder: Embedder, now: str, model: str = "m1", batch: int = 16, threshold: float = 0.90) -> int | None:
         """Vectors of the items that are due, their attempts, and the clusters that the new ones join, in one commit.
@@ -153,8 +161,9 @@ class StoredReader:
         fresh = written(found.where("embedding is not null").select("item_id"))
         at = items.select(F.col("id").alias("item_id"), recency().alias("ts"))
         timed = after.join(at, "item_id")
-        counted = items.join(tried.select("id", F.col("embed_attempts").alias("_attempts")), "id", "left").withColumn("embed_attempts", F.coalesce("_attempts", "embed_attempts")).drop("_attempts")
-        grouped = V.joined_clusters(counted.select(items.columns), timed, fresh, model, now, threshold)
+        light = items.select("id", "cluster_id", "embed_attempts")
+        counted = light.join(tried.select("id", F.col("embed_attempts").alias("_attempts")), "id", "left").withColumn("embed_attempts", F.coalesce("_attempts", "embed_attempts")).drop("_attempts")
+        grouped = V.joined_clusters(counted.select(light.columns), timed, fresh, model, now, threshold)
         commit.change("items", self._differing(items, grouped, "embed_attempts", "cluster_id"))
         commit.change("vectors", after.join(fresh, "item_id", "left_semi"))
         return commit.done()
@@ -183,8 +192,9 @@ class StoredReader:
         self.index.fill(commit, gone=ids)
 
     def upkeep(self, most: int = 8, keep: int = 2) -> None:
-        """Compaction of tables with many segments, and deletion of what no recent version names."""
+        """Compaction of tables with many segments or deleted keys, and deletion of what no recent version names."""
         for name, own in self.archive.manifest()["tables"].items():
-            if len(own["segments"]) > most:
-                self.archive.compact(name)
+            crowded = sum(d["rows"] for d in own.get("deletes", [])) > BROADCAST_KEYS
+            if crowded or len(own["segments"]) > most:
+                self.archive.compact(name, whole=crowded)
         self.archive.vacuum(keep)

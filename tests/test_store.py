@@ -180,6 +180,12 @@ def test_a_poll_is_one_commit(spark, reader, monkeypatch):
     reader.record_polls(responses(spark, [(1, "https://a/f", 200, RSS.format(g="x").replace("x-2", "x-3"), None, "Tue", None)]), NOW, 8)
     assert reader.engine().items.count() == after[1] + 1
     assert reader.engine().items.groupBy("id").count().where("count > 1").count() == 0
+    twice = spark.createDataFrame([(1, "https://a/f", 200, RSS.format(g="y"), "e10", 3), (1, "https://a/f", None, None, None, 4), (2, "https://b/f", 200, RSS.format(g="z"), None, 4)], "feed_id long, url string, status int, body string, etag string, poll long")
+    reader.record_polls(twice, NOW, 9)
+    e = reader.engine()
+    assert e.items.count() == after[1] + 5 and e.feeds.count() == len(feeds)
+    assert {r["id"]: (r["failures"], r["last_error"]) for r in e.feeds.collect() if r["id"] < 3} == {1: (1, "no answer"), 2: (0, None)}
+    assert e.items.groupBy("id").count().where("count > 1").count() == 0
 
 
 def test_deletes_reach_items_vectors_and_index(spark, reader):
