@@ -483,7 +483,7 @@ def feed_patch(v: Views) -> DataFrame:
 def agent_change(v: Views) -> DataFrame:
     """A new agent for some feeds, none for others: their items not extracted yet may be tried again; feeds by -1 - id."""
     patches = v.feeds.selectExpr("id as feed_id", "cast(null as string) as set_title", "case id % 5 when 1 then ' reader/2 ' when 2 then '  ' end as set_agent", "cast(null as boolean) as set_disabled", "cast(null as boolean) as set_llm")
-    feeds, items = S.patch_with_items(v.feeds, v.plain_items, patches, NOW)
+    feeds, items = S.patch_with_items(v.feeds, v.bare_items, patches, NOW)
     told = items.select("id", F.col("extract_attempts").alias("attempts"), F.col("extract_error").alias("error"))
     return told.unionByName(feeds.select((-1 - F.col("id")).alias("id"), F.lit(None).cast("int").alias("attempts"), F.col("user_agent").alias("error")))
 
@@ -525,8 +525,8 @@ GONE = "({w}_error ILIKE 'error sending request%' OR {w}_error ILIKE '%operation
 @query(" UNION ALL ".join(f"SELECT '{w}' AS kind, id, CASE WHEN {GONE.format(w=w)} THEN 0 ELSE {w}_attempts END AS attempts, CASE WHEN coalesce({GONE.format(w=w)}, false) THEN NULL ELSE {w}_error END AS note FROM items" for w in ("enrich", "embed"))
  + " UNION ALL SELECT 'extract', id, extract_attempts, extract_error FROM items UNION ALL SELECT 'feed', id, icon_attempts, CASE WHEN icon NOT LIKE 'data:%' THEN icon END FROM feeds UNION ALL SELECT 'feed before 2', id, 0, CASE WHEN icon NOT LIKE 'data:%' THEN icon END FROM feeds")
 def repair_transient(v: Views) -> DataFrame:
-    feeds, items, _ = S.repair_stored(v.feeds, v.plain_items, S.VERSION)
-    older, _, _ = S.repair_stored(v.feeds, v.plain_items, 1)
+    feeds, items, _ = S.repair_stored(v.feeds, v.bare_items, S.VERSION)
+    older, _, _ = S.repair_stored(v.feeds, v.bare_items, 1)
     told = [items.select(F.lit(w).alias("kind"), "id", F.col(f"{w}_attempts").alias("attempts"), F.col(f"{w}_error").alias("note")) for w in ("enrich", "embed", "extract")]
     told += [rows.select(F.lit(kind).alias("kind"), "id", F.col("icon_attempts").alias("attempts"), F.col("icon_url").alias("note")) for kind, rows in (("feed", feeds), ("feed before 2", older))]
     return told[0].unionByName(told[1]).unionByName(told[2]).unionByName(told[3]).unionByName(told[4])
@@ -768,7 +768,7 @@ ENTRIES = """SELECT feed_id, row_number() OVER (PARTITION BY feed_id, id // 1000
 def _documents(v: Views, item: Column, head: str, tail: str) -> DataFrame:
     """Responses (feed_id, url, body) with a document for each thousand numbers of a feed's items, in their order."""
     ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", item.alias("x")))), lambda r: r["x"]), "," if head.startswith("{") else "")
-    bodies = v.plain_items.where("trim(title) <> ''").groupBy("feed_id", F.floor(F.col("id") / 1000).alias("page")).agg(ordered.alias("items"))
+    bodies = v.bare_items.where("trim(title) <> ''").groupBy("feed_id", F.floor(F.col("id") / 1000).alias("page")).agg(ordered.alias("items"))
     url = F.concat(F.lit("https://src"), F.col("feed_id").cast("string"), F.lit(".example/feed"))
     return bodies.select("feed_id", url.alias("url"), F.concat(F.lit(head), F.col("items"), F.lit(tail)).alias("body"))
 
@@ -935,7 +935,7 @@ def ip_public(v: Views) -> DataFrame:
 def poll_jitter(v: Views) -> DataFrame:
     """A draw for each item at its feed's interval: never over a tenth off, and as even as draws are that come from all
     of that range (mean 1, deviation 0.0577, both ends reached)."""
-    drawn = v.plain_items.select("feed_id").join(v.feeds.select(F.col("id").alias("feed_id"), "interval_s"), "feed_id")
+    drawn = v.bare_items.select("feed_id").join(v.feeds.select(F.col("id").alias("feed_id"), "interval_s"), "feed_id")
     share = drawn.select("feed_id", (jittered(F.col("interval_s"), 1) / F.col("interval_s")).alias("x"))
     told = share.agg(F.count("*").alias("draws"), F.count_distinct("feed_id").alias("feeds"), F.avg("x").alias("m"), F.stddev("x").alias("s"), F.min("x").alias("low"), F.max("x").alias("high"))
     bounds = (F.col("low") >= 0.899) & (F.col("high") <= 1.101)

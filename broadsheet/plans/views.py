@@ -54,11 +54,18 @@ class Views:
             "case when id % 8 = 0 then 'agent/1' end as user_agent",
         )
 
+    @cached_property
+    def bare_items(self) -> DataFrame:
+        """Items without score and cluster_id: no row leaves its partition."""
+        return self._items(self.table("documents"))
+
     @cached_property
     def plain_items(self) -> DataFrame:
-        """Items without cluster_id, which alone needs a shuffle of the texts' digests."""
-        labels = self.table("labels")
-        docs = self.table("documents").join(labels, "doc_id", "left")
+        """Items without cluster_id, which needs a shuffle of the texts' digests; the score takes a join with the labels."""
+        return self._items(self.table("documents").join(self.table("labels"), "doc_id", "left"), "40 + 35 * quality - 30 * toxic + doc_id % 20 as score")
+
+    @staticmethod
+    def _items(docs: DataFrame, *more: str) -> DataFrame:
         ts = "timestamp_ntz'{}' + make_dt_interval(0, 0, cast({} as int), {})"
         return docs.selectExpr(
             "doc_id as id",
@@ -74,7 +81,7 @@ class Views:
             "cast(doc_id % 5 as int) as extract_attempts",
             "case doc_id % 5 when 1 then 'Timeout while reading' when 2 then 'no article' end as extract_error",
             "case when doc_id % 2 = 0 then substring(replace(text, '\\n', ' '), 1, 120) end as summary",
-            "40 + 35 * quality - 30 * toxic + doc_id % 20 as score",
+            *more,
             "array(lang, concat('t', doc_id % 7)) as tags",
             "case when doc_id % 2 = 0 then timestamp_ntz'2024-02-02 00:00:00' end as enriched_at",
             "cast(doc_id % 4 as int) as enrich_attempts",
@@ -132,7 +139,7 @@ class Views:
             stamp.update(f"{name} {status.getLen()} {status.getModificationTime()}".encode())
         found = StoredIndex.at(self.spark, f"{shared_dir(self.spark)}/search-index-{stamp.hexdigest()[:32]}")
         if not found.archive.version():
-            found.update(added=self.table("documents").selectExpr("doc_id as id", "replace(substring(text, 1, 60), '\\n', ' ') as title", "text as content_text"))
+            found.update(added=self.bare_items)
         return found
 
     @cached_property
