@@ -1,4 +1,4 @@
-"""Token counts: batch encoding inside Arrow functions that return lengths only."""
+"""Token counts: batch encoding of different words inside Arrow functions that return lengths only."""
 
 from __future__ import annotations
 
@@ -24,6 +24,12 @@ PIECE_BYTES = 1 << 18
 #: so the parts' tokens are the text's tokens.
 SAFE = re.compile(r"(?<=[0-9A-Za-z])[ \n](?=[0-9A-Za-z])")
 
+#: Pre-tokens that hold no white space and look at none beside them.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+#: A word's tokens are kept for later texts; so many words of up to so many characters are, about 100 MB a worker.
+KEPT_WORDS, KEPT_CHARS = 500_000, 64
+
 
 @lru_cache(maxsize=4)
 def _tokenizer(path: str):
@@ -33,6 +39,12 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@lru_cache(maxsize=4)
+def _known(path: str) -> dict[str, int]:
+    """Tokens of the words that a worker has met."""
+    return {"": 0}
+
+
 def safe_pieces(text: str, most: int = PIECE_BYTES) -> list[str]:
     """The text cut at the first safe boundary after every `most` characters; their concatenation is the text.
 
@@ -50,27 +62,63 @@ def safe_pieces(text: str, most: int = PIECE_BYTES) -> list[str]:
     return [*out, text[at:]]
 
 
+@lru_cache(maxsize=4)
+def _drops_blanks(path: str) -> bool:
+    """Whether a vocabulary's file says that its tokens are those of the words between spaces and line ends: normalisers
+    that change characters alone, pre-tokens that hold no white space, and no special string with white space or that takes
+    the white space around it."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    normal, cut = file.get("normalizer") or {}, file.get("pre_tokenizer") or {}
+    steps = [s for s in normal.get("normalizers", [normal]) if s]
+    plain = all(s["type"] in ("NFC", "NFD", "Lowercase") or s["type"] == "Replace" and s["pattern"] == {"Regex": "\\s+"} and s["content"] == " " for s in steps)
+    first = (cut.get("pretokenizers") or [cut])[0]
+    words = first.get("type") == "Split" and first["behavior"] == "Removed" and first["invert"] and first["pattern"] == {"Regex": WORDS}
+    rest = all(s["type"] == "ByteLevel" and not s["add_prefix_space"] and not s["use_regex"] for s in (cut.get("pretokenizers") or [])[1:])
+    special = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) and not re.search(r"\s", t["content"]) for t in file.get("added_tokens", []))
+    return plain and words and rest and special and not file.get("post_processor") and not file["model"].get("dropout")
+
+
 def lengths(texts: list[str], path: str, call_bytes: int = CALL_BYTES, piece_bytes: int = PIECE_BYTES) -> list[int]:
-    """Tokens of each text, without added special tokens; calls are balanced by size."""
-    encoder, counts = _tokenizer(path), [0] * len(texts)
-    pieces, owners, size = [], [], 0
+    """Tokens of each text, without added special tokens; calls are balanced by size.
+
+    The library gives a text the tokens of its words, one after the other: spaces and line ends are in no token and no
+    special string, each pre-token lies between two of them, neither composes with a mark, and letters are lower-cased
+    one by one.  So each different word is encoded once, and a text's tokens are the sum of its words'.  This holds for
+    tokenizers that drop white space, as the vocabulary of words does, and is checked when a vocabulary is loaded; others
+    get their texts whole.
+    """
+    encoder, counts, known = _tokenizer(path), [0] * len(texts), _known(path)
+    by_words = _drops_blanks(path)
+    held, size = [], 0
 
     def flush() -> None:
         nonlocal size
-        for k, found in zip(owners, encoder.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
-            counts[k] += len(found)
-        pieces.clear()
-        owners.clear()
+        fresh = list(set().union(*(parts for _, parts in held)).difference(known))
+        for a in range(0, len(fresh), 4096):
+            some = fresh[a : a + 4096]
+            known.update(zip(some, map(len, encoder.encode_batch_fast(some, add_special_tokens=False)), strict=True))
+        for k, parts in held:
+            counts[k] += sum(map(known.__getitem__, parts))
+        if len(known) > KEPT_WORDS:
+            known.clear()
+            known[""] = 0
+        else:
+            for word in fresh:
+                if len(word) > KEPT_CHARS:
+                    del known[word]
+        held.clear()
         size = 0
 
     for k, text in enumerate(texts):
         for piece in safe_pieces(text, piece_bytes):
-            pieces.append(piece)
-            owners.append(k)
+            held.append((k, piece.replace("\n", " ").split(" ") if by_words else [piece]))
             size += len(piece.encode())
             if size >= call_bytes:
                 flush()
-    if pieces:
+    if held:
         flush()
     return counts
 

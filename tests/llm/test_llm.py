@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -539,3 +540,29 @@ def test_pieces_of_long_texts_count_alike():
     text = "Some words, don't 123 <|endoftext|> éé 日本 x\n" * 200
     assert "".join(token_counts.safe_pieces(text, 50)) == text
     assert token_counts.lengths([text, "", text], WORDS, 300, 50) == token_counts.lengths([text, "", text], WORDS)
+
+
+def test_tokens_are_those_of_the_words():
+    """Marks, white space of all kinds, letters that lower-case to several, and special strings beside spaces and line ends."""
+    from tokenizers import Tokenizer
+
+    t, r = Tokenizer.from_file(WORDS), random.Random(5)
+    signs = [" ", "\n", " \n ", "\t", "\r", "\v", "\x85", "\u00a0", "\u2028", "\u3000", "\u0301", "\u0338", "\u1161", "\u1100", "'", "'s", "'LL", "a", "É", "e\u0301", "ΑΣ", "İ", "ß", "7", "½", "##", "<|endoftext|>", "<|", "|>", "한국", "字", "\U0001f600", "\u200d", "\0", "word" * 30]
+    texts = ["".join(r.choices(signs, k=r.randint(0, 60))) for _ in range(3000)]
+    assert token_counts._drops_blanks(WORDS) and not token_counts._drops_blanks(JSON)
+    for path, exact in ((WORDS, t), (JSON, Tokenizer.from_file(JSON))):
+        assert token_counts.lengths(texts, path, 500) == [len(x) for x in exact.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def test_each_word_is_encoded_once(monkeypatch):
+    calls, real = [], token_counts._tokenizer(WORDS)
+
+    class Counted:
+        def encode_batch_fast(self, some, **more):
+            calls.extend(some)
+            return real.encode_batch_fast(some, **more)
+
+    monkeypatch.setattr(token_counts, "_tokenizer", lambda path: Counted())
+    text, words = "Zwölfmal dieselben quorbige Wörter\n" * 3000, ("Zwölfmal", "dieselben", "quorbige", "Wörter")
+    assert token_counts.lengths([text, text], WORDS) == [3000 * sum(len(real.encode(w).ids) for w in words)] * 2
+    assert len(calls) <= len(words)
