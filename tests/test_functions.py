@@ -154,3 +154,22 @@ def test_opml_round_trip(spark):
     back = FEEDS.parse_opml(text)
     assert [(o["title"], o["url"], o["site_url"]) for o in back] == [('A & "B"', "https://a.example/?x=1&y=2", None), ("C", "https://c.example", "https://c.example/s")]
     assert len(FEEDS.parse_opml(text[: text.index("C</")] if "C</" in text else text[:-60])) >= 1
+
+
+def test_python_columns_hold_few_values_at_a_time(spark):
+    """A batch's results leave in parts, by number and by size; nulls and rows keep their places."""
+    import pyarrow as pa
+
+    from broadsheet.functions import udfs
+
+    n = udfs.AT_ONCE
+    parts = list(udfs._results((pa.array(["a", None] * n), pa.array([1] * 2 * n)), lambda x, y: x * y, pa.string()))
+    assert [len(p) for p in parts] == [n, n] and pa.concat_arrays(parts).to_pylist() == ["a", None] * n
+    long = list(udfs._results((pa.array(["x" * (udfs.AT_ONCE_BYTES // 2)] * 5),), len, pa.int64()))
+    assert [len(p) for p in long] == [2, 2, 1]
+    rows = spark.range(3000).selectExpr("id", "if(id % 7 = 0, null, cast(id as string)) as a", "'b' as b").coalesce(1)
+    both = {"x": "string", "y": "string"}
+    made = rows.select("id", udfs.column(str.upper, "string")("a").alias("one"), udfs.column2(str.__add__, "string")("a", "b").alias("two"), udfs.struct2(lambda a, b: None if a == "8" else {"x": a, "y": b}, both)("a", "b").alias("three"), udfs.column(lambda a: [a], "array<string>")("a").alias("four"))
+    for i, one, two, three, four in made.collect():
+        a = None if i % 7 == 0 else str(i)
+        assert (one, two, four) == (a, a and a + "b", a and [a]) and tuple(three) == ((None, None) if a in (None, "8") else (a, "b"))
