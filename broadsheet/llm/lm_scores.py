@@ -191,8 +191,8 @@ def distinct_words(lists: list[list[bytes]]) -> tuple[list[bytes], np.ndarray, n
     return words, high[order], low[order], order
 
 
-def _survey(width: int, depth: int):
-    """What each block asks for (kind ask), and what a task's training texts count: words and strings by range."""
+def _survey(width: int, depth: int | None):
+    """What each block asks for (kind ask), and what a task's training texts count: words and, with a depth, strings by range."""
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(kind: str, found: list[tuple]) -> pa.RecordBatch:
@@ -214,9 +214,10 @@ def _survey(width: int, depth: int):
                 taught[END] = sum(flags)
                 times = np.fromiter(map(taught.__getitem__, distinct), np.int64, len(distinct))[order]
                 words.append((high[times > 0], low[times > 0], times[times > 0]))
-                grams = count_grams([t for t, flag in zip(texts, flags, strict=True) if flag], depth)
-                codes.append(grams[0])
-                counts.append(grams[1])
+                if depth is not None:
+                    grams = count_grams([t for t, flag in zip(texts, flags, strict=True) if flag], depth)
+                    codes.append(grams[0])
+                    counts.append(grams[1])
                 if sum(len(w[0]) for w in words[1:]) > len(words[0][0]) + (1 << 20):
                     words = [added_up(*(np.concatenate(c) for c in zip(*words, strict=True)))]
                 if sum(map(len, codes[1:])) > len(codes[0]) + (1 << 20):
@@ -224,6 +225,8 @@ def _survey(width: int, depth: int):
                     codes, counts = [merged[0]], [merged[1]]
         high, low, times = added_up(*(np.concatenate(c) for c in zip(*words, strict=True)))
         yield rows("word", [(None, p, high[own].tobytes(), low[own].tobytes(), times[own].tobytes()) for p, own in split_by(range_of(high, width))])
+        if depth is None:
+            return
         code, times = sum_codes(codes, counts)
         yield rows("gram", [(None, p, code[own].tobytes(), times[own].tobytes(), None) for p, own in split_by(part_of(code, depth, width))])
 
@@ -270,6 +273,15 @@ def lm_scores(
     other columns are ignored.  Ids are taken as 64-bit integers.  A text over `block_bytes` is a block's last, and
     is scored in slices.  `depth` is at most 6.
     """
+    return _scored(df, id_col, text_col, folds, fold, depth, block_bytes, broadcast_grams)
+
+
+def word_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, fold: int = 2, block_bytes: int = 4 << 20) -> DataFrame:
+    """lm_scores without `score`: the word model alone, so no strings are counted, stored or asked for."""
+    return _scored(df, id_col, text_col, folds, fold, None, block_bytes, 0)
+
+
+def _scored(df: DataFrame, id_col: str, text_col: str, folds: int, fold: int, depth: int | None, block_bytes: int, broadcast_grams: int) -> DataFrame:
     spark = df.sparkSession
     width = shuffle_width(spark)
     packed = blocks(with_text(df, id_col, text_col, lambda i: ~held_out(i, folds, fold)), block_bytes, width)
@@ -299,11 +311,14 @@ def lm_scores(
     answers = written(lookups(arrow_map(words.select("a", "b", "c"), rerange, ROW), asked, salts, build_words, answer_words))
     joined = packed.join(gathered(answers, "words"), "block")
 
-    grams = sums("gram")
-    n_grams = grams.agg(F.sum("keys").alias("n")).first()["n"] or 0
-    parts, gram_salts = ranges_for(n_grams, width)
-    trie = None
-    if n_grams <= broadcast_grams:
+    trie, n_grams, parts = None, 0, 0
+    if depth is not None:
+        grams = sums("gram")
+        n_grams = grams.agg(F.sum("keys").alias("n")).first()["n"] or 0
+        parts, gram_salts = ranges_for(n_grams, width)
+    if depth is None:
+        pass
+    elif n_grams <= broadcast_grams:
         rows = grams.select("a", "b").collect()
         codes, counts = sum_codes([np.frombuffer(r["a"], np.uint64) for r in rows], [np.frombuffer(r["b"], np.int64) for r in rows])
         trie = spark.sparkContext.broadcast(Trie(codes, counts, depth))
@@ -328,7 +343,9 @@ def lm_scores(
                 places = np.concatenate(([0], np.cumsum(size)))
                 logs, seen = np.log10(totals + 1.0), (totals > 0).astype(np.int64)
                 sums_of = lambda x, at=at, places=places: np.diff(np.concatenate(([0], np.cumsum(x[at])))[places]) + x[-1]
-                if trie is None:
+                if depth is None:
+                    pass
+                elif trie is None:
                     mine = distinct_grams(texts, depth)
                     far = np.empty(len(mine))
                     given = {x["part"]: x["found"] for x in batch.column("strings")[k].as_py()}
@@ -342,12 +359,14 @@ def lm_scores(
                     pa.array(size + 1, pa.int64()),
                     pa.array(sums_of(seen), pa.int64()),
                     pa.array(sums_of(logs) - (size + 1) * whole, pa.float64()),
-                    pa.array(text_logs(texts, depth, look), pa.float64()),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+                if depth is not None:
+                    columns.append(pa.array(text_logs(texts, depth, look), pa.float64()))
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "n_known", "base_score", *scores])
 
-    scored = arrow_map(joined, score, "doc_id long, n_tokens long, n_known long, base_score double, score double")
-    return scored.select("doc_id", held_out(F.col("doc_id"), folds, fold).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    scores = [] if depth is None else ["score"]
+    scored = arrow_map(joined, score, ", ".join(["doc_id long, n_tokens long, n_known long, base_score double", *(f"{x} double" for x in scores)]))
+    return scored.select("doc_id", held_out(F.col("doc_id"), folds, fold).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", *scores)
 
 
 def distinct_grams(texts: list[bytes], depth: int) -> np.ndarray:

@@ -127,3 +127,15 @@ def test_odd_rows(spark, broadcast):
     assert lm_scores.lm_scores(docs(spark, []), broadcast_grams=broadcast).collect() == []
     alone = lm_scores.lm_scores(docs(spark, [(i, "ab") for i in range(30) if not trained(i)]), broadcast_grams=broadcast).collect()
     assert alone and all(r["base_score"] == 0 and r["n_known"] == 0 and r["score"] == pytest.approx(3 * math.log10(1 / 257)) for r in alone)
+
+
+def test_the_word_model_alone(spark, monkeypatch):
+    """The same base columns as with the byte model, and no string counted for them."""
+    rows = [(i, t) for i, t in enumerate(["Ab cd ab", "", None, "x " * 3000, "é\x0bÉ e\tEF", *(f"w{k} ab w{k % 5}" for k in range(40))])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = lm_scores.lm_scores(df, block_bytes=500).drop("score")
+    monkeypatch.setattr(lm_scores, "count_grams", None)
+    alone = lm_scores.word_scores(df, block_bytes=500)
+    assert alone.schema == whole.schema
+    key = lambda r: r["doc_id"]
+    assert sorted(alone.collect(), key=key) == sorted(whole.collect(), key=key)
