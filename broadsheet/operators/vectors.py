@@ -15,8 +15,10 @@ from ..session import ship, written
 
 #: Vectors in a tile: two tiles and their products take a few MB.
 TILE = 1024
-#: A cell of tile pairs is so many tiles wide and high.
+#: A cell of tile pairs is so many tiles wide and high; more where a bucket would have over MOST_CELLS cells a side, so that a
+#: tile is copied at most about twice MOST_CELLS times, however many tiles there are.
 GRID = 4
+MOST_CELLS = 16
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -53,42 +55,50 @@ def semantic_search(vectors: DataFrame, query: list[float], model: str, floor: f
     return best.select("item_id", F.round("similarity", 6).alias("similarity"))
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, window_hours: int = 72, fresh: DataFrame | None = None) -> DataFrame:
+def similar_pairs(vectors: DataFrame, threshold: float, window_hours: int = 72, fresh: DataFrame | None = None, turn: str | None = None) -> DataFrame:
     """(a, b, similarity) with a < b of one model whose times lie within the window; with `fresh` (item_id), only pairs
     with at least one of those.
 
+    With `turn`, a column of whole numbers, a new vector is a child of known ones and of new ones with a larger (turn, id), and a
+    pair of tiles gives each child's best partner in it alone (the smallest id of equals): (a, b, similarity) with a the child.
+
     Time is cut into buckets as wide as the window, so partners stand in one bucket or in neighbours.  Buckets
-    are cut into tiles of about TILE vectors.  Pairs of tiles are laid out as a grid, cut into cells of GRID by GRID
-    tiles: each tile goes once to every cell of its row and of its column, and a cell's pairs are multiplied one
-    after the other in numpy.  So a crowded bucket's work is even over many tasks, a task holds two tiles of a pair
-    at a time, and only pairs at or over the threshold leave it.
+    are cut into tiles of about TILE vectors, new and other ones apart.  Pairs of tiles are laid out as a grid, cut into cells
+    of GRID by GRID tiles or, in a crowded bucket, into MOST_CELLS by MOST_CELLS: each tile goes once to every cell of
+    its row and of its column (within a bucket, of the grid's upper half), and a cell's pairs are multiplied one after the
+    other in numpy.  So a crowded bucket's work is even over many tasks, what is shuffled grows with the vectors and not with
+    their square, a task holds two tiles of a pair at a time, and only pairs at or over the threshold leave it.
     """
     ship(vectors.sparkSession)
     hours = F.unix_seconds(F.col("ts").cast("timestamp")) / 3600
-    rows = vectors.where(F.size("embedding") > 0).select("item_id", "model", "embedding", F.col("ts"), F.floor(hours / window_hours).alias("bucket"))
+    rows = vectors.where(F.size("embedding") > 0).select("item_id", "model", "embedding", F.col("ts"), F.floor(hours / window_hours).alias("bucket"), (F.col(turn) if turn else F.lit(0)).cast("long").alias("turn"))
     if fresh is not None:
         rows = rows.join(fresh.select("item_id", F.lit(True).alias("new")), "item_id", "left").withColumn("new", F.coalesce("new", F.lit(False)))
     else:
         rows = rows.withColumn("new", F.lit(True))
-    sizes = rows.groupBy("model", "bucket").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    cut = rows.join(sizes, ["model", "bucket"]).withColumn("tile", F.pmod(F.xxhash64("item_id"), F.col("tiles")).cast("int"))
-    row = F.struct("item_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), "embedding", "new")
-    tiles = written(cut.groupBy("model", "bucket", "tile").agg(F.collect_list(row).alias("rows"), F.max("new").alias("news")))
+    sizes = rows.groupBy("model", "bucket").agg(F.ceil(F.count_if("new") / TILE).cast("int").alias("fresh"), F.ceil(F.count_if(~F.col("new")) / TILE).cast("int").alias("known"))
+    sizes = sizes.withColumn("cells", F.least(F.ceil((F.col("fresh") + F.col("known")) / GRID), F.lit(MOST_CELLS)).cast("int"))
+    number = F.xxhash64("item_id")
+    cut = rows.join(sizes, ["model", "bucket"]).withColumn("tile", F.when(F.col("new"), F.pmod(number, F.col("fresh"))).otherwise(F.col("fresh") + F.pmod(number, F.col("known"))).cast("int"))
+    row = F.struct("item_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), "embedding", "new", "turn")
+    tiles = written(cut.groupBy("model", "bucket", "tile").agg(F.collect_list(row).alias("rows"), F.max("new").alias("news"), F.pmod("tile", F.max("cells")).alias("cell")))
     # How many cells of the other side a tile meets, in its own bucket and in the next.
-    cells = written(sizes.withColumn("cells", F.ceil(F.col("tiles") / GRID).cast("int")).select("model", "bucket", "cells"))
+    cells = written(sizes.select("model", "bucket", "cells"))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = tiles.select("model", "bucket", F.col("tile").alias("tile_a"), F.col("rows").alias("a"), F.col("news").alias("news_a"), F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)).alias("other"))
+    left = tiles.select("model", "bucket", F.col("tile").alias("tile_a"), F.col("cell").alias("cell_a"), F.col("rows").alias("a"), F.col("news").alias("news_a"), F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)).alias("other"))
     left = left.join(cells.select("model", F.col("bucket").alias("other"), "cells"), ["model", "other"]).withColumn("cell_b", spread("cells")).drop("cells")
-    left = left.withColumn("cell_a", F.floor(F.col("tile_a") / GRID).cast("int"))
+    # Within a bucket each pair of cells is met once.
+    upper = (F.col("bucket") < F.col("other")) | (F.col("cell_a") <= F.col("cell_b"))
+    left = left.where(upper)
     mine = cells.select("model", "bucket", "cells")
     # A right tile goes to the rows of its own bucket's grid and of the grid with the bucket before.
-    own = tiles.join(mine, ["model", "bucket"]).select("model", "bucket", F.col("bucket").alias("other"), F.col("tile").alias("tile_b"), F.col("rows").alias("b"), F.col("news").alias("news_b"), spread("cells").alias("cell_a"))
+    own = tiles.join(mine, ["model", "bucket"]).select("model", "bucket", F.col("bucket").alias("other"), F.col("tile").alias("tile_b"), F.col("cell").alias("cell_b"), F.col("rows").alias("b"), F.col("news").alias("news_b"), spread("cells").alias("cell_a"))
     before = mine.select("model", "bucket", "cells", (F.col("bucket") + 1).alias("other"))
-    earlier = tiles.select("model", F.col("bucket").alias("other"), F.col("tile").alias("tile_b"), F.col("rows").alias("b"), F.col("news").alias("news_b")).join(before, ["model", "other"])
-    earlier = earlier.select("model", "bucket", "other", "tile_b", "b", "news_b", spread("cells").alias("cell_a"))
-    right = own.unionByName(earlier).withColumn("cell_b", F.floor(F.col("tile_b") / GRID).cast("int"))
+    earlier = tiles.select("model", F.col("bucket").alias("other"), F.col("tile").alias("tile_b"), F.col("cell").alias("cell_b"), F.col("rows").alias("b"), F.col("news").alias("news_b")).join(before, ["model", "other"])
+    earlier = earlier.select("model", "bucket", "other", "tile_b", "cell_b", "b", "news_b", spread("cells").alias("cell_a"))
+    right = own.unionByName(earlier).where(upper)
     pairs = left.join(right.hint("shuffle_merge"), ["model", "bucket", "other", "cell_a", "cell_b"])
-    pairs = pairs.where(((F.col("bucket") < F.col("other")) | (F.col("tile_a") <= F.col("tile_b"))) & (F.col("news_a") | F.col("news_b")))
+    pairs = pairs.where(((F.col("bucket") < F.col("other")) | (F.col("cell_a") < F.col("cell_b")) | (F.col("tile_a") <= F.col("tile_b"))) & (F.col("news_a") | F.col("news_b")))
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,16 +108,28 @@ def similar_pairs(vectors: DataFrame, threshold: float, window_hours: int = 72,
                 for side in ("a", "b"):
                     held = batch.column(side)[k].values
                     sizes = held.field("embedding").value_lengths()
-                    sides.append((np.asarray(held.field("item_id")), np.asarray(held.field("at")), held.field("embedding"), np.asarray(sizes), np.asarray(held.field("new").to_numpy(zero_copy_only=False))))
-                (ids_a, at_a, va, na, new_a), (ids_b, at_b, vb, nb, new_b) = sides
+                    sides.append((np.asarray(held.field("item_id")), np.asarray(held.field("at")), held.field("embedding"), np.asarray(sizes), np.asarray(held.field("new").to_numpy(zero_copy_only=False)), np.asarray(held.field("turn"))))
+                (ids_a, at_a, va, na, new_a, turn_a), (ids_b, at_b, vb, nb, new_b, turn_b) = sides
                 for width in np.intersect1d(na[na > 0], nb[nb > 0]):
                     ia, ib = np.flatnonzero(na == width), np.flatnonzero(nb == width)
+                    ia, ib = ia[np.argsort(ids_a[ia], kind="stable")], ib[np.argsort(ids_b[ib], kind="stable")]
                     x, y = (np.asarray(v.take(pa.array(i)).flatten(), np.float64).reshape(-1, width) for v, i in ((va, ia), (vb, ib)))
                     near = x @ y.T
                     hit = (near >= threshold) & (np.abs(at_a[ia][:, None] - at_b[ib][None, :]) <= window_hours * 3600)
                     hit &= new_a[ia][:, None] | new_b[ib][None, :]
                     if same:
                         hit &= ids_a[ia][:, None] < ids_b[ib][None, :]
+                    if turn:
+                        near = np.where(hit, np.round(near, 6), -np.inf)
+                        before = (turn_a[ia][:, None] < turn_b[ib][None, :]) | (turn_a[ia][:, None] == turn_b[ib][None, :]) & (ids_a[ia][:, None] < ids_b[ib][None, :])
+                        down = new_a[ia][:, None] & (~new_b[ib][None, :] | before)
+                        # Ids ascend, so the first of equals is the smallest.
+                        for score, child, parent in ((np.where(down, near, -np.inf), ids_a[ia], ids_b[ib]), (np.where(down, -np.inf, near).T, ids_b[ib], ids_a[ia])):
+                            first = score.argmax(1)
+                            top = score[np.arange(len(child)), first]
+                            own = np.flatnonzero(top > -np.inf)
+                            yield pa.RecordBatch.from_arrays([pa.array(child[own]), pa.array(parent[first[own]]), pa.array(top[own])], names=["a", "b", "similarity"])
+                        continue
                     i, j = np.nonzero(hit)
                     p, q = ids_a[ia][i], ids_b[ib][j]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q)), pa.array(np.round(near[i, j], 6))], names=["a", "b", "similarity"])
@@ -176,11 +198,8 @@ def joined_clusters(items: DataFrame, vectors: DataFrame, fresh: DataFrame, mode
         return items
     held = recent(vectors, model, as_of, window_hours)
     fresh = fresh.join(held.select("item_id"), "item_id", "left_semi")
-    pairs = similar_pairs(held.withColumn("ts", F.lit(as_of).cast("timestamp_ntz")), threshold, window_hours, fresh)
-    at = held.join(fresh.select("item_id", F.lit(1).alias("new")), "item_id", "left").select("item_id", F.struct(F.coalesce("new", F.lit(0)).alias("new"), F.when(F.col("new") == 1, F.struct((-F.unix_micros(F.col("ts").cast("timestamp"))).alias("t"), (-F.col("item_id")).alias("i"))).alias("turn")).alias("at"))
-    sides = pairs.join(at.select(F.col("item_id").alias("a"), F.col("at").alias("at_a")), "a").join(at.select(F.col("item_id").alias("b"), F.col("at").alias("at_b")), "b")
-    later = F.col("at_a") > F.col("at_b")
-    edges = sides.select(F.when(later, F.col("a")).otherwise(F.col("b")).alias("child"), F.when(later, F.col("b")).otherwise(F.col("a")).alias("parent"), "similarity")
+    turned = held.withColumn("turn", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("ts", F.lit(as_of).cast("timestamp_ntz"))
+    edges = similar_pairs(turned, threshold, window_hours, fresh, "turn").select(F.col("a").alias("child"), F.col("b").alias("parent"), "similarity")
     best = edges.groupBy("child").agg(F.max(F.struct("similarity", (-F.col("parent")).alias("minus")))["minus"].alias("minus")).select("child", (-F.col("minus")).alias("parent"))
     roots = rooted(best)
     # A known item stands for the cluster it is in.

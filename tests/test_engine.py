@@ -1,6 +1,7 @@
 from dataclasses import replace
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -366,3 +367,46 @@ def test_cursors_keep_parts_of_a_second(spark):
         seen.append(page[0]["id"])
         cursor = L.make_cursor(at[seen[-1]], seen[-1])
     assert seen == [3, 2, 1, 0]
+
+
+def test_tiles_are_copied_a_bounded_number_of_times(spark, monkeypatch):
+    """In a bucket of many tiles the grid has few cells a side; with and without new items, pairs and best partners are those
+    that all comparisons find."""
+    from pyspark.sql import DataFrame
+
+    from broadsheet.operators import vectors as V
+
+    r = np.random.default_rng(3)
+    v = r.standard_normal((600, 8))
+    v = np.round(v / np.linalg.norm(v, axis=1)[:, None] * 4) / 4
+    rows = [(i, "m", [float(x) for x in v[i]], int(r.integers(0, 40))) for i in range(600)]
+    vectors = spark.createDataFrame(rows, "item_id long, model string, embedding array<float>, turn long").withColumn("ts", F.expr("timestamp_ntz'2024-01-01 00:00:00'"))
+    copies, real = [], V.written
+    monkeypatch.setattr(V, "TILE", 10)
+    monkeypatch.setattr(V, "GRID", 1)
+    monkeypatch.setattr(V, "MOST_CELLS", 3)
+
+    def seen(df: DataFrame) -> DataFrame:
+        out = real(df)
+        if out.columns == ["model", "bucket", "cells"]:
+            copies.extend(x["cells"] for x in out.collect())
+        return out
+
+    monkeypatch.setattr(V, "written", seen)
+    new = {i for i in range(600) if i % 4 == 1}
+    fresh = vectors.where("item_id % 4 = 1").select("item_id")
+    near = np.round(v @ v.T, 6)
+    every = {(i, j) for i in range(600) for j in range(i + 1, 600) if near[i, j] >= 0.8}
+    assert {(x["a"], x["b"]) for x in V.similar_pairs(vectors, 0.8).collect()} == every
+    assert {(x["a"], x["b"]) for x in V.similar_pairs(vectors, 0.8, fresh=fresh).collect()} == {p for p in every if new & set(p)}
+    best: dict = {}
+    for x in V.similar_pairs(vectors, 0.8, fresh=fresh, turn="turn").collect():
+        best[x["a"]] = max(best.get(x["a"], (-1.0, 0)), (x["similarity"], -x["b"]))
+    turn = {x[0]: (x[3], x[0]) for x in rows}
+    want = {}
+    for i in new:
+        found = [(near[i, j], -j) for j in range(600) if j != i and near[i, j] >= 0.8 and (j not in new or turn[j] > turn[i])]
+        if found:
+            want[i] = max(found)
+    assert best.keys() == want.keys() and all(abs(best[i][0] - want[i][0]) < 1e-5 and best[i][1] == want[i][1] for i in want)
+    assert copies and max(copies) == 3
