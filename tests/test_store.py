@@ -111,6 +111,47 @@ def test_searches_read_the_stored_index(spark, tmp_path):
     assert found(index, "async") == [2] and index.counts(["the", "asy"]) == [2, 3]
 
 
+WORDY = [
+    *((k, f"Café {k % 7}", "the CAFE, the café; cafe\u0301 x²y " * 3) for k in range(300)),
+    *((k, "ΟΔΟΣ İstanbul", " \u00a0—\n\tnaïve 한국 МАЙ 3٣½ e\u0301a") for k in range(300, 310)),
+    (310, None, "...  "), (311, "", None), (312, None, None), (313, "same", "same Same ŚAMÉ"),
+]
+
+
+def test_texts_are_read_once_and_words_travel_in_runs(spark, tmp_path):
+    """An index reads each item once, though its ranges are looked for first; a word travels a run at a time, and what is stored
+    is what the plain expression says."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    rows = items(spark, WORDY)
+    index = X.StoredIndex.at(spark, str(tmp_path / "i"))
+    index.update(added=rows.mapInArrow(counted, rows.schema))
+    assert read.value == len(WORDY)
+    want = sorted((r["token"], r["id"]) for r in X.postings(rows).collect())
+    assert sorted((r["token"], r["id"]) for r in index.postings().collect()) == want and len(want) == len(set(want))
+    counts = {r["token"]: r["items"] for r in index.archive.read(X.TERMS).collect()}
+    assert counts == {t: sum(w == t for w, _ in want) for t in {w for w, _ in want}} and counts["cafe"] == counts["the"] == 300
+    gathered = X.runs(rows.coalesce(1)).collect()
+    assert sorted(len(r["id"]) for r in gathered if r["token"] == "cafe") == [44, 64, 64, 64, 64]
+    assert not [p for p in (tmp_path / "i").iterdir() if p.name.startswith("staged")]
+
+
+def test_runs_of_many_stretches_hold_each_posting_once(spark, monkeypatch):
+    rows = items(spark, WORDY).coalesce(1)
+    batch = rows.select("id", F.concat_ws(" ", X.T.spaced(F.col("title")), X.T.spaced(F.col("content_text"))).alias("words")).toArrow().to_batches()
+    monkeypatch.setattr(X, "RUN_BYTES", 1)
+    parts = list(X._runs(iter(batch)))
+    assert len(parts) == 2
+    got = sorted((t, i) for p in parts for t, ids in zip(p["token"].to_pylist(), p["id"].to_pylist(), strict=True) for i in ids)
+    assert got == sorted((r["token"], r["id"]) for r in X.postings(rows).collect())
+    assert all(1 <= len(ids) <= X.RUN_IDS for p in parts for ids in p["id"].to_pylist())
+
+
 def test_index_compacts_and_keeps_what_it_found(spark, tmp_path):
     index = X.StoredIndex.at(spark, str(tmp_path / "i"))
     for k in range(10):
