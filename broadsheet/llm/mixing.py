@@ -270,6 +270,18 @@ def _draw(doc_id: Column, seed: int) -> Column:
     return F.pmod(F.xxhash64(doc_id, F.lit(seed)), F.lit(1 << 24)) / F.lit(float(1 << 24))
 
 
+#: Copies leave in batches of about so many bytes of text, whatever the rates are.
+COPIED_BYTES = 1 << 22
+
+
+def copied(rows: pa.RecordBatch, sizes: np.ndarray, copies: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
+    """Each row as often as copies says, in order; a batch's rows have `most` bytes by sizes, or are one row more."""
+    taken = np.repeat(np.arange(len(copies)), copies)
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes[taken]) // most)) + 1
+    for own in np.split(taken, cuts):
+        yield rows.take(pa.array(own))
+
+
 def drawn(
     df: DataFrame,
     labels: DataFrame,
@@ -296,6 +308,6 @@ def drawn(
             whole = np.floor(r)
             copies = (whole + (np.asarray(part.column(part.num_columns - 1)) < r - whole)).astype(np.int64)
             rows = pa.RecordBatch.from_arrays(part.columns[:-1], names=part.schema.names[:-1])
-            yield rows.take(pa.array(np.repeat(np.arange(len(r)), copies)))
+            yield from copied(rows, np.array([len(t) for t in texts]), copies, COPIED_BYTES)
 
     return arrow_map(df.select("*", _draw(F.col(f"`{id_col}`"), seed).alias(f"draw of {id_col}")), repeat, df.schema)

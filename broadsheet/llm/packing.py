@@ -13,6 +13,7 @@ rank within its map task plus what earlier tasks hold, so no length is ever gath
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -24,10 +25,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, single_threaded, slices, written
+from .common import arrow_map, byte_texts, single_threaded, slices, written
 
 #: Lead bytes from here on start characters above U+02FF.
 _HIGH = bytes(range(0xCC, 0x100))
+#: The faster library fails on about a million characters of white space in a row.
+BLANK_RUN = 1 << 18
 
 
 @lru_cache(maxsize=2)
@@ -51,14 +54,24 @@ def _fast(rank_path: str):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def _long_blank(text: str) -> bool:
+    return len(text) >= BLANK_RUN and any(m.end() - m.start() >= BLANK_RUN for m in re.finditer(r"\s+", text))
+
+
+def readable(text: bytes) -> str:
+    """Bytes that are no UTF-8 become U+FFFD, as Spark shows them."""
+    return text.decode("utf-8", "replace")
+
+
 def encode(text: str, json_path: str, rank_path: str | None = None) -> list[int]:
     """The ids that the JSON file's library gives.
 
     The rank file holds the same vocabulary and merges in a library about four times as fast.  It serves
     texts of characters up to U+02FF without the start of a special string; there the two libraries' character
-    classes are the same.  All other texts go to the first library, which is loaded once one comes.
+    classes are the same.  All other texts, and those with very long runs of white space, go to the first library,
+    which is loaded once one comes.
     """
-    if rank_path is not None and "<|" not in text:
+    if rank_path is not None and "<|" not in text and not _long_blank(text):
         raw = text.encode()
         if len(raw.translate(None, _HIGH)) == len(raw):
             return _fast(rank_path).encode_ordinary(text)
@@ -67,7 +80,7 @@ def encode(text: str, json_path: str, rank_path: str | None = None) -> list[int]
 
 def piece_tokens(json_path: str, rank_path: str | None = None):
     """A function that says how many tokens pack() makes of a text's bytes, the end included."""
-    return lambda text: len(encode(text.decode(), json_path, rank_path)) + 1
+    return lambda text: len(encode(readable(text), json_path, rank_path)) + 1
 
 
 def pieces_of(ids: np.ndarray, capacity: int) -> Iterator[tuple[int, int]]:
@@ -161,11 +174,11 @@ def pack(df: DataFrame, json_path: str, rank_path: str | None = None, id_col: st
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its text's ids and then end_id, so null and empty texts are one piece of one token.  Only
-    documents over the token capacity are cut, however long.  Repeated rows are each packed, and which of equally long
+    documents over the token capacity are cut, however long, and bytes that are no UTF-8 are read as U+FFFD.  Repeated rows are each packed, and which of equally long
     pieces goes where follows from how rows stand in their partitions.  An empty table gives an empty result; other
     columns are ignored.
     """
-    rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
     capacity = limits.tokens
 
@@ -173,8 +186,8 @@ def pack(df: DataFrame, json_path: str, rank_path: str | None = None, id_col: st
         part, ranks = TaskContext.get().partitionId(), {}
         for batch in slices(batches):
             out = []
-            for k, text in enumerate(batch.column("text").to_pylist()):
-                ids = np.array([*encode(text, json_path, rank_path), end_id], "<u4")
+            for k, text in enumerate(byte_texts(batch.column("text"))):
+                ids = np.array([*encode(readable(text), json_path, rank_path), end_id], "<u4")
                 for piece, (start, length) in enumerate(pieces_of(ids, capacity)):
                     rank = ranks.get(length, 0)
                     ranks[length] = rank + 1

@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written as Parquet and read
 again as the next stage's docs.  All but the last return the columns of documents.  Null texts count as
-empty everywhere.  An empty table passes through as an empty one.
+empty everywhere.  An empty table passes through as an empty one.  Stages that run Python leave their session's Arrow
+batches at 8 MB unless it sets them itself, for the results they return are read later; run() puts that back.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from broadsheet.llm.common import table, written
+from broadsheet.llm.common import BATCH_BYTES, small_batches, table, written
 from broadsheet.llm.exact_dedup import exact_dedup
 from broadsheet.llm.mixing import drawn
 from broadsheet.llm.packing import pack, piece_tokens
@@ -23,6 +24,7 @@ MIXTURE = {"clean": 0.97, "toxic": 0.03, "low": 0.0}
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
+    small_batches(spark)
     return keep_quality(docs, table(spark, sf_dir, "labels"))
 
 
@@ -45,6 +47,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (shingles of five words, similarity 0.8 or more) the document with the smallest id stays."""
+    small_batches(spark)
     return _without(docs, near_groups(docs).where("doc_id <> component_id"))
 
 
@@ -53,6 +56,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     next stage packs.  Domains are learnt from all labelled documents, for most of one have been rejected by now."""
     from public_tokenizers import path
 
+    small_batches(spark)
     tokens_of = piece_tokens(path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"))
     return drawn(docs, table(spark, sf_dir, "labels"), MIXTURE, tokens_of=tokens_of, taught=table(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece and the sequence that holds it."""
     from public_tokenizers import path
 
+    small_batches(spark)
     return pack(docs, path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"))
 
 
@@ -77,7 +82,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir))
+    docs, own = table(spark, sf_dir, "documents"), spark.conf.get(BATCH_BYTES, None)
+    try:
+        for _, stage in STAGES:
+            docs = written(stage(spark, docs, sf_dir))
+    finally:
+        if own is None:
+            spark.conf.unset(BATCH_BYTES)
     return docs

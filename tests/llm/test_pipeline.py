@@ -5,8 +5,10 @@ from collections import Counter
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from broadsheet.llm import mixing
 from broadsheet.llm.packing import piece_tokens
@@ -140,3 +142,28 @@ def test_stages_take_odd_rows(spark, k):
         assert set(got) <= {1, 2, None, 4}
     if k < 4:
         assert stage(spark, more(docs), SMALL).columns == more(docs).columns
+
+
+def test_tokens_of_odd_texts(spark):
+    """Stages that count tokens take runs of white space that the faster library fails on, and bytes that are no UTF-8."""
+    schema = spark.read.parquet(f"{SMALL}/documents.parquet").schema
+    blank, cut = "these few words " + " \n" * 600_000 + "end", b"these few words \xc3 end"
+    rows = spark.createDataFrame([(1, bytearray(blank.encode()), "en", "src0", 0), (2, bytearray(cut), "en", "src1", 0)], "doc_id long, text binary, lang string, source string, n_chars long")
+    docs = rows.withColumn("text", F.col("text").cast("string")).select(schema.names)
+    exact = Tokenizer.from_file(paths()[0])
+    want = {i: len(exact.encode(t, add_special_tokens=False).ids) + 1 for i, t in ((1, blank), (2, cut.decode("utf-8", "replace")))}
+    assert {i: piece_tokens(*paths())(t) for i, t in ((1, blank.encode()), (2, cut))} == want
+    pieces = corpus_pipeline.packed(spark, docs, SMALL).groupBy("doc_id").agg(F.sum("length").alias("n"))
+    assert {r["doc_id"]: r["n"] for r in pieces.collect()} == want
+    drawn = corpus_pipeline.mixed(spark, docs, SMALL).select("doc_id", F.col("text").cast("binary").alias("text")).collect()
+    assert {(r["doc_id"], bytes(r["text"])) for r in drawn} <= {(1, blank.encode()), (2, cut)}
+
+
+def test_copies_leave_in_parts():
+    """However often a row is copied, a batch stays small, and the rows and their order are those of the copies."""
+    rows = pa.RecordBatch.from_pydict({"text": ["a" * 10, "b" * 500, "", "c" * 10]})
+    sizes, copies = np.array([10, 500, 0, 10]), np.array([3, 100, 5, 0])
+    parts = list(mixing.copied(rows, sizes, copies, 1000))
+    assert [t for p in parts for t in p.column("text").to_pylist()] == ["a" * 10] * 3 + ["b" * 500] * 100 + [""] * 5
+    assert len(parts) > 40 and max(sum(map(len, p.column("text").to_pylist())) for p in parts) <= 1500
+    assert [p.num_rows for p in mixing.copied(rows, sizes, np.zeros(4, int), 1000)] == [0]
